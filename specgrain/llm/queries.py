@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .near_dups import op10_near_duplicates
+from .quality import op1_quality
 from .sharding import op6_hilbert_shards
+from .suffix_dedup import op8_suffix_dedup
 from .token_counts import op4_token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_quality,
         op4_token_counts,
         op6_hilbert_shards,
+        op8_suffix_dedup,
+        op10_near_duplicates,
     )
 }
 
