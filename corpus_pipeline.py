@@ -3,10 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from specgrain.llm.common import materialize
+from specgrain.llm.common import materialize, table
+from specgrain.llm.decontamination import leaks
+from specgrain.llm.near_dups import near_duplicates
+from specgrain.llm.quality import quality_scores
+from specgrain.llm.sentencepieces import encode_documents
+from specgrain.llm.suffix_dedup import strip_repeats
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, doesn't reject."""
+    rejected = quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
+def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest doc_id."""
+    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes of 100-byte strings that start earlier too; n_chars follows the text."""
+    return strip_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaking = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaking, "doc_id", "left_anti").select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids and round_trip of every document left."""
+    import public_tokenizers
+
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("near duplicates", near_dups),
+    ("repeated passages", repeated_passages),
+    ("benchmark decontamination", decontamination),
+    ("sentencepiece encoding", encoding),
+]
 
 #: The stages train models and merge tokens; SQL can't express them. tests/llm hold them against brute force.
 ORACLE_SQL: str | None = None
@@ -14,7 +57,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the last one's rows."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

@@ -261,3 +261,23 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def strip_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with each text replaced by what suffix_dedup keeps of it; UTF-8 that a cut splits loses the broken character. Empty rests stay, null texts become empty; other columns are unchanged."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for t, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out.append(remove_cover(t.encode(), np.array(runs, np.int64))[0].decode("utf-8", "ignore") if runs else t)
+            rest = batch.drop_columns(["_text", "_runs"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.string())], [*rest.schema.names, "_kept"])
+
+    names_ = [f"_c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*names_)
+    own = dict(zip(docs.columns, names_, strict=True))
+    rows = with_runs(renamed, own[text], own[key], tuple(names_)).withColumnsRenamed({"text": "_text", "runs": "_runs"}).select("_text", "_runs", *names_)
+    schema = ", ".join(f"{n} {renamed.schema[n].dataType.simpleString()}" for n in names_) + ", _kept string"
+    done = rows.mapInArrow(run, schema)
+    return done.select(*(F.col("_kept" if c == text else n).alias(c) for c, n in own.items()))
