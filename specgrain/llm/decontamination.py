@@ -136,8 +136,8 @@ def leaks(
     spot = F.pmod("hash", F.lit(1 << FILTER_BITS))
     bits = known.select(F.shiftright(spot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(hash, {1 << FILTER_BITS}) & 63 as int))").alias("one"))
     words = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    got = bits.groupBy("word").agg(F.expr("bit_or(one)").alias("bits")).toPandas()  # at most 2**20 rows
-    words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    got = bits.groupBy("word").agg(F.expr("bit_or(one)").alias("bits")).toArrow()  # at most 2**20 rows
+    words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # of SHORTEST to WINDOW
     shared = spark.sparkContext.broadcast(words)
 

@@ -114,7 +114,7 @@ def embedding_near_duplicates(
     )
     v = v.withColumn("e", F.when(F.coalesce(fine, F.lit(False)), F.col("e")))
     classes = materialize(v.where("e is not null").groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "embed-classes")
-    sample = classes.orderBy(F.xxhash64("id", "label")).limit(SAMPLE).select("e").toPandas()["e"]
+    sample = classes.orderBy(F.xxhash64("id", "label")).limit(SAMPLE).select("e").toArrow().to_pandas()["e"]
     centroids: dict[int, np.ndarray] = {}
     if len(sample):
         largest = classes.groupBy("label").count().agg(F.max("count")).head()[0]
