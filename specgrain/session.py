@@ -1,12 +1,13 @@
-"""Makes this package importable on executors."""
+"""What jobs need of the session: the package on the executors, and a shared folder for intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,12 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(path))
     _shipped.add(sc.applicationId)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written once under spark.checkpoint.dir (a temporary folder where that is unset) and read back: the cut of an iteration's lineage."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/specgrain-checkpoints"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
