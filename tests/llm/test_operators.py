@@ -1,0 +1,333 @@
+"""The numbered operators against brute force, public libraries and odd rows."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from specgrain.llm import decontamination, embedding_dups, lm_scores, near_dups, quality, sentencepieces, sharding, suffix_dedup, token_counts, warc
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(seed, n=300, words=400):
+    rng = np.random.default_rng(seed)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(words)]
+    return " ".join(rng.choice(vocabulary, n))
+
+
+ODD = ["", None, "a", " ", "\n\n", "é" * 30, "x" * 5000, "the same " * 400, "日本語 テスト", "<|endoftext|> <s> %d \x00 end", "!!! ??? ---", "A\tB\r\nC"]
+
+
+def rows_of(texts):
+    return [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = prose(1)
+    near = base.split()
+    near[17] = "changed"
+    texts = [base, " ".join(near), base, prose(2), prose(3, 900), prose(4, 20), *ODD, prose(2)[:900] + prose(5), prose(3, 900)]
+    rows = rows_of(texts)
+    rows += [rows[3], (None, prose(6), None, None, None), (None, None, None, None, None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def text_of(r):
+    return r["text"] or ""
+
+
+def test_quality(spark, docs, empty):
+    rng = np.random.default_rng(0)
+    good = [prose(100 + i, int(rng.integers(40, 200))) for i in range(120)]
+    bad = [" ".join(w + "###" for w in prose(300 + i, int(rng.integers(40, 200))).split()) for i in range(120)]
+    table = spark.createDataFrame(rows_of(good + bad), DOCS).withColumnRenamed("lang", "score")
+    labels = spark.createDataFrame([(i, int(i < 120), 0) for i in range(240)] + [(1, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in quality.quality_scores(table, labels).collect()}
+    assert len(out) == 240 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in out.values())
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in out.items())
+    held = [r for r in out.values() if r["held_out"]]
+    assert np.mean([r["predicted"] == (r["doc_id"] < 120) for r in held]) > 0.95
+    assert quality.quality_scores(docs, labels.limit(0)).where("score = 0.5").count() == docs.count()
+    assert quality.quality_scores(docs, labels).count() == docs.count()
+    assert quality.quality_scores(empty, labels).count() == 0
+
+
+def test_isotonic_is_the_least_squares_fit():
+    x, y = quality.isotonic(np.arange(6.0), np.array([0, 1, 0, 1, 1, 0.5]), np.ones(6))
+    assert np.allclose(y, [0, 0.5, 2.5 / 3]) and (np.diff(x) > 0).all()
+
+
+def test_decontamination(spark, empty):
+    item = "If Alice has 12 apples and gives 5 apples to Zed, how many apples does Alice have left over after that?"
+    asked = "If Bob has 3 apples and gives 2 apples to Carol, how many apples does Bob have left over after that?"
+    mixed = "If Bob has 3 apples and gives 2 apples to Bob, how many apples does Dan have left over after that?"
+    table = spark.createDataFrame([(1, "Well. " + asked), (2, mixed), (3, f"see: {item} ok"), (4, prose(1)), (5, None), (None, item), (6, ""), (3, f"see: {item} ok")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item, "x"), (8, None, "x"), (9, "too short", "x"), (7, item, "x")], "item_id long, text string, doc_id string")
+    got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontamination.leaks(table, bench).collect()}
+    assert got == {(1, 7, True), (3, 7, False)}
+    assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(table, bench.limit(0)).count() == 0
+
+
+def test_template_types():
+    code, kind, bound, words = decontamination.template("Then Ann Lee paid 3.50 dollars. Ann left 3 km away.")
+    same, _, _, _ = decontamination.template("Then Bob Roe paid 7 euros. Bob left 12 miles away.")
+    assert code[:4].tolist() == same[:4].tolist() and code[-4:].tolist() == same[-4:].tolist()
+    assert decontamination.slots(kind, bound, words, 0, len(code))[:3] == ["ann lee", "3.50", "dollars"]
+
+
+def test_warc_round_trip(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/é", "<title>T &amp; U</title><p>Hi<br>you <a href='/x?a=1&amp;b=2'>go</a><script>if(a<b){}</script>"), (2, None, None), (3, "u", "<!-- open"), (3, "u", "<!-- open")], "page_id long, url string, html string")
+    responses = warc.page_responses(pages)
+    records = warc.derivatives(responses)
+    rows = records.collect()
+    assert len(rows) == 8 and {r["warc_type"] for r in rows} == {"metadata", "conversion"}
+    ids = {r["record_id"] for r in responses.collect()}
+    assert {r["refers_to"] for r in rows} == ids
+    first = {r["warc_type"]: r for r in rows if r["target_uri"] == "http://a/é"}
+    assert first["conversion"]["block"] == "Hi\nyou go" and "outlink: /x?a=1&b=2\r\n" in first["metadata"]["block"] and "title: T & U\r\n" in first["metadata"]["block"]
+    assert all(r["content_length"] == len(r["block"].encode()) and r["block_digest"] == warc.digest(r["block"].encode()) for r in rows)
+    warc.write_records(records, str(tmp_path / "w"))
+    data = b"".join(r["warc"] for r in spark.read.parquet(str(tmp_path / "w")).collect())
+    back = list(warc.parse_records(data))
+    assert sorted(b.decode() for _, b in back) == sorted(r["block"] for r in rows)
+    http = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\n\r\n<p>gone"
+    (tmp_path / "in.warc.gz").write_bytes(warc.record_bytes({"WARC-Type": "response", "WARC-Record-ID": "<urn:x>", "WARC-Target-URI": "http://b/", "WARC-Date": "2020-01-01T00:00:00Z", "Content-Length": str(len(http))}, http))
+    read = warc.read_responses(spark, str(tmp_path / "in.warc.gz"))
+    got = warc.derivatives(read).where("warc_type = 'metadata'").head()
+    assert got["refers_to"] == "<urn:x>" and got["date"] == "2020-01-01T00:00:00Z" and "http-status: 404" in got["block"] and "http-content-type: text/html" in got["block"]
+    assert warc.derivatives(responses.limit(0)).count() == 0
+
+
+def test_token_counts_match_the_library(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    out = token_counts.token_counts(docs, path)
+    rows, texts = out.collect(), [text_of(r) for r in docs.collect()]
+    assert [r["n_tokens"] for r in rows] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [r["n_bytes"] for r in rows] == [len(t.encode()) for t in texts]
+    assert all(r["over_limit"] == (r["n_tokens"] > 1024) for r in rows)
+    more = ["aaaa aaaaa aaaaaaa", "²³ Ⅷ ½ ٣ a_b __ x\x1cy", "I'll we've DON'T 'S", "　 \x85  z", "😀😀 é"]
+    assert token_counts.tokenizer(path).count_texts(more) == [len(e.ids) for e in library.encode_batch(more, add_special_tokens=False)]
+    assert token_counts.token_counts(empty, path).count() == 0
+
+
+def test_embedding_near_duplicates(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 16))
+    x = np.concatenate([base, base[:20] + rng.normal(size=(20, 16)) * 0.05, base[:5] + rng.normal(size=(5, 16)) * 0.14, base[:3]])
+    rows = [(i, [float(v) for v in np.float32(e)], int(i % 2 and i < 10)) for i, e in enumerate(x)]
+    odd = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [float("inf")] + [1.0] * 15, 1), (904, rows[0][1], None), (905, [], 1), (906, [None] + [1.0] * 15, 1), (907, [1.0, 2.0], 0)]
+    table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
+    links = {i: set() for i, _, _ in rows}
+    for i, a, p in rows:
+        for j, b, q in rows:
+            if i < j and p == q and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.98:
+                links[i].add(j)
+                links[j].add(i)
+    assert sum(map(len, links.values())) > 20
+
+    def least(i):
+        seen, todo = {i}, [i]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return min(seen)
+
+    for cell, block in ((2048, 4096), (6, 4)):
+        monkeypatch.setattr(embedding_dups, "CELL", cell)
+        monkeypatch.setattr(embedding_dups, "BLOCK", block)
+        out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dups.embedding_near_duplicates(table).collect()}
+        assert out == {i: (len(links[i]), least(i), least(i) == i) for i in links} | {i: (0, i, True) for i, _, _ in odd}
+    assert embedding_dups.embedding_near_duplicates(table.limit(0)).count() == 0
+
+
+def test_hilbert_curve_steps_to_neighbours():
+    cells = sorted((sharding.hilbert_index((a, b, c), 2), (a, b, c)) for a in range(4) for b in range(4) for c in range(4))
+    assert [i for i, _ in cells] == list(range(64))
+    assert all(sum(abs(p - q) for p, q in zip(x, y, strict=True)) == 1 for (_, x), (_, y) in zip(cells, cells[1:], strict=False))
+
+
+def test_hilbert_shards(docs, empty):
+    rows = sharding.hilbert_shards(docs, ["lang", "source", "n_chars"]).collect()
+    sizes = collections.Counter(r["shard"] for r in rows)
+    assert len(rows) == docs.count() and set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for s in range(8):
+        mine = sorted(r["slot"] for r in rows if r["shard"] == s)
+        assert mine == list(range(len(mine)))
+    by = {r["doc_id"]: r for r in rows}
+    for r in docs.where("doc_id is not null").collect():
+        assert by[r["doc_id"]]["size"] == len(text_of(r).encode()) + 1 and by[r["doc_id"]]["text_crc32"] == zlib.crc32(text_of(r).encode())
+    places = sorted((r["shard"], r["slot"], r["curve"]) for r in rows)
+    assert [p[2] for p in places] == sorted(p[2] for p in places)
+    assert sharding.hilbert_shards(empty, ["lang", "source"]).count() == 0 and sharding.hilbert_shards(docs.limit(3), ["lang"]).count() == 3
+
+
+def test_sentencepiece_matches_the_library(spark, docs, empty, tmp_path):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = sentencepieces.encode_documents(docs, path)
+    rows, texts = out.collect(), [text_of(r) for r in docs.collect()]
+    assert [r["ids"] for r in rows] == library.encode(texts) and all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in rows)
+    assert [r["text"] for r in sentencepieces.decode_documents(out, path).collect()] == texts
+    assert sentencepieces.encode_documents(empty, path).count() == 0
+    # The same pieces as a unigram model; penalties small enough for the library's single precision.
+    m = proto.ModelProto()
+    with open(path, "rb") as f:
+        m.ParseFromString(f.read())
+    m.trainer_spec.model_type = 1
+    for p in m.pieces:
+        p.score = max(p.score, -40000.0) / 1000
+    own = str(tmp_path / "unigram.model")
+    with open(own, "wb") as f:
+        f.write(m.SerializeToString())
+    plain = [t for t in texts if t.isascii() and "\n" not in t and "\x00" not in t and len(t) < 3000]
+    mine, theirs = sentencepieces.Pieces(own), sentencepiece.SentencePieceProcessor(model_file=own)
+    score = [sum(theirs.get_score(i) for i in ids) for ids in theirs.encode(plain)]
+    assert np.allclose([sum(theirs.get_score(int(i)) for i in ids) for ids in mine.encode(plain)], score, atol=1e-2)
+
+
+def brute_suffixes(rows):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        own = []
+        for j in range(len(b) - 99):
+            x = b[j : j + 100]
+            if x in seen:
+                gone[j : j + 100] = True
+            seen.add(x)
+            own.append(x)
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        out[i] = (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_suffix_dedup(spark, docs, empty, monkeypatch):
+    shared = prose(50, 60)
+    texts = [r["text"] for r in docs.where("doc_id is not null").distinct().orderBy("doc_id").collect()]
+    texts += [prose(60) + shared + prose(61), shared + prose(62), "q" + shared[:150] + prose(63) + shared[100:] + "é" + shared, prose(61)[40:300], "ab" * 300, "zz" + "ab" * 80, "é" * 49 + "zz", "é" * 49 + "zzz", "é" * 90]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for chunk in (1 << 16, 256):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        got = {r[0]: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(table).collect()}
+        want = brute_suffixes([(i, t or "") for i, t in enumerate(texts)])
+        assert got == want
+    assert sum(r[1] > 0 for r in want.values()) > 5
+    out = suffix_dedup.suffix_dedup(docs).collect()
+    assert len(out) == docs.count()
+    kept = suffix_dedup.strip_repeats(table.withColumn("extra", table.doc_id))
+    assert kept.columns == ["doc_id", "text", "extra"]
+    assert all(r["extra"] == r["doc_id"] and len(r["text"].encode()) <= want[r["doc_id"]][0] - want[r["doc_id"]][1] for r in kept.collect())
+    assert suffix_dedup.suffix_dedup(empty).count() == 0
+
+
+def test_lm_scores(spark, docs, empty, monkeypatch):
+    rows = [(r["doc_id"], text_of(r)) for r in docs.where("doc_id is not null").distinct().collect()]
+    toks = {i: re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) + [b" "] for i, t in rows}
+    train = {i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2}
+    c = collections.Counter(w for i in train for w in toks[i])
+    n, v = sum(c.values()), len(c)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    for head in (1 << 18, 30):
+        monkeypatch.setattr(lm_scores, "HEAD", head)
+        out = {r["doc_id"]: r for r in lm_scores.lm_scores(table).collect()}
+        assert set(out) == set(toks)
+        for i, r in out.items():
+            assert r["held_out"] == (i not in train) and r["n_tokens"] == len(toks[i]) and r["train_tokens"] == n and r["n_known"] == sum(c[w] > 0 for w in toks[i])
+            assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in toks[i]), rel_tol=1e-9)
+            assert r["score"] < 0 and math.isclose(r["perplexity"], 10 ** (-r["score"] / r["n_tokens"]), rel_tol=1e-9)
+        seen.append([out[i]["score"] for i in sorted(out)])
+    assert np.allclose(seen[0], seen[1], rtol=1e-4)
+    assert sum(out[i]["score"] for i in train) > sum(out[i]["base_score"] for i in train)
+    assert lm_scores.lm_scores(docs).count() == docs.count() and lm_scores.lm_scores(empty).count() == 0
+
+
+def test_lm_probabilities_sum_to_one():
+    rng = np.random.default_rng(1)
+    c = rng.integers(1, 50, (40, 3))
+    word, ctx = (a.ravel() for a in np.meshgrid(np.arange(40), np.arange(3), indexing="ij"))
+    s = lm_scores.Seating(np.r_[c.sum(0), [0] * 13], np.r_[[40] * 3, [0] * 13], 120, 40, 1 / 41, 0.6, 0.5)
+    for _ in range(30):
+        root, own, t, roots = s.sweeps(word, 40, ctx, c.ravel(), 5)
+        tables = np.bincount(ctx, t, 16)
+        s = lm_scores.Seating(s.customers, tables, tables.sum(), roots.sum(), 1 / 41, 0.6, 0.5)
+    total = np.bincount(ctx, own, 16)[:3] + s.back[:3] * (root.sum() + s.root_back / 41)
+    assert np.allclose(total, 1, atol=0.05)
+
+
+def test_near_duplicates(spark, docs, empty):
+    texts = [r["text"] for r in docs.where("doc_id is not null").distinct().orderBy("doc_id").collect()]
+    rng = np.random.default_rng(9)
+    for rate in (0.005, 0.02, 0.05):
+        base = prose(70 + int(rate * 1000), 400).split()
+        for _ in range(8):
+            texts.append(" ".join(f"n{rng.integers(1000)}" if rng.random() < rate else w for w in base))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def grams(t):
+        w = re.findall(r"\w+", (t or "").lower())
+        k = min(5, len(w))
+        return collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else collections.Counter()
+
+    g = [grams(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both, either = sum((g[i] & g[j]).values()), sum((g[i] | g[j]).values())
+            if (texts[i] or "") == (texts[j] or "") or (either and both / either >= 0.8):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r["doc_id"]: r for r in near_dups.near_duplicates(table).collect()}
+    assert {i: r["group_id"] for i, r in got.items()} == {i: find(i) for i in range(len(texts))}
+    assert all(r["kept"] == (i == r["group_id"]) for i, r in got.items())
+    assert near_dups.near_duplicates(docs).count() == docs.count() and near_dups.near_duplicates(empty).count() == 0
+
+
+def test_dart_signatures_estimate_weighted_jaccard():
+    rng = np.random.default_rng(4)
+    a = np.unique(rng.integers(1, 1 << 60, 300).astype(np.uint64))
+    w, x = rng.integers(1, 6, len(a)), rng.integers(1, 6, len(a))
+    s = near_dups.dart_signatures(np.r_[a, a], np.r_[w, x], np.array([len(a), len(a)]), 4000)
+    true = np.minimum(w, x).sum() / np.maximum(w, x).sum()
+    assert abs((s[0] == s[1]).mean() - true) < 0.04
+    assert math.isclose(near_dups.similarity((a, w), (a, x)), true)
+
+
+def test_blocked_buckets_find_the_same_links(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = prose(90, 300).split()
+    texts = [" ".join(f"n{rng.integers(1000)}" if rng.random() < 0.012 else w for w in base) for _ in range(40)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = []
+    for block in (1024, 4):
+        monkeypatch.setattr(near_dups, "BLOCK", block)
+        out.append({r["doc_id"]: r["group_id"] for r in near_dups.near_duplicates(table).collect()})
+    assert out[0] == out[1]

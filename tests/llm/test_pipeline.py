@@ -1,0 +1,45 @@
+"""The pipeline's stages and the registered queries."""
+
+import numpy as np
+
+import corpus_pipeline
+from specgrain.llm import queries
+
+
+def test_every_operator_is_registered():
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
+    assert set(queries.ORACLE_SQL) <= set(names)
+
+
+def test_pipeline(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(500)]
+    text = lambda n: " ".join(rng.choice(vocabulary, n))
+    item, shared = text(40), text(60)
+    good = [text(150) for _ in range(120)]
+    good[1] = good[0]
+    good[2] = good[3] + " " + item + " " + text(20)
+    good[4], good[5] = text(50) + " " + shared + " " + text(50), shared + " " + text(90)
+    texts = good + [" ".join(w + "###" for w in text(150).split()) for _ in range(120)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 120), 0) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path)).cache()
+        seen[name] = {r["doc_id"]: r for r in out.collect()}
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+        docs = out
+    assert set(seen["quality classifier"]) >= set(range(114)) - {2} and sum(i >= 120 for i in seen["quality classifier"]) <= 3
+    assert 0 in seen["near duplicates"] and 1 not in seen["near duplicates"]
+    passages = seen["repeated passages"]
+    assert shared in passages[4]["text"] and shared not in passages[5]["text"] and passages[5]["n_chars"] == len(passages[5]["text"])
+    assert 2 not in seen["benchmark decontamination"] and len(seen["benchmark decontamination"]) == len(passages) - 1
+    assert all(r["round_trip"] for r in seen["sentencepiece encoding"].values())
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["sentencepiece encoding"])
