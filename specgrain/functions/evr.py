@@ -103,4 +103,4 @@ def byte_size_text(n: Column) -> Column:
 def spdx_atoms(expression: Column) -> Column:
     """License identifiers of an expression: what stands between AND, OR, WITH and parentheses."""
     parts = F.split(F.regexp_replace(expression, r"[()]", " "), r"(?i)\s+(?:and|or|with)\s+|\s*[,;]\s*")
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")

@@ -466,7 +466,7 @@ def self_comparison(r):
 @rule("RPM086", "idempotent-in-expr")
 def idempotent(r):
     c = F.col("condition")
-    same = lambda op: (F.size(F.split(c, op)) > F.size(F.array_distinct(F.transform(F.split(c, op), F.trim)))) & ~c.contains("(")
+    same = lambda op: (F.size(F.split(c, op)) > F.size(F.array_distinct(F.transform(F.split(c, op), lambda x: F.trim(x))))) & ~c.contains("(")
     return at(r.branches.where((same(r"&&") & ~c.contains("||")) | (same(r"\|\|") & ~c.contains("&&"))), c)
 
 

@@ -74,6 +74,7 @@ CASES = {
     "RPM076": ("after", "%make_build", "%if 0%{?a}\nx\n%endif\n\n%if 0%{?a}\ny\n%endif"),
     "RPM077": ("after", "%make_build", "%ifarch\nx\n%endif"),
     "RPM081": ("after", "%make_build", "%if 0%{?a}\nx\n%else\n%endif"),
+    "RPM086": ("after", "%make_build", "%if 0%{?a} && 0%{?a}\nx\n%endif"),
     "RPM087": ("after", "%make_build", "%if !!0%{?a}\nx\n%endif"),
     "RPM088": ("after", "%make_build", "%if 0%{?a} == 0%{?a}\nx\n%endif"),
     "RPM089": ("after", "%make_build", "%if 0%{?a}\n# later\n%endif"),
