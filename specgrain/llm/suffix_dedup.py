@@ -7,18 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import i64, materialize, mix, table
 
 #: Threshold in bytes; length of an anchor's own string; starts in a window that share their anchor at most; starts in a block, and the bytes that all strings of a block share.
-LENGTH, SEED, SPREAD, BLOCK = 100, 36, 65, 8
-CORE = LENGTH - BLOCK + 1
+LENGTH, SEED, BLOCK = 100, 52, 8
+SPREAD, CORE = LENGTH - SEED + 1, LENGTH - BLOCK + 1
 #: Bytes named at once: the arrays stay in the cache, and 20 bits hold a place.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
+#: Bits of the filters that spare rows a shuffle, whatever the number of keys.
+FILTER_BITS = 26
 _PLACE = np.uint64((1 << 20) - 1)
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_TWO = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+#: (bytes, bytes of each half): how a string's name follows from those of two strings, overlapping if need be.
+_LEVELS = ((4, 2), (8, 4), (16, 8), (32, 16), (SEED, 32), (64, 32), (CORE, 64), (LENGTH, 64))
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -31,11 +35,11 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def names(data: np.ndarray) -> dict[int, np.ndarray]:
-    """Names of the strings of SEED, 64, CORE and LENGTH bytes at every place, by doubling: a string's name is that of the names of its two (maybe overlapping) halves."""
+def names(data: np.ndarray, levels=_LEVELS) -> dict[int, np.ndarray]:
+    """Names of the strings of every level at every place, by doubling."""
     n = len(data)
-    h = {1: _BYTES[data]}
-    for size, half in ((2, 1), (4, 2), (8, 4), (16, 8), (32, 16), (SEED, 32), (64, 32), (CORE, 64), (LENGTH, 64)):
+    h = {2: _TWO[data[:-1].astype(np.uint16) << 8 | data[1:]]}
+    for size, half in levels:
         h[size] = _pair(h[half][: n - size + 1], h[half][size - half : n - half + 1]) if n >= size else np.empty(0, np.uint64)
     return h
 
@@ -56,33 +60,45 @@ def packs(sizes: list[int]) -> Iterator[tuple[int, int, int, int]]:
         yield start, len(sizes), 0, 0
 
 
-def anchors(texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
+def anchors(texts: list[bytes], seeds_only: bool = False) -> Iterator[dict[str, np.ndarray]]:
     """Anchors of the texts. Each start of a LENGTH-byte string is led by the SEED-byte string with the least name among the SPREAD inside it.
 
     Equal strings so have equal leaders at equal offsets, whatever surrounds them. A row stands for a run of starts, from `start` to
-    `start + more`, with one leader: its name `seed`, the name `whole` of all bytes that the run's strings cover, and the text's index.
+    `start + more`, with one leader `lead` bytes after its start: the leader's name `seed`, the name `whole` of all bytes that the run's strings cover, and the text's index.
     """
     sizes = [len(t) for t in texts]
+    levels = _LEVELS[: next(i for i, x in enumerate(_LEVELS) if x[0] == SEED) + 1] if seeds_only else _LEVELS
     for a, b, lo, hi in packs(sizes):
         body = texts[a][lo : hi + LENGTH - 1] if hi else b"".join(texts[a:b])
-        data = np.frombuffer(body, np.uint8)
-        if len(data) < LENGTH:
+        n = len(body) - LENGTH + 1
+        if n <= 0:
             continue
-        h = names(data)
+        h = names(np.frombuffer(body, np.uint8), levels)
         least = (h[SEED] & ~_PLACE) | np.arange(len(h[SEED]), dtype=np.uint64)
-        for step in (1, 2, 4, 8, 16, 32):
+        width = 1
+        while width < SPREAD:
+            step = min(width, SPREAD - width)
             least = np.minimum(least[:-step], least[step:])
-        leader = (np.minimum(least[:-1], least[1:]) & _PLACE).astype(np.int64)
-        ends = np.cumsum([len(data)] if hi else sizes[a:b])
-        doc = np.searchsorted(ends, np.arange(len(leader)), "right")
-        valid = np.flatnonzero(np.arange(len(leader)) + LENGTH <= ends[doc])
-        if not len(valid):
+            width += step
+        ends = np.array([len(body)]) if hi else np.cumsum(sizes[a:b])
+        valid = np.ones(n + 1, bool)
+        for e in ends.tolist():
+            valid[max(0, e - LENGTH + 1) : e] = False
+        if not hi:
+            for i in np.flatnonzero(np.array(sizes[a:b]) < LENGTH):
+                valid[max(0, ends[i] - sizes[a + i]) : ends[i]] = False
+        changed = np.ones(n + 1, bool)
+        changed[1:n] = least[1:] != least[:-1]
+        s = np.flatnonzero(changed[:n] & valid[:n] | valid[:n] & ~np.r_[False, valid[: n - 1]])
+        if not len(s):
+            continue
+        p = (least[s] & _PLACE).astype(np.int64)
+        if seeds_only:
+            yield {"seed": h[SEED][p]}
             continue
-        d, m = doc[valid], leader[valid]
-        first = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (d[1:] != d[:-1])])
-        s, e = valid[first], valid[np.r_[first[1:], len(valid)] - 1]
-        p, d = m[first], d[first]
-        begin = ends[d] - np.array(sizes[a:b])[d] if not hi else np.full(len(d), -lo)
+        d = np.searchsorted(ends, s, "right")
+        e = np.minimum(np.r_[s[1:], n] - 1, ends[d] - LENGTH)
+        begin = np.full(len(d), -lo) if hi else ends[d] - np.array(sizes[a:b])[d]
         shape = ((e - s) << 8 | (p - s)).astype(np.uint64)
         whole = _pair(_pair(h[LENGTH][s], h[64][e + LENGTH - 64]), mix(shape))
         yield {"doc": d + a, "seed": h[SEED][p], "whole": whole, "start": s - begin, "lead": p - s, "more": e - s}
@@ -90,8 +106,9 @@ def anchors(texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
 
 def _seeds(batches):
     for batch in batches:
-        for x in anchors([t.encode() for t in batch.column(0).to_pylist()]):
-            yield pa.RecordBatch.from_arrays([i64(x["seed"])], ["seed"])
+        found = [x["seed"] for x in anchors([t.encode() for t in batch.column(0).to_pylist()], seeds_only=True)]
+        if found:
+            yield pa.RecordBatch.from_arrays([i64(np.concatenate(found))], ["seed"])
 
 
 ROWS = "seed long, k long, at long, what long"
@@ -103,37 +120,21 @@ def _packed(seed, k, start, crc, whole, lead, more) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([i64(seed), pa.array(k), pa.array(start << 32 | crc), pa.array(what)], ["seed", "k", "at", "what"])
 
 
-def _rows(batches):
-    for batch in batches:
-        k, crc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for x in anchors([t.encode() for t in batch.column(2).to_pylist()]):
-            yield _packed(x["seed"], k[x["doc"]], x["start"], crc[x["doc"]], x["whole"], x["lead"], x["more"])
-
-
-def _finer(block: int):
-    """The strings of given runs in blocks of leader offsets: a block is ranked by the bytes that all its strings share, a block of one by its string."""
+def _rows(shared):
+    """ROWS of all anchors but those whose seed the filter lacks."""
 
     def run(batches):
-        core = LENGTH - block + 1
+        bits = shared.value
         for batch in batches:
             k, crc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for d, (text, runs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                data = np.frombuffer(text.encode(), np.uint8)
-                runs = np.sort(np.array(runs, np.int64))
-                start, lead, more = runs >> 16, runs >> 8 & 255, runs & 255
-                for a, b, lo, hi in _joined(start, start + more + LENGTH):
-                    own = slice(a, b)
-                    at = np.concatenate([np.arange(s, s + m + 1) for s, m in zip(start[own], more[own], strict=True)])
-                    leader = np.repeat(start[own] + lead[own], more[own] + 1)
-                    j = (leader - at) // block
-                    first = np.flatnonzero(np.r_[True, (j[1:] != j[:-1]) | (leader[1:] != leader[:-1])])
-                    s, e, p, j = at[first], at[np.r_[first[1:], len(at)] - 1], leader[first], j[first]
-                    h = names(data[lo:hi])
-                    shape = ((e - s) << 8 | (p - s)).astype(np.uint64)
-                    seed = _pair(h[core][p - j * block - lo], mix(j.astype(np.uint64)))
-                    whole = _pair(_pair(h[LENGTH][s - lo], h[64][e - lo + LENGTH - 64]), mix(shape))
-                    n = len(s)
-                    yield _packed(seed, np.full(n, k[d]), s, np.full(n, crc[d]), whole, p - s, e - s)
+            found = []
+            for x in anchors([t.encode() for t in batch.column(2).to_pylist()]):
+                spot = x["seed"] & np.uint64((1 << FILTER_BITS) - 1)
+                ok = np.flatnonzero(bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1))
+                found.append({c: v[ok] for c, v in x.items()})
+            if found:
+                x = {c: np.concatenate([f[c] for f in found]) for c in found[0]}
+                yield _packed(x["seed"], k[x["doc"]], x["start"], crc[x["doc"]], x["whole"], x["lead"], x["more"])
 
     return run
 
@@ -148,6 +149,49 @@ def _joined(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int,
             first = i
 
 
+def _finer(block: int):
+    """The strings of given runs in blocks of leader offsets: a block is ranked by the bytes that all its strings share, a block of one by its string."""
+    core = LENGTH - block + 1
+
+    def blocks(part: list[tuple[bytes, np.ndarray, int, int]], k: np.ndarray, crc: np.ndarray) -> pa.RecordBatch:
+        """Of pieces of texts: (bytes, sorted runs, index of the text, place of the piece in it)."""
+        base = np.cumsum([0] + [len(x[0]) for x in part[:-1]])
+        n = [len(x[1]) for x in part]
+        runs = np.concatenate([x[1] for x in part])
+        shift = np.repeat(base - np.array([x[3] for x in part]), n)
+        doc = np.repeat([x[2] for x in part], n)
+        start, lead, count = (runs >> 16) + shift, runs >> 8 & 255, (runs & 255) + 1
+        row = np.repeat(np.arange(len(runs)), count)
+        at = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        j = (start[row] + lead[row] - at) // block
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (j[1:] != j[:-1])])
+        s, e, row, j = at[first], at[np.r_[first[1:], len(at)] - 1], row[first], j[first]
+        p = start[row] + lead[row]
+        h = names(np.frombuffer(b"".join(x[0] for x in part), np.uint8))
+        shape = ((e - s) << 8 | (p - s)).astype(np.uint64)
+        seed = _pair(h[core][p - j * block], mix(j.astype(np.uint64)))
+        whole = _pair(_pair(h[LENGTH][s], h[64][e + LENGTH - 64]), mix(shape))
+        return _packed(seed, k[doc[row]], s - shift[row], crc[doc[row]], whole, p - s, e - s)
+
+    def run(batches):
+        for batch in batches:
+            k, crc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            part, size = [], 0
+            for d, (text, runs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                body, runs = text.encode(), np.sort(np.array(runs, np.int64))
+                start, more = runs >> 16, runs & 255
+                for a, b, lo, hi in _joined(start, start + more + LENGTH):
+                    part.append((body[lo:hi], runs[a:b], d, lo))
+                    size += hi - lo
+                    if size > CHUNK:
+                        yield blocks(part, k, crc)
+                        part, size = [], 0
+            if part:
+                yield blocks(part, k, crc)
+
+    return run
+
+
 def remove_cover(text: bytes, runs: np.ndarray) -> tuple[bytes, int, int]:
     """What is left without the bytes that the runs' strings cover, how many bytes go, and in how many maximal spans."""
     if not len(runs):
@@ -161,18 +205,17 @@ def remove_cover(text: bytes, runs: np.ndarray) -> tuple[bytes, int, int]:
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
-#: Bits of the filter that spares texts a shuffle: its table has at most 2**26 / 64 rows of 16 bytes, whatever the number of keys.
-FILTER_BITS = 26
+def _filter_words(keys: DataFrame, spot: Column) -> DataFrame:
+    """(word, bits): a Bloom filter of one hash, of at most 2**FILTER_BITS / 64 rows."""
+    one = F.expr("shiftleft(1L, cast(spot & 63 as int))")
+    return keys.select(spot.alias("spot")).select(F.shiftright("spot", 6).alias("word"), one.alias("one")).groupBy("word").agg(F.expr("bit_or(one)").alias("bits"))
 
 
 def _marked(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs with `maybe`: false only where k is not in keys (a Bloom filter of one hash and bounded size, joined by broadcast)."""
+    """docs with `maybe`: false only where k is not in keys; the filter is joined by broadcast."""
     spot = F.pmod(F.xxhash64("k"), F.lit(1 << FILTER_BITS))
-    word, bit = F.shiftright(spot, 6), F.expr(f"cast(pmod(xxhash64(k), {1 << FILTER_BITS}) & 63 as int)")
-    words = keys.select(word.alias("word"), F.expr("shiftleft(1L, " + f"cast(pmod(xxhash64(k), {1 << FILTER_BITS}) & 63 as int))").alias("one"))
-    words = words.groupBy("word").agg(F.expr("bit_or(one)").alias("bits"))
-    marked = docs.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(words), "word", "left")
-    return marked.withColumn("maybe", F.coalesce(F.expr("getbit(bits, bit) = 1"), F.lit(False))).drop("word", "bit", "bits")
+    marked = docs.withColumn("spot", spot).withColumn("word", F.shiftright("spot", 6)).join(F.broadcast(_filter_words(keys, spot)), "word", "left")
+    return marked.withColumn("maybe", F.coalesce(F.expr("getbit(bits, cast(spot & 63 as int)) = 1"), F.lit(False))).drop("word", "spot", "bits")
 
 
 def _judged(rows: DataFrame, label: str) -> DataFrame:
@@ -199,8 +242,13 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     ranked by the CORE bytes that a block's strings share and then by all of them; (4) what is still undecided goes on string by
     string, at the full LENGTH. Minima and counts combine map-side in every round, and hot strings cost as many rows as places.
     """
-    shared = docs.select("text").mapInArrow(_seeds, "seed long").groupBy("seed").count().where("count > 1").select("seed")
-    rows = docs.select("k", "crc", "text").mapInArrow(_rows, ROWS)
+    seeds = docs.select("text").mapInArrow(_seeds, "seed long")
+    shared = materialize(seeds.groupBy("seed").count().where("count > 1").select("seed"), "suffix-seeds")
+    # The filter only saves rows, whatever it lets pass; the join decides.
+    got = _filter_words(shared, F.pmod("seed", F.lit(1 << FILTER_BITS))).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    bits[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    rows = docs.select("k", "crc", "text").mapInArrow(_rows(docs.sparkSession.sparkContext.broadcast(bits)), ROWS)
     found = [_judged(materialize(rows.join(shared, "seed", "left_semi"), "suffix-anchors"), "suffix-anchors")]
     todo = _by_text(found[0].where("not again"))
     texts = _marked(docs, todo).where("maybe").select("k", "crc", "text")
