@@ -85,26 +85,27 @@ def derive(source: dict) -> list[dict]:
     return out
 
 
-def derivatives(responses: DataFrame) -> DataFrame:
-    """Two records (RECORD) for each row of responses (RESPONSE), in one pass without a shuffle.
+def derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Two records (RECORD) for each row of responses (RESPONSE), in one pass without a shuffle; the columns `keep` of a response go with them.
 
     WARC-Refers-To is the response's id, WARC-Refers-To-Payload-Digest the digest of its payload; the metadata block keeps the
     title, the HTTP status and headers, and all outlinks. A null payload or URI counts as empty; a null record id is made from URI
     and payload, so derivatives of equal responses are equal; null headers, status and date are left out. Broken markup never fails: an unclosed comment or script
     runs to the end. Repeated rows give repeated records; extra columns are ignored; an empty table gives no rows.
     """
-    schema = spark_schema(responses.sparkSession, RECORD)
+    ddl = ", ".join([*(f"{c} {responses.schema[c].dataType.simpleString()}" for c in keep), RECORD])
+    schema = arrow_schema(ddl)
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                rows = [r for x in batch.slice(i, 256).to_pylist() for r in derive(x)]
+                rows = [r | {c: x[c] for c in keep} for x in batch.slice(i, 256).to_pylist() for r in derive(x)]
                 yield pa.RecordBatch.from_pylist([r | {"headers": list(r["headers"].items())} for r in rows], schema)
 
-    return responses.select(*(c.split()[0] for c in RESPONSE.split(", "))).mapInArrow(run, RECORD)
+    return responses.select(*keep, *(c.split()[0] for c in RESPONSE.split(", "))).mapInArrow(run, ddl)
 
 
-def spark_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -149,7 +150,7 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Rows of RESPONSE from the response records of WARC files."""
-    schema = spark_schema(spark, RESPONSE)
+    schema = arrow_schema(RESPONSE)
 
     def run(batches):
         for batch in batches:
@@ -188,4 +189,4 @@ def write_records(records: DataFrame, path: str) -> None:
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derivatives(page_responses(table(spark, sf_dir, "pages")))
+    return derivatives(page_responses(table(spark, sf_dir, "pages")), keep=("page_id",))
