@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import expressions
+
 #: Truth of a branch in a profile; null is indeterminate and isn't SQL's unknown: it never gives way to a known operand.
 
 
@@ -71,3 +73,48 @@ def interval_conflicts(bounds: DataFrame, keys: list[str]) -> DataFrame:
     low = F.when(op == ">", n + 1).when(op.isin(">=", "=="), n)
     high = F.when(op == "<", n - 1).when(op.isin("<=", "=="), n)
     return bounds.groupBy(*keys).agg(F.max(low).alias("low"), F.min(high).alias("high")).where("low > high")
+
+
+def evaluate(branches: DataFrame, profiles: DataFrame, macros: DataFrame, options: DataFrame | None = None) -> DataFrame:
+    """branches (spec_id, line_no, chain, depth, how, condition) for each profile (profile_id, arch, os), with truth and reason (why it can't be told).
+
+    Only the macros that a condition names are joined to it. options (spec_id, name, state): build options as declared or overridden.
+    """
+    names = F.array_distinct(F.regexp_extract_all("condition", F.lit(r"%\{?[!?]*([A-Za-z_]\w*)"), 1))
+    pairs = branches.withColumn("_k", F.lit(1)).join(profiles.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    key = ["spec_id", "line_no", "profile_id"]
+    wanted = pairs.select(*key, F.explode(names).alias("name")).join(macros.select("profile_id", "name", "value"), ["profile_id", "name"])
+    values = wanted.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("values"))
+    joined = pairs.join(values, key, "left")
+    if options is not None:
+        own = options.groupBy("spec_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "state"))).alias("options"))
+        joined = joined.join(own, "spec_id", "left")
+    else:
+        joined = joined.withColumn("options", F.lit(None).cast("map<string,boolean>"))
+    told = expressions.branch_truth("how", "condition", "values", "options", "arch", "os")
+    return joined.withColumn("t", told).select(*branches.columns, "profile_id", "t.truth", "t.reason")
+
+
+def build_options(lines: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(spec_id, name, state) of %bcond, %bcond_with (off) and %bcond_without (on) declarations; overrides (name, state) win."""
+    m = r"^\s*%bcond(_without|_with)?\s+(\w+)\s*(\S*)"
+    d = lines.where(F.col("line").rlike(m)).select(
+        "spec_id", "line_no", F.regexp_extract("line", m, 2).alias("name"), F.regexp_extract("line", m, 1).alias("style"), F.regexp_extract("line", m, 3).alias("given")
+    )
+    state = F.when(F.col("style") == "_with", F.lit(False)).when(F.col("style") == "_without", F.lit(True)).otherwise(F.col("given") == "1")
+    first = d.groupBy("spec_id", "name").agg(F.min_by(state, "line_no").alias("declared"))
+    if overrides is None:
+        return first.select("spec_id", "name", F.col("declared").alias("state"))
+    return first.join(overrides.select("name", F.col("state").alias("own")), "name", "left").select("spec_id", "name", F.coalesce("own", "declared").alias("state"))
+
+
+def active_lines(body: DataFrame, selected: DataFrame) -> DataFrame:
+    """Lines of a recipe that a profile sees: those inside no branch that it doesn't select.
+
+    selected: branches (spec_id, profile_id, line_no, next, selected), `next` being the line that ends the branch.
+    """
+    off = selected.where("not selected").select(F.col("spec_id").alias("s"), "profile_id", F.col("line_no").alias("from"), "next")
+    profiles = selected.select("spec_id", "profile_id").distinct()
+    lines = body.where("not (opens or closes or turns)").join(profiles, "spec_id")
+    hidden = (F.col("spec_id") == F.col("s")) & lines["profile_id"].eqNullSafe(off["profile_id"]) & (F.col("line_no") > F.col("from")) & (F.col("line_no") < F.col("next"))
+    return lines.join(off, hidden, "left_anti")

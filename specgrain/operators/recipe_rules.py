@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import expressions
 from ..sources.recipes import BUILD_SECTIONS, SCRIPTLETS, Recipes
+from . import conditions
 
 
 @dataclass(frozen=True)
@@ -887,3 +889,43 @@ def tmpfiles(r):
 def pc_without_br(r):
     br = r.atoms.where((F.col("key") == "buildrequires") & F.col("name").rlike(r"^pkgconfig|^pkgconf")).select("spec_id").distinct()
     return at(r.files.where(_p(r"\.pc$")).join(br, "spec_id", "left_anti"), F.col("path"))
+
+
+# Conditions by their normal form.
+
+
+def _cubes(r: Recipes) -> DataFrame:
+    b = r.branches.where("how in ('if', 'elif')").select("spec_id", "line_no", "condition", expressions.condition_cubes("condition").alias("cubes"))
+    most = F.array_max(F.transform(F.flatten("cubes"), lambda x: F.abs(x)))
+    return b.where("cubes is not null").withColumn("atoms", F.coalesce(most, F.lit(0)))
+
+
+@rule("RPM110", "boolean-dnf-redundancy")
+def dnf_redundancy(r):
+    c = _cubes(r).where("atoms > 0")
+    return at(c.where(F.size(conditions.drop_subsumed(F.col("cubes"))) < F.size("cubes")), F.col("condition"))
+
+
+@rule("RPM111", "boolean-tautology-by-cubes")
+def tautology(r):
+    c = _cubes(r)
+    test = F.lit(False)
+    for n in range(1, 9):
+        test = F.when(F.col("atoms") == n, conditions.tautology(F.col("cubes"), n)).otherwise(test)
+    return at(c.where(test), F.col("condition"))
+
+
+@rule("RPM112", "boolean-contradiction-by-cubes")
+def contradiction(r):
+    return at(_cubes(r).where((F.size("cubes") == 0) & ~F.col("condition").rlike("^[0-9]+$")), F.col("condition"))
+
+
+@rule("RPM103", "inequality-contradiction")
+def inequality_contradiction(r):
+    """Integer bounds of one operand, in conditions of && alone, that can't all hold."""
+    m = r"^\(?\s*(\S+)\s*(==|<=|>=|<|>)\s*([0-9]+)\s*\)?$"
+    b = r.branches.where(~F.col("condition").contains("||") & ~F.col("condition").contains("!"))
+    part = F.trim(F.col("p"))
+    each = b.select("spec_id", "line_no", F.explode(F.split("condition", "&&")).alias("p")).where(part.rlike(m))
+    bounds = each.select("spec_id", "line_no", F.regexp_extract(part, m, 1).alias("operand"), F.regexp_extract(part, m, 2).alias("op"), F.regexp_extract(part, m, 3).try_cast("long").alias("n"))
+    return at(conditions.interval_conflicts(bounds, ["spec_id", "line_no", "operand"]), F.col("operand"))

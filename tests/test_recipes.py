@@ -80,6 +80,10 @@ CASES = {
     "RPM089": ("after", "%make_build", "%if 0%{?a}\n# later\n%endif"),
     "RPM090": ("after", "%make_build", "%ifarch noarch\nx\n%endif"),
     "RPM091": ("after", "%make_build", "%ifarch x86_64 x86_64\nx\n%endif"),
+    "RPM103": ("after", "%make_build", "%if 0%{?a} > 5 && 0%{?a} < 3\nx\n%endif"),
+    "RPM110": ("after", "%make_build", "%if %{a} || (%{a} && %{b})\nx\n%endif"),
+    "RPM111": ("after", "%make_build", "%if %{a} || !%{a}\nx\n%endif"),
+    "RPM112": ("after", "%make_build", "%if %{a} && !%{a}\nx\n%endif"),
     "RPM106": ("after", "BuildRequires:", "%if 0%{?a}\nBuildArch: noarch\n%endif"),
     "RPM120": ("after", "%make_build", "make all"),
     "RPM123": ("after", "BuildRequires:", "\n%package sub\nSummary: Sub"),
