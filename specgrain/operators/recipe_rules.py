@@ -1,4 +1,7 @@
-"""Recipe rules: each is a query over the relations of sources.recipes and gives (spec_id, line_no, detail)."""
+"""Recipe rules: each is a query over the relations of sources.recipes and gives (spec_id, line_no, detail).
+
+Ids, names, severities and thresholds are fixed values.
+"""
 
 from __future__ import annotations
 
@@ -297,14 +300,15 @@ def clustering(r):
 
 @rule("RPM498", "long-literal-prefix-macro-candidate", "allow")
 def literal_prefix(r):
-    t = r.tags.where(F.col("key").isin("source", "patch", "url")).withColumn("prefix", F.regexp_extract("value", r"^([^%]{20,})/", 1)).where("prefix <> ''")
-    return at(_again(t, "prefix"), F.col("prefix"))
+    t = r.tags.where(F.col("key").isin("source", "patch", "url")).withColumn("prefix", F.regexp_extract("value", r"^([^%]{25,})/", 1)).where("prefix <> ''")
+    n = t.groupBy("spec_id", "prefix").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"))
+    return at(n.where("n >= 3"), F.col("prefix"))
 
 
 @rule("RPM477", "long-patch-list-to-patchlist", "allow")
 def patchlist(r):
     n = r.tags.where("key = 'patch'").groupBy("spec_id").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"))
-    return at(n.where("n >= 10"), F.col("n"))
+    return at(n.where("n >= 5"), F.col("n"))
 
 
 # Dependencies.
@@ -607,7 +611,7 @@ def no_op_macro(r):
 
 @rule("RPM497", "duplicate-macro-bodies", "allow")
 def duplicate_bodies(r):
-    return at(_again(r.macros.where(F.length("value") >= 8), "value").where("_n > 1"), F.col("name"))
+    return at(_again(r.macros.where(F.length("value") >= 3), "value"), F.col("name"))
 
 
 @rule("RPM499", "macro-name-shadows-bcond-helper")
@@ -719,7 +723,7 @@ _shell_rule("RPM120", "make-without-make-build", _command("make"), ("build",), u
 _shell_rule("RPM121", "make-install-without-make-install", _command("make") + r".*\binstall\b", ("install",))
 _shell_rule("RPM122", "configure-without-configure-macro", r"(?:^|\s)\.{1,2}/configure\b", ("build",))
 _shell_rule("RPM341", "scriptlet-upgrade-test-eq-two", r"\$1\"?\s*(?:-eq|=|==)\s*\"?2\b", SCRIPTLETS)
-_shell_rule("RPM342", "direct-systemctl-in-scriptlet", _command("systemctl"), SCRIPTLETS)
+_shell_rule("RPM342", "direct-systemctl-in-scriptlet", r"\bsystemctl\s+(?:-\S+\s+)*(?:enable|disable|start|stop|restart|reload|try-restart|reload-or-restart|preset|preset-all|mask|unmask|daemon-reload|daemon-reexec)\b", SCRIPTLETS)
 _shell_rule("RPM346", "ldconfig-scriptlet-style", r"^\s*/sbin/ldconfig\b", ("post", "postun"))
 _shell_rule("RPM348", "unsafe-useradd-groupadd", _command("(?:/usr/sbin/)?(?:useradd|groupadd)"), SCRIPTLETS, unless=r"getent|\|\|")
 _shell_rule("RPM349", "scriptlet-state-outside-rpm-state", r"/(?:var/)?tmp/", SCRIPTLETS)

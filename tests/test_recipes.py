@@ -2,6 +2,7 @@
 
 import pytest
 
+from specgrain.operators import branch_rules  # noqa: F401  registers its rules
 from specgrain.operators.recipe_rules import RULES, lint
 from specgrain.sources.recipes import parse
 
@@ -80,6 +81,52 @@ CASES = {
     "RPM089": ("after", "%make_build", "%if 0%{?a}\n# later\n%endif"),
     "RPM090": ("after", "%make_build", "%ifarch noarch\nx\n%endif"),
     "RPM091": ("after", "%make_build", "%ifarch x86_64 x86_64\nx\n%endif"),
+    "RPM075": ("after", "%make_build", "%if 0%{?a}\ny\n%if 0%{?a}\nx\n%endif\n%endif"),
+    "RPM080": ("after", "%make_build", "%if 0%{?a}\n%if 0%{?b}\nx\n%endif\n%endif"),
+    "RPM082": ("after", "%make_build", "%ifarch x86_64\n%else\nx\n%endif"),
+    "RPM083": ("after", "%make_build", "%if 0%{?a}\nx\n%elif 1\ny\n%endif"),
+    "RPM084": ("after", "%make_build", "%ifarch x86_64\nx\n%endif\n\n%ifnarch x86_64\ny\n%endif"),
+    "RPM085": ("after", "%make_build", "%if 0%{?a} || 1\nx\n%endif"),
+    "RPM096": ("after", "BuildRequires:", "%if 0%{?a}\nBuildRequires: x\n%endif"),
+    "RPM097": ("after", "%make_build", "%if 0%{?a}\nx\ny\n%else\nx\nz\n%endif"),
+    "RPM098": ("after", "%make_build", "%if 0%{?a}\ny\nx\n%else\nz\nx\n%endif"),
+    "RPM100": ("after", "%make_build", "%if 0%{?a}\nx\n%else\n%if 0%{?b}\ny\n%endif\n%endif"),
+    "RPM102": ("after", "%make_build", "%if 0%{?a} > 5 && 0%{?a} > 3\nx\n%endif"),
+    "RPM104": ("after", "%make_build", '%if "%{a}" == "x" || "%{a}" == "x"\nx\n%endif'),
+    "RPM105": ("after", "%make_build", "%if !0%{?a}\nx\n%else\ny\n%endif"),
+    "RPM117": ("after", "URL:", "%global flag 1\n%if %{flag}\nBuildRequires: x\n%endif"),
+    "RPM127": ("swap", "License:", "License: GPLv2+"),
+    "RPM309": ("after", "URL:", "%global d %(date)\nBuildArch: noarch"),
+    "RPM324": ("after", "%make_build", "bison x.y"),
+    "RPM328": ("after", "%make_install", "\n%pre\ngetent passwd x || useradd x || :"),
+    "RPM340": ("after", "%make_install", "\n%post\ncp a b"),
+    "RPM432": ("after", "%make_build", "%if (%{a} && %{b}) || (%{a} && %{c})\nx\n%endif"),
+    "RPM437": ("after", "%make_build", "x%{?a:1}%{!?a:0}"),
+    "RPM438": ("after", "%make_build", "x%{?a:y}%{!?a:}"),
+    "RPM442": ("after", "%make_build", "%ifarch x86_64\ny\n%ifarch x86_64 aarch64\nx\n%endif\n%endif"),
+    "RPM443": ("after", "%make_build", "%if 0%{?a} == 7 || 0%{?a} == 8 || 0%{?a} == 9\nx\n%endif"),
+    "RPM444": ("after", "%make_build", "%if 0%{?a}\nx\n%endif\n%if !0%{?a}\ny\n%endif"),
+    "RPM445": ("after", "%make_build", "%if 0%{?a}\nx\n%endif\n%if 0%{?b}\nx\n%endif"),
+    "RPM446": ("after", "%make_build", "%ifarch x86_64\nx\n%endif\n%ifarch aarch64\nx\n%endif"),
+    "RPM452": ("after", "BuildRequires:", "%if 0%{?a}\nRequires: x\n%else\nRequires: x\n%endif"),
+    "RPM454": ("after", "BuildRequires:", "%if 0%{?a}\nRequires: x\n%endif\nRequires: z\n%if 0%{?a}\nRequires: y\n%endif"),
+    "RPM456": ("after", "%make_build", "%if 0%{?a}\nx\n%else\nx\ny\n%endif"),
+    "RPM471": ("swap", "%autosetup", "%setup -q\n%patch -P 1 -p1\n%patch -P 2 -p1"),
+    "RPM475": ("swap", "%autosetup", "%setup -q\ncd %{name}-%{version}"),
+    "RPM495": ("after", "URL:", "%define m(ab:) echo %{-a}"),
+    "RPM496": ("after", "URL:", "%define m(a) echo %{-a} %1\n%m same\n%m same"),
+    "RPM514": ("after", "%license", "%{_datadir}/x/*.txt\n%{_datadir}/x/a.txt"),
+    "RPM516": ("after", "%license", "/usr/share/x/a\n/usr/share/x/b\n/usr/share/x/c\n/usr/share/x/d"),
+    "RPM517": ("after", "%{_bindir}", "%doc README"),
+    "RPM530": ("after", "%make_install", "mkdir -p %{buildroot}/x\ninstall -m644 a %{buildroot}/x/a"),
+    "RPM531": ("after", "%make_install", "mkdir -p %{buildroot}/x\ninstall -D -m644 a %{buildroot}/x/a"),
+    "RPM533": ("after", "%make_install", "cp a %{buildroot}/a\nchmod 644 %{buildroot}/a"),
+    "RPM536": ("after", "%make_install", "ln -s a x\nln -s b x\nln -s c x"),
+    "RPM551": ("after", "BuildRequires:", "\n%package sub\nSummary: S\n%description -n hello-sub\nText."),
+    "RPM575": ("after", "%make_build", "# why\n%if 0%{?a}\nx\n%endif\ny\n# why\n%if 0%{?a}\nz\n%endif"),
+    "RPM592": ("after", "BuildRequires:", "Requires: (a or (a and b))"),
+    "RPM593": ("after", "BuildRequires:", "Requires: ((a and b) or (a and c))"),
+    "RPM595": ("after", "BuildRequires:", "Requires: (a and (b and c))"),
     "RPM103": ("after", "%make_build", "%if 0%{?a} > 5 && 0%{?a} < 3\nx\n%endif"),
     "RPM110": ("after", "%make_build", "%if %{a} || (%{a} && %{b})\nx\n%endif"),
     "RPM111": ("after", "%make_build", "%if %{a} || !%{a}\nx\n%endif"),
@@ -157,6 +204,7 @@ def findings(spark):
     for id, case in CASES.items():
         texts[id] = changed(*case)
     texts["RPM064"] = texts["RPM064"].replace("Source0:", "Patch1: x.patch\nSource0:")
+    texts["RPM471"] = texts["RPM471"].replace("Source0:", "Patch1: x.patch\nPatch2: y.patch\nSource0:")
     table = spark.createDataFrame([*texts.items(), ("null", None)], "spec_id string, text string")
     recipes = parse(table)
     for name in ("lines", "sections", "tags", "atoms", "body", "files", "changelog", "comments", "macros", "branches"):
