@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import evr
-from ..operators import conditions, layers, matrix, repo, resolve, rules
+from ..operators import branch_rules as branch_rules  # registers its rules
+from ..operators import conditions, layers, matrix, recipe_rules, repo, resolve, rules
 from ..sources import adapters as A
+from ..sources import recipes
 from ..sources.adapters import key_sql, with_sql
 
 QUERIES: dict = {}
@@ -507,3 +509,20 @@ def duplicate_key(s, d):
 def missing_section(s, d):
     parts = A.table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return rules.without(A.table(s, d, "customer").select("c_custkey", "c_name"), parts, ["c_custkey"])
+
+
+# Recipes: documents as texts of recipes.
+
+_PARTS = {"RPM001": "%changelog", "RPM016": "%prep", "RPM017": "%build", "RPM018": "%install"}
+_TAGS = {"RPM010": "name", "RPM011": "version", "RPM012": "release", "RPM013": "license", "RPM014": "summary", "RPM015": "url"}
+_MISSING = " UNION ALL ".join(
+    f"SELECT '{id}' AS lint_id, count(*) AS n FROM documents d WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM spec_line l WHERE l.spec_id = d.doc_id AND regexp_matches(l.line, '{pattern}'))"
+    for id, pattern in [*((i, f"^{p}(\\s|$)") for i, p in _PARTS.items()), *((i, f"^(?i:{t})[0-9]*(\\([^)]*\\))?\\s*:") for i, t in _TAGS.items())]
+)
+
+
+@query(with_sql("spec_line", query=f" SELECT lint_id, n FROM ({_MISSING}) WHERE n > 0"))
+def recipe_missing_parts(s, d):
+    """How many texts lack each required tag or section."""
+    texts = A.table(s, d, "documents").select(F.col("doc_id").alias("spec_id"), "text")
+    return recipe_rules.lint(recipes.parse(texts, keep=True), [*_PARTS, *_TAGS]).groupBy("lint_id").agg(F.count("*").alias("n"))

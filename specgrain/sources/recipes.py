@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 BUILD_SECTIONS = ("prep", "generate_buildrequires", "conf", "build", "install", "check", "clean")
 SCRIPTLETS = ("pre", "post", "preun", "postun", "pretrans", "posttrans", "preuntrans", "postuntrans", "verifyscript", "triggerprein", "triggerin", "triggerun", "triggerpostun",
               "filetriggerin", "filetriggerun", "filetriggerpostun", "transfiletriggerin", "transfiletriggerun", "transfiletriggerpostun")
@@ -53,8 +55,11 @@ def _running(c: Column, w) -> Column:
     return F.sum(c).over(w)
 
 
-def parse(sources: DataFrame) -> Recipes:
-    """Relations of sources (spec_id, text). Continuation lines of conditionals aren't joined; a null text has no lines."""
+def parse(sources: DataFrame, keep: bool = False) -> Recipes:
+    """Relations of sources (spec_id, text). Continuation lines of conditionals aren't joined; a null text has no lines.
+
+    With keep the placed lines are stored once, so that many rules scan them instead of cutting and windowing the texts again.
+    """
     raw = sources.where("text is not null").select("spec_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     w = Window.partitionBy("spec_id").orderBy("pos")
     to_here = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -70,6 +75,8 @@ def parse(sources: DataFrame) -> Recipes:
     )
     at_depth = Window.partitionBy("spec_id", "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("chain", F.when(F.col("depth") > 0, F.last(F.when(F.col("opens"), F.col("line_no")), True).over(at_depth)))
+    if keep:
+        lines = stored(lines, "recipe-lines")
     heads = lines.where("head").select(
         "spec_id", "sec", "line_no", "depth", F.regexp_extract("line", _SECTION, 1).alias("kind"), F.coalesce(F.regexp_extract("line", _SECTION, 2), F.lit("")).alias("args")
     )
@@ -79,6 +86,8 @@ def parse(sources: DataFrame) -> Recipes:
     pkg = F.when(absolute != "", absolute).when(relative != "", F.concat(F.lit("%{name}-"), relative)).otherwise("")
     sections = first.unionByName(heads).select("spec_id", "sec", "line_no", "depth", "kind", "args", F.when(F.col("kind") == "changelog", F.lit("")).otherwise(pkg).alias("pkg"), (absolute != "").alias("absolute"))
     body = lines.where("not head").join(sections.select("spec_id", "sec", "kind", "pkg"), ["spec_id", "sec"])
+    if keep:
+        body = stored(body, "recipe-body")
     plain = body.where("not (opens or closes or turns)")
     comment = F.col("line").rlike(r"^\s*#")
     tagged = plain.where(F.col("kind").isin("preamble", "package") & ~comment & F.col("line").rlike(_TAG)).select(

@@ -24,7 +24,7 @@ def publish(stream: DataFrame, out: str, checkpoint: str, rules: list[str] | Non
 
     def analyse(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy("spec_id").agg(F.max_by("text", "changed").alias("text"))
-        lint(parse(newest), rules).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        lint(parse(newest, keep=True), rules).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(analyse).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
