@@ -445,3 +445,71 @@ def files_order(r):
     f = r.files.withColumn("g", group)
     late = f.withColumn("_max", F.max("g").over(w)).where("g < _max")
     return at(late.groupBy("spec_id", "sec").agg(F.min("line_no").alias("line_no")))
+
+
+# Conditions under what holds around them, as propositions.
+
+
+def _under(df: DataFrame, text: Column) -> DataFrame:
+    """df with `cubes` of a combined condition: none are left if it can't hold; null where it isn't understood."""
+    return df.withColumn("joint", text).withColumn("cubes", expressions.condition_cubes("joint"))
+
+
+def _both(a: str, b: str, *, negated: bool = False) -> Column:
+    return F.concat(F.lit("("), F.col(a), F.lit(") && !(" if negated else ") && ("), F.col(b), F.lit(")"))
+
+
+def _nested_conditions(r: Recipes) -> DataFrame:
+    return parents(r).where("how in ('if', 'elif') and p_how in ('if', 'elif') and condition <> '' and p_condition <> '' and condition <> p_condition")
+
+
+@rule("RPM113", "unreachable-branch-under-parent")
+def unreachable_under_parent(r):
+    return at(_under(_nested_conditions(r), _both("p_condition", "condition")).where("size(cubes) = 0"), F.col("condition"))
+
+
+@rule("RPM114", "always-true-branch-under-parent")
+def always_under_parent(r):
+    return at(_under(_nested_conditions(r).where("how = 'if'"), _both("p_condition", "condition", negated=True)).where("size(cubes) = 0"), F.col("condition"))
+
+
+def _chains(r: Recipes) -> DataFrame:
+    """Branches of chains of %if and %elif with `before`: all earlier conditions of the chain, joined by or."""
+    w = Window.partitionBy(*_KEY).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    c = extents(r).where("how in ('if', 'elif', 'else')")
+    part = F.concat(F.lit("("), F.col("condition"), F.lit(")"))
+    return c.withColumn("before", F.array_join(F.collect_list(F.when(F.col("condition") != "", part)).over(w), " || "))
+
+
+@rule("RPM115", "dead-elif-after-parent")
+def dead_elif(r):
+    c = _chains(r).where("how = 'elif' and condition <> '' and before <> ''")
+    return at(_under(c, _both("condition", "before", negated=True)).where("size(cubes) = 0"), F.col("condition"))
+
+
+@rule("RPM116", "mutex-branches-spell-out-else")
+def spelt_out_else(r):
+    c = _chains(r).where("how = 'elif' and no = size and not other and condition <> '' and before <> ''")
+    text = F.concat(F.lit("!("), F.col("before"), F.lit(") && !("), F.col("condition"), F.lit(")"))
+    return at(_under(c, text).where("size(cubes) = 0"), F.col("condition"))
+
+
+@rule("RPM101", "absorption-in-expr")
+def absorbed(r):
+    m = r"^\(?\s*([^\s()&|]+)\s*\)?\s*(\|\||&&)\s*\(\s*(?:\1\s*(?:&&|\|\|)|.*(?:&&|\|\|)\s*\1\s*\))"
+    return at(r.branches.where(F.col("condition").rlike(m)), F.col("condition"))
+
+
+@rule("RPM119", "common-leaf-line-hoistable")
+def hoistable_leaf(r):
+    """A line that every branch of a chain with an else has, directly or in every branch of a chain with an else inside it."""
+    c = contents(r).where("size > 1 and other")
+    direct = c.select("spec_id", "depth", "chain", "line_no", "size", F.explode(F.array_distinct("items")).alias("t"))
+    full = direct.groupBy("spec_id", "depth", "chain", "size", "t").agg(F.count("*").alias("n"), F.min("line_no").alias("first")).where("n = size")
+    inner = full.select("spec_id", F.col("depth").alias("i_depth"), F.col("chain").alias("i_chain"), "t")
+    outer = parents(r).where("no = 1").select("spec_id", F.col("depth").alias("i_depth"), F.col("chain").alias("i_chain"), F.col("p_line_no").alias("line_no"))
+    lifted = inner.join(outer, ["spec_id", "i_depth", "i_chain"]).select("spec_id", "line_no", "t")
+    keys = c.select("spec_id", "depth", "chain", "line_no", "size")
+    every = direct.select("spec_id", "depth", "chain", "line_no", "size", "t").unionByName(lifted.join(keys, ["spec_id", "line_no"]).select("spec_id", "depth", "chain", "line_no", "size", "t")).distinct()
+    n = every.groupBy("spec_id", "depth", "chain", "size", "t").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no")).where("n = size")
+    return at(n.join(full.select("spec_id", "depth", "chain", "t"), ["spec_id", "depth", "chain", "t"], "left_anti"), F.col("t"))

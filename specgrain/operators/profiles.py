@@ -90,3 +90,29 @@ def repository_findings(r: Recipes, provided: DataFrame) -> DataFrame:
         rows = deps.join(found, same).select(id.alias("lint_id"), "spec_id", "line_no", F.concat_ws(" ", "name", "op", "version").alias("detail")).where("lint_id is not null")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def _own(r: Recipes, key: str) -> DataFrame:
+    return r.tags.where((F.col("key") == key) & (F.col("pkg") == "") & (F.col("depth") == 0)).groupBy("spec_id").agg(F.max_by("value", "line_no").alias(key), F.max("line_no").alias("line_no"))
+
+
+def published_findings(r: Recipes, packages: DataFrame) -> DataFrame:
+    """Findings of recipes whose EVR isn't above what is published under their name, or that drop a published epoch. Values with macros can't be told and are left out."""
+    from .resolve import upgrades
+
+    v = _own(r, "name").select("spec_id", "name").join(_own(r, "version"), "spec_id").join(_own(r, "release").select("spec_id", "release"), "spec_id")
+    v = v.join(_own(r, "epoch").select("spec_id", "epoch"), "spec_id", "left")
+    v = v.where("not concat(name, version, release) like '%\\%%'").withColumn("epoch", F.coalesce(F.col("epoch").try_cast("int"), F.lit(0)))
+    found = upgrades(v.select("name", "epoch", "version", "release").distinct(), packages)
+    id = F.when(F.col("verdict") == "epoch_dropped", "RPM-REPO-031").when(F.col("verdict").isin("same", "regress"), "RPM-REPO-030")
+    return v.join(found, ["name", "epoch", "version", "release"]).select(id.alias("lint_id"), "spec_id", "line_no", F.concat_ws(" ", "name", "verdict").alias("detail")).where("lint_id is not null")
+
+
+def file_findings(r: Recipes, packages: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings of listed paths that packages of other sources own already; globs and macros apart."""
+    own = _own(r, "name").select("spec_id", "name")
+    paths = r.files.where("not is_glob and not is_dir and not is_ghost and path like '/%' and path not like '%\\%%'").select("spec_id", "line_no", "path")
+    owned = files.distinct().join(packages.select("pkg_id", F.col("name").alias("owner"), "source_name"), "pkg_id")
+    hit = paths.join(owned, "path").join(own, "spec_id").where("owner <> name and not source_name <=> name")
+    g = hit.groupBy("spec_id", "line_no", "path").agg(F.min("owner").alias("owner"))
+    return g.select(F.lit("RPM-REPO-020").alias("lint_id"), "spec_id", "line_no", F.concat_ws(" ", "path", "owner").alias("detail"))

@@ -68,3 +68,9 @@ def test_repository_findings(spark):
     caps = spark.createDataFrame([], "pkg_id long, kind string, name string, op string, epoch int, version string, release string")
     got = {(x["lint_id"], x["detail"]) for x in profiles.repository_findings(r, resolve.providers(packages, caps)).collect()}
     assert got == {("RPM-REPO-003", "cmake GE 3.28"), ("RPM-REPO-001", "gcc NONE"), ("RPM-REPO-002", "nowhere NONE")}
+    old = spark.createDataFrame([(1, "r0", "hello", 1, "1", "1", "x", "hello"), (2, "r0", "plain", 0, "2", "1", "x", "plain")], "pkg_id long, repo_id string, name string, epoch int, version string, release string, arch string, source_name string")
+    spec = "Name: {}\nVersion: 2\nRelease: 1\n%files\n/usr/bin/a\n/usr/bin/b*\n"
+    r = parse(spark.createDataFrame([("h", spec.format("hello")), ("p", spec.format("plain")), ("n", spec.format("new"))], "spec_id string, text string"))
+    assert {(x["lint_id"], x["spec_id"]) for x in profiles.published_findings(r, old).collect()} == {("RPM-REPO-031", "h"), ("RPM-REPO-030", "p")}
+    files = spark.createDataFrame([(2, "/usr/bin/a")], "pkg_id long, path string")
+    assert {(x["spec_id"], x["detail"]) for x in profiles.file_findings(r, old, files).collect()} == {("h", "/usr/bin/a plain"), ("n", "/usr/bin/a plain")}

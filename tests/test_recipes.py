@@ -127,6 +127,12 @@ CASES = {
     "RPM592": ("after", "BuildRequires:", "Requires: (a or (a and b))"),
     "RPM593": ("after", "BuildRequires:", "Requires: ((a and b) or (a and c))"),
     "RPM595": ("after", "BuildRequires:", "Requires: (a and (b and c))"),
+    "RPM101": ("after", "%make_build", "%if %{a} || (%{a} && %{b})\nx\n%endif"),
+    "RPM113": ("after", "%make_build", "%if %{a}\ny\n%if !%{a}\nx\n%endif\n%endif"),
+    "RPM114": ("after", "%make_build", "%if %{a} && %{b}\ny\n%if %{a}\nx\n%endif\n%endif"),
+    "RPM115": ("after", "%make_build", "%if %{a}\nx\n%elif %{a} && %{b}\ny\n%endif"),
+    "RPM116": ("after", "%make_build", "%if %{a}\nx\n%elif !%{a}\ny\n%endif"),
+    "RPM119": ("after", "%make_build", "%if %{a}\nx\n%else\n%if %{b}\nx\ny\n%else\nx\nz\n%endif\n%endif"),
     "RPM103": ("after", "%make_build", "%if 0%{?a} > 5 && 0%{?a} < 3\nx\n%endif"),
     "RPM110": ("after", "%make_build", "%if %{a} || (%{a} && %{b})\nx\n%endif"),
     "RPM111": ("after", "%make_build", "%if %{a} || !%{a}\nx\n%endif"),
