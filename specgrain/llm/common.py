@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,18 @@ from pyspark.sql import functions as F
 #: Texts are tokenised in slices of about so many characters, so that a batch of long texts needs no more memory than one of short ones.
 SLICE_CHARS = 2_000_000
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about limit bytes of a text column, or one row: Python strings exist for one slice at a time only."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 WORD = re.compile(r"\w+")
 
 
@@ -66,7 +79,7 @@ def crc_mod_py(doc_id: int, k: int) -> int:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bounded number of words."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

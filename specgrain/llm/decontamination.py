@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import i64, join_hash, mix, table
+from .common import join_hash, mix, sliced, table
 
 #: Template tokens in a window; the fewest of an item that can match; covered tokens that make a leak of any item, and the share of its windows that does for a short one.
 WINDOW, SHORTEST, COVERED, SHARE = 8, 5, 13, 0.8
@@ -36,7 +36,7 @@ class _Tokens(dict):
     """token -> a hash of it in lower case, the lowest three bits telling what it may be."""
 
     def __missing__(self, t: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         low = t.lower()
         if t in _END:
@@ -143,7 +143,7 @@ def leaks(
 
     def hits(batches):
         filled = shared.value
-        for batch in batches:
+        for batch in sliced(batches, 1):
             rows = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 code, kind, bound, found = template(t)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, i64, join_hash, materialize, mix, shingles, slices, table
+from .common import connected_components, i64, join_hash, materialize, mix, shingles, sliced, slices, table
 
 BANDS, ROWS = 25, 5
 #: Coordinates of the sketches that choose what to verify, a byte each; members of a bucket's block.
@@ -77,7 +77,7 @@ def _banded(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """(id, band) of every text, id being a hash of the whole text: copies give equal rows."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in slices(texts):
                 e, w, n = _sets(texts[a:b], shingle)
@@ -91,7 +91,7 @@ def _banded(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
 def _sketched(texts: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             own = batch.column(1).to_pylist()
             for a, b in slices(own):
                 sketch = dart_signatures(*_sets(own[a:b], shingle), SKETCH).astype(np.uint8)
@@ -218,7 +218,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 
     def run(batches):
         last, known = None, None
-        for batch in batches:
+        for batch in sliced(batches, 2):
             ok = []
             for rep, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 if rep != last:
@@ -273,7 +273,8 @@ def near_duplicates(
     edges = similar_texts(d.select("id", "text"), least, shingle, bands, rows)
     named = connected_components(edges, "near-edges").select(F.col("node").alias("id"), "component")
     rows_ = materialize(d.select("doc_id", "id").join(named, "id", "left").select("doc_id", F.coalesce("component", "id").alias("group")), "near-groups")
-    groups = rows_.groupBy("group").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
+    # A table of its own: the join then has shuffles on both sides, of which Spark can split a large group's.
+    groups = materialize(rows_.groupBy("group").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size")), "near-sizes")
     return rows_.join(groups, "group").select("doc_id", "group_id", "group_size", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, slices, table
+from .common import crc_mod, materialize, sliced, slices, table
 
 STATS = [
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "high", "stops", "exclaims", "pipes", "symbols",
@@ -61,7 +61,7 @@ def document_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id"
     """key and the array of STATS of every whole text; a null text counts as empty."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             texts = batch.column(1).to_pylist()
             x = np.concatenate([statistics(texts[a:b]) for a, b in slices(texts)] or [np.zeros((0, len(STATS)))])
             flat = pa.array(x.ravel())

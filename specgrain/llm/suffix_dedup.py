@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import i64, materialize, mix, table
+from .common import i64, materialize, mix, sliced, table
 
 #: Threshold in bytes; length of an anchor's own string; starts in a window that share their anchor at most; starts in a block, and the bytes that all strings of a block share.
 LENGTH, SEED, BLOCK = 100, 52, 8
@@ -105,7 +105,7 @@ def anchors(texts: list[bytes], seeds_only: bool = False) -> Iterator[dict[str,
 
 
 def _seeds(batches):
-    for batch in batches:
+    for batch in sliced(batches, 0):
         found = [x["seed"] for x in anchors([t.encode() for t in batch.column(0).to_pylist()], seeds_only=True)]
         if found:
             yield pa.RecordBatch.from_arrays([i64(np.concatenate(found))], ["seed"])
@@ -125,7 +125,7 @@ def _rows(shared):
 
     def run(batches):
         bits = shared.value
-        for batch in batches:
+        for batch in sliced(batches, 2):
             k, crc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             found = []
             for x in anchors([t.encode() for t in batch.column(2).to_pylist()]):
@@ -174,7 +174,7 @@ def _finer(block: int):
         return _packed(seed, k[doc[row]], s - shift[row], crc[doc[row]], whole, p - s, e - s)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 2):
             k, crc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             part, size = [], 0
             for d, (text, runs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
@@ -291,7 +291,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             out = []
             for t, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 body = t.encode()
@@ -315,7 +315,7 @@ def strip_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     """docs with each text replaced by what suffix_dedup keeps of it; UTF-8 that a cut splits loses the broken character. Empty rests stay, null texts become empty; other columns are unchanged."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 0):
             out = []
             for t, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 out.append(remove_cover(t.encode(), np.array(runs, np.int64))[0].decode("utf-8", "ignore") if runs else t)

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import sliced, slices, table
 
 #: The public byte-level pre-tokeniser's pattern.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -124,7 +124,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, text: str
 
     def run(batches):
         bpe = tokenizer(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             n = np.array(bpe.count_texts(batch.column(1).to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
