@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
-import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import sliced, slices, table
 
 SPACE = "▁"
+#: Ids of the start and of a character without a piece, beyond any vocabulary's.
+START, NO_PIECE = (1 << 20) - 1, (1 << 20) - 2
+
+
+class Remembered(dict):
+    """word -> ids in two generations: a full one becomes the old one, from which words in use come back. Twice LIMIT words at most."""
+
+    LIMIT = 150_000
+
+    def __init__(self):
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        self[word] = ids = self.old[word]
+        return ids
+
+    def make_room(self, n: int) -> None:
+        """Before n words are looked up."""
+        if len(self) + n > self.LIMIT:
+            self.old = dict(self)
+            self.clear()
 
 
 class Pieces:
@@ -23,8 +44,6 @@ class Pieces:
     merging their characters leaves; a prefix has one such path, its encoding.
     """
 
-    CACHE = 250_000
-
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -38,7 +57,6 @@ class Pieces:
         own = [(i, p) for i, p in enumerate(m.pieces) if p.type in (1, 4, 5)]
         self.ids = {p.piece: i for i, p in own}
         self.scores = {p.piece: p.score for _, p in own}
-        self.longest = max(map(len, self.ids))
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == 2)
         self.penalty = min(self.scores.values()) - 10
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
@@ -51,8 +69,19 @@ class Pieces:
         self.text[self.unknown] = m.trainer_spec.unk_surface.encode()
         for b, i in self.byte.items():
             self.text[i] = bytes([b])
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.stable: dict[tuple[str, str], bool] = {}
+        #: Pieces from their last character back to the first: a place's candidates are found in one walk, as far as any piece reaches.
+        #: A character leads to the id of the piece that begins there (or None) and what may stand before.
+        self.back: dict[str, list] = {}
+        for piece, i in self.ids.items():
+            node, below = None, self.back
+            for c in reversed(piece):
+                node = below.setdefault(c, [None, {}])
+                below = node[1]
+            node[0] = i
+        self.piece = {i: p for p, i in self.ids.items()} | {START: ""}
+        self.score = {i: self.scores[p] for p, i in self.ids.items()}
+        self.known = Remembered()
+        self.stable: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """What merging the characters of a short text leaves: always the pair with the best piece, the leftmost of equals."""
@@ -65,68 +94,87 @@ class Pieces:
             i = min(found)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def _stands(self, left: str, right: str) -> bool:
-        """Whether merging leaves the two as they are; left may be empty."""
-        key = (left, right)
-        ok = self.stable.get(key)
-        if ok is None:
-            if len(self.stable) > 1_000_000:
-                self.stable.clear()
-            ok = self.stable[key] = self.merged(left + right) == ([left, right] if left else [right])
+    def _stands(self, key: int) -> bool:
+        """Whether merging leaves two pieces as they are; key: their ids, the left one's (or START) in the upper bits."""
+        left, right = self.piece.get(key >> 20), self.piece[key & 0xFFFFF]
+        ok = left is None or self.merged(left + right) == ([left, right] if left else [right])
+        if len(self.stable) > 400_000:
+            self.stable.clear()
+        self.stable[key] = ok
         return ok
 
-    def _forward(self, word: str, e: int, state: list[tuple]) -> tuple:
-        """State of place e from those before it: (score, start of the last piece, the piece; a character without a piece counts as one)."""
-        best = None
-        for s in range(max(0, e - self.longest), e):
-            piece = word[s:e]
-            score = self.scores.get(piece)
-            if score is None:
-                if s < e - 1:
-                    continue
-                score = self.penalty
-            if self.bpe:
-                if state[s] is not None and self._stands(state[s][2], piece):
-                    return 0.0, s, piece
-            elif best is None or state[s][0] + score > best[0]:
-                best = state[s][0] + score, s, piece
-        return best
-
-    def _piece_ids(self, piece: str) -> tuple[int, ...]:
-        i = self.ids.get(piece)
-        if i is not None:
-            return (i,)
-        return tuple(self.byte[b] for b in piece.encode()) if self.byte else (self.unknown,)
-
-    def learn(self, words: list[str]) -> None:
+    def _bpe_steps(self, word: str, n: int, last: list[int], start: list[int]) -> None:
+        """For the places of a word after n: last piece and its start of the one path there."""
+        root, known, stands = self.back, self.stable, self._stands
+        for e in range(n + 1, len(word) + 1):
+            below, s, found, begin = root, e, NO_PIECE, e - 1
+            while s:
+                s -= 1
+                node = below.get(word[s])
+                if node is None:
+                    break
+                i, below = node
+                if i is not None:
+                    key = last[s] << 20 | i
+                    ok = known.get(key)
+                    if ok or ok is None and stands(key):
+                        found, begin = i, s
+                        break
+            last.append(found)
+            start.append(begin)
+
+    def _unigram_steps(self, word: str, n: int, last: list[int], start: list[int], best: list[float]) -> None:
+        """The same with the best path and its score; of equals that with the longest last piece."""
+        for e in range(n + 1, len(word) + 1):
+            below, found, begin, most = self.back, NO_PIECE, e - 1, best[e - 1] + self.penalty
+            for s in range(e - 1, -1, -1):
+                node = below.get(word[s])
+                if node is None:
+                    break
+                i, below = node
+                if i is not None and (s == e - 1 or best[s] + self.score[i] >= most):
+                    found, begin, most = i, s, best[s] + self.score[i]
+            last.append(found)
+            start.append(begin)
+            best.append(most)
+
+    def learn(self, words: set[str]) -> None:
         """Encode distinct words in sorted order, which is a depth-first walk of their trie: the states of the prefix shared with the word before are kept."""
-        state: list[tuple] = [(0.0, 0, "")]
-        last = ""
+        last, start, best, before = [START], [0], [0.0], ""
+        single: dict[str, tuple[int, ...]] = {}
         for w in sorted(words):
-            shared = len(os.path.commonprefix((w, last)))
-            del state[shared + 1 :]
-            for e in range(shared + 1, len(w) + 1):
-                state.append(self._forward(w, e, state))
-            last = w
+            n, most = 0, min(len(w), len(before))
+            while n < most and w[n] == before[n]:
+                n += 1
+            del last[n + 1 :], start[n + 1 :], best[n + 1 :]
+            if self.bpe:
+                self._bpe_steps(w, n, last, start)
+            else:
+                self._unigram_steps(w, n, last, start, best)
+            before = w
             e, back = len(w), []
             while e:
-                back.append(state[e][2])
-                e = state[e][1]
-            self.known[w] = tuple(i for p in reversed(back) for i in self._piece_ids(p))
+                i, s = last[e], start[e]
+                if i == NO_PIECE:
+                    c = w[s]
+                    if c not in single:
+                        single[c] = tuple(self.byte[b] for b in reversed(c.encode())) if self.byte else (self.unknown,)
+                    back += single[c]
+                else:
+                    back.append(i)
+                e = s
+            back.reverse()
+            self.known[w] = tuple(back)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
         for a, b in slices(texts):
             split = [self.words.findall(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts[a:b]]
-            new = {w for words in split for w in words}
-            if len(self.known) + len(new - self.known.keys()) > self.CACHE:
-                self.known.clear()
-            self.learn([w for w in new if w not in self.known])
+            words = set().union(*split)
+            self.known.make_room(len(words))
+            self.learn(words - self.known.keys() - self.known.old.keys())
             for words in split:
-                ids: list[int] = []
-                for w in words:
-                    ids += self.known[w]
-                out.append(np.array(ids, np.int32))
+                out.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32))
         return out
 
     def decode(self, ids) -> str:
@@ -155,7 +203,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
 
     def run(batches):
         pieces = model(path)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 ids = pieces.encode(texts[a:b])
