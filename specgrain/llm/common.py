@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are tokenised in slices of about so many characters, so that a batch of long texts needs no more memory than one of short ones.
@@ -128,6 +128,23 @@ def i64(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
 
+#: Bits of the filters that spare rows a shuffle, whatever the number of keys.
+FILTER_BITS = 26
+
+
+def filter_words(keys: DataFrame, spot: Column) -> DataFrame:
+    """(word, bits): a Bloom filter of one hash, of at most 2**FILTER_BITS / 64 rows."""
+    one = F.expr("shiftleft(1L, cast(spot & 63 as int))")
+    return keys.select(spot.alias("spot")).select(F.shiftright("spot", 6).alias("word"), one.alias("one")).groupBy("word").agg(F.expr("bit_or(one)").alias("bits"))
+
+
+def marked(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """df with `maybe`: false only where the column is not in keys; the filter is joined by broadcast."""
+    spot = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+    out = df.withColumn("spot", spot).withColumn("word", F.shiftright("spot", 6)).join(F.broadcast(filter_words(keys, spot)), "word", "left")
+    return out.withColumn("maybe", F.coalesce(F.expr("getbit(bits, cast(spot & 63 as int)) = 1"), F.lit(False))).drop("word", "spot", "bits")
+
+
 def connected_components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node that an edge (a, b) names; component is the smallest node reachable.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, i64, join_hash, materialize, mix, shingles, sliced, slices, table
+from .common import connected_components, i64, join_hash, marked, materialize, mix, shingles, sliced, slices, table
 
 BANDS, ROWS = 25, 5
 #: Coordinates of the sketches that choose what to verify, a byte each; members of a bucket's block.
@@ -236,7 +236,8 @@ def similar_texts(docs: DataFrame, least: float, shingle: int, bands: int, rows:
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(banded.join(sizes, "band"), "near-buckets")
     named = members.select("id").distinct()
-    texts = materialize(docs.join(named, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "near-texts")
+    # A filter of bounded size instead of a join: copies of a text then meet in map-side combination first, not in one task.
+    texts = materialize(marked(docs, named, "id").where("maybe").groupBy("id").agg(F.first("text").alias("text")), "near-texts")
     sketches = materialize(_sketched(texts, shingle), "near-sketches")
     # A large bucket is dealt into blocks: a row goes to the tasks (i, j) for j >= i and (j, i) for j < i of its own block i.
     blocks = F.ceil(F.col("n") / BLOCK)

@@ -7,18 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import i64, materialize, mix, sliced, table
+from .common import FILTER_BITS, filter_words, i64, marked, materialize, mix, sliced, table
 
 #: Threshold in bytes; length of an anchor's own string; starts in a window that share their anchor at most; starts in a block, and the bytes that all strings of a block share.
 LENGTH, SEED, BLOCK = 100, 52, 8
 SPREAD, CORE = LENGTH - SEED + 1, LENGTH - BLOCK + 1
 #: Bytes named at once: the arrays stay in the cache, and 20 bits hold a place.
 CHUNK = 1 << 16
-#: Bits of the filters that spare rows a shuffle, whatever the number of keys.
-FILTER_BITS = 26
 _PLACE = np.uint64((1 << 20) - 1)
 _TWO = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 #: (bytes, bytes of each half): how a string's name follows from those of two strings, overlapping if need be.
@@ -205,19 +203,6 @@ def remove_cover(text: bytes, runs: np.ndarray) -> tuple[bytes, int, int]:
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
-def _filter_words(keys: DataFrame, spot: Column) -> DataFrame:
-    """(word, bits): a Bloom filter of one hash, of at most 2**FILTER_BITS / 64 rows."""
-    one = F.expr("shiftleft(1L, cast(spot & 63 as int))")
-    return keys.select(spot.alias("spot")).select(F.shiftright("spot", 6).alias("word"), one.alias("one")).groupBy("word").agg(F.expr("bit_or(one)").alias("bits"))
-
-
-def _marked(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs with `maybe`: false only where k is not in keys; the filter is joined by broadcast."""
-    spot = F.pmod(F.xxhash64("k"), F.lit(1 << FILTER_BITS))
-    marked = docs.withColumn("spot", spot).withColumn("word", F.shiftright("spot", 6)).join(F.broadcast(_filter_words(keys, spot)), "word", "left")
-    return marked.withColumn("maybe", F.coalesce(F.expr("getbit(bits, cast(spot & 63 as int)) = 1"), F.lit(False))).drop("word", "spot", "bits")
-
-
 def _judged(rows: DataFrame, label: str) -> DataFrame:
     """(k, crc, run, again) of rows: again where equal strings start earlier throughout; the others only where unequal runs have one seed, and they are the first of theirs."""
     place = F.struct("k", F.shiftright("at", 32).alias("start"))
@@ -245,13 +230,13 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     seeds = docs.select("text").mapInArrow(_seeds, "seed long")
     shared = materialize(seeds.groupBy("seed").count().where("count > 1").select("seed"), "suffix-seeds")
     # The filter only saves rows, whatever it lets pass; the join decides.
-    got = _filter_words(shared, F.pmod("seed", F.lit(1 << FILTER_BITS))).toArrow()
+    got = filter_words(shared, F.pmod("seed", F.lit(1 << FILTER_BITS))).toArrow()
     bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
     bits[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     rows = docs.select("k", "crc", "text").mapInArrow(_rows(docs.sparkSession.sparkContext.broadcast(bits)), ROWS)
     found = [_judged(materialize(rows.join(shared, "seed", "left_semi"), "suffix-anchors"), "suffix-anchors")]
     todo = _by_text(found[0].where("not again"))
-    texts = _marked(docs, todo).where("maybe").select("k", "crc", "text")
+    texts = marked(docs, todo, "k").where("maybe").select("k", "crc", "text")
     texts = materialize(texts.join(todo, ["k", "crc"]), "suffix-texts")
     for block in (BLOCK, 1):
         rows = materialize(texts.select("k", "crc", "text", "runs").mapInArrow(_finer(block), ROWS), f"suffix-blocks{block}")
@@ -275,9 +260,9 @@ def with_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tu
     """keep, text (null as empty) and runs (null or empty: none) of every row of docs."""
     keyed = _keyed(docs, text, key, *keep)
     runs = materialize(_by_text(repeated_runs(keyed.select("k", "crc", "text"))), "suffix-runs")
-    marked = _marked(keyed, runs)
-    clean = marked.where("not maybe").select(*keep, "text", F.expr("cast(null as array<long>)").alias("runs"))
-    return clean.unionByName(marked.where("maybe").join(runs, ["k", "crc"], "left").select(*keep, "text", "runs"))
+    both = marked(keyed, runs, "k")
+    clean = both.where("not maybe").select(*keep, "text", F.expr("cast(null as array<long>)").alias("runs"))
+    return clean.unionByName(both.where("maybe").join(runs, ["k", "crc"], "left").select(*keep, "text", "runs"))
 
 
 def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
