@@ -1,4 +1,4 @@
-"""Benchmark decontamination by template canonicalisation: numbers, names and units become typed placeholders."""
+"""Benchmark decontamination by template canonicalisation: numbers, names and units become typed placeholders. Verbatim copies match by their own words."""
 
 from __future__ import annotations
 
@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import join_hash, mix, sliced, table
 
-#: Template tokens in a window; the fewest of an item that can match; covered tokens that make a leak of any item, and the share of its windows that does for a short one.
+#: Tokens in a window; the fewest template tokens of an item that can match re-parameterised; covered tokens that make a leak of any item, and the share of its windows that does for a short one.
 WINDOW, SHORTEST, COVERED, SHARE = 8, 5, 13, 0.8
 #: Bits of the filter of benchmark windows: a table of 2**26 / 64 numbers at most, whatever the benchmark's size.
 FILTER_BITS = 26
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:;\n%$€£°]")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:;\n%$€£°]|[-+*/=<>^×÷−]+")
 _END = frozenset(".!?:;\n")
 UNITS = frozenset(
     "% $ € £ ° mm cm m km inch inches foot feet mile miles mg g kg gram grams ton tons ml l litre litres liter liters gallon gallons s sec second"
@@ -28,8 +28,11 @@ NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
     " thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 )
-_LITERAL, _NUMBER, _NAME, _STOP, _UNIT = range(5)
-_PLACEHOLDER = mix(np.arange(1, 6, dtype=np.uint64))
+_LITERAL, _NUMBER, _NAME, _STOP, _UNIT, _SIGN = range(6)
+_SIGNS = frozenset("-+*/=<>^×÷−")
+_PLACEHOLDER = mix(np.arange(1, 7, dtype=np.uint64))
+#: Odd factors of the words of a window.
+_FACTORS = mix(np.arange(11, 11 + WINDOW, dtype=np.uint64)) | np.uint64(1)
 
 
 class _Tokens(dict):
@@ -41,6 +44,8 @@ class _Tokens(dict):
         low = t.lower()
         if t in _END:
             kind = _STOP
+        elif t[0] in _SIGNS:
+            kind = _SIGN
         elif t[0].isdecimal() or low in NUMBER_WORDS:
             kind = _NUMBER
         elif low in UNITS:
@@ -59,9 +64,18 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
 
     A number, a unit right after a number and a run of names (capitalised words that don't begin a sentence) each become one placeholder.
     """
+    return _read(text)[:4]
+
+
+def _read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """The template, and a hash for each word or sign (run of operators) as it is: these don't depend on what stands around a word."""
     found = _TOKEN.findall(text)
     code = np.fromiter(map(_tokens.__getitem__, found), np.uint64, len(found))
     kind = (code & np.uint64(7)).astype(np.int8)
+    own = mix(code[kind != _STOP] | np.uint64(7))
+    if (kind == _SIGN).any():
+        at = np.flatnonzero(kind != _SIGN)
+        code, kind, found = code[at], kind[at], [found[i] for i in at]
     word = np.flatnonzero(kind != _STOP)
     opens = np.r_[True, kind[:-1] == _STOP] if len(kind) else np.zeros(0, bool)
     code, kind, opens = code[word], kind[word], opens[word]
@@ -71,7 +85,7 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     first = np.flatnonzero(~more)
     kind = kind[first]
     code = np.where(kind == _LITERAL, mix(code[first] | np.uint64(7)), _PLACEHOLDER[kind])
-    return code, kind, np.r_[first, len(word)], [found[i] for i in word]
+    return code, kind, np.r_[first, len(word)], [found[i] for i in word], own
 
 
 def windows(code: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,11 +101,23 @@ def windows(code: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray,
     return h[at], at
 
 
+def verbatim(own: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of `size` words or signs."""
+    n = len(own) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    h = own[:n] * _FACTORS[0]
+    for i in range(1, size):
+        h = h + own[i : i + n] * _FACTORS[i]
+    return mix(h)
+
+
 def slots(kind: np.ndarray, bound: np.ndarray, words: list[str], at: int, size: int) -> list[str]:
     """What the placeholders of a window stand for."""
     return [" ".join(words[bound[i] : bound[i + 1]]).lower() for i in range(at, at + size) if kind[i] != _LITERAL]
 
 
+#: size is negative in windows of words as they are; at counts words there, and template tokens elsewhere.
 _ROWS = "id long, hash long, at int, size int, total int, slots array<string>"
 
 
@@ -107,7 +133,11 @@ def _item_windows(batches):
     for batch in batches:
         rows = []
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            code, kind, bound, words = template(t)
+            code, kind, bound, words, own = _read(t)
+            size = min(WINDOW, len(own))
+            if size:
+                h = verbatim(own, size)
+                rows += [(i, int(x), a, -size, len(h), []) for a, x in enumerate(h.view(np.int64))]
             size = min(WINDOW, len(code))
             if size < SHORTEST:
                 continue
@@ -127,7 +157,10 @@ def leaks(
     share one. A pair is a leak if its windows cover COVERED template tokens, or the share SHARE of the item's windows. reparameterised: some slot's value differs.
 
     The document side drops windows that a filter of all benchmark windows lacks: the filter has a bounded size and only saves rows; the join decides.
-    Items under SHORTEST tokens match nothing; null or empty texts have no windows; null ids are left out. Repeated rows count once;
+    Windows of words as they are (numbers, names, units and runs of operators too, in lower case) are joined in the same way and judged alone, so a verbatim
+    copy is found whatever it consists of, and an item of under WINDOW words by all of them in a row. Only re-parameterised matching asks for
+    windows with half their tokens literal and items of SHORTEST template tokens. windows, item_windows and covered are those of the kind that matched best.
+    Items without a word or operator match nothing; null or empty texts have no windows; null ids are left out. Repeated rows count once;
     extra columns are ignored; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
@@ -138,7 +171,7 @@ def leaks(
     words = np.zeros(1 << FILTER_BITS - 6, np.uint64)
     got = bits.groupBy("word").agg(F.expr("bit_or(one)").alias("bits")).toArrow()  # at most 2**20 rows
     words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # of SHORTEST to WINDOW
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # of -WINDOW to WINDOW
     shared = spark.sparkContext.broadcast(words)
 
     def hits(batches):
@@ -146,11 +179,16 @@ def leaks(
         for batch in sliced(batches, 1):
             rows = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                code, kind, bound, found = template(t)
+                code, kind, bound, found, own = _read(t)
                 for size in sizes:
-                    h, at = windows(code, kind, size)
+                    h, at = windows(code, kind, size) if size > 0 else (verbatim(own, -size), None)
                     s = h & np.uint64((1 << FILTER_BITS) - 1)
                     ok = np.flatnonzero(filled[s >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1))
+                    if size < 0:
+                        if size > -WINDOW:  # the whole of an item: one place is enough
+                            ok = ok[np.unique(h[ok], return_index=True)[1]]
+                        rows += [(d, int(h[i].view(np.int64)), int(i), size, 0, []) for i in ok]
+                        continue
                     rows += [(d, int(h[i].view(np.int64)), int(at[i]), size, 0, slots(kind, bound, found, at[i], size)) for i in ok]
                 if len(rows) > 20_000:
                     yield _emit(rows)
@@ -173,7 +211,7 @@ def leaks(
     covered = F.aggregate(
         sorted_ats,
         F.struct(F.lit(0).alias("c"), F.lit(-1_000_000).alias("last")),
-        lambda a, x: F.struct((a["c"] + F.least(F.col("size"), x - a["last"])).alias("c"), x.alias("last")),
+        lambda a, x: F.struct((a["c"] + F.least(F.abs("size"), x - a["last"])).alias("c"), x.alias("last")),
         lambda a: a["c"],
     )
     fit = by.where((F.size("pairs") == values[0]) & (F.size("pairs") == values[1])).select(

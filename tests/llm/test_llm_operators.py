@@ -81,6 +81,20 @@ def test_decontamination(spark, empty):
     assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(table, bench.limit(0)).count() == 0
 
 
+def found_leaks(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontamination.leaks(docs, bench).collect()}
+
+
+def test_decontamination_finds_copies_of_any_tokens(spark):
+    table = "Paris 1980 3 km 4 kg, Rome 1985 5 km 6 kg, Oslo 1990 7 km 8 kg"
+    sums = "3 + 4 = 7, 12 - 5 = 7"
+    four, whole = "Name the largest moon.", "Who wrote it?"
+    texts = [f"so {table} and on", f"they said {sums} then", "asked to name the largest moon today " * 3, "3 4 7 12 5 7", table.replace("1985", "1986").replace("km", "g").replace("kg", "m"), "name the small moon", "x Who Wrote It y"]
+    assert found_leaks(spark, texts, [table, sums, four, whole, "!!!", ""]) == {(0, 0): False, (1, 1): False, (2, 2): False, (6, 3): False}
+
+
 def test_template_types():
     code, kind, bound, words = decontamination.template("Then Ann Lee paid 3.50 dollars. Ann left 3 km away.")
     same, _, _, _ = decontamination.template("Then Bob Roe paid 7 euros. Bob left 12 miles away.")
