@@ -10,10 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hash, mix, sliced, table
+from .common import mix, sliced, table
 
 #: Tokens in a window; the fewest template tokens of an item that can match re-parameterised; covered tokens that make a leak of any item, and the share of its windows that does for a short one.
 WINDOW, SHORTEST, COVERED, SHARE = 8, 5, 13, 0.8
+#: Diagonals of the narrower bands in which the parts of an edited copy count together; the wider ones follow the item's length.
+NEAR = 16
 #: Bits of the filter of benchmark windows: a table of 2**26 / 64 numbers at most, whatever the benchmark's size.
 FILTER_BITS = 26
 
@@ -31,7 +33,7 @@ NUMBER_WORDS = frozenset(
 _LITERAL, _NUMBER, _NAME, _STOP, _UNIT, _SIGN = range(6)
 _SIGNS = frozenset("-+*/=<>^×÷−")
 _PLACEHOLDER = mix(np.arange(1, 7, dtype=np.uint64))
-#: Odd factors of the words of a window.
+#: Odd factors of the tokens of a window: its hash is the scrambled sum of their products.
 _FACTORS = mix(np.arange(11, 11 + WINDOW, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -67,15 +69,17 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     return _read(text)[:4]
 
 
-def _read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """The template, and a hash for each word or sign (run of operators) as it is: these don't depend on what stands around a word."""
+def _read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """The template, and a hash for each word or sign (run of operators) as it is, and for each word: these don't depend on what stands around a word."""
     found = _TOKEN.findall(text)
     code = np.fromiter(map(_tokens.__getitem__, found), np.uint64, len(found))
     kind = (code & np.uint64(7)).astype(np.int8)
     own = mix(code[kind != _STOP] | np.uint64(7))
+    plain = own
     if (kind == _SIGN).any():
+        plain = own[kind[kind != _STOP] != _SIGN]
         at = np.flatnonzero(kind != _SIGN)
-        code, kind, found = code[at], kind[at], [found[i] for i in at]
+        code, kind, found = code[at], kind[at], [found[i] for i in at.tolist()]
     word = np.flatnonzero(kind != _STOP)
     opens = np.r_[True, kind[:-1] == _STOP] if len(kind) else np.zeros(0, bool)
     code, kind, opens = code[word], kind[word], opens[word]
@@ -84,8 +88,12 @@ def _read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.
     more = np.r_[False, (kind[1:] == _NAME) & (kind[:-1] == _NAME)] if len(kind) else np.zeros(0, bool)
     first = np.flatnonzero(~more)
     kind = kind[first]
-    code = np.where(kind == _LITERAL, mix(code[first] | np.uint64(7)), _PLACEHOLDER[kind])
-    return code, kind, np.r_[first, len(word)], [found[i] for i in word], own
+    code = np.where(kind == _LITERAL, plain[first], _PLACEHOLDER[kind])
+    return code, kind, np.r_[first, len(word)], [found[i] for i in word], own, plain
+
+
+def _sums(code: np.ndarray, size: int) -> np.ndarray:
+    return mix(np.correlate(code, _FACTORS[:size], "valid"))
 
 
 def windows(code: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,23 +101,31 @@ def windows(code: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray,
     n = len(code) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = code[:n]
-    for i in range(1, size):
-        h = join_hash(h, code[i : i + n])
     words = np.r_[0, np.cumsum(kind == _LITERAL)]
     at = np.flatnonzero(2 * (words[size:] - words[:-size]) >= size)
-    return h[at], at
+    return _sums(code, size)[at], at
+
+
+def opened(code: np.ndarray, kind: np.ndarray, bound: np.ndarray, own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that begin with the first word of a run of names, read as a word as it would be at the beginning of a sentence: hashes,
+    the run's template token, and whether more names of it follow (they are the window's second token)."""
+    n = len(code)
+    i = np.flatnonzero(kind == _NAME)
+    run = (bound[i + 1] - bound[i] > 1).astype(np.int64)
+    fits = i + size - run <= n
+    i, run = i[fits], run[fits]
+    if not len(i):
+        return np.empty(0, np.uint64), i, run.astype(bool)
+    rest = code[(i - run)[:, None] + np.arange(1, size)]
+    h = mix(own[bound[i]] * _FACTORS[0] + (rest * _FACTORS[1:size]).sum(1, dtype=np.uint64))
+    words = np.r_[0, np.cumsum(kind == _LITERAL)]
+    ok = 2 * (1 + words[i + size - run] - words[i]) >= size
+    return h[ok], i[ok], run[ok].astype(bool)
 
 
 def verbatim(own: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all windows of `size` words or signs."""
-    n = len(own) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = own[:n] * _FACTORS[0]
-    for i in range(1, size):
-        h = h + own[i : i + n] * _FACTORS[i]
-    return mix(h)
+    return _sums(own, size) if len(own) >= size else np.empty(0, np.uint64)
 
 
 def slots(kind: np.ndarray, bound: np.ndarray, words: list[str], at: int, size: int) -> list[str]:
@@ -133,7 +149,7 @@ def _item_windows(batches):
     for batch in batches:
         rows = []
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            code, kind, bound, words, own = _read(t)
+            code, kind, bound, words, own, _ = _read(t)
             size = min(WINDOW, len(own))
             if size:
                 h = verbatim(own, size)
@@ -152,9 +168,10 @@ def leaks(
 ) -> DataFrame:
     """doc_id, item_id, windows, item_windows, covered, share, reparameterised: documents that hold (part of) a benchmark item, one row a pair.
 
-    Windows of templates are joined by hash. Matches count along one diagonal (same distance of places in document and
-    item), and only if slots are consistent there: each value of the item's numbers, names and units has one value in the document, and no two
-    share one. A pair is a leak if its windows cover COVERED template tokens, or the share SHARE of the item's windows. reparameterised: some slot's value differs.
+    Windows of templates are joined by hash; a document's window matches too if its first word reads as a name only because no sentence begins there.
+    Matches count along one diagonal (same distance of places in document and item) and together with those of near diagonals, so that words put
+    in or left out don't part a copy. Slots must be consistent among them: each value of the item's numbers, names and units has one value in the document, and
+    no two names share one; windows with a slot that isn't are left out unless they are verbatim. A pair is a leak if its windows cover COVERED template tokens, or the share SHARE of the item's windows. reparameterised: some slot's value differs.
 
     The document side drops windows that a filter of all benchmark windows lacks: the filter has a bounded size and only saves rows; the join decides.
     Windows of words as they are (numbers, names, units and runs of operators too, in lower case) are joined in the same way and judged alone, so a verbatim
@@ -176,20 +193,29 @@ def leaks(
 
     def hits(batches):
         filled = shared.value
+
+        def known_windows(h: np.ndarray) -> np.ndarray:
+            s = h & np.uint64((1 << FILTER_BITS) - 1)
+            return np.flatnonzero(filled[s >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1))
+
         for batch in sliced(batches, 1):
             rows = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                code, kind, bound, found, own = _read(t)
+                code, kind, bound, found, own, plain = _read(t)
                 for size in sizes:
                     h, at = windows(code, kind, size) if size > 0 else (verbatim(own, -size), None)
-                    s = h & np.uint64((1 << FILTER_BITS) - 1)
-                    ok = np.flatnonzero(filled[s >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1))
+                    ok = known_windows(h)
                     if size < 0:
                         if size > -WINDOW:  # the whole of an item: one place is enough
                             ok = ok[np.unique(h[ok], return_index=True)[1]]
                         rows += [(d, int(h[i].view(np.int64)), int(i), size, 0, []) for i in ok]
                         continue
                     rows += [(d, int(h[i].view(np.int64)), int(at[i]), size, 0, slots(kind, bound, found, at[i], size)) for i in ok]
+                    h, at, run = opened(code, kind, bound, plain, size)
+                    for i in known_windows(h):
+                        a, more = int(at[i]), int(run[i])
+                        rest = [" ".join(found[bound[a] + 1 : bound[a + 1]]).lower()] if more else []
+                        rows.append((d, int(h[i].view(np.int64)), a - more, size, 0, rest + slots(kind, bound, found, a + 1, size - 1 - more)))
                 if len(rows) > 20_000:
                     yield _emit(rows)
                     rows = []
@@ -200,23 +226,41 @@ def leaks(
     seen = d.mapInArrow(hits, _ROWS).select(F.col("id").alias("doc_id"), "hash", "size", F.col("at").alias("d_at"), F.col("slots").alias("d_slots"))
     both = seen.join(known.select(F.col("id").alias("item_id"), "hash", "size", "at", "total", "slots"), ["hash", "size"])
     both = both.where(F.size("slots") == F.size("d_slots"))
-    by = both.groupBy("doc_id", "item_id", "size", "total", (F.col("d_at") - F.col("at")).alias("diagonal")).agg(
-        F.collect_set("at").alias("ats"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("slots").alias("b"), F.col("d_slots").alias("d"))))).alias("pairs"),
-    )
-    values = [F.size(F.array_distinct(F.col(f"pairs.{f}"))) for f in ("b", "d")]
+    # Each match counts on its own diagonal and among its neighbours: bands of two widths, each at two offsets, so that close diagonals share one.
+    diagonal = F.col("d_at") - F.col("at")
+    wide = F.greatest(2 * (F.col("total") + F.abs("size")), F.lit(NEAR))
+    bands = [(0, diagonal)] + [
+        (i, F.floor((diagonal + shift) / width).cast("int"))
+        for i, (width, shift) in enumerate(((F.lit(NEAR), F.lit(0)), (F.lit(NEAR), F.lit(NEAR // 2)), (wide, F.lit(0)), (wide, wide / 2)), 1)
+    ]
+    each = both.withColumn("band", F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), x.alias("at")) for i, x in bands))))
+    pair = F.arrays_zip(F.col("slots").alias("b"), F.col("d_slots").alias("d"))
+    by = each.groupBy("doc_id", "item_id", "size", "total", "band").agg(F.collect_set(F.struct("at", pair.alias("pairs"))).alias("hits"))
+    # A value of the item with several values in the document, or a name that stands for several of the item's names, takes its windows out; what is verbatim stays.
+    by = by.withColumn("pairs", F.array_distinct(F.flatten("hits.pairs")))
+    # 'if bob' and 'bob' are one value: a run of names may begin with a word that opens a sentence.
+    def differ(p, q):
+        return (p != q) & ~p.endswith(F.concat(F.lit(" "), q)) & ~q.endswith(F.concat(F.lit(" "), p))
+
+    def clashes(p, q):
+        names = ~p["d"].rlike(r"^\d") & ~p["b"].rlike(r"^\d") & ~q["b"].rlike(r"^\d")
+        return (p["b"] == q["b"]) & differ(p["d"], q["d"]) | (p["d"] == q["d"]) & differ(p["b"], q["b"]) & names
+
+    clash = F.filter("pairs", lambda p: F.exists("pairs", lambda q: clashes(p, q)))
+    by = by.withColumn("clash", clash)
+    fits = F.filter("hits", lambda x: ~F.exists(x["pairs"], lambda p: p["b"] != p["d"]) | ~F.arrays_overlap(x["pairs"], F.col("clash")))
+    by = by.withColumn("hits", fits).withColumn("ats", F.sort_array(F.array_distinct("hits.at")))
     n = F.size("ats")
     # Tokens under the windows: each window adds what lies past the one before it.
-    sorted_ats = F.sort_array("ats")
     covered = F.aggregate(
-        sorted_ats,
+        "ats",
         F.struct(F.lit(0).alias("c"), F.lit(-1_000_000).alias("last")),
         lambda a, x: F.struct((a["c"] + F.least(F.abs("size"), x - a["last"])).alias("c"), x.alias("last")),
         lambda a: a["c"],
     )
-    fit = by.where((F.size("pairs") == values[0]) & (F.size("pairs") == values[1])).select(
-        "doc_id", "item_id", n.alias("windows"), F.col("total").alias("item_windows"), covered.alias("covered"),
-        (n / F.col("total")).alias("share"), F.exists("pairs", lambda p: p["b"] != p["d"]).alias("reparameterised"),
+    fit = by.select(
+        "doc_id", "item_id", n.alias("windows"), F.col("total").alias("item_windows"), covered.alias("covered"), (n / F.col("total")).alias("share"),
+        F.exists(F.flatten("hits.pairs"), lambda p: p["b"] != p["d"]).alias("reparameterised"),
     ).where((F.col("covered") >= COVERED) | (F.col("share") >= SHARE))
     best = F.struct("windows", "covered", "item_windows", "share", (~F.col("reparameterised")).alias("same"))
     out = fit.groupBy("doc_id", "item_id").agg(F.max(best).alias("m"))

@@ -95,6 +95,19 @@ def test_decontamination_finds_copies_of_any_tokens(spark):
     assert found_leaks(spark, texts, [table, sums, four, whole, "!!!", ""]) == {(0, 0): False, (1, 1): False, (2, 2): False, (6, 3): False}
 
 
+def test_decontamination_judges_items_as_a_whole(spark):
+    long = "the quick brown fox jumps over a lazy dog while seven small cats sleep under some very old wooden table".replace("seven", "many").split()
+    edited = long[:10] + ["really"] + long[10:]
+    shorter = long[:10] + long[11:]
+    short, asked = "If Ann has 3 red apples then who eats them", "they say If Bob has 4 red apples then who eats them"
+    count = "She bought 12 eggs and 5 pears at the market before she went home to cook them for 12 guests who came by"
+    again = "She bought 7 eggs and 7 pears at the market before she went home to cook them for 7 guests who came by"
+    clash = "She bought 7 eggs and 4 pears at the market before she went home to cook them for 9 guests who came by"
+    twice = f"{short.replace('Ann', 'Eve')}. {short.replace('Ann', 'Joe')}."
+    texts = [f"so {' '.join(edited)} now", f"so {' '.join(shorter)} now", asked, again, f"And: {clash}", twice, " ".join(long[:9])]
+    assert found_leaks(spark, texts, [" ".join(long), short, count]) == {(0, 0): False, (1, 0): False, (2, 1): True, (3, 2): True, (4, 2): True, (5, 1): True}
+
+
 def test_template_types():
     code, kind, bound, words = decontamination.template("Then Ann Lee paid 3.50 dollars. Ann left 3 km away.")
     same, _, _, _ = decontamination.template("Then Bob Roe paid 7 euros. Bob left 12 miles away.")
