@@ -269,39 +269,94 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
-def test_lm_scores(spark, docs, empty, monkeypatch):
+def lm_probability(c, tables, roots, d0):
+    """P(word | context) of the model, from customers c[context, word], their tables, and tables of words at the root; also of the unknown word (None)."""
+    d, theta = lm_scores.DISCOUNT, lm_scores.STRENGTH
+    m = collections.Counter()
+    for (_, w), t in tables.items():
+        m[w] += t
+    held, opened = collections.Counter(), collections.Counter()
+    for (b, w), k in c.items():
+        held[b] += k
+        opened[b] += tables[b, w]
+    total, all_roots, u = sum(m.values()), sum(roots.values()), 1 / (len(m) + 1)
+
+    def p(b, w):
+        root = (m[w] - d0 * roots[w] if w in m else 0) + (theta + d0 * all_roots) * u
+        own = c[b, w] - d * tables[b, w] if (b, w) in c else 0
+        return (own + (theta + d * opened[b]) * root / (theta + total)) / (theta + held[b])
+
+    return p, m
+
+
+@pytest.mark.parametrize(("head", "hot"), [(1 << 18, 1 << 40), (30, 40)])
+def test_lm_scores(spark, docs, empty, monkeypatch, head, hot):
     rows = [(r["doc_id"], text_of(r)) for r in docs.where("doc_id is not null").distinct().collect()]
     toks = {i: re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) + [b" "] for i, t in rows}
     train = {i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2}
     c = collections.Counter(w for i in train for w in toks[i])
     n, v = sum(c.values()), len(c)
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    seen = []
-    for head in (1 << 18, 30):
-        monkeypatch.setattr(lm_scores, "HEAD", head)
-        out = {r["doc_id"]: r for r in lm_scores.lm_scores(table).collect()}
-        assert set(out) == set(toks)
-        for i, r in out.items():
-            assert r["held_out"] == (i not in train) and r["n_tokens"] == len(toks[i]) and r["train_tokens"] == n and r["n_known"] == sum(c[w] > 0 for w in toks[i])
-            assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in toks[i]), rel_tol=1e-9)
-            assert r["score"] < 0 and math.isclose(r["perplexity"], 10 ** (-r["score"] / r["n_tokens"]), rel_tol=1e-9)
-        seen.append([out[i]["score"] for i in sorted(out)])
-    assert np.allclose(seen[0], seen[1], rtol=1e-4)
-    assert sum(out[i]["score"] for i in train) > sum(out[i]["base_score"] for i in train)
+    pairs = collections.Counter(x for i in train for x in zip([b" ", *toks[i]], toks[i]))
+    table = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n_tokens int, slice string")
+    monkeypatch.setattr(lm_scores, "HEAD", head)
+    monkeypatch.setattr(lm_scores, "HOT", hot)
+    monkeypatch.setattr(lm_scores, "SLICE", 3000)
+
+    def halves(c, r, p, rest, scale, d, theta, rng):
+        return (c + 1) / 2, (c + 1) // 2
+
+    out = {r["doc_id"]: r for r in lm_scores.lm_scores(table, sampler=halves).collect()}
+    tables = {x: (k + 1) // 2 for x, k in pairs.items()}
+    _, m = lm_probability(pairs, tables, collections.Counter(), 0)
+    d0 = lm_scores._discount(sum(x == 1 for x in m.values()), sum(x == 2 for x in m.values()))
+    roots = {w: (x + 1) / 2 for w, x in m.items()}
+    whole, _ = lm_probability(pairs, tables, roots, d0)
+    d, theta = lm_scores.DISCOUNT, lm_scores.STRENGTH
+    held = collections.Counter()
+    extra = collections.Counter()  # the mean number of tables beyond the last sample's, which are the root's customers
+    for (b, w), k in pairs.items():
+        held[b] += k
+        extra[b] += (k + 1) / 2 - tables[b, w]
+
+    def p(b, w):
+        root = (m[w] - d0 * roots[w] if w in m else 0) + (theta + d0 * sum(roots.values())) / (v + 1)
+        more = d * extra[b] * root / (theta + sum(m.values())) - (d * ((pairs[b, w] + 1) / 2 - tables[b, w]) if (b, w) in pairs else 0)
+        return whole(b, w) + more / (theta + held[b])
+
+    assert set(out) == set(toks)
+    for i, r in out.items():
+        assert r["held_out"] == (i not in train) and r["n_tokens"] == len(toks[i]) and r["train_tokens"] == n and r["n_known"] == sum(c[w] > 0 for w in toks[i])
+        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in toks[i]), rel_tol=1e-9)
+        assert math.isclose(r["score"], sum(math.log10(p(b, w)) for b, w in zip([b" ", *toks[i]], toks[i])), rel_tol=1e-6)
+        assert math.isclose(r["perplexity"], 10 ** (-r["score"] / r["n_tokens"]), rel_tol=1e-9)
+    for b in [b" ", b"the", b"never seen", *list(c)[:20]]:
+        assert math.isclose(sum(p(b, w) for w in [*c, None]), 1, rel_tol=1e-9)
+    sampled = {r["doc_id"]: r for r in lm_scores.lm_scores(table).collect()}
+    assert sum(sampled[i]["score"] for i in train) > sum(sampled[i]["base_score"] for i in train)
+
+
+def test_lm_odd_rows(spark, docs, empty):
     assert lm_scores.lm_scores(docs).count() == docs.count() and lm_scores.lm_scores(empty).count() == 0
-
-
-def test_lm_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    c = rng.integers(1, 50, (40, 3))
-    word, ctx = (a.ravel() for a in np.meshgrid(np.arange(40), np.arange(3), indexing="ij"))
-    s = lm_scores.Seating(np.r_[c.sum(0), [0] * 13], np.r_[[40] * 3, [0] * 13], 120, 40, 1 / 41, 0.6, 0.5)
-    for _ in range(30):
-        root, own, t, roots = s.sweeps(word, 40, ctx, c.ravel(), 5)
-        tables = np.bincount(ctx, t, 16)
-        s = lm_scores.Seating(s.customers, tables, tables.sum(), roots.sum(), 1 / 41, 0.6, 0.5)
-    total = np.bincount(ctx, own, 16)[:3] + s.back[:3] * (root.sum() + s.root_back / 41)
-    assert np.allclose(total, 1, atol=0.05)
+    held = spark.createDataFrame([(i, "a b") for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
+    assert all(r["train_tokens"] == 0 and math.isclose(r["score"], 0) for r in lm_scores.lm_scores(held).collect())  # nothing known: one outcome
+
+
+def test_lm_gibbs_samples_the_posterior(monkeypatch):
+    """Tables of one dish: the weight of t tables is the number of seatings, by discounted sizes, times new tables' weights."""
+    d, theta, p, n = 0.6, 1.0, 0.3, 7
+    ways = {(1, 1): 1.0}
+    for k in range(1, n):
+        for t in range(1, k + 1):
+            ways[k + 1, t] = ways.get((k + 1, t), 0) + ways[k, t] * (k - d * t)
+            ways[k + 1, t + 1] = ways[k, t]
+    monkeypatch.setattr(lm_scores, "BURN_IN", 20)
+    weight = {t: ways[n, t] * p**t * math.prod(theta + d * i for i in range(1, t)) for t in range(1, n + 1)}
+    want = sum(t * x for t, x in weight.items()) / sum(weight.values())
+    k = 20_000
+    mean, last = lm_scores.gibbs(np.full(k, n), np.arange(k), np.full(k, p), np.zeros(k), np.ones(k), d, theta, np.random.default_rng(3))
+    assert abs(mean.mean() - want) < 0.03 and abs(last.mean() - want) < 0.04
+    big, _ = lm_scores.gibbs(np.array([5000, 2, 2]), np.zeros(3, int), np.array([0.2, 0.1, 1e-9]), np.zeros(1), np.ones(1), d, theta, np.random.default_rng(3))
+    assert 1 < big[0] < 5000 and big[2] < 1.2
 
 
 def test_near_duplicates(spark, docs, empty):
