@@ -54,6 +54,16 @@ def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(stored: DataFrame | None) -> None:
+    """Delete a table that materialize wrote and that nothing reads any more."""
+    if stored is None:
+        return
+    sc = stored.sparkSession.sparkContext
+    for folder in {f.rpartition("/")[0] for f in stored.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges over texts, each of at most limit characters or one text."""
     start = size = 0

@@ -301,6 +301,7 @@ def test_lm_scores(spark, docs, empty, monkeypatch, head, hot):
     monkeypatch.setattr(lm_scores, "HEAD", head)
     monkeypatch.setattr(lm_scores, "HOT", hot)
     monkeypatch.setattr(lm_scores, "SLICE", 3000)
+    monkeypatch.setattr(lm_scores, "BUCKET", 300)
 
     def halves(c, r, p, rest, scale, d, theta, rng):
         return (c + 1) / 2, (c + 1) // 2
