@@ -34,14 +34,25 @@ def _sign(a: Column, b: Column, rest: Column) -> Column:
     return F.when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(rest)
 
 
-def compatible_compare(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
-    """-1, 0 or 1 for satisfaction tests of (epoch, version, release): two `set:` versions are equal, and an empty release on either side is any release.
+def evr_key(epoch: Column, version: Column, release: Column) -> Column:
+    """What satisfaction tests need of an EVR, computed once a row: put it in a column before a join, and compare with compatible_sign after it."""
+    return F.struct(
+        epoch.alias("e"), version_key(version).alias("v"), F.when(release != "", version_key(release)).alias("r"), version.startswith("set:").alias("s")
+    )
+
+
+def compatible_sign(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 for two evr_keys: two `set:` versions are equal, and an empty release on either side is any release.
 
     Not transitive, so never an ordering.
     """
-    release = F.when((a[2] == "") | (b[2] == ""), F.lit(0)).otherwise(_sign(version_key(a[2]), version_key(b[2]), F.lit(0)))
-    strict = _sign(a[0], b[0], _sign(version_key(a[1]), version_key(b[1]), release))
-    return F.when(a[1].startswith("set:") & b[1].startswith("set:"), F.lit(0)).otherwise(strict)
+    release = F.when(a["r"].isNull() | b["r"].isNull(), F.lit(0)).otherwise(_sign(a["r"], b["r"], F.lit(0)))
+    return F.when(a["s"] & b["s"], F.lit(0)).otherwise(_sign(a["e"], b["e"], _sign(a["v"], b["v"], release)))
+
+
+def compatible_compare(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
+    """compatible_sign of two EVRs of one row."""
+    return compatible_sign(evr_key(*a), evr_key(*b))
 
 
 def constraint_holds(op: Column, sign: Column) -> Column:

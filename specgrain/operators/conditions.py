@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions
+from .matrix import for_every
 
 #: Truth of a branch in a profile; null is indeterminate and isn't SQL's unknown: it never gives way to a known operand.
 
@@ -81,7 +82,7 @@ def evaluate(branches: DataFrame, profiles: DataFrame, macros: DataFrame, option
     Only the macros that a condition names are joined to it. options (spec_id, name, state): build options as declared or overridden.
     """
     names = F.array_distinct(F.regexp_extract_all("condition", F.lit(r"%\{?[!?]*([A-Za-z_]\w*)"), 1))
-    pairs = branches.withColumn("_k", F.lit(1)).join(profiles.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    pairs = for_every(branches, profiles)
     key = ["spec_id", "line_no", "profile_id"]
     wanted = pairs.select(*key, F.explode(names).alias("name")).join(macros.select("profile_id", "name", "value"), ["profile_id", "name"])
     values = wanted.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("values"))

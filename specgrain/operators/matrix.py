@@ -84,3 +84,14 @@ def snapshots_to_drop(snapshots: DataFrame, keep: int) -> DataFrame:
 
     w = Window.partitionBy("repo_id").orderBy(F.desc("taken"), "revision")
     return snapshots.withColumn("place", F.row_number().over(w)).where((F.col("place") > keep) & ~F.col("is_current")).drop("place")
+
+
+def for_every(rows: DataFrame, dimension: DataFrame, most: int = 10_000) -> DataFrame:
+    """rows, each once for every distinct row of a dimension, such as profiles. It has at most `most` rows, which is checked, and comes as an array of each row: nothing is joined."""
+    found = dimension.distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a dimension of more than {most} rows")
+    member = F.array(*(F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in dimension.schema)) for r in found))
+    if not found:
+        member = F.array().cast(f"array<{dimension.schema.simpleString()}>")
+    return rows.withColumn("_member", F.explode(member)).select(*rows.columns, "_member.*")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.macros import expand, references
 from ..sources.recipes import BUILD_SECTIONS, OTHER_SECTIONS, SCRIPTLETS, Recipes
 from .layers import merge_values
+from .matrix import for_every
 
 #: Words after a percent sign that aren't macros.
 DIRECTIVES = ("global", "define", "undefine", "if", "ifarch", "ifnarch", "ifos", "ifnos", "elif", "elifarch", "elifos", "else", "endif", "include", "dnl", "bcond", "bcond_with", "bcond_without",
@@ -61,7 +62,7 @@ def license_findings(r: Recipes, licenses: DataFrame) -> DataFrame:
 
     named = r.tags.where("key = 'license'").select("spec_id", F.explode(spdx_atoms(F.col("value"))).alias("license")).where("license not like '%\\%%'").distinct()
     gated = licenses.select("profile_id").distinct()
-    pairs = named.withColumn("_k", F.lit(1)).join(gated.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    pairs = for_every(named, gated)
     return pairs.join(licenses.select("profile_id", F.col("name").alias("license")), ["profile_id", "license"], "left_anti").select("spec_id", "profile_id", "license")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.evr import compatible_compare, constraint_holds, version_key
+from ..functions.evr import compatible_compare, compatible_sign, constraint_holds, evr_key, version_key
 from ..session import stored
 
 DEP = ["name", "op", "epoch", "version", "release"]
@@ -16,38 +16,42 @@ def is_rich(name: Column) -> Column:
     return name.startswith("(")
 
 
+def package_order(packages: DataFrame) -> DataFrame:
+    """(pkg_id, place): places grow in the order in which packages are preferred, by repository, EVR downwards (strict order), name, order of arrival.
+
+    One sort by ranges over all packages, stored, so that every reader sees the same places; no capability is ever ranked in one task.
+    """
+    order = ["repo_id", F.desc("epoch"), F.desc(version_key(F.col("version"))), F.desc(version_key(F.col("release"))), "name", "pkg_id"]
+    return stored(packages.orderBy(*order).select("pkg_id", F.monotonically_increasing_id().alias("place")), "package-order")
+
+
 def providers(packages: DataFrame, caps: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """(name, pkg_id, epoch, version, release, place): what each name is provided with, and the provider's place among all of that name.
+    """(name, pkg_id, epoch, version, release, place): what each name is provided with, and the provider's place among all packages (package_order).
 
-    The place goes by repository, then EVR downwards (strict order), then package name, then order of arrival. Own names carry
-    the package's EVR; a Provides without a version has a null EVR; a file path has none either, and its owner is the first only.
+    Own names carry the package's EVR; a Provides without a version has a null EVR; a file path has none either, and its owner is the first only.
     """
-    rank = Window.partitionBy("name").orderBy(
-        "repo_id", F.desc("p_epoch"), F.desc(version_key(F.col("p_version"))), F.desc(version_key(F.col("p_release"))), "p_name", "pkg_id"
-    )
-    p = packages.select("pkg_id", "repo_id", *(F.col(c).alias(f"p_{c}") for c in ("name", "epoch", "version", "release")))
-    own = p.select(F.col("p_name").alias("name"), F.col("p_epoch").alias("epoch"), F.col("p_version").alias("version"), F.col("p_release").alias("release"), "*")
-    given = caps.where("kind = 'provides'").select("pkg_id", "name", "epoch", "version", "release").distinct().join(p, "pkg_id")
-    rows = own.unionByName(given)
+    evr = ["epoch", "version", "release"]
+    order = package_order(packages)
+    rows = packages.select("name", "pkg_id", *evr)
+    rows = rows.unionByName(caps.where("kind = 'provides'").select("name", "pkg_id", *evr).distinct())
     if files is not None:
+        p = packages.select("pkg_id", "repo_id")
         first = files.distinct().join(p, "pkg_id").groupBy("path").agg(F.min(F.struct("repo_id", "pkg_id")).alias("o"))
         none = [F.lit(None).cast(t).alias(c) for c, t in (("epoch", "int"), ("version", "string"), ("release", "string"))]
-        rows = rows.unionByName(first.select(F.col("path").alias("name"), F.col("o.pkg_id").alias("pkg_id"), *none).join(p, "pkg_id"))
-    return rows.withColumn("place", F.dense_rank().over(rank)).select("name", "pkg_id", "epoch", "version", "release", "place")
+        rows = rows.unionByName(first.select(F.col("path").alias("name"), F.col("o.pkg_id").alias("pkg_id"), *none))
+    return rows.join(order, "pkg_id").select("name", "pkg_id", *evr, "place")
 
 
 def lookup(deps: DataFrame, provided: DataFrame) -> DataFrame:
     """DEP, outcome (no_provider, satisfied, version_unsatisfied) and pkg_id of the best provider, for the distinct dependencies.
 
-    Dependencies are made distinct before the candidate join. Its result goes straight into two minima of places, which combine map-side;
-    no window over candidates. A path dependency is satisfied by its owner.
+    Dependencies, and the EVRs that each name is provided with, are made distinct and get their keys before the candidate join. Its result
+    goes straight into two minima of places, which combine map-side; no window over candidates. A path dependency is satisfied by its owner.
     """
-    d = deps.select(*DEP).distinct().where(~is_rich(F.col("name")))
-    n = provided.select("name", "place", *(F.col(c).alias(f"p_{c}") for c in ("epoch", "version", "release")))
-    sign = compatible_compare(
-        (F.coalesce("p_epoch", F.lit(0)), F.col("p_version"), F.col("p_release")), (F.coalesce("epoch", F.lit(0)), F.col("version"), F.col("release"))
-    )
-    holds = constraint_holds(F.col("op"), F.when(F.col("p_version").isNotNull(), sign)) | F.col("name").startswith("/")
+    d = deps.select(*DEP).distinct().where(~is_rich(F.col("name"))).withColumn("d", evr_key(F.coalesce("epoch", F.lit(0)), F.col("version"), F.col("release")))
+    n = provided.groupBy("name", *(F.col(c).alias(f"p_{c}") for c in DEP[2:])).agg(F.min("place").alias("place"))
+    n = n.select("name", "place", F.when(F.col("p_version").isNotNull(), evr_key(F.coalesce("p_epoch", F.lit(0)), F.col("p_version"), F.col("p_release"))).alias("p"))
+    holds = constraint_holds(F.col("op"), F.when(F.col("p").isNotNull(), compatible_sign(F.col("p"), F.col("d")))) | F.col("name").startswith("/")
     best = (
         d.join(n, "name", "left")
         .groupBy(*DEP)
@@ -55,8 +59,8 @@ def lookup(deps: DataFrame, provided: DataFrame) -> DataFrame:
         .withColumn("place", F.coalesce("sat", "any"))
     )
     outcome = F.when(F.col("any").isNull(), "no_provider").when(F.col("sat").isNull(), "version_unsatisfied").otherwise("satisfied")
-    where = provided.select("name", "place", "pkg_id").distinct()
-    return best.join(where, ["name", "place"], "left").select(*DEP, outcome.alias("outcome"), "pkg_id")
+    where = provided.select("place", "pkg_id").distinct()
+    return best.join(where, "place", "left").select(*DEP, outcome.alias("outcome"), "pkg_id")
 
 
 def edges(caps: DataFrame, found: DataFrame) -> DataFrame:
@@ -79,15 +83,34 @@ def closure(roots: DataFrame, edges_: DataFrame, rounds: int = 1000) -> DataFram
     raise RuntimeError("the closure did not settle")
 
 
-def conflicts(packages: DataFrame, caps: DataFrame, provided: DataFrame) -> DataFrame:
-    """(pkg_id, victim, via): a package, another one whose name or Provides meets one of its Conflicts, and the first such capability's name."""
+def _conflicts(caps: DataFrame, provided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pkg_id, victim, via), via by number, and the numbers' names in order: numbers aggregate by hash where names would be sorted.
+
+    Both sides get their keys before they meet; the pairs that hold combine map-side to one a package and victim.
+    """
     c = caps.where("kind = 'conflicts'").select("pkg_id", *DEP).distinct()
-    p = provided.select("name", F.col("pkg_id").alias("victim"), *(F.col(x).alias(f"p_{x}") for x in ("epoch", "version", "release"))).distinct()
-    sign = compatible_compare(
-        (F.coalesce("p_epoch", F.lit(0)), F.col("p_version"), F.col("p_release")), (F.coalesce("epoch", F.lit(0)), F.col("version"), F.col("release"))
+    names = stored(c.select("name").distinct().orderBy("name").select("name", F.monotonically_increasing_id().alias("via")), "conflict-names")
+    c = c.join(names, "name").select("pkg_id", "name", "via", "op", evr_key(F.coalesce("epoch", F.lit(0)), F.col("version"), F.col("release")).alias("d"))
+    p = provided.select("name", "pkg_id", "epoch", "version", "release").distinct()
+    p = p.select(
+        "name", F.col("pkg_id").alias("victim"), F.when(F.col("version").isNotNull(), evr_key(F.coalesce("epoch", F.lit(0)), F.col("version"), F.col("release"))).alias("p")
     )
-    pairs = c.join(p, "name").where((F.col("pkg_id") != F.col("victim")) & constraint_holds(F.col("op"), F.when(F.col("p_version").isNotNull(), sign)))
-    return pairs.groupBy("pkg_id", "victim").agg(F.min("name").alias("via"))
+    holds = constraint_holds(F.col("op"), F.when(F.col("p").isNotNull(), compatible_sign(F.col("p"), F.col("d"))))
+    pairs = c.join(p, "name").where((F.col("pkg_id") != F.col("victim")) & holds)
+    return pairs.groupBy("pkg_id", "victim").agg(F.min("via").alias("via")), names
+
+
+def conflicts(caps: DataFrame, provided: DataFrame) -> DataFrame:
+    """(pkg_id, victim, via): a package, another one whose name or Provides meets one of its Conflicts, and the first such capability's name."""
+    pairs, names = _conflicts(caps, provided)
+    return pairs.withColumnRenamed("via", "no").join(names.withColumnRenamed("via", "no"), "no").select("pkg_id", "victim", F.col("name").alias("via"))
+
+
+def conflict_counts(caps: DataFrame, provided: DataFrame) -> DataFrame:
+    """(pkg_id, victims, via): how many other packages one conflicts with, and the first capability's name by which it does."""
+    pairs, names = _conflicts(caps, provided)
+    counts = pairs.groupBy("pkg_id").agg(F.count("*").alias("victims"), F.min("via").alias("via"))
+    return counts.join(names, "via").select("pkg_id", "victims", F.col("name").alias("via"))
 
 
 def conflicts_within(closed: DataFrame, found: DataFrame) -> DataFrame:

@@ -24,12 +24,14 @@ def publish(stream: DataFrame, out: str, checkpoint: str, rules: list[str] | Non
 
     def analyse(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy("spec_id").agg(F.max_by("text", "changed").alias("text"))
-        lint(parse(newest, keep=True), rules).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        found = lint(parse(newest, keep=True), rules)
+        seen = newest.select("spec_id")  # a row without a rule says that the recipe was looked at
+        found.unionByName(seen, allowMissingColumns=True).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(analyse).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(findings: DataFrame) -> DataFrame:
-    """Of each recipe the findings of its last batch; a recipe that has become clean keeps those of its last batch with findings."""
+    """Of each recipe the findings of its last batch; none of a recipe that has become clean."""
     last = findings.groupBy("spec_id").agg(F.max("batch").alias("batch"))
-    return findings.join(last, ["spec_id", "batch"], "left_semi")
+    return findings.join(last, ["spec_id", "batch"], "left_semi").where("lint_id is not null")

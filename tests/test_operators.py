@@ -45,32 +45,32 @@ def test_version_texts(spark):
     rows = [("1:2.3-4.el9",), ("2.3-4",), ("2.3",), ("x:2-3",), ("1:2:3-4",), ("-4",), (None,), ("99999999999:1-1",)]
     got = [r["e"] for r in spark.createDataFrame(rows, "s string").select(evr.evr_parse(F.col("s")).alias("e")).collect()]
     assert [tuple(e) if e else None for e in got][:2] == [(1, "2.3", "4.el9"), (0, "2.3", "4")] and got[2] is None and got[3] is None and got[5:] == [None, None, None]
-    one = spark.createDataFrame([("bash-5.1-2.src.rpm", "(MIT OR Apache-2.0) and BSD", 1536, 0, "1", "2")], "s string, l string, n long, e int, v string, r string")
+    one = spark.createDataFrame([("tarn-5.1-2.src.rpm", "(MIT OR Apache-2.0) and BSD", 1536, 0, "1", "2")], "s string, l string, n long, e int, v string, r string")
     r = one.select(
         evr.source_rpm_name(F.col("s")).alias("a"), evr.spdx_atoms(F.col("l")).alias("b"), evr.byte_size_text(F.col("n")).alias("c"), evr.evr_text(F.col("e"), F.col("v"), F.col("r")).alias("d"),
         evr.capability_text(F.lit("x"), F.lit("GE"), F.lit(1), F.lit("2"), F.lit("")).alias("f"),
     ).head()
-    assert tuple(r) == ("bash", ["MIT", "Apache-2.0", "BSD"], "1.5 KiB", "1-2", "x >= 1:2")
+    assert tuple(r) == ("tarn", ["MIT", "Apache-2.0", "BSD"], "1.5 KiB", "1-2", "x >= 1:2")
     assert evr.like_escaped(r"a%b_c\d") == r"a\%b\_c\\d"
 
 
 UNIVERSE = [
     # pkg_id, repo_id, name, epoch, version, release, arch, source_name, size_installed
-    (1, "r0", "bash", 0, "5.1.8", "9.el9", "x86_64", "bash", 10),
-    (2, "r0", "glibc", 0, "2.34", "1.el9", "x86_64", "glibc", 20),
-    (3, "r0", "cmake", 0, "3.20.0", "1.el9", "x86_64", "cmake", 30),
-    (4, "r0", "cmake", 0, "3.26.5", "2.el9", "x86_64", "cmake", 40),
-    (5, "r0", "systemd-devel", 0, "252", "1.el9", "x86_64", "systemd", 50),
-    (6, "r1", "cmake", 0, "4.0", "1", "x86_64", "cmake", 60),
+    (1, "r0", "tarn", 0, "7.3.1", "9.el9", "x86_64", "tarn", 10),
+    (2, "r0", "ember", 0, "4.12", "1.el9", "x86_64", "ember", 20),
+    (3, "r0", "plinth", 0, "1.8.0", "1.el9", "x86_64", "plinth", 30),
+    (4, "r0", "plinth", 0, "1.14.2", "2.el9", "x86_64", "plinth", 40),
+    (5, "r0", "lattice-devel", 0, "88", "1.el9", "x86_64", "lattice", 50),
+    (6, "r1", "plinth", 0, "2.0", "1", "x86_64", "plinth", 60),
 ]
 PACKAGES = "pkg_id long, repo_id string, name string, epoch int, version string, release string, arch string, source_name string, size_installed long"
 CAPS = "pkg_id long, kind string, name string, op string, epoch int, version string, release string"
 GIVEN = [
-    (5, "provides", "pkgconfig(libsystemd)", "NONE", None, None, None),
-    (2, "provides", "libc", "EQ", 0, "2.34", ""),
-    (4, "requires", "bash", "NONE", None, None, None),
-    (1, "requires", "glibc", "GE", 0, "2.34", ""),
-    (5, "conflicts", "bash", "LT", 0, "6", ""),
+    (5, "provides", "pkgconfig(liblattice)", "NONE", None, None, None),
+    (2, "provides", "libc", "EQ", 0, "4.12", ""),
+    (4, "requires", "tarn", "NONE", None, None, None),
+    (1, "requires", "ember", "GE", 0, "4.12", ""),
+    (5, "conflicts", "tarn", "LT", 0, "8", ""),
 ]
 
 
@@ -82,15 +82,15 @@ def universe(spark):
 def test_lookup(spark, universe):
     p, c, f = universe
     wanted = [
-        ("cmake", "NONE", None, None, None), ("cmake", "GE", 0, "3.28", ""), ("cmake", "LT", 0, "3.26.5", ""), ("cmake", "GE", 0, "5", ""), ("missing-package", "NONE", None, None, None),
-        ("pkgconfig(libsystemd)", "NONE", None, None, None), ("pkgconfig(libsystemd)", "GE", 0, "1", ""), ("/bin/sh", "NONE", None, None, None), ("(a or b)", "NONE", None, None, None), ("libc", "EQ", 0, "2.34", "7"),
+        ("plinth", "NONE", None, None, None), ("plinth", "GE", 0, "1.20", ""), ("plinth", "LT", 0, "1.14.2", ""), ("plinth", "GE", 0, "3", ""), ("missing-package", "NONE", None, None, None),
+        ("pkgconfig(liblattice)", "NONE", None, None, None), ("pkgconfig(liblattice)", "GE", 0, "1", ""), ("/bin/sh", "NONE", None, None, None), ("(a or b)", "NONE", None, None, None), ("libc", "EQ", 0, "4.12", "7"),
     ]
     deps = spark.createDataFrame(wanted, "name string, op string, epoch int, version string, release string")
     got = {(r["name"], r["op"], r["version"]): (r["outcome"], r["pkg_id"]) for r in resolve.lookup(deps, resolve.providers(p, c, f)).collect()}
     assert got == {
-        ("cmake", "NONE", None): ("satisfied", 4), ("cmake", "GE", "3.28"): ("satisfied", 6), ("cmake", "LT", "3.26.5"): ("satisfied", 3), ("cmake", "GE", "5"): ("version_unsatisfied", 4),
-        ("missing-package", "NONE", None): ("no_provider", None), ("pkgconfig(libsystemd)", "NONE", None): ("satisfied", 5), ("pkgconfig(libsystemd)", "GE", "1"): ("version_unsatisfied", 5),
-        ("/bin/sh", "NONE", None): ("satisfied", 1), ("libc", "EQ", "2.34"): ("satisfied", 2),
+        ("plinth", "NONE", None): ("satisfied", 4), ("plinth", "GE", "1.20"): ("satisfied", 6), ("plinth", "LT", "1.14.2"): ("satisfied", 3), ("plinth", "GE", "3"): ("version_unsatisfied", 4),
+        ("missing-package", "NONE", None): ("no_provider", None), ("pkgconfig(liblattice)", "NONE", None): ("satisfied", 5), ("pkgconfig(liblattice)", "GE", "1"): ("version_unsatisfied", 5),
+        ("/bin/sh", "NONE", None): ("satisfied", 1), ("libc", "EQ", "4.12"): ("satisfied", 2),
     }
 
 
@@ -100,8 +100,8 @@ def test_closure_and_conflicts(spark, universe):
     found = resolve.lookup(c.where("kind = 'requires'"), provided)
     closed = resolve.closure(p.where("pkg_id = 4"), resolve.edges(c, found))
     assert {tuple(r) for r in closed.collect()} == {(4, 0), (1, 1), (2, 2)}
-    pairs = resolve.conflicts(p, c, provided)
-    assert [tuple(r) for r in pairs.collect()] == [(5, 1, "bash")]
+    pairs = resolve.conflicts(c, provided)
+    assert [tuple(r) for r in pairs.collect()] == [(5, 1, "tarn")]
     assert resolve.conflicts_within(closed, pairs).count() == 0
     loop = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "pkg_id long, needs long")
     assert resolve.closure(p.where("pkg_id = 1"), loop).count() == 3
@@ -116,9 +116,9 @@ def test_compatible_compare(spark):
 
 def test_upgrades_and_owners(spark, universe):
     p, _, f = universe
-    new = spark.createDataFrame([("cmake", 0, "3.26.5", "2.el9"), ("bash", 0, "5.0", "1"), ("glibc", 0, "2.35", "1"), ("zsh", 0, "1", "1")], "name string, epoch int, version string, release string")
+    new = spark.createDataFrame([("plinth", 0, "1.14.2", "2.el9"), ("tarn", 0, "5.0", "1"), ("ember", 0, "4.13", "1"), ("zsh", 0, "1", "1")], "name string, epoch int, version string, release string")
     got = {r["name"]: r["verdict"] for r in resolve.upgrades(new, p.where("repo_id = 'r0'")).collect()}
-    assert got == {"cmake": "same", "bash": "regress", "glibc": "upgrade", "zsh": "new"}
+    assert got == {"plinth": "same", "tarn": "regress", "ember": "upgrade", "zsh": "new"}
     assert [r["pkg_id"] for r in repo.first_owner(f, p).collect()] == [1]
     assert repo.shared_paths(f, p).head()["owners"] == 2
 
@@ -168,7 +168,7 @@ PRIMARY = """<?xml version="1.0"?>
 <package type="rpm"><name>tool</name><arch>x86_64</arch><version epoch="1" ver="2.30" rel="4"/><checksum type="sha256" pkgid="YES">AB01</checksum><summary>T</summary>
 <size package="1" installed="77"/><location href="t.rpm"/><format><rpm:sourcerpm>tool-2.30-4.src.rpm</rpm:sourcerpm>
 <rpm:provides><rpm:entry name="tool" flags="EQ" epoch="1" ver="2.30" rel="4"/></rpm:provides>
-<rpm:requires><rpm:entry name="lib" flags="GE" ver="2.34"/><rpm:entry name="sh"/></rpm:requires><file>/usr/bin/tool</file></format></package>
+<rpm:requires><rpm:entry name="lib" flags="GE" ver="4.12"/><rpm:entry name="sh"/></rpm:requires><file>/usr/bin/tool</file></format></package>
 <package type="rpm"><name>lib</name><arch>noarch</arch><version epoch="0" ver="3" rel="1"/><checksum type="sha256">cd02</checksum><format/></package>
 </metadata>"""
 
@@ -179,7 +179,7 @@ def test_package_metadata(spark, tmp_path):
     rows = {r["name"]: r for r in p.collect()}
     assert (rows["tool"]["pkg_id"], rows["tool"]["epoch"], rows["tool"]["version"], rows["tool"]["size_installed"], rows["tool"]["files"]) == ("ab01", 1, "2.30", 77, ["/usr/bin/tool"])
     caps = {tuple(r)[2:] for r in metadata.capabilities(p).collect()}
-    assert caps == {("provides", 0, "tool", "EQ", 1, "2.30", "4"), ("requires", 0, "lib", "GE", 0, "2.34", ""), ("requires", 1, "sh", "NONE", None, None, None)}
+    assert caps == {("provides", 0, "tool", "EQ", 1, "2.30", "4"), ("requires", 0, "lib", "GE", 0, "4.12", ""), ("requires", 1, "sh", "NONE", None, None, None)}
     (tmp_path / "filelists.xml").write_text('<filelists><package pkgid="AB01" name="tool" arch="x"><version ver="1"/><file>/a</file><file type="dir">/b</file></package></filelists>')
     (tmp_path / "repomd.xml").write_text('<repomd><data type="primary"><checksum type="sha256">99</checksum><location href="x/primary.xml.gz"/></data></repomd>')
     assert [tuple(r) for r in metadata.read_repomd(spark, str(tmp_path / "repomd.xml")).collect()] == [("primary", "x/primary.xml.gz", "99")]

@@ -12,3 +12,8 @@ def test_changed_recipes(spark, tmp_path):
     run()
     rows = latest(spark.read.parquet(str(tmp_path / "out"))).collect()
     assert sorted((r["spec_id"][-6:], r["lint_id"], r["batch"]) for r in rows) == [("a.spec", "RPM055", 0), ("a.spec", "RPM056", 0), ("b.spec", "RPM055", 1)]
+    (tmp_path / "in" / "a2.spec").write_text("Name: a2\nSummary: Fine\n")
+    run()
+    assert latest(spark.read.parquet(str(tmp_path / "out"))).count() == 3
+    cleaned = spark.createDataFrame([("a", "RPM055", 0), ("a", None, 0), ("a", None, 1), ("b", "RPM055", 0), ("b", None, 0)], "spec_id string, lint_id string, batch int")
+    assert [r["spec_id"] for r in latest(cleaned).collect()] == ["b"]
