@@ -16,6 +16,8 @@ from .common import mix, sliced, table
 WINDOW, SHORTEST, COVERED, SHARE = 8, 5, 13, 0.8
 #: Diagonals of the narrower bands in which the parts of an edited copy count together; the wider ones follow the item's length.
 NEAR = 16
+#: Bytes of texts that are read at a time.
+READ = 200_000
 #: Bits of the filter of benchmark windows: a table of 2**26 / 64 numbers at most, whatever the benchmark's size.
 FILTER_BITS = 26
 
@@ -66,14 +68,13 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
 
     A number, a unit right after a number and a run of names (capitalised words that don't begin a sentence) each become one placeholder.
     """
-    return _read(text)[:4]
+    return _read(_TOKEN.findall(text))[:4]
 
 
-def _read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """The template, and a hash for each word or sign (run of operators) as it is, and for each word: these don't depend on what stands around a word."""
-    found = _TOKEN.findall(text)
+def _read(found: list[str]) -> tuple:
+    """The template, and a hash for each word or sign (run of operators) as it is, and for each word: these don't depend on what stands around a word. Last what each token found may be."""
     code = np.fromiter(map(_tokens.__getitem__, found), np.uint64, len(found))
-    kind = (code & np.uint64(7)).astype(np.int8)
+    raw = kind = (code & np.uint64(7)).astype(np.int8)
     own = mix(code[kind != _STOP] | np.uint64(7))
     plain = own
     if (kind == _SIGN).any():
@@ -89,7 +90,7 @@ def _read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.
     first = np.flatnonzero(~more)
     kind = kind[first]
     code = np.where(kind == _LITERAL, plain[first], _PLACEHOLDER[kind])
-    return code, kind, np.r_[first, len(word)], [found[i] for i in word], own, plain
+    return code, kind, np.r_[first, len(word)], [found[i] for i in word.tolist()], own, plain, raw
 
 
 def _sums(code: np.ndarray, size: int) -> np.ndarray:
@@ -149,7 +150,7 @@ def _item_windows(batches):
     for batch in batches:
         rows = []
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            code, kind, bound, words, own, _ = _read(t)
+            code, kind, bound, words, own, _, _ = _read(_TOKEN.findall(t))
             size = min(WINDOW, len(own))
             if size:
                 h = verbatim(own, size)
@@ -198,29 +199,50 @@ def leaks(
             s = h & np.uint64((1 << FILTER_BITS) - 1)
             return np.flatnonzero(filled[s >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1))
 
-        for batch in sliced(batches, 1):
-            rows = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                code, kind, bound, found, own, plain = _read(t)
-                for size in sizes:
-                    h, at = windows(code, kind, size) if size > 0 else (verbatim(own, -size), None)
+        # Texts are read many at a time, a stop between them: a sentence opens with each, so no run of names crosses. Windows that cross are left out.
+        for batch in sliced(batches, 1, READ):
+            ids, rows = batch.column(0).to_numpy(), []
+            found, ends = [], []
+            for t in batch.column(1).to_pylist():
+                found += _TOKEN.findall(t)
+                found.append("\n")
+                ends.append(len(found))
+            code, kind, bound, words, own, plain, raw = _read(found)
+            last = np.array(ends) - 1
+            word_ends = np.cumsum((raw != _STOP) & (raw != _SIGN))[last]  # words, and words or signs, up to each text's end
+            own_ends = np.cumsum(raw != _STOP)[last]
+
+            def text_of(place: np.ndarray, upto: np.ndarray) -> np.ndarray:
+                return np.searchsorted(upto, place, "right")
+
+            for size in sizes:
+                if size < 0:
+                    h = verbatim(own, -size)
                     ok = known_windows(h)
-                    if size < 0:
-                        if size > -WINDOW:  # the whole of an item: one place is enough
-                            ok = ok[np.unique(h[ok], return_index=True)[1]]
-                        rows += [(d, int(h[i].view(np.int64)), int(i), size, 0, []) for i in ok]
-                        continue
-                    rows += [(d, int(h[i].view(np.int64)), int(at[i]), size, 0, slots(kind, bound, found, at[i], size)) for i in ok]
-                    h, at, run = opened(code, kind, bound, plain, size)
-                    for i in known_windows(h):
-                        a, more = int(at[i]), int(run[i])
-                        rest = [" ".join(found[bound[a] + 1 : bound[a + 1]]).lower()] if more else []
-                        rows.append((d, int(h[i].view(np.int64)), a - more, size, 0, rest + slots(kind, bound, found, a + 1, size - 1 - more)))
-                if len(rows) > 20_000:
-                    yield _emit(rows)
-                    rows = []
-            if rows:
-                yield _emit(rows)
+                    doc = text_of(ok, own_ends)
+                    ok, doc = (x[doc == text_of(ok - size - 1, own_ends)] for x in (ok, doc))
+                    if size > -WINDOW:  # the whole of an item: one place is enough
+                        once = np.unique(np.stack([doc.astype(np.uint64), h[ok]]), axis=1, return_index=True)[1]
+                        ok, doc = ok[once], doc[once]
+                    rows += [(int(ids[d]), int(h[i].view(np.int64)), int(i - (own_ends[d - 1] if d else 0)), size, 0, []) for i, d in zip(ok.tolist(), doc.tolist(), strict=True)]
+                    continue
+                h, at = windows(code, kind, size)
+                ok = known_windows(h)
+                at, h = at[ok], h[ok]
+                first = np.searchsorted(bound, np.r_[0, word_ends[:-1]])  # each text's first template token
+                doc = text_of(bound[at], word_ends)
+                same = np.flatnonzero(doc == text_of(bound[at + size] - 1, word_ends))
+                rows += [(int(ids[doc[i]]), int(h[i].view(np.int64)), int(at[i] - first[doc[i]]), size, 0, slots(kind, bound, words, at[i], size)) for i in same.tolist()]
+                h, at, run = opened(code, kind, bound, plain, size)
+                ok = known_windows(h)
+                doc = text_of(bound[at], word_ends)
+                for i in ok.tolist():
+                    a, more, d = int(at[i]), int(run[i]), int(doc[i])
+                    if bound[a + size - more] <= word_ends[d]:
+                        rest = [" ".join(words[bound[a] + 1 : bound[a + 1]]).lower()] if more else []
+                        rows.append((int(ids[d]), int(h[i].view(np.int64)), int(a - more - first[d]), size, 0, rest + slots(kind, bound, words, a + 1, size - 1 - more)))
+            for i in range(0, len(rows), 20_000):
+                yield _emit(rows[i : i + 20_000])
 
     d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     seen = d.mapInArrow(hits, _ROWS).select(F.col("id").alias("doc_id"), "hash", "size", F.col("at").alias("d_at"), F.col("slots").alias("d_slots"))
