@@ -178,7 +178,8 @@ def leaks(
     Windows of words as they are (numbers, names, units and runs of operators too, in lower case) are joined in the same way and judged alone, so a verbatim
     copy is found whatever it consists of, and an item of under WINDOW words by all of them in a row. Only re-parameterised matching asks for
     windows with half their tokens literal and items of SHORTEST template tokens. windows, item_windows and covered are those of the kind that matched best.
-    Items without a word or operator match nothing; null or empty texts have no windows; null ids are left out. Repeated rows count once;
+    Items without a word or operator match nothing; null or empty texts have no windows. Documents with a null id are judged each by itself and
+    returned with that null id; items with a null id are left out. Repeated rows count once;
     extra columns are ignored; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
@@ -244,8 +245,11 @@ def leaks(
             for i in range(0, len(rows), 20_000):
                 yield _emit(rows[i : i + 20_000])
 
-    d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    seen = d.mapInArrow(hits, _ROWS).select(F.col("id").alias("doc_id"), "hash", "size", F.col("at").alias("d_at"), F.col("slots").alias("d_slots"))
+    d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null")
+    named = d.where("id is not null").mapInArrow(hits, _ROWS).withColumn("nameless", F.lit(False))
+    # A document without an id goes by its text's hash.
+    nameless = d.where("id is null").select(F.xxhash64("text").alias("id"), "text").mapInArrow(hits, _ROWS).withColumn("nameless", F.lit(True))
+    seen = named.unionByName(nameless).select(F.struct("nameless", F.col("id").alias("id")).alias("doc"), "hash", "size", F.col("at").alias("d_at"), F.col("slots").alias("d_slots"))
     both = seen.join(known.select(F.col("id").alias("item_id"), "hash", "size", "at", "total", "slots"), ["hash", "size"])
     both = both.where(F.size("slots") == F.size("d_slots"))
     # Each match counts on its own diagonal and among its neighbours: bands of two widths, each at two offsets, so that close diagonals share one.
@@ -257,7 +261,7 @@ def leaks(
     ]
     each = both.withColumn("band", F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), x.alias("at")) for i, x in bands))))
     pair = F.arrays_zip(F.col("slots").alias("b"), F.col("d_slots").alias("d"))
-    by = each.groupBy("doc_id", "item_id", "size", "total", "band").agg(F.collect_set(F.struct("at", pair.alias("pairs"))).alias("hits"))
+    by = each.groupBy("doc", "item_id", "size", "total", "band").agg(F.collect_set(F.struct("at", pair.alias("pairs"))).alias("hits"))
     # A value of the item with several values in the document, or a name that stands for several of the item's names, takes its windows out; what is verbatim stays.
     by = by.withColumn("pairs", F.array_distinct(F.flatten("hits.pairs")))
     # 'if bob' and 'bob' are one value: a run of names may begin with a word that opens a sentence.
@@ -281,13 +285,13 @@ def leaks(
         lambda a: a["c"],
     )
     fit = by.select(
-        "doc_id", "item_id", n.alias("windows"), F.col("total").alias("item_windows"), covered.alias("covered"), (n / F.col("total")).alias("share"),
+        "doc", "item_id", n.alias("windows"), F.col("total").alias("item_windows"), covered.alias("covered"), (n / F.col("total")).alias("share"),
         F.exists(F.flatten("hits.pairs"), lambda p: p["b"] != p["d"]).alias("reparameterised"),
     ).where((F.col("covered") >= COVERED) | (F.col("share") >= SHARE))
     best = F.struct("windows", "covered", "item_windows", "share", (~F.col("reparameterised")).alias("same"))
-    out = fit.groupBy("doc_id", "item_id").agg(F.max(best).alias("m"))
+    out = fit.groupBy("doc", "item_id").agg(F.max(best).alias("m"))
     return out.select(
-        "doc_id", "item_id", "m.windows", "m.item_windows", "m.covered", "m.share", (~F.col("m.same")).alias("reparameterised")
+        F.when(~F.col("doc.nameless"), F.col("doc.id")).alias("doc_id"), "item_id", "m.windows", "m.item_windows", "m.covered", "m.share", (~F.col("m.same")).alias("reparameterised")
     )
 
 

@@ -25,7 +25,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) ->
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        home = np.argmax(x @ c.T, axis=1)
+        home = np.concatenate([np.argmax(x[i : i + 4096] @ c.T, axis=1) for i in range(0, len(x), 4096)])
         total = np.zeros_like(c)
         np.add.at(total, home, x)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
@@ -98,13 +98,14 @@ def embedding_near_duplicates(
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector. Vectors of one label link where their cosine, in double precision, is at least `least`.
 
-    Equal vectors of a label are first made one row with a count, so copies never meet in pairs. Cells come from spherical
+    Equal vectors of a label are first made one class with a number and a count of its vec_ids, so copies never meet in pairs. Cells come from spherical
     k-means on at most SAMPLE vectors; every vector is indexed in its own cell and in those whose border is near enough (cells_of), which
     loses no pair. A cell's rows are dealt into blocks of about BLOCK rows, and pairs of blocks are multiplied in separate tasks: a
     large cell is many tasks, none of them large. Tasks return counts and spanning edges, not pairs.
 
     A null, empty or zero vector, one with null or non-finite components, a null label or a null vec_id links with nothing; such a
-    row is its own component. Only vectors of one length are compared. Repeated rows are copies of each other. Extra columns are ignored. An empty table gives no rows.
+    row is its own component. Only vectors of one length are compared. Repeated rows don't link with each other: n_links counts the other vec_ids among equal vectors, and those of
+    each linked class of equal vectors. Rows of one vec_id with different vectors are nodes of their own. Extra columns are ignored. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col(key).alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("e"))
@@ -113,8 +114,13 @@ def embedding_near_duplicates(
         " and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     )
     v = v.withColumn("e", F.when(F.coalesce(fine, F.lit(False)), F.col("e")))
-    classes = materialize(v.where("e is not null").groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "embed-classes")
-    sample = classes.orderBy(F.xxhash64("id", "label")).limit(SAMPLE).select("e").toArrow().to_pandas()["e"]
+    classes = v.where("e is not null").groupBy("label", "e").agg(F.min("vec_id").alias("least"), F.countDistinct("vec_id").alias("n"))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "embed-classes")
+    # Only about as many rows as are wanted, chosen by hash, go to the one task that takes the first of them.
+    share = min(1.0, 1.2 * SAMPLE / max(classes.count(), 1) + 1e-9)
+    order = F.xxhash64("least", "label", "e")
+    some = classes.where(F.pmod(order, F.lit(1 << 30)) <= int(share * (1 << 30)))
+    sample = some.orderBy(order).limit(SAMPLE).select("e").toArrow().to_pandas()["e"]
     centroids: dict[int, np.ndarray] = {}
     if len(sample):
         largest = classes.groupBy("label").count().agg(F.max("count")).head()[0]
@@ -167,9 +173,12 @@ def embedding_near_duplicates(
     found = materialize(found.applyInPandas(compare, f"id {kind['id']}, links long, other {kind['id']}"), "embed-links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")), "embed-edges").withColumnRenamed("node", "id")
-    done = classes.join(counts, "id", "left").join(parts, "id", "left").select("label", "e", "n", "id", F.coalesce("links", F.lit(0)).alias("links"), "component")
+    least_of = parts.join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("component_id"))
+    parts = parts.join(least_of, "component").select("id", "component_id")
+    done = classes.join(counts, "id", "left").join(parts, "id", "left")
+    done = done.select("label", "e", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component_id", "least").alias("component_id"))
     linked = v.where("e is not null").join(done, ["label", "e"]).select(
-        "vec_id", (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
+        "vec_id", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id"
     )
     alone = v.where("e is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

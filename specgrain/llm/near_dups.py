@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, i64, join_hash, marked, materialize, mix, shingles, sliced, slices, table
@@ -254,6 +254,20 @@ def similar_texts(docs: DataFrame, least: float, shingle: int, bands: int, rows:
     return materialize(sure, "near-sure").unionByName(materialize(unsure.mapInArrow(_resolved(shingle, least), "a long, b long"), "near-unsure"))
 
 
+#: Names that may be shared by different texts; even 2**40 texts have only some 70,000 expected.
+SHARED = 1 << 17
+
+
+def text_id(docs: DataFrame) -> Column:
+    """A name of 64 bits for each text of docs (text), so that texts that differ in 128 bits (the name itself, crc32 and length) have different ones."""
+    name, check = F.xxhash64("text"), F.crc32(F.col("text").cast("binary")).bitwiseXOR(F.shiftleft(F.octet_length("text").cast("long"), 32))
+    twice = docs.select(name.alias("id"), check.alias("c")).groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
+    shared = [r["id"] for r in twice.select("id").limit(SHARED + 1).collect()]
+    if len(shared) > SHARED:
+        raise ValueError("too many texts share a name")
+    return F.when(name.isin(shared), F.xxhash64("text", check)).otherwise(name) if shared else name
+
+
 def near_duplicates(
     docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = BANDS, rows: int = ROWS, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
@@ -265,12 +279,15 @@ def near_duplicates(
     each bucket, dealt into blocks if it is large, longer sketches choose what to verify: n surely similar texts give n - 1 pairs,
     texts that are surely unlike none; unsure pairs are settled where their bucket is, one link for those that others join. All links are verified on whole texts. group_id: the group's smallest doc_id, which alone is kept.
 
+    Texts are named by 64 bits; where two texts that differ in their crc32 or length share a name, they get longer ones (text_id).
+
     Null or empty texts have no shingles: they are alike as exact copies (null counts as empty). Texts of fewer than five words are
     one shingle. Of repeated rows with one doc_id all have that row's result. A null doc_id is grouped by its text, and kept only in a
     group that has no other id. Extra columns are ignored. An empty table gives no rows.
     """
     body = F.coalesce(F.col(text), F.lit("")).alias("text")
-    d = docs.select(F.col(key).alias("doc_id"), body).withColumn("id", F.xxhash64("text"))
+    d = docs.select(F.col(key).alias("doc_id"), body)
+    d = d.withColumn("id", text_id(d))
     edges = similar_texts(d.select("id", "text"), least, shingle, bands, rows)
     named = connected_components(edges, "near-edges").select(F.col("node").alias("id"), "component")
     rows_ = materialize(d.select("doc_id", "id").join(named, "id", "left").select("doc_id", F.coalesce("component", "id").alias("group")), "near-groups")

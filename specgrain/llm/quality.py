@@ -42,7 +42,9 @@ def statistics(texts: list[str]) -> np.ndarray:
     begin[off[:-1][size > 0]] = ~blank[off[:-1][size > 0]]
     words = per_text(begin)
     capital = per_text(begin & (cls == 2))
-    marked = per_text(~blank & np.r_[blank[1:], True] & (cls >= 6)) if len(cls) else words
+    last = np.r_[blank[1:], True] if len(cls) else blank
+    last[ends[size > 0] - 1] = True
+    marked = per_text(~blank & last & (cls >= 6))
     # Rates of short texts are drawn towards those of ordinary prose by a few imagined words, and so aren't extreme by chance.
     w, b, lines = words + 10.0, size + 60.0, n[11] + 1
     distinct_words = np.array([len(set(e.split())) for e in enc], float)
@@ -57,8 +59,8 @@ def statistics(texts: list[str]) -> np.ndarray:
     )
 
 
-def document_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and the array of STATS of every whole text; a null text counts as empty."""
+def document_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, keep and the array of STATS of every whole text; a null text counts as empty."""
 
     def run(batches):
         for batch in sliced(batches, 1):
@@ -66,11 +68,12 @@ def document_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id"
             x = np.concatenate([statistics(texts[a:b]) for a, b in slices(texts)] or [np.zeros((0, len(STATS)))])
             flat = pa.array(x.ravel())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.FixedSizeListArray.from_arrays(flat, len(STATS)).cast(pa.list_(pa.float64()))], ["doc_id", "stats"]
+                [batch.column(0), pa.FixedSizeListArray.from_arrays(flat, len(STATS)).cast(pa.list_(pa.float64())), *batch.columns[2:]], ["doc_id", "stats", *keep]
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, stats array<double>")
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_body"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep))).mapInArrow(run, f"doc_id {kind}, stats array<double>{more}")
 
 
 class Fourier:
@@ -128,9 +131,10 @@ def isotonic(score: np.ndarray, mean: np.ndarray, weight: np.ndarray) -> tuple[n
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, features: int = 256, width: float = 4.0, ridge: float = 1e-4, threshold: float = 0.7, seed: int = 7
-) -> DataFrame:
-    """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold) of every document.
+    docs: DataFrame, labels: DataFrame, features: int = 256, width: float = 4.0, ridge: float = 1e-4, threshold: float = 0.7, seed: int = 7,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """doc_id, keep (further columns of docs), held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold) of every document.
 
     Labels count only where crc32(doc_id as text) mod 4 is not 2: remainders 0 and 3 fit the ridge scores, remainder 1 the
     isotonic calibration (labels pooled in bins of 1e-4 of the score). Inputs of a score are the text's statistics alone.
@@ -139,7 +143,7 @@ def quality_scores(
     count as their mean. A null doc_id is scored and never learnt from. With no labels all scores are 0.5 and, without calibration
     rows, the clipped ridge score. Repeated rows give repeated rows; extra columns are ignored; an empty table gives no rows.
     """
-    stats = materialize(document_statistics(docs), "quality-stats")
+    stats = materialize(document_statistics(docs, keep=keep), "quality-stats")
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("y"))
     fold = crc_mod(F.col("doc_id"), 4)
     train = materialize(stats.where(fold != 2).join(known, "doc_id").select("stats", "y", fold.alias("fold")), "quality-train")
@@ -147,10 +151,10 @@ def quality_scores(
     n = len(STATS)
     at = fit.select(*(F.col("stats")[i].alias(f"s{i}") for i in range(n)))
     m = at.agg(F.count("*").alias("n"), *(F.avg(f"s{i}") for i in range(n)), *(F.stddev_pop(f"s{i}") for i in range(n))).head()
-    held = (fold == 2).alias("held_out")
+    held = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
     if not m[0]:
         score = F.lit(0.5)
-        return stats.select("doc_id", held, score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+        return stats.select("doc_id", *keep, held, score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
     fourier = Fourier(np.array(m[1 : n + 1], float), np.array(m[n + 1 :], float), features, width, seed)
     a, b = normal_equations(fit, fourier)
     weights = np.linalg.solve(a + ridge * m[0] * np.eye(len(a)), b)
@@ -181,12 +185,13 @@ def quality_scores(
         for pdf in frames:
             raw = fourier(np.stack(pdf["stats"].to_numpy())) @ weights if len(pdf) else np.zeros(0)
             score = np.clip(np.interp(raw, xs, ys), 0, 1)
-            yield pdf[["doc_id"]].assign(score=score, predicted=(score >= threshold).astype(np.int32))
+            yield pdf[["doc_id", *keep]].assign(score=score, predicted=(score >= threshold).astype(np.int32))
 
     kind = stats.schema["doc_id"].dataType.simpleString()
+    more = "".join(f", {c} {stats.schema[c].dataType.simpleString()}" for c in keep)
     return (
-        stats.mapInPandas(final, f"doc_id {kind}, score double, predicted int")
-        .select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+        stats.mapInPandas(final, f"doc_id {kind}{more}, score double, predicted int")
+        .select("doc_id", *keep, held, "score", "predicted")
     )
 
 

@@ -65,6 +65,12 @@ def test_quality(spark, docs, empty):
     assert quality.quality_scores(empty, labels).count() == 0
 
 
+def test_statistics_depend_on_the_text_alone():
+    texts = [*(t or "" for t in ODD), "#### $$", "a b", "", "x\n#"]
+    whole = quality.statistics(texts)
+    assert all(np.array_equal(whole[i], quality.statistics([t])[0]) for i, t in enumerate(texts))
+
+
 def test_isotonic_is_the_least_squares_fit():
     x, y = quality.isotonic(np.arange(6.0), np.array([0, 1, 0, 1, 1, 0.5]), np.ones(6))
     assert np.allclose(y, [0, 0.5, 2.5 / 3]) and (np.diff(x) > 0).all()
@@ -77,7 +83,7 @@ def test_decontamination(spark, empty):
     table = spark.createDataFrame([(1, "Well. " + asked), (2, mixed), (3, f"see: {item} ok"), (4, prose(1)), (5, None), (None, item), (6, ""), (3, f"see: {item} ok")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, item, "x"), (8, None, "x"), (9, "too short", "x"), (7, item, "x")], "item_id long, text string, doc_id string")
     got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontamination.leaks(table, bench).collect()}
-    assert got == {(1, 7, True), (3, 7, False)}
+    assert got == {(1, 7, True), (3, 7, False), (None, 7, False)}
     assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(table, bench.limit(0)).count() == 0
 
 
@@ -182,6 +188,11 @@ def test_embedding_near_duplicates(spark, monkeypatch):
         out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dups.embedding_near_duplicates(table).collect()}
         assert out == {i: (len(links[i]), least(i), least(i) == i) for i in links} | {i: (0, i, True) for i, _, _ in odd}
     assert embedding_dups.embedding_near_duplicates(table.limit(0)).count() == 0
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [1.0, 0.01]
+    rows = [(1, a, 1, "x"), (1, a, 1, "x"), (2, c, 1, "x"), (2, b, 0, "x"), (None, a, 1, "x"), (3, b, 1, "x")]
+    again = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, cell string")
+    got = sorted(tuple(r) for r in embedding_dups.embedding_near_duplicates(again).where("vec_id is not null").collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (2, 1, 1, False), (3, 0, 3, True)]
 
 
 def test_hilbert_curve_steps_to_neighbours():
