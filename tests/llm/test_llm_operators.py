@@ -1,6 +1,7 @@
 """The numbered operators against brute force, public libraries and odd rows."""
 
 import collections
+import gzip
 import hashlib
 import math
 import re
@@ -134,14 +135,56 @@ def test_warc_round_trip(spark, tmp_path):
     assert all(r["content_length"] == len(r["block"].encode()) and r["block_digest"] == warc.digest(r["block"].encode()) for r in rows)
     warc.write_records(records, str(tmp_path / "w"))
     data = b"".join(r["warc"] for r in spark.read.parquet(str(tmp_path / "w")).collect())
-    back = list(warc.parse_records(data))
+    (tmp_path / "out.warc.gz").write_bytes(data)
+    lines = spark.read.option("lineSep", warc._SEPARATOR.decode()).text(str(tmp_path / "out.warc.gz")).select(warc.F.col("value").cast("binary").alias("v"))
+    back = list(warc.parse_records(iter(r["v"] for r in lines.collect())))
     assert sorted(b.decode() for _, b in back) == sorted(r["block"] for r in rows)
-    http = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\n\r\n<p>gone"
-    (tmp_path / "in.warc.gz").write_bytes(warc.record_bytes({"WARC-Type": "response", "WARC-Record-ID": "<urn:x>", "WARC-Target-URI": "http://b/", "WARC-Date": "2020-01-01T00:00:00Z", "Content-Length": str(len(http))}, http))
-    read = warc.read_responses(spark, str(tmp_path / "in.warc.gz"))
-    got = warc.derivatives(read).where("warc_type = 'metadata'").head()
-    assert got["refers_to"] == "<urn:x>" and got["date"] == "2020-01-01T00:00:00Z" and "http-status: 404" in got["block"] and "http-content-type: text/html" in got["block"]
+    assert {dict(h)["WARC-Record-ID"]: h for h, _ in back} == {r["record_id"]: [(x["name"], x["value"]) for x in r["headers"]] for r in rows}
     assert warc.derivatives(responses.limit(0)).count() == 0
+    kept = warc.derivatives(responses.withColumn("date", warc.F.lit("d")).withColumn("block", warc.F.col("page_id")), keep=("page_id", "block", "date"))
+    assert {r["source_block"] for r in kept.collect()} == {1, 2, 3} and kept.columns[:3] == ["page_id", "source_block", "source_date"]
+
+
+def test_warc_keeps_bytes_headers_and_digests(spark, tmp_path):
+    page = "<meta charset=x><p>café \u2013 50 €</p>"
+    plain = page.replace("\u2013", "-").replace(" €", "").encode("latin-1")
+    packed = gzip.compress(page.encode())
+    chunks = b"".join(b"%x\r\n%b\r\n" % (len(packed[i : i + 7]), packed[i : i + 7]) for i in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    inner = b"<p>one\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\n\r\ntwo</p>"
+    bodies = {
+        "a": (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nX-Long: one\r\n two\r\n\r\n", plain, "café - 50"),
+        "b": (b"HTTP/1.1 404 Not Found\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\nContent-Type: text/html; charset=utf-8\r\n\r\n", chunks, "café \u2013 50 €"),
+        "c": (b"HTTP/1.1 200 OK\r\n\r\n", inner, "one\nWARC/1.0\nWARC-Type: response\ntwo"),
+        "d": (b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip, nonsense\r\n\r\n", b"caf\xe9 <b>", "café"),
+        "e": (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=no-such\r\n\r\n", "ü".encode(), "ü"),
+    }
+    records = []
+    for name, (head, body, _) in bodies.items():
+        block = head + body
+        records.append(([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{name}>"), ("WARC-Target-URI", "http://b/"), ("WARC-Date", "2020-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:SAID{name}"), ("WARC-Concurrent-To", "<urn:q>"), ("WARC-Concurrent-To", "<urn:r>"), ("WARC-IP-Address", "192.0.2.1"), ("WARC-Block-Digest", "sha1:B"), ("Content-Length", str(len(block)))], block))
+        records.append(([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:other>"), ("Content-Length", "3")], b"GET"))
+    gz = b"".join(warc.record_bytes(h, b) for h, b in records)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.warc.gz").write_bytes(gz)
+    (tmp_path / "in" / "y.warc").write_bytes(gzip.decompress(gz)[:-40])  # the last record, a request, is cut
+    got = warc.read_responses(spark, str(tmp_path / "in")).withColumnRenamed("record_id", "record_id").collect()
+    assert sorted(r["record_id"] for r in got) == sorted([f"<urn:{n}>" for n in bodies] * 2)
+    for r in got:
+        head, body, _ = bodies[r["record_id"][5]]
+        assert bytes(r["payload"]) == body and [x["value"] for x in r["source_headers"] if x["name"] == "WARC-Concurrent-To"] == ["<urn:q>", "<urn:r>"]
+    out = warc.derivatives(warc.read_responses(spark, str(tmp_path / "in" / "x.warc.gz"))).collect()
+    for r in out:
+        name = r["refers_to"][5]
+        headers = [(x["name"], x["value"]) for x in r["headers"]]
+        assert r["source_digest"] == f"sha1:SAID{name}" and ("WARC-Refers-To-Payload-Digest", r["source_digest"]) in headers and ("WARC-IP-Address", "192.0.2.1") in headers
+        assert [v for k, v in headers if k == "WARC-Concurrent-To"] == ["<urn:q>", "<urn:r>"]
+        if r["warc_type"] == "conversion":
+            assert r["block"] == bodies[name][2], name
+        elif name == "a":
+            assert "http-set-cookie: a=1\r\nhttp-set-cookie: b=2\r\nhttp-x-long: one two\r\n" in r["block"] and "source-warc-ip-address: 192.0.2.1\r\n" in r["block"]
+    bare = {"record_id": None, "target_uri": None, "date": None, "status": None, "http_headers": None, "payload": b"caf\xe9", "source_headers": None}
+    assert warc.derive(bare)[0]["source_digest"] == warc.digest(b"caf\xe9") and warc.derive(bare) == warc.derive(dict(bare))
+    assert warc.unchunked(b"not chunked") == b"not chunked" and warc.unchunked(b"5\r\nab") == b"ab"
 
 
 def test_token_counts_match_the_library(docs, empty):
