@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions
-from ..sources.recipes import SCRIPTLETS, Recipes
+from ..sources.recipes import BUILD_SECTIONS, SCRIPTLETS, Recipes
 from .recipe_rules import _applied, _cubes, _patches, _shell, at, rule
 
 _KEY = ["spec_id", "depth", "chain"]
@@ -86,7 +86,9 @@ def constant_operand(r):
 
 @rule("RPM092", "conditional-cyclomatic-complexity")
 def complexity(r):
-    n = r.branches.groupBy("spec_id", "sec").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"))
+    """Branches of the whole recipe, those in shell bodies apart."""
+    kinds = r.sections.where(~F.col("kind").isin(*BUILD_SECTIONS, *SCRIPTLETS)).select("spec_id", "sec")
+    n = r.branches.join(kinds, ["spec_id", "sec"]).groupBy("spec_id").agg(F.count("*").alias("n"), F.lit(1).alias("line_no"))
     return at(n.where("n > 15"), F.col("n"))
 
 
@@ -308,31 +310,62 @@ def flatten(r):
 
 
 #: Commands of build scripts and scriptlets, and what provides them.
-BUILD_TOOLS = {"cmake": "cmake", "meson": "meson", "ninja": "ninja-build", "autoreconf": "autoconf", "automake": "automake", "pkg-config": "pkgconfig", "cargo": "cargo", "go": "golang", "bison": "bison", "flex": "flex"}
-SCRIPT_TOOLS = {"useradd": "shadow-utils", "groupadd": "shadow-utils", "getent": "glibc-common", "update-alternatives": "alternatives", "systemctl": "systemd", "install-info": "info"}
+BUILD_TOOLS = {
+    "cmake": "cmake", "meson": "meson", "ninja": "ninja-build", "autoreconf": "autoconf", "automake": "automake", "libtoolize": "libtool", "pkg-config": "pkgconfig", "pkgconf": "pkgconfig",
+    "desktop-file-install": "desktop-file-utils", "desktop-file-validate": "desktop-file-utils", "appstreamcli": "appstream", "update-mime-database": "shared-mime-info",
+    "gtk-update-icon-cache": "gtk-update-icon-cache", "glib-compile-schemas": "glib2",
+}
+SCRIPT_TOOLS = {
+    "systemctl": "systemd", "useradd": "shadow-utils", "groupadd": "shadow-utils", "usermod": "shadow-utils", "groupmod": "shadow-utils", "getent": "glibc-common",
+    "update-alternatives": "alternatives", "install-info": "info", "glib-compile-schemas": "glib2", "gtk-update-icon-cache": "gtk-update-icon-cache", "update-mime-database": "shared-mime-info",
+}
+#: Families whose packages these tools' names hold for.
+KNOWN_FAMILIES = ("fedora", "rhel", "opensuse", "mageia", "alt")
 
 
 def _tools(r: Recipes, tools: dict[str, str], key: str, *kinds: str) -> DataFrame:
-    """First use of each tool whose package (or the tool's path or name) a recipe doesn't ask for."""
+    """First use of a tool of each package that a recipe doesn't ask for by that name."""
     found = F.regexp_extract("line", r"(?:^\s*|[;&|(]\s*)(?:/usr)?(?:/s?bin/)?(" + "|".join(tools) + r")(?:\s|$)", 1)
     of = F.create_map(*(F.lit(x) for kv in tools.items() for x in kv))
-    used = _shell(r, *kinds).withColumn("tool", found).where("tool <> ''").groupBy("spec_id", "tool").agg(F.min("line_no").alias("line_no"))
-    asked = r.atoms.where(F.col("key") == key).groupBy("spec_id").agg(F.collect_set("name").alias("asked"))
-    j = used.join(asked, "spec_id", "left").withColumn("package", of[F.col("tool")])
-    met = F.exists(F.coalesce("asked", F.array()), lambda a: (a == F.col("package")) | (a == F.col("tool")) | a.endswith(F.concat(F.lit("/"), F.col("tool"))) | a.startswith(F.concat(F.col("tool"), F.lit("("))))
-    return j.where(~met)
+    used = _shell(r, *kinds).withColumn("tool", found).where("tool <> ''").withColumn("name", of[F.col("tool")])
+    first = used.groupBy("spec_id", "name").agg(F.min(F.struct("line_no", "tool")).alias("m")).select("spec_id", "name", "m.line_no", "m.tool")
+    return first.join(r.atoms.where(F.col("key") == key).select("spec_id", "name").distinct(), ["spec_id", "name"], "left_anti")
 
 
-@rule("RPM324", "build-tool-used-without-buildrequires")
+@rule("RPM324", "build-tool-used-without-buildrequires", families=KNOWN_FAMILIES)
 def build_tool(r):
-    return at(_tools(r, BUILD_TOOLS, "buildrequires", "prep", "build", "install", "check"), F.col("tool"))
+    return at(_tools(r, BUILD_TOOLS, "buildrequires", *BUILD_SECTIONS), F.col("tool"))
 
 
-@rule("RPM328", "scriptlet-command-without-requires")
+@rule("RPM328", "scriptlet-command-without-requires", families=KNOWN_FAMILIES)
 def script_tool(r):
     return at(_tools(r, SCRIPT_TOOLS, "requires", *SCRIPTLETS), F.col("tool"))
 
 
+@rule("RPM128", "group-tag-required-on-suse", families=("opensuse",))
+def group_required(r):
+    """The main package and every subpackage must say its group."""
+    heads = r.sections.where("kind in ('preamble', 'package')").select("spec_id", "pkg", F.greatest("line_no", F.lit(1)).alias("line_no"))
+    return at(heads.join(r.tags.where("key = 'group'").select("spec_id", "pkg").distinct(), ["spec_id", "pkg"], "left_anti"), F.col("pkg"))
+
+
+@rule("RPM129", "bcond-on-non-fedora", families=("opensuse", "mageia", "alt"))
+def foreign_bcond(r):
+    return at(r.lines.where(F.col("line").rlike(r"^\s*%bcond_with(out)?\b")))
+
+
+@rule("RPM307", "patch-status-comment-missing", families=("opensuse",))
+def patch_status(r):
+    """Markers of a patch's status. The comments right above a patch must hold one."""
+    marker = r"PATCH-(?:FIX-|FEATURE-|NEEDS-|PORT-|ENABLE-|DISABLE-|MISSING-TAG)"
+    text = r.body.where("kind = 'preamble'").select("spec_id", "line_no", F.trim("line").alias("t")).where("t <> ''")
+    w = Window.partitionBy("spec_id").orderBy("line_no")
+    run = text.withColumn("note", F.col("t").startswith("#")).withColumn("g", F.sum((~F.col("note")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = run.where(F.col("note") & F.col("t").rlike(marker)).select("spec_id", F.coalesce("g", F.lit(0)).alias("g")).distinct()
+    patches = r.tags.where("key = 'patch'").select("spec_id", "line_no", "tag").join(run.select("spec_id", "line_no", F.coalesce("g", F.lit(0)).alias("g")), ["spec_id", "line_no"])
+    return at(patches.join(marked, ["spec_id", "g"], "left_anti"), F.col("tag"))
+
+
 # Shell.
 
 

@@ -5,6 +5,7 @@ Ids, names, severities and thresholds are fixed values.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,14 +23,16 @@ class Rule:
     name: str
     severity: str
     find: Callable[[Recipes], DataFrame]
+    #: The families of distributions that it holds for; all if empty.
+    families: tuple[str, ...] = ()
 
 
 RULES: dict[str, Rule] = {}
 
 
-def rule(id: str, name: str, severity: str = "warn"):
+def rule(id: str, name: str, severity: str = "warn", families: tuple[str, ...] = ()):
     def add(f):
-        RULES[id] = Rule(id, name, severity, f)
+        RULES[id] = Rule(id, name, severity, f, families)
         return f
 
     return add
@@ -40,10 +43,13 @@ def at(df: DataFrame, detail: Column | str = "") -> DataFrame:
     return df.select("spec_id", F.col("line_no").cast("int").alias("line_no"), d.cast("string").alias("detail"))
 
 
-def lint(r: Recipes, ids: list[str] | None = None) -> DataFrame:
-    """Findings of all rules (or of ids): lint_id, lint_name, severity, spec_id, line_no, detail."""
+def lint(r: Recipes, ids: list[str] | None = None, family: str | None = "fedora") -> DataFrame:
+    """Findings of all rules (or of ids) that hold for a family of distributions: lint_id, lint_name, severity, spec_id, line_no, detail."""
     out = None
-    for i in ids or sorted(RULES):
+    chosen = [i for i in ids or sorted(RULES) if not RULES[i].families or family in RULES[i].families]
+    if not chosen:
+        raise ValueError("none of the rules holds for this family")
+    for i in chosen:
         found = RULES[i].find(r).select(F.lit(i).alias("lint_id"), F.lit(RULES[i].name).alias("lint_name"), F.lit(RULES[i].severity).alias("severity"), "*")
         out = found if out is None else out.unionByName(found)
     return out
@@ -105,7 +111,7 @@ def subpackage_collision(r):
 @rule("RPM020", "obsolete-tag")
 def obsolete_tag(r):
     """Tags that were renamed or dropped."""
-    old = ("copyright", "serial", "prereq", "buildprereq", "buildroot", "packager", "vendor", "distribution", "prefix")
+    old = ("copyright", "serial", "prereq", "buildprereq", "buildroot", "packager", "vendor")
     return at(r.tags.where(F.col("key").isin(*old)), F.col("tag"))
 
 
@@ -363,8 +369,9 @@ def without_provides(r):
 
 @rule("RPM320", "duplicate-dependency-atom")
 def duplicate_atom(r):
-    n = r.atoms.groupBy("spec_id", "line_no", "key", "atom").agg(F.count("*").alias("n"))
-    return at(n.where("n > 1"), F.col("atom"))
+    """One name (with its qualifier in parentheses) twice in a tag's value, whatever the versions."""
+    n = r.atoms.where("not rich and name not like '%\\%%'").groupBy("spec_id", "line_no", "key", "name").agg(F.count("*").alias("n"))
+    return at(n.where("n > 1"), F.col("name"))
 
 
 @rule("RPM321", "weak-dep-duplicates-strong-dep")
@@ -375,10 +382,16 @@ def weak_duplicates(r):
 
 @rule("RPM323", "runtime-requires-looks-like-build-requires")
 def build_like(r):
-    """Tools that only builds need."""
-    tools = ("gcc", "gcc-c++", "make", "cmake", "meson", "ninja-build", "autoconf", "automake", "libtool", "pkgconfig", "pkgconf")
-    n = F.col("name")
-    return at(r.atoms.where((F.col("key") == "requires") & ~F.col("pkg").contains("devel") & (n.isin(*tools) | n.endswith("-devel") | n.startswith("pkgconfig("))), n)
+    """Tools that only builds need, endings of packages for development, and names of compilers and build systems, whose own packages may need such tools."""
+    tools = ("gcc", "g++", "clang", "make", "cmake", "meson", "ninja", "autoconf", "automake", "libtool", "rustc", "cargo")
+    endings = ("-devel", "-static", "-headers", "-dev")
+    chains = ("gcc", "clang", "llvm", "rustc", "rust", "mingw", "cross-gcc", "automake", "autoconf", "cmake", "meson", "ninja-build", "make", "cargo", "golang", "nodejs", "python3", "ruby", "perl")
+    named = r.tags.where("key = 'name' and pkg = ''").groupBy("spec_id").agg(F.lower(F.first("value")).alias("main"))
+    a = r.atoms.where("key = 'requires' and not rich").join(named, "spec_id", "left").withColumn("main", F.coalesce("main", F.lit("")))
+    owner, n = F.lower(F.when(F.col("pkg") == "", F.col("main")).otherwise(F.col("pkg"))), F.col("name")
+    devel = functools.reduce(lambda x, e: x | owner.endswith(e), endings, F.lit(False))
+    chain = functools.reduce(lambda x, c: x | (F.col("main") == c) | F.col("main").startswith(f"{c}-") | F.col("main").contains(f"-{c}"), chains, F.lit(False))
+    return at(a.where(~devel & ~chain & (n.isin(*tools) | n.endswith("-devel") | n.startswith("pkgconfig("))), n)
 
 
 @rule("RPM327", "contradictory-dependency-qualifiers", "deny")
@@ -396,8 +409,9 @@ def guarded_again(r):
 @rule("RPM596", "dependency-constraint-subsumption")
 def subsumed(r):
     keys = ["spec_id", "pkg", "key", "name"]
-    versioned = r.atoms.where("op is not null and depth = 0").select(*keys).distinct()
-    return at(r.atoms.where("op is null and depth = 0 and not rich").join(versioned, keys, "left_semi"), F.col("atom"))
+    asked = r.atoms.where("key not in ('provides', 'obsoletes')")
+    versioned = asked.where("op is not null and depth = 0").select(*keys).distinct()
+    return at(asked.where("op is null and depth = 0 and not rich").join(versioned, keys, "left_semi"), F.col("atom"))
 
 
 @rule("RPM597", "guarded-dependency-constraint-subsumption")
@@ -601,7 +615,13 @@ def single_use(r):
 
 @rule("RPM493", "macro-alias-of-builtin")
 def alias(r):
-    return at(r.macros.where(F.col("value").rlike(r"^%\{(_bindir|_sbindir|_libdir|_libexecdir|_datadir|_includedir|_mandir|_infodir|_sysconfdir|_localstatedir|_prefix|buildroot)\}$")), F.col("name"))
+    """Well-known macros of paths and of a recipe's identity. Names that begin with two underscores are reserved."""
+    known = (
+        "_bindir", "_sbindir", "_libdir", "_libexecdir", "_includedir", "_datadir", "_mandir", "_infodir", "_localstatedir", "_sharedstatedir", "_sysconfdir", "_unitdir", "_userunitdir",
+        "_tmpfilesdir", "_sysusersdir", "_docdir", "_defaultlicensedir", "_prefix", "_exec_prefix", "_localedir", "buildroot", "name", "version", "release", "epoch",
+    )
+    whole = F.regexp_extract("value", r"^%(?:\{(\w+)\}|(\w+))$", 0)
+    return at(r.macros.where((whole != "") & F.regexp_replace(whole, r"[%{}]", "").isin(*known) & ~F.col("name").startswith("__")), F.col("name"))
 
 
 @rule("RPM494", "no-op-conditional-macro")

@@ -21,7 +21,7 @@ _IF = r"^\s*%(if|ifarch|ifnarch|ifos|ifnos)\b\s*(.*?)\s*$"
 _ELSE = r"^\s*%(elif|elifarch|elifos|else)\b\s*(.*?)\s*$"
 _END = r"^\s*%endif\b"
 _TAG = r"^([A-Za-z][A-Za-z]*?)([0-9]*)(?:\(([^)]*)\))?\s*:\s*(.*?)\s*$"
-_DEFINE = r"^\s*%(?:\{!\?[A-Za-z_]\w*:\s*%)?(global|define)\s+([A-Za-z_]\w*)(\([^)]*\))?\s+(.*?)\s*\}?$"
+_DEFINE = r"^\s*%(?:\{!\?[A-Za-z_]\w*:\s*%)?(global|define)\s+([A-Za-z_]\w*)(\([^)]*\))?\s+(.*?)\s*$"
 _ATOM = r"\(.*\)|[^\s,<>=]+(?:\s*(?:<=|>=|=|<|>)\s*[^\s,]+)?"
 
 
@@ -58,7 +58,7 @@ def _running(c: Column, w) -> Column:
 def parse(sources: DataFrame, keep: bool = False) -> Recipes:
     """Relations of sources (spec_id, text). Continuation lines of conditionals aren't joined; a null text has no lines.
 
-    With keep the placed lines are stored once, so that many rules scan them instead of cutting and windowing the texts again.
+    With keep the placed lines and the relations taken from them are stored once, so that many rules scan them instead of cutting and windowing the texts again.
     """
     raw = sources.where("text is not null").select("spec_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     w = Window.partitionBy("spec_id").orderBy("pos")
@@ -126,11 +126,17 @@ def parse(sources: DataFrame, keep: bool = False) -> Recipes:
     comments = body.where(comment).select("spec_id", "line_no", "sec", "kind", F.trim("line").alias("text"))
     macros = plain.where(F.col("line").rlike(_DEFINE)).select(
         "spec_id", "line_no", "depth", "chain", F.regexp_extract("line", _DEFINE, 1).alias("how"), F.regexp_extract("line", _DEFINE, 2).alias("name"),
-        F.regexp_extract("line", _DEFINE, 3).alias("options"), F.regexp_extract("line", _DEFINE, 4).alias("value"),
+        F.regexp_extract("line", _DEFINE, 3).alias("options"),
+        # The brace that closes an unless-defined wrapper isn't the value's.
+        F.when(F.col("line").rlike(r"^\s*%\{!\?"), F.regexp_replace(F.regexp_extract("line", _DEFINE, 4), r"\s*\}$", "")).otherwise(F.regexp_extract("line", _DEFINE, 4)).alias("value"),
     )
     branches = body.where("opens or turns").select(
         "spec_id", "line_no", "chain", "depth", "sec",
         F.when(F.col("opens"), F.regexp_extract("line", _IF, 1)).otherwise(F.regexp_extract("line", _ELSE, 1)).alias("how"),
         F.regexp_replace(F.when(F.col("opens"), F.regexp_extract("line", _IF, 2)).otherwise(F.regexp_extract("line", _ELSE, 2)), r"\s+", " ").alias("condition"),
     )
+    if keep:
+        sections, tagged, atoms, files, changelog, comments, macros, branches = (
+            stored(x, "recipe-relations") for x in (sections, tagged, atoms, files, changelog, comments, macros, branches)
+        )
     return Recipes(lines, sections, tagged, atoms, body, files, changelog, comments, macros, branches)
