@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specgrain.functions import evr, macros
-from specgrain.operators import conditions, layers, matrix, repo, resolve
+from specgrain.operators import conditions, layers, matrix, repo, resolve, solver
 from specgrain.sources import metadata
 
 
@@ -250,3 +250,35 @@ def test_queries_match_their_sql(spark):
         theirs = sorted(tuple(text(r[i]) for i in place) for r in rel.fetchall())
         assert mine == theirs, name
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def solved(spark, roots, packages, given, files=()):
+    """Names of pins with their paths, and (dependency, reason) of what is unmet."""
+    p = spark.createDataFrame([(i, "r0", n, 0, v, "1", "x86_64", n, 1) for i, n, v in packages], PACKAGES)
+    c = spark.createDataFrame([(i, k, n, op, None if v is None else 0, v, None if v is None else "") for i, k, n, op, v in given], CAPS)
+    f = spark.createDataFrame(list(files), "pkg_id long, path string")
+    pins, unmet = solver.solve(spark.createDataFrame([(i,) for i in roots], "pkg_id long"), p, c, resolve.providers(p, c, f))
+    return {r["pkg_id"]: "/".join(r["path"]) for r in pins.collect()}, {(r["name"], r["reason"], r["blocker"]) for r in unmet.collect()}
+
+
+def test_solver_scenarios(spark):
+    three = [(1, "a", "1"), (2, "b", "1"), (3, "c", "1"), (4, "d", "1")]
+    pins, unmet = solved(spark, [1], three, [(1, "requires", "b", "NONE", None), (2, "requires", "c", "GE", "1"), (3, "requires", "a", "NONE", None)])
+    assert pins == {1: "a", 2: "a/b", 3: "a/b/c"} and unmet == set()
+    pins, unmet = solved(spark, [1], three, [(1, "requires", "absent", "NONE", None), (1, "requires", "b", "GE", "2"), (1, "requires", "(x or y)", "NONE", None)])
+    assert pins == {1: "a"} and unmet == {("absent", "no_provider", None), ("b", "no_provider", None)}
+    # A path with two owners that conflict: the first owner is taken, and the other can't come in by name.
+    pins, unmet = solved(spark, [1], three, [(1, "requires", "/bin/x", "NONE", None), (2, "requires", "c", "NONE", None), (3, "conflicts", "b", "NONE", None)], [(2, "/bin/x"), (3, "/bin/x")])
+    assert pins == {1: "a", 2: "a/b"} and unmet == {("c", "conflict", 2)}
+    pins, unmet = solved(spark, [1], three, [(1, "requires", "b", "NONE", None), (2, "requires", "c", "NONE", None), (1, "conflicts", "c", "LT", "2"), (1, "conflicts", "d", "GE", "2"), (2, "requires", "d", "NONE", None)])
+    assert pins == {1: "a", 2: "a/b", 4: "a/b/d"} and unmet == {("c", "conflict", 1)}
+
+
+def test_solver_pins_one_package_a_name(spark):
+    two = [(1, "a", "1"), (2, "b", "1"), (3, "b", "2"), (4, "c", "1")]
+    pins, unmet = solved(spark, [1], two, [(1, "requires", "b", "NONE", None), (1, "requires", "c", "NONE", None), (4, "requires", "b", "EQ", "1"), (4, "requires", "b", "GE", "1")])
+    assert pins == {1: "a", 3: "a/b", 4: "a/c"} and unmet == {("b", "other_version", 3)}
+    assert solved(spark, [], two, [])[0] == {}
+    rows = [("x", "NONE", None, None, None, 1, ["a", "b"], "no_provider", None), ("x", "NONE", None, None, None, 2, ["a"], "no_provider", None)]
+    u = spark.createDataFrame(rows, "name string, op string, epoch int, version string, release string, parent long, path array<string>, reason string, blocker long")
+    assert [(r["parents"], r["path"]) for r in solver.unmet_core(u).collect()] == [(2, ["a"])]
