@@ -259,6 +259,20 @@ def test_hilbert_shards(docs, empty):
     assert sharding.hilbert_shards(empty, ["lang", "source"]).count() == 0 and sharding.hilbert_shards(docs.limit(3), ["lang"]).count() == 3
 
 
+def test_shards_cut_whole_strings_and_are_written(spark, tmp_path):
+    rows = [(i, f"t{i}", f"https://{'abcdefgh'[i % 8]}.example/{i % 3}", i % 7, "x") for i in range(400)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int, slot string")
+    values = sorted(r[2] for r in rows[:400])
+    cuts = sharding.string_cuts(docs, "source", 8)
+    assert cuts == sorted({values[-(-400 * i // 8) - 1] for i in range(1, 8)}) and sharding.string_cuts(docs.limit(0), "source", 8) == []
+    sharding.write_shards(docs, ["source"], str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted((r["doc_id"], r["text"], r["source"], r["n"], r["doc_slot"]) for r in back.where("doc_id is not null").collect()) == rows[:400] and back.count() == 401
+    ranges = {r["shard"]: (r["a"], r["b"]) for r in back.groupBy("shard").agg(sharding.F.min("source").alias("a"), sharding.F.max("source").alias("b")).collect()}
+    assert len(ranges) == 8 and max(sum(a <= v <= b for a, b in ranges.values()) for v in set(values)) <= 3
+    assert spark.read.parquet(str(tmp_path / "s" / "shard=3")).select("slot").toPandas()["slot"].sort_values().tolist() == list(range(50))
+
+
 def test_sentencepiece_matches_the_library(spark, docs, empty, tmp_path):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as proto
