@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from .common import discard, i64, join_hash, materialize, mix, sliced, table, word_hashes
 
 #: Bytes of text of which n-grams are counted together before they become rows.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
+#: Rows of a batch that leaves a task's Python.
+_BATCH = 50_000
 #: Every byte between pieces becomes a full stop, A-Z become a-z, the rest stays; no byte of a longer UTF-8 character is touched.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
 _ROWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("c", pa.int64())])
@@ -33,6 +35,7 @@ def tokens(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     codes = _Codes({b".": 0})
     words = folded.split()  # of Python's blanks only space and tab are left
     numbers = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+    del words, folded
     return [w.decode() for w in codes], np.concatenate(([0], numbers, [0]))
 
 
@@ -94,14 +97,17 @@ def _long(known: Known, most: int):
 def _counts(grams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced([batch.sort_by("lang")], 1, SLICE_BYTES):
+            for part in sliced([batch], 1, SLICE_BYTES):
+                part = part.sort_by("lang")
                 langs = part.column(0).to_pylist()
                 texts = part.column(1).to_pylist()
                 start = 0
                 for end in range(1, len(langs) + 1):
                     if end == len(langs) or langs[end] != langs[start]:
                         for phrases, n in grams(langs[start], texts[start:end]):
-                            yield pa.RecordBatch.from_arrays([pa.array([langs[start]]).take(pa.array(np.zeros(len(n), np.int64))), phrases, pa.array(n.astype(np.int64))], schema=_ROWS)
+                            for i in range(0, len(n), _BATCH):
+                                some = n[i : i + _BATCH].astype(np.int64)
+                                yield pa.RecordBatch.from_arrays([pa.array([langs[start]]).take(pa.array(np.zeros(len(some), np.int64))), phrases[i : i + _BATCH], pa.array(some)], schema=_ROWS)
                         start = end
 
     return run
