@@ -1,7 +1,9 @@
-"""What a set of packages needs to be installed together: one package a name, none that conflicts with another, and why what is left can't be met."""
+"""What a set of packages and requirements needs to be installed together: one package a name, none that conflicts with another, and why what is left can't be met."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,89 +15,145 @@ PIN = ["pkg_id", "name", "parent", "depth", "path"]
 UNMET = [*DEP, "parent", "path", "reason", "blocker"]
 
 
-def satisfying(deps: DataFrame, provided: DataFrame) -> DataFrame:
-    """(DEP, pkg_id, place) of all packages that meet each of the distinct dependencies; a path is met by its owner."""
-    d = deps.select(*DEP).distinct().withColumn("d", evr_key(F.coalesce("epoch", F.lit(0)), F.col("version"), F.col("release")))
+def keyed(provided: DataFrame) -> DataFrame:
+    """(name, pkg_id, place, p): p orders the provided EVR and is null where there is none."""
     key = F.when(F.col("version").isNotNull(), evr_key(F.coalesce("epoch", F.lit(0)), F.col("version"), F.col("release")))
-    n = provided.select("name", "pkg_id", "place", key.alias("p")).distinct()
+    return provided.select("name", "pkg_id", "place", key.alias("p")).distinct()
+
+
+def satisfying(deps: DataFrame, n: DataFrame) -> DataFrame:
+    """(DEP, pkg_id, place) of all packages that meet each of the distinct dependencies; a path is met by whoever has it in n, the keyed provides."""
+    d = deps.select(*DEP).distinct().withColumn("d", evr_key(F.coalesce("epoch", F.lit(0)), F.col("version"), F.col("release")))
     holds = constraint_holds(F.col("op"), F.when(F.col("p").isNotNull(), compatible_sign(F.col("p"), F.col("d")))) | F.col("name").startswith("/")
-    return d.join(n, "name").where(holds).select(*DEP, "pkg_id", "place")
+    return d.join(n, "name").where(holds).select(*DEP, "pkg_id", "place").distinct()
 
 
-def _same(a: DataFrame, b: DataFrame) -> list:
-    return [a[c].eqNullSafe(b[c]) for c in DEP]
+def _match(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """a joined with b by equal dependencies, nulls included; b's own columns follow."""
+    other = b.withColumnsRenamed({c: f"_{c}" for c in DEP})
+    return a.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in DEP], how).drop(*(f"_{c}" for c in DEP))
 
 
-def _clashes(caps: DataFrame, owners: DataFrame, victims: DataFrame, provided: DataFrame) -> DataFrame:
+def _clashes(conflicts: DataFrame, owners: DataFrame, victims: DataFrame, provided: DataFrame) -> DataFrame:
     """(pkg_id, victim): owners (pkg_id) one of whose Conflicts a victim (pkg_id) meets."""
-    c = caps.where("kind = 'conflicts'").join(owners.select("pkg_id").distinct(), "pkg_id", "left_semi").select(F.col("pkg_id").alias("owner"), *DEP).distinct()
+    c = conflicts.join(owners.select("pkg_id").distinct(), "pkg_id", "left_semi").select(F.col("pkg_id").alias("owner"), *DEP).distinct()
     met = satisfying(c, provided.join(victims.select("pkg_id").distinct(), "pkg_id", "left_semi")).select(*DEP, F.col("pkg_id").alias("victim"))
-    return c.join(met, _same(c, met)).where("owner <> victim").select(F.col("owner").alias("pkg_id"), "victim").distinct()
+    return _match(c, met).where("owner <> victim").select(F.col("owner").alias("pkg_id"), "victim").distinct()
+
 
+def _both_ways(conflicts: DataFrame, one: DataFrame, other: DataFrame, provided: DataFrame) -> DataFrame:
+    """(pkg_id, blocker): packages of `one` that conflict with one of `other`, whichever of the two says so."""
+    there = _clashes(conflicts, one, other, provided).select("pkg_id", F.col("victim").alias("blocker"))
+    back = _clashes(conflicts, other, one, provided).select(F.col("victim").alias("pkg_id"), F.col("pkg_id").alias("blocker"))
+    return there.unionByName(back).distinct()
 
-def solve(roots: DataFrame, packages: DataFrame, caps: DataFrame, provided: DataFrame, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Pins (PIN) and unmet dependencies (UNMET) of installing roots (pkg_id) together.
 
-    Each round takes the requirements of the packages pinned in the one before, all at once, as joins over distinct dependencies. One that a pinned package meets is met. For the
-    others the best provider by place is pinned, unless another package of its name is pinned (reason other_version) or it conflicts with a pinned one, in either direction
-    (conflict; blocker is that package); of providers of one name or that conflict with each other within a round the best by place is pinned. A dependency without a provider has the
-    reason no_provider. Rich dependencies are set apart. path holds the names that lead from a root to the package, so it tells where each pin and each unmet dependency comes from.
+def independent(wanted: DataFrame, pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+    """The wanted packages (pkg_id, name, place; ids and places are unique) that are kept if they come in order of place and each falls to a kept one of its name or in conflict with it.
 
-    Pins, unmet dependencies and each round's new pins are stored tables, so lost executors cost one round. Roots are all pinned. Repeated rows count once; an empty roots table
-    gives none.
+    pairs (pkg_id, blocker) holds every conflict in both directions. Each round keeps all packages that nothing undecided comes before and drops what they exclude, so a package
+    never falls to one that falls itself. The first of those undecided is always kept; rounds grow with the longest chain of exclusions, not with the packages.
+    """
+    place = lambda df, as_: df.select(F.col("pkg_id").alias(as_), F.col("place").alias(f"{as_}_place"))
+    undecided, kept = stored(wanted.select("pkg_id", "name", "place"), "solve-undecided"), []
+    for _ in range(rounds):
+        first = undecided.groupBy("name").agg(F.min("place").alias("first"))
+        behind = pairs.join(place(undecided, "pkg_id"), "pkg_id").join(place(undecided, "blocker"), "blocker").where("blocker_place < pkg_id_place").select("pkg_id").distinct()
+        now = stored(undecided.join(first, "name").where("place = first").drop("first").join(behind, "pkg_id", "left_anti"), "solve-kept")
+        kept.append(now)
+        excluded = pairs.join(now.select(F.col("pkg_id").alias("blocker")), "blocker").select("pkg_id").distinct()
+        undecided = stored(undecided.join(now.select("name"), "name", "left_anti").join(excluded, "pkg_id", "left_anti"), "solve-undecided")
+        if undecided.isEmpty():
+            return reduce(DataFrame.unionByName, kept)
+    raise RuntimeError("the choice did not settle")
+
+
+def solve(
+    roots: DataFrame, packages: DataFrame, caps: DataFrame, provided: DataFrame, files: DataFrame | None = None, requirements: DataFrame | None = None, rounds: int = 1000
+) -> tuple[DataFrame, DataFrame]:
+    """Pins (PIN) and unmet dependencies (UNMET) of installing roots (pkg_id) and whatever meets the requirements (DEP; a build's own, implicit and base ones) together.
+
+    Each round takes the requirements of the packages pinned in the one before, all at once, as joins over distinct dependencies. One that a pinned package meets is met; a path is met
+    by any of its owners in files (pkg_id, path), not only by the one that `provided` has. The others ask for their best provider by place. It is left out if another package of its
+    name is pinned or it conflicts with a pinned one, in either direction; what remains comes in by `independent`, so only pinned packages ever keep others out.
+
+    Unmet is what pinned packages (parent) or requirements (parent null, no path) ask for and no pinned package meets in the end: reason no_provider, or other_version or conflict if that
+    keeps the best provider out; blocker is the pinned package that does. Rich dependencies are set apart (`skipped`). path holds the names that lead from a root to a package.
+
+    Pins and each round's tables are stored, so lost executors cost one round. Roots are all pinned. Repeated rows count once; no roots and requirements give none.
     """
-    spark = packages.sparkSession
     named = packages.select("pkg_id", "name").distinct()
     none = F.lit(None)
+    provided = stored(keyed(provided), "solve-provided")
+    conflicts = stored(caps.where("kind = 'conflicts'").select("pkg_id", *DEP).distinct(), "solve-conflicts")
     order = provided.groupBy("pkg_id").agg(F.min("place").alias("place"))
+    meets = provided
+    if files is not None:
+        meets = provided.unionByName(files.distinct().join(order, "pkg_id").select(F.col("path").alias("name"), "pkg_id", "place", none.cast(provided.schema["p"].dataType).alias("p")))
     new = roots.select("pkg_id").distinct().join(named, "pkg_id").select("pkg_id", "name", none.cast("bigint").alias("parent"), F.lit(0).alias("depth"), F.array("name").alias("path"))
     new = pins = stored(new, "solve-pins")
-    unmet = []
-    needs_all = caps.where((F.col("kind") == "requires") & ~is_rich(F.col("name"))).select(F.col("pkg_id").alias("parent"), *DEP).distinct()
+    needs_all = stored(caps.where((F.col("kind") == "requires") & ~is_rich(F.col("name"))).select(F.col("pkg_id").alias("parent"), *DEP).distinct(), "solve-requires")
+    asked = None
+    if requirements is not None:
+        asked = requirements.where(~is_rich(F.col("name"))).select(none.cast("bigint").alias("parent"), *DEP, F.array().cast("array<string>").alias("path")).distinct()
     for depth in range(1, rounds):
-        who = new.select(F.col("pkg_id").alias("parent"), "path")
-        needs = needs_all.join(who, "parent").groupBy(*DEP).agg(F.min(F.struct("parent", "path")).alias("by"))
-        needs = stored(needs.select(*DEP, "by.parent", "by.path"), "solve-needs")
-        if needs.isEmpty():
+        needs = needs_all.join(new.select(F.col("pkg_id").alias("parent"), "path"), "parent")
+        if asked is not None and depth == 1:
+            needs = needs.unionByName(asked)
+        needs = needs.groupBy(*DEP).agg(F.min(F.struct("parent", "path")).alias("by")).select(*DEP, "by.parent", "by.path")
+        met = satisfying(needs, meets.join(pins.select("pkg_id"), "pkg_id", "left_semi")).select(*DEP).distinct()
+        open_ = stored(_match(needs, met, "left_anti"), "solve-open")
+        best = satisfying(open_, provided).groupBy(*DEP).agg(F.min(F.struct("place", "pkg_id")).alias("b")).select(*DEP, "b.pkg_id")
+        wanted = _match(open_, best).groupBy("pkg_id").agg(F.min(F.struct("parent", "path")).alias("by"))
+        wanted = wanted.join(named, "pkg_id").join(order, "pkg_id").join(pins.select("name"), "name", "left_anti")
+        wanted = stored(wanted.select("pkg_id", "name", "place", "by.parent", "by.path"), "solve-wanted")
+        if wanted.isEmpty():
             break
-        given = stored(satisfying(needs, provided), "solve-given")
-        met = given.join(pins.select("pkg_id"), "pkg_id", "left_semi").select(*DEP).distinct()
-        open_ = stored(needs.join(met, _same(needs, met), "left_anti"), "solve-open")
-        best = given.groupBy(*DEP).agg(F.min(F.struct("place", "pkg_id")).alias("b")).select(*DEP, "b.pkg_id", "b.place")
-        wanted = open_.join(best, _same(open_, best)).select("pkg_id", "place", "parent", "path").groupBy("pkg_id", "place").agg(F.min(F.struct("parent", "path")).alias("by"))
-        wanted = wanted.join(named, "pkg_id").select("pkg_id", "name", "place", "by.parent", "by.path")
-        taken = wanted.join(pins.select("name", F.col("pkg_id").alias("blocker")), "name").select("pkg_id", F.lit("other_version").alias("reason"), "blocker")
-        first = wanted.groupBy("name").agg(F.min(F.struct("place", "pkg_id")).alias("b")).select("name", F.col("b.pkg_id").alias("blocker"))
-        second = wanted.join(first, "name").where("pkg_id <> blocker").select("pkg_id", F.lit("other_version").alias("reason"), "blocker")
-        out = taken.unionByName(second)
-        fits = stored(wanted.join(out.select("pkg_id"), "pkg_id", "left_anti"), "solve-fits")
-        against = _clashes(caps, fits, pins, provided).withColumnRenamed("victim", "blocker")
-        by = _clashes(caps, pins, fits, provided).select(F.col("victim").alias("pkg_id"), F.col("pkg_id").alias("blocker"))
-        among = _clashes(caps, fits, fits, provided)
-        among = among.unionByName(among.select(F.col("victim").alias("pkg_id"), F.col("pkg_id").alias("victim"))).distinct()
-        among = among.join(order, "pkg_id").join(order.select(F.col("pkg_id").alias("victim"), F.col("place").alias("v")), "victim").where("place > v").select("pkg_id", F.col("victim").alias("blocker"))
-        clash = against.unionByName(by).unionByName(among).withColumn("reason", F.lit("conflict"))
-        out = stored(out.unionByName(clash.select("pkg_id", "reason", "blocker")), "solve-out")
-        new = fits.join(out.select("pkg_id"), "pkg_id", "left_anti")
-        new = stored(new.select("pkg_id", "name", "parent", F.lit(depth).alias("depth"), F.concat("path", F.array("name")).alias("path")), "solve-pins")
-        # What no pin meets now: its best provider was kept out, or it has none.
-        after = given.join(new.select("pkg_id"), "pkg_id", "left_semi").select(*DEP).distinct()
-        left = open_.join(after, _same(open_, after), "left_anti")
-        why = best.join(out.groupBy("pkg_id").agg(F.min(F.struct("reason", "blocker")).alias("o")), "pkg_id").select(*DEP, "o.reason", "o.blocker")
-        rest = left.join(why, _same(left, why), "left").select(*(left[c] for c in DEP), left["parent"], left["path"], F.coalesce("reason", F.lit("no_provider")).alias("reason"), "blocker")
-        unmet.append(stored(rest, "solve-unmet"))
-        if new.isEmpty():
+        free = stored(wanted.join(_both_ways(conflicts, wanted, pins, provided).select("pkg_id"), "pkg_id", "left_anti"), "solve-free")
+        if free.isEmpty():
             break
+        pairs = stored(_both_ways(conflicts, free, free, provided), "solve-pairs")
+        new = free.join(independent(free, pairs).select("pkg_id"), "pkg_id", "left_semi")
+        new = stored(new.select("pkg_id", "name", "parent", F.lit(depth).alias("depth"), F.concat("path", F.array("name")).alias("path")), "solve-pins")
         pins = pins.unionByName(new)
     else:
         raise RuntimeError("the solution did not settle")
-    lost = spark.createDataFrame([], "name string, op string, epoch int, version string, release string, parent bigint, path array<string>, reason string, blocker bigint")
-    for u in unmet:
-        lost = lost.unionByName(u)
-    return pins.select(*PIN), lost.select(*UNMET)
+
+    needs = needs_all.join(pins.select(F.col("pkg_id").alias("parent"), "path"), "parent")
+    needs = needs.unionByName(asked) if asked is not None else needs
+    distinct = stored(needs.select(*DEP).distinct(), "solve-needs")
+    met = satisfying(distinct, meets.join(pins.select("pkg_id"), "pkg_id", "left_semi")).select(*DEP).distinct()
+    left = stored(_match(distinct, met, "left_anti"), "solve-left")
+    best = satisfying(left, provided).groupBy(*DEP).agg(F.min(F.struct("place", "pkg_id")).alias("b")).select(*DEP, "b.pkg_id")
+    out = stored(best.select("pkg_id").distinct().join(named, "pkg_id"), "solve-out")
+    by_name = out.join(pins.select("name", F.col("pkg_id").alias("blocker")), "name").select("pkg_id", "blocker", F.lit("other_version").alias("reason"))
+    why = by_name.unionByName(_both_ways(conflicts, out, pins, provided).withColumn("reason", F.lit("conflict")))
+    why = best.join(why.groupBy("pkg_id").agg(F.min(F.struct("reason", "blocker")).alias("o")), "pkg_id").select(*DEP, "o.reason", "o.blocker")
+    told = _match(left, why, "left").select(*DEP, F.coalesce("reason", F.lit("no_provider")).alias("reason"), "blocker")
+    unmet = _match(needs, told)
+    return pins.select(*PIN), unmet.select(*UNMET)
 
 
 def unmet_core(unmet: DataFrame) -> DataFrame:
     """Unmet dependencies once each: name, op, epoch, version, release, reason, how many packages ask for it, and the shortest way that leads there."""
     shortest = F.min_by("path", F.struct(F.size("path"), "path"))
     return unmet.groupBy(*DEP, "reason").agg(F.countDistinct("parent").alias("parents"), shortest.alias("path"))
+
+
+def skipped(pins: DataFrame, caps: DataFrame, requirements: DataFrame | None = None) -> DataFrame:
+    """(name) of the rich dependencies of pinned packages and requirements, which are not resolved."""
+    rich = caps.where((F.col("kind") == "requires") & is_rich(F.col("name"))).join(pins.select("pkg_id"), "pkg_id", "left_semi").select("name")
+    return (rich if requirements is None else rich.unionByName(requirements.where(is_rich(F.col("name"))).select("name"))).distinct()
+
+
+def chains(pins: DataFrame, unmet: DataFrame) -> DataFrame:
+    """(name, reason, path, blocker, blocker_path) of what a pinned package keeps out, once a dependency: the ways that lead to both sides of each clash, shortest first."""
+    there = unmet.where("blocker is not null").groupBy(*DEP, "reason", "blocker").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("path"))
+    return there.join(pins.select(F.col("pkg_id").alias("blocker"), F.col("path").alias("blocker_path")), "blocker").select("name", "reason", "path", "blocker", "blocker_path")
+
+
+def summary(pins: DataFrame, unmet: DataFrame, packages: DataFrame) -> DataFrame:
+    """One row: packages, install_size, unmet (distinct dependencies) and satisfiable."""
+    size = packages.select("pkg_id", "size_installed").distinct().join(pins.select("pkg_id"), "pkg_id", "left_semi")
+    left = unmet.select(*DEP).distinct().agg(F.count(F.lit(1)).alias("unmet"))
+    return size.agg(F.count(F.lit(1)).alias("packages"), F.coalesce(F.sum("size_installed"), F.lit(0)).alias("install_size")).join(left).withColumn("satisfiable", F.col("unmet") == 0)

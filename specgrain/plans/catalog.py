@@ -8,7 +8,7 @@ from ..functions import evr
 from ..operators import branch_rules as branch_rules  # registers its rules
 from ..operators import examples
 from ..operators import parser_rules as parser_rules  # registers its rules
-from ..operators import conditions, layers, matrix, recipe_rules, repo, resolve, rules
+from ..operators import conditions, layers, matrix, recipe_rules, repo, resolve, rules, solver
 from ..sources import adapters as A
 from ..sources import recipes
 from ..sources.adapters import key_sql, with_sql
@@ -277,6 +277,70 @@ def upgrade_sim(s, d):
     p = A.packages(s, d)
     return resolve.upgrades(p.where("repo_id = 'r1'").select("name", "epoch", "version", "release"), p.where("repo_id = 'r0'"))
 
+#: Every part also requires the program of another line of its orders, so that some requirements are paths with many owners.
+_ROOTS = f""",
+allcaps AS (SELECT DISTINCT pkg_id, kind, name, op, epoch, version, release FROM caps
+  UNION SELECT l_partkey, 'requires', '/usr/bin/f' || ((l_orderkey + l_partkey) % 500), 'NONE', NULL, NULL, NULL FROM lineitem WHERE l_quantity > 49),
+place AS (SELECT *, row_number() OVER (ORDER BY repo_id, epoch DESC, {key_sql('version')} DESC, {key_sql('release')} DESC, name, pkg_id) AS place FROM packages),
+owner AS (SELECT DISTINCT f.path, p.pkg_id, p.repo_id FROM files f JOIN packages p ON p.pkg_id = f.pkg_id),
+firsts AS (SELECT path, arg_min(pkg_id, (repo_id, pkg_id)) AS pkg_id FROM owner GROUP BY path),
+prov AS (SELECT name AS cap, pkg_id, epoch AS p_epoch, version AS p_version, release AS p_release FROM packages
+  UNION SELECT c.name, c.pkg_id, c.epoch, c.version, c.release FROM caps c JOIN packages p ON p.pkg_id = c.pkg_id WHERE c.kind = 'provides'
+  UNION SELECT path, pkg_id, NULL, NULL, NULL FROM firsts),
+dep AS (SELECT *, row_number() OVER () AS dep_id FROM (SELECT DISTINCT name, op, epoch, version, release FROM allcaps WHERE kind <> 'provides')),
+sat AS MATERIALIZED (SELECT DISTINCT dep_id, pkg_id FROM (SELECT d.*, v.pkg_id, {_COMPARE} AS cmp FROM dep d JOIN prov v ON v.cap = d.name) WHERE {_HOLDS}),
+meet AS MATERIALIZED (SELECT * FROM sat UNION SELECT d.dep_id, o.pkg_id FROM dep d JOIN owner o ON o.path = d.name),
+best AS MATERIALIZED (SELECT s.dep_id, arg_min(p.pkg_id, p.place) AS pkg_id FROM sat s JOIN place p ON p.pkg_id = s.pkg_id GROUP BY s.dep_id),
+need AS MATERIALIZED (SELECT c.pkg_id AS parent, d.dep_id FROM allcaps c JOIN dep d ON d.name = c.name AND d.op = c.op AND d.version IS NOT DISTINCT FROM c.version WHERE c.kind = 'requires'),
+asked AS MATERIALIZED (SELECT DISTINCT n.dep_id FROM need n JOIN packages p ON p.pkg_id = n.parent WHERE p.arch = 'noarch'),
+says AS (SELECT DISTINCT c.pkg_id AS a, s.pkg_id AS b FROM allcaps c JOIN dep d ON d.name = c.name AND d.op = c.op AND d.version IS NOT DISTINCT FROM c.version JOIN sat s ON s.dep_id = d.dep_id
+  WHERE c.kind = 'conflicts' AND c.pkg_id <> s.pkg_id),
+excludes AS MATERIALIZED (SELECT a, b FROM says UNION SELECT b, a FROM says UNION SELECT x.pkg_id, y.pkg_id FROM packages x JOIN packages y ON x.name = y.name AND x.pkg_id <> y.pkg_id),
+solved AS (
+  SELECT DISTINCT b.pkg_id, p.place, 1 AS depth, 1 AS round, false AS pinned FROM asked a JOIN best b ON b.dep_id = a.dep_id JOIN place p ON p.pkg_id = b.pkg_id
+  UNION ALL (
+  WITH pin AS (SELECT * FROM solved WHERE pinned),
+  alive AS (SELECT * FROM solved s WHERE NOT pinned AND NOT EXISTS (SELECT 1 FROM excludes e JOIN pin ON pin.pkg_id = e.b WHERE e.a = s.pkg_id)),
+  kept AS (SELECT * FROM alive s WHERE NOT EXISTS (SELECT 1 FROM excludes e JOIN alive x ON x.pkg_id = e.b WHERE e.a = s.pkg_id AND x.place < s.place)),
+  open_deps AS (SELECT DISTINCT n.dep_id, pin.depth FROM pin JOIN need n ON n.parent = pin.pkg_id WHERE pin.depth = pin.round AND NOT EXISTS (SELECT 1 FROM meet m JOIN pin q ON q.pkg_id = m.pkg_id WHERE m.dep_id = n.dep_id)),
+  fresh AS (SELECT DISTINCT b.pkg_id, p.place, o.depth + 1 AS depth FROM open_deps o JOIN best b ON b.dep_id = o.dep_id JOIN place p ON p.pkg_id = b.pkg_id
+    WHERE NOT EXISTS (SELECT 1 FROM solved WHERE NOT pinned))
+  SELECT pkg_id, place, depth, round, true FROM kept
+  UNION ALL SELECT pkg_id, place, depth, round, false FROM alive WHERE pkg_id NOT IN (SELECT pkg_id FROM kept)
+  UNION ALL SELECT pkg_id, place, depth, round, true FROM pin WHERE EXISTS (SELECT 1 FROM solved WHERE NOT pinned)
+  UNION ALL SELECT pkg_id, place, depth, round + 1, true FROM pin WHERE EXISTS (SELECT 1 FROM fresh)
+  UNION ALL SELECT pkg_id, place, depth, depth, false FROM fresh)),
+pins AS MATERIALIZED (SELECT DISTINCT pkg_id, depth FROM solved WHERE pinned),
+wants AS (SELECT CAST(NULL AS BIGINT) AS parent, dep_id FROM asked UNION SELECT n.parent, n.dep_id FROM need n JOIN pins p ON p.pkg_id = n.parent),
+lost AS (SELECT dep_id, count(DISTINCT parent) AS parents FROM wants w WHERE NOT EXISTS (SELECT 1 FROM meet m JOIN pins p ON p.pkg_id = m.pkg_id WHERE m.dep_id = w.dep_id) GROUP BY dep_id),
+blocks AS (SELECT b.dep_id, min((CASE WHEN says.a IS NOT NULL THEN 'conflict' ELSE 'other_version' END, e.b)) AS why FROM best b JOIN excludes e ON e.a = b.pkg_id JOIN pins p ON p.pkg_id = e.b
+  LEFT JOIN (SELECT a, b FROM says UNION SELECT b, a FROM says) says ON says.a = e.a AND says.b = e.b WHERE b.dep_id IN (SELECT dep_id FROM lost) GROUP BY b.dep_id)"""
+
+
+def _solved(s, d):
+    """A build root that asks for all that the architecture-independent packages require, paths included."""
+    p, c, f = A.packages(s, d), A.caps(s, d), A.files(s, d)
+    line = A.table(s, d, "lineitem").where("l_quantity > 49")
+    path = F.concat(F.lit("/usr/bin/f"), ((F.col("l_orderkey") + F.col("l_partkey")) % 500).cast("string"))
+    none = F.lit(None)
+    c = c.unionByName(line.select(F.col("l_partkey").alias("pkg_id"), F.lit("requires").alias("kind"), path.alias("name"), F.lit("NONE").alias("op"),
+                                  none.cast("int").alias("epoch"), none.cast("string").alias("version"), none.cast("string").alias("release")))
+    asked = c.where("kind = 'requires'").join(p.where("arch = 'noarch'").select("pkg_id"), "pkg_id", "left_semi").select(*resolve.DEP).distinct()
+    return solver.solve(p.where("false"), p, c, resolve.providers(p, c, f), f, asked)
+
+
+@query(with_sql("packages", "caps", "files", recursive=True, query=_ROOTS + """
+SELECT 'pin' AS kind, pkg_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS VARCHAR) AS version, depth, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS BIGINT) AS blocker, CAST(NULL AS BIGINT) AS parents FROM pins
+UNION ALL SELECT 'unmet', NULL, d.name, d.op, d.version, NULL, coalesce(why[1], 'no_provider'), why[2], parents FROM lost l JOIN dep d ON d.dep_id = l.dep_id LEFT JOIN blocks b ON b.dep_id = l.dep_id"""))
+def buildroot(s, d):
+    """Which packages make up a build root, at which distance, and which requirements can't be met in it and why."""
+    pins, unmet = _solved(s, d)
+    none = F.lit(None)
+    one = pins.select(F.lit("pin").alias("kind"), "pkg_id", none.cast("string").alias("name"), none.cast("string").alias("op"), none.cast("string").alias("version"), "depth",
+                      none.cast("string").alias("reason"), none.cast("long").alias("blocker"), none.cast("long").alias("parents"))
+    left = unmet.groupBy(*resolve.DEP, "reason", "blocker").agg(F.countDistinct("parent").alias("parents"))
+    return one.unionByName(left.select(F.lit("unmet").alias("kind"), none.cast("long").alias("pkg_id"), "name", "op", "version", none.cast("int").alias("depth"), "reason", "blocker", "parents"))
+
 
 # Across profiles and revisions.
 

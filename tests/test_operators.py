@@ -45,66 +45,74 @@ def test_version_texts(spark):
     rows = [("1:2.3-4.el9",), ("2.3-4",), ("2.3",), ("x:2-3",), ("1:2:3-4",), ("-4",), (None,), ("99999999999:1-1",)]
     got = [r["e"] for r in spark.createDataFrame(rows, "s string").select(evr.evr_parse(F.col("s")).alias("e")).collect()]
     assert [tuple(e) if e else None for e in got][:2] == [(1, "2.3", "4.el9"), (0, "2.3", "4")] and got[2] is None and got[3] is None and got[5:] == [None, None, None]
-    one = spark.createDataFrame([("tarn-5.1-2.src.rpm", "(MIT OR Apache-2.0) and BSD", 1536, 0, "1", "2")], "s string, l string, n long, e int, v string, r string")
+    one = spark.createDataFrame([("clay-pot-5.1-2.src.rpm", "(MIT OR Apache-2.0) and BSD", 1536, 0, "1", "2")], "s string, l string, n long, e int, v string, r string")
     r = one.select(
         evr.source_rpm_name(F.col("s")).alias("a"), evr.spdx_atoms(F.col("l")).alias("b"), evr.byte_size_text(F.col("n")).alias("c"), evr.evr_text(F.col("e"), F.col("v"), F.col("r")).alias("d"),
         evr.capability_text(F.lit("x"), F.lit("GE"), F.lit(1), F.lit("2"), F.lit("")).alias("f"),
     ).head()
-    assert tuple(r) == ("tarn", ["MIT", "Apache-2.0", "BSD"], "1.5 KiB", "1-2", "x >= 1:2")
+    assert tuple(r) == ("clay-pot", ["MIT", "Apache-2.0", "BSD"], "1.5 KiB", "1-2", "x >= 1:2")
     assert evr.like_escaped(r"a%b_c\d") == r"a\%b\_c\\d"
 
 
-UNIVERSE = [
-    # pkg_id, repo_id, name, epoch, version, release, arch, source_name, size_installed
-    (1, "r0", "tarn", 0, "7.3.1", "9.el9", "x86_64", "tarn", 10),
-    (2, "r0", "ember", 0, "4.12", "1.el9", "x86_64", "ember", 20),
-    (3, "r0", "plinth", 0, "1.8.0", "1.el9", "x86_64", "plinth", 30),
-    (4, "r0", "plinth", 0, "1.14.2", "2.el9", "x86_64", "plinth", 40),
-    (5, "r0", "lattice-devel", 0, "88", "1.el9", "x86_64", "lattice", 50),
-    (6, "r1", "plinth", 0, "2.0", "1", "x86_64", "plinth", 60),
-]
 PACKAGES = "pkg_id long, repo_id string, name string, epoch int, version string, release string, arch string, source_name string, size_installed long"
 CAPS = "pkg_id long, kind string, name string, op string, epoch int, version string, release string"
-GIVEN = [
-    (5, "provides", "pkgconfig(liblattice)", "NONE", None, None, None),
-    (2, "provides", "libc", "EQ", 0, "4.12", ""),
-    (4, "requires", "tarn", "NONE", None, None, None),
-    (1, "requires", "ember", "GE", 0, "4.12", ""),
-    (5, "conflicts", "tarn", "LT", 0, "8", ""),
-]
+
+
+def published(spark, rows):
+    """Packages of (pkg_id, repo_id, name, 'epoch:version-release')."""
+    cut = [(i, repo_id, name, *re.fullmatch(r"(\d+):(.+)-(.+)", evr).groups()) for i, repo_id, name, evr in rows]
+    return spark.createDataFrame([(i, q, n, int(e), v, r, "noarch", n, 7) for i, q, n, e, v, r in cut], PACKAGES)
+
+
+def wants(spark, rows):
+    """Capabilities of (pkg_id, kind, 'name' or 'name OP [epoch:]version')."""
+    out = []
+    for i, kind, text in rows:
+        name, op, version = [*text.split(" "), "NONE", ""][:3] if not text.startswith("(") else (text, "NONE", "")
+        epoch, _, bare = version.rpartition(":")
+        out.append((i, kind, name, op, *((int(epoch or 0), bare, "") if version else (None, None, None))))
+    return spark.createDataFrame(out, CAPS)
 
 
 @pytest.fixture(scope="module")
-def universe(spark):
-    return spark.createDataFrame(UNIVERSE, PACKAGES), spark.createDataFrame(GIVEN, CAPS), spark.createDataFrame([(1, "/bin/sh"), (2, "/bin/sh")], "pkg_id long, path string")
-
-
-def test_lookup(spark, universe):
-    p, c, f = universe
-    wanted = [
-        ("plinth", "NONE", None, None, None), ("plinth", "GE", 0, "1.20", ""), ("plinth", "LT", 0, "1.14.2", ""), ("plinth", "GE", 0, "3", ""), ("missing-package", "NONE", None, None, None),
-        ("pkgconfig(liblattice)", "NONE", None, None, None), ("pkgconfig(liblattice)", "GE", 0, "1", ""), ("/bin/sh", "NONE", None, None, None), ("(a or b)", "NONE", None, None, None), ("libc", "EQ", 0, "4.12", "7"),
-    ]
-    deps = spark.createDataFrame(wanted, "name string, op string, epoch int, version string, release string")
-    got = {(r["name"], r["op"], r["version"]): (r["outcome"], r["pkg_id"]) for r in resolve.lookup(deps, resolve.providers(p, c, f)).collect()}
-    assert got == {
-        ("plinth", "NONE", None): ("satisfied", 4), ("plinth", "GE", "1.20"): ("satisfied", 6), ("plinth", "LT", "1.14.2"): ("satisfied", 3), ("plinth", "GE", "3"): ("version_unsatisfied", 4),
-        ("missing-package", "NONE", None): ("no_provider", None), ("pkgconfig(liblattice)", "NONE", None): ("satisfied", 5), ("pkgconfig(liblattice)", "GE", "1"): ("version_unsatisfied", 5),
-        ("/bin/sh", "NONE", None): ("satisfied", 1), ("libc", "EQ", "4.12"): ("satisfied", 2),
+def desk(spark):
+    """A quill of three epochs in two repositories, ink that only one package gives with a version, a nib before and after its release, and two owners of a pen."""
+    p = published(spark, [
+        (11, "edge", "quill", "1:0.9-3"), (12, "edge", "quill", "0:2.5-1"), (13, "main", "quill", "2:0.1-1"), (21, "edge", "inkwell", "0:5-2"), (22, "edge", "inkwell", "0:5-10"),
+        (31, "main", "nib", "0:1~rc2-1"), (32, "main", "nib", "0:1-1"), (41, "main", "blotter", "0:3^g1-4"), (42, "edge", "blotter", "0:3-4"),
+    ])
+    c = wants(spark, [
+        (21, "provides", "ink(black) EQ 2"), (22, "provides", "ink(black) EQ 3"), (32, "provides", "tip"), (31, "provides", "tip"),
+        (11, "requires", "ink(black) GE 2"), (11, "requires", "(felt or wool)"), (22, "requires", "nib LT 1"), (31, "requires", "blotter"), (42, "requires", "quill"),
+        (41, "conflicts", "quill LT 1:1"), (42, "conflicts", "tip"), (31, "conflicts", "nib"),
+    ])
+    return p, c, spark.createDataFrame([(41, "/opt/desk/pen"), (32, "/opt/desk/pen"), (41, "/opt/desk/pen"), (11, "/opt/desk/cap")], "pkg_id long, path string")
+
+
+def test_lookup(spark, desk):
+    p, c, f = desk
+    asked = {
+        "quill": ("satisfied", 11), "quill GE 2:0": ("satisfied", 13), "quill LT 3": ("satisfied", 12), "quill LT 1": ("version_unsatisfied", 11), "inkwell EQ 5": ("satisfied", 22),
+        "inkwell GT 5": ("version_unsatisfied", 22), "ink(black) LE 2": ("satisfied", 21), "ink(black) GE 4": ("version_unsatisfied", 22), "nib": ("satisfied", 32), "nib LT 1": ("satisfied", 31),
+        "tip GE 0": ("version_unsatisfied", 32), "tip": ("satisfied", 32), "blotter": ("satisfied", 42), "blotter GT 3": ("satisfied", 41), "/opt/desk/pen": ("satisfied", 32), "wax": ("no_provider", None), "(felt or wool)": None,
     }
+    rows = {x: wants(spark, [(0, "requires", x)]).head() for x in asked}
+    deps = spark.createDataFrame([tuple(r)[2:] for r in rows.values()], "name string, op string, epoch int, version string, release string")
+    got = {(r["name"], r["op"], r["epoch"], r["version"]): (r["outcome"], r["pkg_id"]) for r in resolve.lookup(deps, resolve.providers(p, c, f)).collect()}
+    assert {x: got.get(tuple(rows[x])[2:6]) for x in asked} == asked
 
 
-def test_closure_and_conflicts(spark, universe):
-    p, c, _ = universe
+def test_closure_and_conflicts(spark, desk):
+    p, c, _ = desk
     provided = resolve.providers(p, c)
     found = resolve.lookup(c.where("kind = 'requires'"), provided)
-    closed = resolve.closure(p.where("pkg_id = 4"), resolve.edges(c, found))
-    assert {tuple(r) for r in closed.collect()} == {(4, 0), (1, 1), (2, 2)}
+    closed = resolve.closure(p.where("pkg_id = 11"), resolve.edges(c, found))
+    assert {tuple(r) for r in closed.collect()} == {(11, 0), (22, 1), (31, 2), (42, 3)}
     pairs = resolve.conflicts(c, provided)
-    assert [tuple(r) for r in pairs.collect()] == [(5, 1, "tarn")]
-    assert resolve.conflicts_within(closed, pairs).count() == 0
+    assert {tuple(r) for r in pairs.collect()} == {(41, 11, "quill"), (41, 12, "quill"), (42, 31, "tip"), (42, 32, "tip"), (31, 32, "nib")}
+    assert [(r["pkg_id"], r["victim"], r["via"]) for r in resolve.conflicts_within(closed, pairs).collect()] == [(42, 31, "tip")]
     loop = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "pkg_id long, needs long")
-    assert resolve.closure(p.where("pkg_id = 1"), loop).count() == 3
+    assert resolve.closure(spark.createDataFrame([(1,)], "pkg_id long"), loop).count() == 3
 
 
 def test_compatible_compare(spark):
@@ -114,13 +122,13 @@ def test_compatible_compare(spark):
     assert all(r["got"] == r["want"] for r in t.select("want", evr.compatible_compare((z, F.col("v"), F.col("r")), (z, F.col("w"), F.col("s"))).alias("got")).collect())
 
 
-def test_upgrades_and_owners(spark, universe):
-    p, _, f = universe
-    new = spark.createDataFrame([("plinth", 0, "1.14.2", "2.el9"), ("tarn", 0, "5.0", "1"), ("ember", 0, "4.13", "1"), ("zsh", 0, "1", "1")], "name string, epoch int, version string, release string")
-    got = {r["name"]: r["verdict"] for r in resolve.upgrades(new, p.where("repo_id = 'r0'")).collect()}
-    assert got == {"plinth": "same", "tarn": "regress", "ember": "upgrade", "zsh": "new"}
-    assert [r["pkg_id"] for r in repo.first_owner(f, p).collect()] == [1]
-    assert repo.shared_paths(f, p).head()["owners"] == 2
+def test_upgrades_and_owners(spark, desk):
+    p, _, f = desk
+    new = spark.createDataFrame([("quill", 1, "0.9", "3"), ("quill", 0, "9", "1"), ("inkwell", 0, "5", "9"), ("blotter", 0, "3^g1", "1"), ("wax", 0, "1", "1")], "name string, epoch int, version string, release string")
+    got = {(r["name"], r["epoch"]): r["verdict"] for r in resolve.upgrades(new, p.where("repo_id = 'edge'")).collect()}
+    assert got == {("quill", 1): "same", ("quill", 0): "epoch_dropped", ("inkwell", 0): "regress", ("blotter", 0): "upgrade", ("wax", 0): "new"}
+    assert {tuple(r) for r in repo.first_owner(f, p).select("path", "pkg_id").collect()} == {("/opt/desk/pen", 32), ("/opt/desk/cap", 11)}
+    assert [tuple(r) for r in repo.shared_paths(f, p).collect()] == [("/opt/desk/pen", "blotter", "nib", 2)]
 
 
 def test_boolean_algebra(spark):
@@ -252,33 +260,99 @@ def test_queries_match_their_sql(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def solved(spark, roots, packages, given, files=()):
-    """Names of pins with their paths, and (dependency, reason) of what is unmet."""
-    p = spark.createDataFrame([(i, "r0", n, 0, v, "1", "x86_64", n, 1) for i, n, v in packages], PACKAGES)
-    c = spark.createDataFrame([(i, k, n, op, None if v is None else 0, v, None if v is None else "") for i, k, n, op, v in given], CAPS)
-    f = spark.createDataFrame(list(files), "pkg_id long, path string")
-    pins, unmet = solver.solve(spark.createDataFrame([(i,) for i in roots], "pkg_id long"), p, c, resolve.providers(p, c, f))
-    return {r["pkg_id"]: "/".join(r["path"]) for r in pins.collect()}, {(r["name"], r["reason"], r["blocker"]) for r in unmet.collect()}
-
-
-def test_solver_scenarios(spark):
-    three = [(1, "a", "1"), (2, "b", "1"), (3, "c", "1"), (4, "d", "1")]
-    pins, unmet = solved(spark, [1], three, [(1, "requires", "b", "NONE", None), (2, "requires", "c", "GE", "1"), (3, "requires", "a", "NONE", None)])
-    assert pins == {1: "a", 2: "a/b", 3: "a/b/c"} and unmet == set()
-    pins, unmet = solved(spark, [1], three, [(1, "requires", "absent", "NONE", None), (1, "requires", "b", "GE", "2"), (1, "requires", "(x or y)", "NONE", None)])
-    assert pins == {1: "a"} and unmet == {("absent", "no_provider", None), ("b", "no_provider", None)}
-    # A path with two owners that conflict: the first owner is taken, and the other can't come in by name.
-    pins, unmet = solved(spark, [1], three, [(1, "requires", "/bin/x", "NONE", None), (2, "requires", "c", "NONE", None), (3, "conflicts", "b", "NONE", None)], [(2, "/bin/x"), (3, "/bin/x")])
-    assert pins == {1: "a", 2: "a/b"} and unmet == {("c", "conflict", 2)}
-    pins, unmet = solved(spark, [1], three, [(1, "requires", "b", "NONE", None), (2, "requires", "c", "NONE", None), (1, "conflicts", "c", "LT", "2"), (1, "conflicts", "d", "GE", "2"), (2, "requires", "d", "NONE", None)])
-    assert pins == {1: "a", 2: "a/b", 4: "a/b/d"} and unmet == {("c", "conflict", 1)}
-
-
-def test_solver_pins_one_package_a_name(spark):
-    two = [(1, "a", "1"), (2, "b", "1"), (3, "b", "2"), (4, "c", "1")]
-    pins, unmet = solved(spark, [1], two, [(1, "requires", "b", "NONE", None), (1, "requires", "c", "NONE", None), (4, "requires", "b", "EQ", "1"), (4, "requires", "b", "GE", "1")])
-    assert pins == {1: "a", 3: "a/b", 4: "a/c"} and unmet == {("b", "other_version", 3)}
-    assert solved(spark, [], two, [])[0] == {}
-    rows = [("x", "NONE", None, None, None, 1, ["a", "b"], "no_provider", None), ("x", "NONE", None, None, None, 2, ["a"], "no_provider", None)]
+#: name -> roots (ids), packages ('name=version' by id, from 1), capabilities, file owners, requirements, and what is expected: pins by id with their paths, unmet (dependency, reason, blocker).
+SOLVED = {
+    "walk": ([1], "abc", [(1, "requires", "b"), (2, "requires", "c GE 1"), (3, "requires", "a"), (2, "requires", "b")], [], [], {1: "a", 2: "a/b", 3: "a/b/c"}, set()),
+    "lacks": ([1], "abc", [(1, "requires", "absent"), (1, "requires", "b GE 2"), (1, "requires", "(x or y)")], [], [], {1: "a"}, {("absent", "no_provider", None), ("b", "no_provider", None)}),
+    "asked": (
+        [], "abcd", [(2, "requires", "d"), (3, "requires", "gone")], [], ["b", "c", "b GE 0", "(p and q)", "lost"], {2: "b", 3: "c", 4: "b/d"},
+        {("gone", "no_provider", None), ("lost", "no_provider", None)},
+    ),
+    "one a name": (
+        [1], ["a", "b=1", "b=2", "c"], [(1, "requires", "b"), (1, "requires", "c"), (4, "requires", "b EQ 1"), (4, "requires", "b GE 1")], [], [], {1: "a", 3: "a/b", 4: "a/c"}, {("b", "other_version", 3)},
+    ),
+    "one a name at once": ([1], ["a", "b=1", "b=2"], [(1, "requires", "b LE 1"), (1, "requires", "b GE 2")], [], [], {1: "a", 3: "a/b"}, {("b", "other_version", 3)}),
+    # b falls to a, so it keeps nothing out: c comes in, and d falls to c.
+    "chain": (
+        [1], "abcde", [*((1, "requires", x) for x in "bcde"), (2, "conflicts", "c"), (3, "conflicts", "d"), (4, "conflicts", "e"), (1, "conflicts", "b")], [], [],
+        {1: "a", 3: "a/c", 5: "a/e"}, {("b", "conflict", 1), ("d", "conflict", 3)},
+    ),
+    "chain within": (
+        [1], "abcde", [*((1, "requires", x) for x in "bcde"), (2, "conflicts", "c"), (3, "conflicts", "d"), (4, "conflicts", "e")], [], [],
+        {1: "a", 2: "a/b", 4: "a/d"}, {("c", "conflict", 2), ("e", "conflict", 4)},
+    ),
+    "later": (
+        [1], "abcd", [(1, "requires", "b"), (2, "requires", "c"), (1, "conflicts", "c LT 2"), (1, "conflicts", "d GE 2"), (2, "requires", "d")], [], [], {1: "a", 2: "a/b", 4: "a/b/d"}, {("c", "conflict", 1)},
+    ),
+    "both say so": ([], "xy", [(1, "conflicts", "y"), (2, "conflicts", "x")], [], ["x", "y"], {1: "x"}, {("y", "conflict", 1)}),
+    # Two owners of a path exclude each other; whichever is pinned, the path needs no other.
+    "first owner": (
+        [], "abcd", [(2, "conflicts", "c"), (3, "conflicts", "b"), (1, "requires", "/x"), (4, "requires", "/x")], [(2, "/x"), (3, "/x")], ["b", "a", "d"], {1: "a", 2: "b", 4: "d"}, set(),
+    ),
+    "other owner": (
+        [], "abcd", [(2, "conflicts", "c"), (3, "conflicts", "b"), (1, "requires", "/x"), (4, "requires", "/x")], [(2, "/x"), (3, "/x")], ["c", "a", "d"], {1: "a", 3: "c", 4: "d"}, set(),
+    ),
+    "owner first": ([1], "abc", [(1, "requires", "/x"), (2, "requires", "c"), (3, "conflicts", "b")], [(2, "/x"), (3, "/x")], [], {1: "a", 2: "a/b"}, {("c", "conflict", 2)}),
+}
+
+
+@pytest.fixture(scope="module")
+def solved(spark):
+    """Every scenario's pins and unmet dependencies, from one solution: names and paths of a scenario are its own."""
+    p, c, f, roots, asked = [], [], [], [], []
+    for k, (root, packages, given, files, wanted, _, _) in enumerate(SOLVED.values()):
+        own = lambda x, k=k: f"({x[1:]}" if x[0] == "(" else f"/{k}{x}" if x[0] == "/" else f"{k}.{x}"
+        for i, x in enumerate(packages, 1):
+            name, version = [*x.split("="), "1"][:2]
+            p.append((100 * k + i, "main", own(name), f"0:{version}-1"))
+        c += [(100 * k + i, kind, own(x)) for i, kind, x in given]
+        f += [(100 * k + i, own(x)) for i, x in files]
+        roots += [(100 * k + i,) for i in root]
+        asked += [(0, "requires", own(x)) for x in wanted]
+    p, c, f = published(spark, p), wants(spark, c), spark.createDataFrame(f, "pkg_id long, path string")
+    pins, unmet = solver.solve(spark.createDataFrame(roots, "pkg_id long"), p, c, resolve.providers(p, c, f), f, wants(spark, asked).select(*resolve.DEP))
+    out = [({}, set()) for _ in SOLVED]
+    bare = lambda x: x.partition("." if "." in x else "/")[2]
+    for r in pins.collect():
+        out[r["pkg_id"] // 100][0][r["pkg_id"] % 100] = "/".join(map(bare, r["path"]))
+    for r in unmet.collect():
+        out[int(re.match(r"/?(\d+)", r["name"])[1])][1].add((bare(r["name"]), r["reason"], r["blocker"] and r["blocker"] % 100))
+    return dict(zip(SOLVED, out, strict=True))
+
+
+@pytest.mark.parametrize("name", SOLVED)
+def test_solver(solved, name):
+    assert solved[name] == SOLVED[name][-2:]
+
+
+def test_solver_of_nothing(spark, desk):
+    p, c, f = desk
+    pins, unmet = solver.solve(p.where("false"), p, c, resolve.providers(p, c, f), f)
+    assert pins.count() == 0 and unmet.count() == 0
+
+
+def test_independent_sets_against_one_by_one(spark):
+    rng = random.Random(5)
+    for n, links in ((40, 60), (30, 200), (25, 0)):
+        rows = [(i, f"n{rng.randrange(n * 2 // 3)}", rng.randrange(10**6) * 100 + i) for i in range(n)]
+        pairs = {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(links)) if a != b}
+        pairs |= {(b, a) for a, b in pairs}
+        kept, names = set(), set()
+        for i, name, _ in sorted(rows, key=lambda r: r[2]):
+            if name not in names and not any((i, k) in pairs for k in kept):
+                kept.add(i)
+                names.add(name)
+        w = spark.createDataFrame(rows, "pkg_id long, name string, place long")
+        assert {r["pkg_id"] for r in solver.independent(w, spark.createDataFrame(sorted(pairs) or [(-1, -2)], "pkg_id long, blocker long")).collect()} == kept
+
+
+def test_solver_reports(spark):
+    rows = [("x", "NONE", None, None, None, 1, ["a", "b"], "no_provider", None), ("x", "NONE", None, None, None, 2, ["a"], "no_provider", None), ("y", "NONE", None, None, None, 2, ["a"], "conflict", 1)]
     u = spark.createDataFrame(rows, "name string, op string, epoch int, version string, release string, parent long, path array<string>, reason string, blocker long")
-    assert [(r["parents"], r["path"]) for r in solver.unmet_core(u).collect()] == [(2, ["a"])]
+    pins = spark.createDataFrame([(1, "b", 2, 1, ["a", "b"]), (2, "a", None, 0, ["a"])], "pkg_id long, name string, parent long, depth int, path array<string>")
+    assert {(r["name"], r["parents"], *r["path"]) for r in solver.unmet_core(u).collect()} == {("x", 2, "a"), ("y", 1, "a")}
+    assert [tuple(r) for r in solver.chains(pins, u).collect()] == [("y", "conflict", ["a"], 1, ["a", "b"])]
+    p = published(spark, [(1, "main", "b", "0:1-1"), (2, "main", "a", "0:1-1"), (2, "main", "a", "0:1-1"), (3, "main", "c", "0:1-1")])
+    assert tuple(solver.summary(pins, u, p).head()) == (2, 14, 2, False)
+    rich = wants(spark, [(1, "requires", "(p or q)"), (3, "requires", "(z or q)"), (0, "requires", "(s if t)")])
+    assert {r["name"] for r in solver.skipped(pins, rich, rich.where("pkg_id = 0")).collect()} == {"(p or q)", "(s if t)"}
