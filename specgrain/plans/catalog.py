@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import evr
 from ..operators import branch_rules as branch_rules  # registers its rules
-from ..operators import examples
 from ..operators import parser_rules as parser_rules  # registers its rules
 from ..operators import conditions, layers, matrix, recipe_rules, repo, resolve, rules, solver
 from ..sources import adapters as A
@@ -591,24 +590,3 @@ def recipe_missing_parts(s, d):
     """How many texts lack each required tag or section."""
     texts = A.table(s, d, "documents").select(F.col("doc_id").alias("spec_id"), "text")
     return recipe_rules.lint(recipes.parse(texts, keep=True), [*_PARTS, *_TAGS]).groupBy("lint_id").agg(F.count("*").alias("n"))
-
-
-def _example_query(group: str):
-    """Which rules of a group each recipe breaks, where suppliers stand for recipes: one by one the clean recipe and the example of every rule of the group."""
-    ids = examples.GROUPS[group]
-    broken = [(0, i) for i in examples.CLEAN_BREAKS.get(group, [])] + [(n, i) for n, id in enumerate(ids, 1) for i in (id, *examples.ALSO.get(id, []))]
-    rows = ", ".join(f"({n}, '{i}')" for n, i in broken)
-
-    def run(s, d):
-        text = F.array(F.lit(examples.CLEAN), *(F.lit(examples.example(i)) for i in ids))
-        k = F.col("s_suppkey")
-        recipe = A.table(s, d, "supplier").select(k.alias("spec_id"), F.element_at(text, (k % (len(ids) + 1) + 1).cast("int")).alias("text"))
-        found = recipe_rules.lint(recipes.parse(recipe, keep=True), ids, "opensuse" if group == "opensuse" else "fedora")
-        return found.select("lint_id", "spec_id").distinct()
-
-    run.__name__ = f"recipe_rules_{group}"
-    query(f"SELECT lint_id, s_suppkey AS spec_id FROM supplier JOIN (VALUES {rows}) e(n, lint_id) ON s_suppkey % {len(ids) + 1} = n")(run)
-
-
-for _group in examples.GROUPS:
-    _example_query(_group)

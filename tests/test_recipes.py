@@ -1,9 +1,9 @@
 """Recipe relations and rules on small recipes written for the purpose."""
 
 import pytest
+from recipe_examples import CASES, CLEAN, changed, example
 
 from specgrain.operators import branch_rules, parser_rules  # noqa: F401  register their rules
-from specgrain.operators.examples import CASES, CLEAN, changed, example
 from specgrain.operators.recipe_rules import RULES, lint
 from specgrain.sources.recipes import parse
 
