@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.macros import expand, references
-from ..sources.recipes import BUILD_SECTIONS, OTHER_SECTIONS, SCRIPTLETS, Recipes
+from ..sources.recipes import ATOM, BUILD_SECTIONS, OTHER_SECTIONS, SCRIPTLETS, Recipes
 from .layers import merge_values
 from .matrix import for_every
+from .projection import Projection
 
 #: Words after a percent sign that aren't macros.
 DIRECTIVES = ("global", "define", "undefine", "if", "ifarch", "ifnarch", "ifos", "ifnos", "elif", "elifarch", "elifos", "else", "endif", "include", "dnl", "bcond", "bcond_with", "bcond_without",
@@ -68,31 +69,57 @@ def license_findings(r: Recipes, licenses: DataFrame) -> DataFrame:
 
 def requirements(r: Recipes, key: str = "buildrequires") -> DataFrame:
     """Dependencies of recipes in the form that resolve.lookup takes: (spec_id, line_no, name, op, epoch, version, release); rich and unexpanded ones apart."""
+    return _as_dependencies(r.atoms.where((F.col("key") == key) & ~F.col("rich") & ~F.col("atom").contains("%")), "spec_id", "line_no")
+
+
+def _as_dependencies(a: DataFrame, *keys: str) -> DataFrame:
+    """Atoms (name, op, evr) in the form that resolve.lookup takes, with the keys."""
     op = F.create_map(*(F.lit(x) for kv in (("=", "EQ"), ("<", "LT"), ("<=", "LE"), (">", "GT"), (">=", "GE")) for x in kv))
-    a = r.atoms.where((F.col("key") == key) & ~F.col("rich") & ~F.col("atom").contains("%"))
     epoch, rest = F.regexp_extract("evr", r"^([0-9]+):", 1), F.regexp_replace("evr", r"^[0-9]+:", "")
     bare = F.col("op").isNull()
     return a.select(
-        "spec_id", "line_no", "name", F.when(bare, "NONE").otherwise(op[F.col("op")]).alias("op"), F.when(~bare, F.coalesce(epoch.try_cast("int"), F.lit(0))).alias("epoch"),
+        *keys, "name", F.when(bare, "NONE").otherwise(op[F.col("op")]).alias("op"), F.when(~bare, F.coalesce(epoch.try_cast("int"), F.lit(0))).alias("epoch"),
         F.when(~bare, F.regexp_replace(rest, r"-[^-]*$", "")).alias("version"), F.when(~bare, F.regexp_extract(rest, r"-([^-]*)$", 1)).alias("release"),
     )
 
 
-def repository_findings(r: Recipes, provided: DataFrame) -> DataFrame:
-    """Findings (lint_id, spec_id, line_no, detail) of dependencies that a universe can't meet: no provider of a build or run-time requirement, or none of a fitting version."""
+def projected_requirements(p: Projection, key: str = "buildrequires") -> DataFrame:
+    """What each profile sees required, macros filled in: (spec_id, profile_id, line_no, name, op, epoch, version, release). Rich dependencies, and those whose macros can't be told, apart.
+
+    A macro may stand for several dependencies.
+    """
+    told = p.atoms.where((F.col("key") == key) & F.col("told").isNotNull()).select("spec_id", "profile_id", "line_no", F.explode(F.regexp_extract_all("told", F.lit(ATOM), 0)).alias("atom"))
+    atom = F.trim("atom")
+    op = F.regexp_extract(atom, r"(<=|>=|=|<|>)", 1)
+    evr = F.when(op != "", F.regexp_extract(atom, r"(?:<=|>=|=|<|>)\s*(\S+)$", 1))
+    named = told.where(~atom.startswith("(")).select("spec_id", "profile_id", "line_no", F.regexp_extract(atom, r"^([^\s,<>=]+)", 1).alias("name"), F.when(op != "", op).alias("op"), evr.alias("evr"))
+    return _as_dependencies(named, "spec_id", "profile_id", "line_no").distinct()
+
+
+def _unmet(deps: dict[str, DataFrame], provided: DataFrame, *keys: str) -> DataFrame:
+    """Findings of dependencies by kind that a universe can't meet."""
     from .resolve import DEP, lookup
 
     out = None
     for key, none, unmet in (("buildrequires", "RPM-REPO-001", "RPM-REPO-003"), ("requires", "RPM-REPO-002", None)):
-        deps = requirements(r, key)
-        found = lookup(deps, provided).select(*(F.col(c).alias(f"_{c}") for c in DEP), "outcome")
+        found = lookup(deps[key], provided).select(*(F.col(c).alias(f"_{c}") for c in DEP), "outcome")
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in DEP]
         id = F.when(F.col("outcome") == "no_provider", none).when(F.col("outcome") == "version_unsatisfied", unmet)
-        rows = deps.join(found, same).select(id.alias("lint_id"), "spec_id", "line_no", F.concat_ws(" ", "name", "op", "version").alias("detail")).where("lint_id is not null")
+        rows = deps[key].join(found, same).select(id.alias("lint_id"), *keys, F.concat_ws(" ", "name", "op", "version").alias("detail")).where("lint_id is not null")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def repository_findings(r: Recipes, provided: DataFrame) -> DataFrame:
+    """Findings (lint_id, spec_id, line_no, detail) of dependencies that a universe can't meet: no provider of a build or run-time requirement, or none of a fitting version."""
+    return _unmet({k: requirements(r, k) for k in ("buildrequires", "requires")}, provided, "spec_id", "line_no")
+
+
+def projected_findings(p: Projection, provided: DataFrame) -> DataFrame:
+    """repository_findings of what each profile sees, with profile_id: branches that it doesn't take ask for nothing, and macros are filled in."""
+    return _unmet({k: projected_requirements(p, k) for k in ("buildrequires", "requires")}, provided, "spec_id", "profile_id", "line_no")
+
+
 def _own(r: Recipes, key: str) -> DataFrame:
     return r.tags.where((F.col("key") == key) & (F.col("pkg") == "") & (F.col("depth") == 0)).groupBy("spec_id").agg(F.max_by("value", "line_no").alias(key), F.max("line_no").alias("line_no"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import recipe_rules
+from ..operators import projection, recipe_rules
 from ..sources import adapters as A
 from ..sources import recipes
 from .catalog import query
@@ -194,3 +194,68 @@ def _family_query(family: str):
 
 for _family in FAMILIES:
     _family_query(_family)
+
+
+# What profiles see: a recipe a supplier, a profile a nation.
+
+#: As _LINES; s is the supplier's key, c its nation.
+_BRANCHED: list[tuple[str, str]] = [
+    ("true", "'Name: pkg' || s"), ("true", "'Version: ' || (s % 40)"), ("true", "'Release: 1'"), ("s % 2 = 0", "'%global level ' || (s % 6)"), ("true", "'%{!?level:%global level 9}'"),
+    ("s % 3 = 0", "'%global soname lib%{name}-%{version}'"), ("s % 11 = 0", "'%define vague %(uname)'"), ("true", "'%if 0%{?rhel} >= ' || (s % 10)"), ("true", "'%global flavour %{level}'"),
+    ("true", "'BuildRequires: base-%{rhel}'"), ("true", "'%elif 0%{?suse} > ' || (c % 5)"), ("true", "'%global flavour 7'"), ("true", "'%else'"), ("true", "'%global level 4'"), ("true", "'%endif'"),
+    ("true", "'%if 0%{?flavour} > 3'"), ("true", "'Requires: %{soname}'"), ("true", "'%ifarch x86_64 noarch'"), ("true", "'BuildRequires: gcc-%{level}'"), ("true", "'%else'"), ("true", "'%global level 5'"),
+    ("true", "'%endif'"), ("true", "'%endif'"), ("s % 7 = 0", "'%if %{unheard} == 1'"), ("s % 7 = 0", "'Requires: odd'"), ("s % 7 = 0", "'%else'"), ("s % 7 = 0", "'Requires: even'"), ("s % 7 = 0", "'%endif'"),
+    ("s % 11 = 0", "'%if 0%{?vague} == 0'"), ("s % 11 = 0", "'Requires: vague'"), ("s % 11 = 0", "'%endif'"), ("true", "'%if 0%{?level} == 5'"), ("true", "'Requires: five-%{flavour}'"), ("true", "'%endif'"),
+    ("true", "'%files'"), ("true", "'/opt/%{name}/%{level}'"), ("true", "'%if 0%{?suse}'"), ("true", "'/usr/%{missing}/x'"), ("true", "'%endif'"),
+]
+_BRANCHED_TEXT = "concat_ws(chr(10), " + ", ".join(f"CASE WHEN {when} THEN {line} END" for when, line in _BRANCHED) + ")"
+_ARCH = "CASE {k} % 3 WHEN 0 THEN 'x86_64' WHEN 1 THEN 'aarch64' ELSE 'noarch' END"
+
+#: A plain reading line by line, as one would by hand: the recipe's macros so far, and for each open block whether its branch is taken and whether the chain is done.
+_PROJECTED = rf"""WITH RECURSIVE recipe AS (SELECT s AS spec_id, string_split({_BRANCHED_TEXT}, chr(10)) AS l FROM (SELECT s_suppkey AS s, s_nationkey AS c FROM supplier)),
+profile AS (SELECT n_nationkey AS profile_id, {_ARCH.format(k="n_nationkey")} AS arch,
+  map_from_entries(list_filter([('rhel', CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey % 10 AS VARCHAR) END), ('suse', CASE WHEN n_nationkey % 5 = 1 THEN CAST(n_nationkey % 7 AS VARCHAR) END), ('soname', CASE WHEN n_nationkey % 8 = 0 THEN 'own' END)], lambda e: e[2] IS NOT NULL)) AS own FROM nation),
+step AS (
+  SELECT spec_id, profile_id, arch, own, l, 0 AS line_no, MAP([]::VARCHAR[], []::VARCHAR[]) AS mine, []::BOOLEAN[] AS taken, []::BOOLEAN[] AS done, '' AS line, false AS shown, NULL::VARCHAR AS filled FROM recipe, profile
+  UNION ALL
+  SELECT spec_id, profile_id, arch, own, l, line_no + 1,
+    CASE WHEN defines <> '' AND shown AND NOT (line LIKE '%{{!?%' AND (list_contains(map_keys(own), defines) OR list_contains(map_keys(mine), defines))) THEN map_concat(mine, MAP([defines], [filled])) ELSE mine END,
+    CASE WHEN opens THEN list_append(taken, coalesce(t, false)) WHEN turns THEN list_append(taken[:-2], NOT done[-1] AND coalesce(t, false)) WHEN line = '%endif' THEN taken[:-2] ELSE taken END,
+    CASE WHEN opens THEN list_append(done, coalesce(t, true)) WHEN turns THEN list_append(done[:-2], done[-1] OR coalesce(t, true)) WHEN line = '%endif' THEN done[:-2] ELSE done END,
+    line, shown AND NOT (opens OR turns OR line = '%endif'), filled
+  FROM (
+    SELECT *, CASE WHEN line = '%else' THEN true
+      WHEN line LIKE '%ifarch %' THEN list_contains(string_split(line, ' ')[2:], arch)
+      WHEN name = '' THEN NULL WHEN broken THEN NULL WHEN value IS NULL AND line NOT LIKE '%{{?%' THEN NULL
+      ELSE CASE op WHEN '>=' THEN number >= bound WHEN '>' THEN number > bound WHEN '==' THEN number = bound ELSE number <> 0 END END AS t
+    FROM (
+      SELECT *, name <> '' AND list_contains(map_keys(mine), name) AND NOT list_contains(map_keys(own), name) AND mine[name] IS NULL AS broken, CAST('0' || coalesce(value, '') AS BIGINT) AS number,
+        CASE WHEN refs IS NOT NULL THEN list_reduce(list_prepend(body, refs), lambda acc, ref: replace(acc, '%{{' || ref || '}}', coalesce(own[ref], mine[ref]))) END AS filled
+      FROM (
+        SELECT *, coalesce(own[name], mine[name]) AS value, CASE WHEN body LIKE '%\%(%' ESCAPE '\' THEN NULL ELSE regexp_extract_all(body, '%\{{(\w+)\}}', 1) END AS refs FROM (
+          SELECT s.* EXCLUDE (line, shown, filled), l[line_no + 1] AS line, regexp_matches(l[line_no + 1], '^%if') AS opens, regexp_matches(l[line_no + 1], '^%(elif|else)') AS turns, NOT list_contains(taken, false) AS shown,
+            regexp_extract(l[line_no + 1], '%(?:global|define) (\w+) ', 1) AS defines,
+            CASE WHEN l[line_no + 1] LIKE 'Name: %' OR l[line_no + 1] LIKE 'Version: %' THEN regexp_extract(l[line_no + 1], ': (.*)$', 1)
+              WHEN regexp_matches(l[line_no + 1], '%(global|define) ') THEN rtrim(regexp_extract(l[line_no + 1], '%(?:global|define) \w+ (.*)$', 1), CASE WHEN l[line_no + 1] LIKE '%{{!?%' THEN '}}' ELSE '' END)
+              ELSE regexp_extract(l[line_no + 1], '^(?:[A-Za-z]+: )?(.*)$', 1) END AS body,
+            CASE WHEN regexp_matches(l[line_no + 1], '^%(if|elif) ') THEN regexp_extract(l[line_no + 1], '%\{{\??(\w+)\}}', 1) ELSE '' END AS name,
+            regexp_extract(l[line_no + 1], ' (>=|>|==) [0-9]+$', 1) AS op, CAST('0' || regexp_extract(l[line_no + 1], ' ([0-9]+)$', 1) AS BIGINT) AS bound
+          FROM (SELECT * REPLACE (CASE WHEN line LIKE 'Name: %' THEN map_concat(mine, MAP(['name'], [filled])) WHEN line LIKE 'Version: %' THEN map_concat(mine, MAP(['version'], [filled])) ELSE mine END AS mine) FROM step) s
+          WHERE line_no < len(l))))))
+SELECT spec_id, profile_id, line_no, CASE WHEN line LIKE '/%' THEN 'file' ELSE lower(regexp_extract(line, '^(\w+): ', 1)) END AS what, filled AS told FROM step
+WHERE shown AND (line LIKE '/%' OR line LIKE 'Requires: %' OR line LIKE 'BuildRequires: %')"""
+
+
+@query(_PROJECTED)
+def projected_items(s, d):
+    """The dependencies and files of every supplier's recipe that each nation's profile sees, macros filled in."""
+    t = A.table(s, d, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("c"))
+    texts = t.select(F.col("s").alias("spec_id"), F.expr(_BRANCHED_TEXT).alias("text"))
+    k = F.col("n_nationkey")
+    nation = A.table(s, d, "nation")
+    profiles = nation.select(k.alias("profile_id"), F.expr(_ARCH.format(k="n_nationkey")).alias("arch"), F.lit("linux").alias("os"))
+    macro = lambda name, when, value: nation.where(when).select(k.alias("profile_id"), F.lit(name).alias("name"), value.cast("string").alias("value"))
+    macros = macro("rhel", k % 2 == 0, k % 10).unionByName(macro("suse", k % 5 == 1, k % 7)).unionByName(macro("soname", k % 8 == 0, F.lit("own")))
+    p = projection.project(recipes.parse(texts, keep=True), profiles, macros)
+    atoms = p.atoms.select("spec_id", "profile_id", "line_no", F.col("key").alias("what"), "told")
+    return atoms.unionByName(p.files.select("spec_id", "profile_id", "line_no", F.lit("file").alias("what"), "told"))

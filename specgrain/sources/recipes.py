@@ -22,7 +22,7 @@ _ELSE = r"^\s*%(elif|elifarch|elifos|else)\b\s*(.*?)\s*$"
 _END = r"^\s*%endif\b"
 _TAG = r"^([A-Za-z][A-Za-z]*?)([0-9]*)(?:\(([^)]*)\))?\s*:\s*(.*?)\s*$"
 _DEFINE = r"^\s*%(?:\{!\?[A-Za-z_]\w*:\s*%)?(global|define)\s+([A-Za-z_]\w*)(\([^)]*\))?\s+(.*?)\s*$"
-_ATOM = r"\(.*\)|[^\s,<>=]+(?:\s*(?:<=|>=|=|<|>)\s*[^\s,]+)?"
+ATOM = r"\(.*\)|[^\s,<>=]+(?:\s*(?:<=|>=|=|<|>)\s*[^\s,]+)?"
 
 
 @dataclass
@@ -99,7 +99,7 @@ def parse(sources: DataFrame, keep: bool = False) -> Recipes:
     bare = F.trim(F.regexp_extract(atom, r"^([^\s,<>=]+)", 1))
     rich = atom.startswith("(")
     atoms = tagged.where(F.col("key").isin(*DEPENDENCY_TAGS)).select(
-        "*", F.explode(F.regexp_extract_all("value", F.lit(_ATOM), 0)).alias("atom")
+        "*", F.explode(F.regexp_extract_all("value", F.lit(ATOM), 0)).alias("atom")
     ).select(
         "spec_id", "line_no", "pkg", "depth", "chain", "key", "qualifiers", F.trim(atom).alias("atom"), rich.alias("rich"), F.when(rich, F.trim(atom)).otherwise(bare).alias("name"),
         F.when(~rich & (op != ""), op).alias("op"), F.when(~rich & (op != ""), F.trim(F.regexp_extract(atom, r"(?:<=|>=|=|<|>)\s*(\S+)$", 1))).alias("evr"),
