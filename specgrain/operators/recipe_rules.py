@@ -6,6 +6,7 @@ Ids, names, severities and thresholds are fixed values.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions
-from ..sources.recipes import BUILD_SECTIONS, SCRIPTLETS, Recipes
+from ..sources import shell
+from ..sources.recipes import BUILD_SECTIONS, DEPENDENCY_TAGS, SCRIPTLETS, Recipes
 from . import conditions
 
 
@@ -25,14 +27,16 @@ class Rule:
     find: Callable[[Recipes], DataFrame]
     #: The families of distributions that it holds for; all if empty.
     families: tuple[str, ...] = ()
+    #: Whether a finding's detail is a macro that the profile must have.
+    gated: bool = False
 
 
 RULES: dict[str, Rule] = {}
 
 
-def rule(id: str, name: str, severity: str = "warn", families: tuple[str, ...] = ()):
+def rule(id: str, name: str, severity: str = "warn", families: tuple[str, ...] = (), gated: bool = False):
     def add(f):
-        RULES[id] = Rule(id, name, severity, f, families)
+        RULES[id] = Rule(id, name, severity, f, families, gated)
         return f
 
     return add
@@ -43,14 +47,20 @@ def at(df: DataFrame, detail: Column | str = "") -> DataFrame:
     return df.select("spec_id", F.col("line_no").cast("int").alias("line_no"), d.cast("string").alias("detail"))
 
 
-def lint(r: Recipes, ids: list[str] | None = None, family: str | None = "fedora") -> DataFrame:
-    """Findings of all rules (or of ids) that hold for a family of distributions: lint_id, lint_name, severity, spec_id, line_no, detail."""
+def lint(r: Recipes, ids: list[str] | None = None, family: str | None = "fedora", macros: DataFrame | None = None) -> DataFrame:
+    """Findings of all rules (or of ids) that hold for a family of distributions: lint_id, lint_name, severity, spec_id, line_no, detail.
+
+    macros (name): those that the profile has; rules that advise a macro do so only if it is among them, or if none are given.
+    """
     out = None
     chosen = [i for i in ids or sorted(RULES) if not RULES[i].families or family in RULES[i].families]
     if not chosen:
         raise ValueError("none of the rules holds for this family")
     for i in chosen:
-        found = RULES[i].find(r).select(F.lit(i).alias("lint_id"), F.lit(RULES[i].name).alias("lint_name"), F.lit(RULES[i].severity).alias("severity"), "*")
+        found = RULES[i].find(r)
+        if RULES[i].gated and macros is not None:
+            found = found.join(macros.select(F.col("name").alias("detail")).distinct(), "detail", "left_semi")
+        found = found.select(F.lit(i).alias("lint_id"), F.lit(RULES[i].name).alias("lint_name"), F.lit(RULES[i].severity).alias("severity"), "spec_id", "line_no", "detail")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -268,7 +278,7 @@ def shell_in_metadata(r):
     return at(r.tags.where(F.col("key").isin(*keys) & F.col("value").rlike(r"%\(|%\{lua:")), F.col("tag"))
 
 
-@rule("RPM303", "release-disttag-policy")
+@rule("RPM303", "release-disttag-policy", families=("fedora", "rhel"))
 def disttag(r):
     v = F.col("value")
     return at(r.tags.where((F.col("key") == "release") & (F.col("pkg") == "") & (v.rlike(r"\.(fc|el)[0-9]+") | ~v.rlike(r"%\{\??dist\}|%\{?autorelease|%\?dist"))), v)
@@ -745,9 +755,7 @@ _shell_rule("RPM122", "configure-without-configure-macro", r"(?:^|\s)\.{1,2}/con
 _shell_rule("RPM341", "scriptlet-upgrade-test-eq-two", r"\$1\"?\s*(?:-eq|=|==)\s*\"?2\b", SCRIPTLETS)
 _shell_rule("RPM342", "direct-systemctl-in-scriptlet", r"\bsystemctl\s+(?:-\S+\s+)*(?:enable|disable|start|stop|restart|reload|try-restart|reload-or-restart|preset|preset-all|mask|unmask|daemon-reload|daemon-reexec)\b", SCRIPTLETS)
 _shell_rule("RPM346", "ldconfig-scriptlet-style", r"^\s*/sbin/ldconfig\b", ("post", "postun"))
-_shell_rule("RPM348", "unsafe-useradd-groupadd", _command("(?:/usr/sbin/)?(?:useradd|groupadd)"), SCRIPTLETS, unless=r"getent|\|\|")
 _shell_rule("RPM349", "scriptlet-state-outside-rpm-state", r"/(?:var/)?tmp/", SCRIPTLETS)
-_shell_rule("RPM380", "install-writes-outside-buildroot", _command("cp|mv|install|mkdir|ln|touch") + r".*\s/(?:usr|etc|var|opt|lib|lib64|bin|sbin)(?:/\S*)?\s*$", ("install",), "deny", _BUILDROOT)
 _shell_rule("RPM381", "rm-rf-buildroot-in-install", rf"^\s*(?:%\{{?__rm\}}?|rm)\s+-\w*[rf]\w*\s+\"?(?:{_BUILDROOT})\"?\s*$".replace("RPM_BUILD_ROOT", r"RPM_BUILD_ROOT\}?"), ("install",))
 _shell_rule("RPM382", "makeinstall-without-underscore", r"^\s*%\{?makeinstall\b", ("install",))
 _shell_rule("RPM383", "make-install-missing-destdir", _command("make") + r".*\binstall\b", ("install",), "deny", r"DESTDIR=|INSTALL_ROOT=|prefix=")
@@ -755,8 +763,6 @@ _shell_rule("RPM384", "install-chown-or-owner", _command("chown|chgrp") + r"|\bi
 _shell_rule("RPM385", "optflags-overridden", r"(?:^|\s)(?:CFLAGS|CXXFLAGS|LDFLAGS|FFLAGS)=", ("build",), unless=r"optflags|RPM_OPT_FLAGS|build_(?:c|cxx|ld)flags|\$\{?(?:CFLAGS|CXXFLAGS|LDFLAGS)")
 _shell_rule("RPM386", "werror-not-disabled", r"(?:^|\s|=|\"|')(?:-Werror(?:\s|$|\"|')|--enable-werror)", ("build", "check"))
 _shell_rule("RPM387", "j1-without-comment", r"\bmake\b.*\s-j\s*1(?:\s|$)", ("build", "install", "check"))
-_shell_rule("RPM388", "network-access-in-build", _command(r"curl|wget|git\s+clone|pip3?\s+install|npm\s+install|go\s+get|cargo\s+install"), BUILD_SECTIONS)
-_shell_rule("RPM390", "buildsystem-macro-modernization", _command("cmake|meson|cargo|ninja|qmake"), ("build", "install"))
 _shell_rule("RPM472", "redundant-setup-default-name", r"^\s*%(?:auto)?setup\b.*-n\s+%\{name\}-%\{version\}(?:\s|$)", ("prep",))
 _shell_rule("RPM473", "manual-tar-cd-to-setup", _command("tar") + r".*%\{?SOURCE0?\}?(?:\s|$)", ("prep",))
 _shell_rule("RPM474", "manual-patch-command-to-patch-macro", r"\bpatch\s.*<\s*%\{?PATCH\d+", ("prep",))
@@ -817,13 +823,88 @@ def install_dirs(r):
     return at(_adjacent(_shell(r, "install").where(F.col("line").rlike(r"^\s*(install\s+-d|mkdir\s+-p)\s"))))
 
 
+# Commands.
+
+
+def _once(found: DataFrame, detail: Column, *keys: str) -> DataFrame:
+    """The first finding of a section, or of each of the keys' values in it."""
+    return at(found.withColumn("detail", detail).groupBy("spec_id", "sec", *keys).agg(F.min_by("detail", F.struct("line_no", "nth")).alias("detail"), F.min("line_no").alias("line_no")), F.col("detail"))
+
+
+@rule("RPM348", "unsafe-useradd-groupadd")
+def unguarded_accounts(r):
+    """A guard comes before its command, so the command doesn't begin the line."""
+    makers = ("useradd", "groupadd", "usermod", "groupmod", "adduser", "addgroup")
+    c = r.commands.where(F.col("kind").isin(*SCRIPTLETS) & (F.col("nth") == 1) & F.col("lead") & F.col("name").isin(*makers))
+    return _once(c, F.col("name"))
+
+
+@rule("RPM380", "install-writes-outside-buildroot", "deny")
+def outside_buildroot(r):
+    """The first argument, options and their values apart, that is a path of the system."""
+    system = "^/(?:usr|etc|var|opt|boot|lib|lib64)/"
+    valued = lambda args, i: (i > 0) & F.coalesce(F.get(args, i - 1).isin("-m", "-o", "-g", "-t", "-S"), F.lit(False))
+    c = r.commands.where((F.col("kind") == "install") & F.col("name").isin("install", "cp", "mv", "ln", "mkdir", "touch", "dd", "tee"))
+    bad = c.withColumn("bad", F.get(F.filter("args", lambda a, i: a.rlike(system) & ~valued(F.col("args"), i)), 0)).where("bad is not null")
+    return at(bad, F.concat_ws(" ", "name", "bad"))
+
+
+#: Subcommands that need the network, and the option with which they don't.
+_NETWORK = {
+    "git": (("clone", "fetch", "pull", "push", "remote-update"), None), "pip": (("install", "download", "wheel"), "--no-index"), "cargo": (("install", "update", "fetch", "search", "publish"), None),
+    "npm": (("install", "ci", "update", "i"), "--offline"), "go": (("get", "mod"), None), "gem": (("install", "fetch", "update"), None),
+}
+
+
+@rule("RPM388", "network-access-in-build", families=("fedora", "rhel", "opensuse", "mageia", "alt"))
+def network(r):
+    tool = F.when(F.col("name") == "pip3", "pip").when(F.col("name").isin("yarn", "pnpm"), "npm").otherwise(F.col("name"))
+    sub = shell.first_argument(F.col("args"))
+    reaches = F.when(tool.isin("curl", "wget", "aria2c", "fetch"), "download")
+    for name, (subs, offline) in _NETWORK.items():
+        there = (tool == name) & sub.isin(*subs)
+        reaches = reaches.when(there & ~F.array_contains("args", offline) if offline else there, name)
+    c = r.commands.where(F.col("kind").isin(*BUILD_SECTIONS)).withColumn("reaches", reaches).where("reaches is not null")
+    return _once(c, F.concat_ws(" ", "name", sub), "reaches")
+
+
+@rule("RPM390", "buildsystem-macro-modernization", gated=True)
+def build_systems(r):
+    """The macros that stand for a build system's steps."""
+    name, args, sub = F.col("name"), F.col("args"), shell.first_argument(F.col("args"))
+    has = lambda x: F.array_contains(args, x)
+    python = name.isin("python", "python3")
+    wheel = F.exists(F.sequence(F.lit(1), F.size(args)), lambda i: (F.get(args, i - 1) == "-m") & (F.get(args, i) == "build"))
+    macro = (
+        F.when((name == "cmake") & has("--build"), "cmake_build").when((name == "cmake") & has("--install"), "cmake_install").when(name == "cmake", "cmake")
+        .when((name == "meson") & (sub.isNull() | (sub == "setup")), "meson").when((name == "meson") & (sub == "compile"), "meson_build").when((name == "meson") & (sub == "install"), "meson_install")
+        .when((name == "cargo") & (sub == "build"), "cargo_build").when((name == "cargo") & (sub == "install"), "cargo_install")
+        .when(python & has("setup.py") & has("build"), "py3_build").when(python & has("setup.py") & has("install"), "py3_install").when(python & ~has("setup.py") & (F.size(args) > 1) & wheel, "pyproject_wheel")
+        .when((name == "go") & (sub == "build"), "gobuild").when((name == "go") & (sub == "install"), "goinstall")
+    )
+    c = r.commands.where(F.col("kind").isin("build", "install")).withColumn("macro", macro).where("macro is not null")
+    return _once(c, F.col("macro"), "macro")
+
+
 # Lines.
 
 
+#: Directories that have a macro, and paths that everybody knows by their names.
+_DIRECTORIES = ("/usr/lib64", "/usr/libexec", "/usr/include", "/usr/share", "/usr/bin", "/usr/sbin", "/usr/lib", "/var/log", "/var/lib", "/etc")
+_LITERAL = (
+    "/etc/rc.d/init.d", "/etc/rc.d/rc.local", "/etc/os-release", "/etc/passwd", "/etc/group", "/etc/shadow", "/etc/hosts", "/etc/fstab", "/etc/resolv.conf", "/etc/nsswitch.conf", "/etc/sysctl.conf",
+)
+
+
 @rule("RPM050", "hardcoded-paths")
 def hardcoded(r):
-    body = r.body.where(~F.col("kind").isin("changelog", "description") & ~F.col("line").rlike(r"^\s*#"))
-    return at(body.where(F.col("line").rlike(r"(?:^|[\s\"'=])/usr/(?:bin|sbin|lib|lib64|libexec|share|include)(?:/|\s|$)")), F.trim("line"))
+    """Paths below the build root, dependencies, scriptlets and texts are meant as they stand."""
+    words = F.col("kind").isin("changelog", "description", *SCRIPTLETS) | F.col("line").rlike(r"^\s*#")
+    meant = r.tags.where(F.col("key").isin("source", "patch", "url", "summary", "license", "group", *DEPENDENCY_TAGS)).select("spec_id", "line_no")
+    edge = r"(?=[^A-Za-z0-9_.-]|$)"
+    known = rf"(?:\$\{{RPM_BUILD_ROOT\}}|%\{{\??buildroot\}}|\$RPM_BUILD_ROOT)/|(?:{'|'.join(re.escape(x) for x in _LITERAL)}){edge}"
+    rest = F.regexp_replace("line", known, " ")
+    return at(r.body.where(~words & rest.rlike(rf"(?:{'|'.join(_DIRECTORIES)}){edge}")).join(meant, ["spec_id", "line_no"], "left_anti"), F.trim("line"))
 
 
 @rule("RPM051", "tab-indent")
@@ -844,6 +925,10 @@ def composition(r):
 # Files.
 
 
+#: How the names of license files begin.
+_LICENSES = ("license", "licence", "copying", "copyright", "notice", "authors", "mit-license", "legal", "unlicense", "gpl", "lgpl", "agpl", "apache-license")
+
+
 def _files_rule(id: str, name: str, test: Callable[[], Column], severity: str = "warn"):
     rule(id, name, severity)(lambda r: at(r.files.where(test()), F.col("path")))
 
@@ -854,7 +939,7 @@ def _p(pattern: str) -> Column:
 
 _files_rule("RPM360", "etc-file-not-config", lambda: _p(r"^(/etc|%\{_sysconfdir\})/") & ~F.col("is_config") & ~F.col("is_ghost") & ~F.col("is_dir") & ~_p(r"/(init|rc)\.d/|/$"))
 _files_rule("RPM361", "config-under-usr", lambda: F.col("is_config") & _p(r"^(/usr|%\{_(prefix|bindir|libdir|datadir|sbindir|libexecdir)\})"))
-_files_rule("RPM363", "license-file-marked-doc", lambda: F.col("is_doc") & _p(r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"))
+_files_rule("RPM363", "license-file-marked-doc", lambda: F.col("is_doc") & _p(rf"(?i)(^|/)({'|'.join(_LICENSES)})([^a-z0-9/][^/]*)?$"))
 _files_rule("RPM364", "devel-file-in-non-devel-package", lambda: _p(r"(\.h|\.hpp|\.pc|Config\.cmake|/lib[^/]*\.so)$") & ~F.col("pkg").rlike("devel|static"))
 _files_rule("RPM365", "locale-file-not-lang", lambda: _p(r"/locale/.*\.mo$") & ~F.col("has_lang"))
 _files_rule("RPM367", "standard-dir-owned", lambda: _p(r"^(%\{_(bindir|sbindir|libdir|datadir|includedir|mandir|sysconfdir|libexecdir|unitdir)\}|/usr|/etc|/var|/usr/(bin|sbin|lib|lib64|share|include))/?$"))

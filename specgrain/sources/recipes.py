@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from . import shell
 
 BUILD_SECTIONS = ("prep", "generate_buildrequires", "conf", "build", "install", "check", "clean")
 SCRIPTLETS = ("pre", "post", "preun", "postun", "pretrans", "posttrans", "preuntrans", "postuntrans", "verifyscript", "triggerprein", "triggerin", "triggerun", "triggerpostun",
@@ -40,6 +42,12 @@ class Recipes:
     macros: DataFrame
     branches: DataFrame
 
+    @cached_property
+    def commands(self) -> DataFrame:
+        """The commands of build sections and scriptlets (shell.commands)."""
+        plain = self.body.where("not (opens or closes or turns)")
+        return shell.commands(plain.where(F.col("kind").isin(*BUILD_SECTIONS, *SCRIPTLETS)))
+
     @property
     def specs(self) -> DataFrame:
         return self.lines.select("spec_id").distinct()
