@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.evr import like_escaped
+from ..functions.evr import like_escaped, version_key
 
 BRIEF = ["pkg_id", "repo_id", "name", "epoch", "version", "release", "arch"]
 
@@ -18,10 +18,35 @@ def by_name(packages: DataFrame, name: str) -> DataFrame:
     return packages.where(F.col("name") == name).select(*BRIEF)
 
 
-def by_name_newest_first(packages: DataFrame, name: str) -> DataFrame:
-    """Versions compare as text here, as the listing has it; not in EVR order."""
+def by_name_newest_first(packages: DataFrame, name: str | None = None) -> DataFrame:
+    """The packages of a name, or of each name, with their place. Versions compare as text here, as the listing has it; not in EVR order."""
     w = Window.partitionBy("name").orderBy(F.desc("epoch"), F.desc("version"), F.desc("release"), "pkg_id")
-    return packages.where(F.col("name") == name).select(*BRIEF, F.row_number().over(w).cast("long").alias("place"))
+    wanted = packages if name is None else packages.where(F.col("name") == name)
+    return wanted.select(*BRIEF, F.row_number().over(w).cast("long").alias("place"))
+
+
+def newest(packages: DataFrame) -> DataFrame:
+    """Each name's package of the highest EVR, in strict order; of equal ones that with the smallest id."""
+    order = F.struct("epoch", version_key(F.col("version")).alias("v"), version_key(F.col("release")).alias("r"), (-F.col("pkg_id")).alias("k"))
+    return packages.groupBy("name").agg(F.max_by("pkg_id", order).alias("pkg_id"))
+
+
+def by_ids(packages: DataFrame, ids: DataFrame) -> DataFrame:
+    """The packages with ids (pkg_id)."""
+    return packages.join(ids.select("pkg_id").distinct(), "pkg_id", "left_semi").select(*BRIEF)
+
+
+def with_files(packages: DataFrame, files: DataFrame) -> DataFrame:
+    """(pkg_id, name, n_files, paths): every package with its paths in order; a package's paths are one value, those of one without files an empty one."""
+    listed = files.distinct().groupBy("pkg_id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    empty = F.array().cast("array<string>")
+    return packages.select("pkg_id", "name").join(listed, "pkg_id", "left").select("pkg_id", "name", F.coalesce(F.size("paths"), F.lit(0)).cast("long").alias("n_files"), F.coalesce("paths", empty).alias("paths"))
+
+
+def owners(files: DataFrame, packages: DataFrame, archs: list[str] | None = None) -> DataFrame:
+    """(path, repo_id, pkg_id, arch): every owner of every path whose architecture is accepted."""
+    accepted = packages.where(arch_accepted(F.col("arch"), archs)).select("pkg_id", "repo_id", "arch")
+    return files.distinct().join(accepted, "pkg_id").select("path", "repo_id", "pkg_id", "arch")
 
 
 def by_source(packages: DataFrame, source: str, archs: list[str] | None = None) -> DataFrame:

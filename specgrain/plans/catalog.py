@@ -56,10 +56,7 @@ def pkgs_by_source(s, d):
 )
 def pkgs_by_name_newest(s, d):
     """The listing of every name, newest first as text."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("name").orderBy(F.desc("epoch"), F.desc("version"), F.desc("release"), "pkg_id")
-    return A.packages(s, d).select("name", "pkg_id", F.row_number().over(w).cast("long").alias("place"))
+    return repo.by_name_newest_first(A.packages(s, d)).select("name", "pkg_id", "place")
 
 
 @query(with_sql("packages", "caps", query=f" SELECT {_BRIEF} FROM packages WHERE pkg_id IN (SELECT pkg_id FROM caps WHERE kind = 'provides' AND name = '{CAP}')"))
@@ -99,6 +96,28 @@ def file_owners_all(s, d):
     return repo.owner_counts(A.files(s, d), A.packages(s, d))
 
 
+@query(
+    with_sql(
+        "packages", "files",
+        query=" SELECT DISTINCT path, p.repo_id, p.pkg_id, p.arch FROM files f JOIN packages p ON p.pkg_id = f.pkg_id WHERE p.arch IN ('x86_64', 'noarch')",
+    )
+)
+def file_owner_rows(s, d):
+    """Every owner of every path that runs on one architecture."""
+    return repo.owners(A.files(s, d), A.packages(s, d), ["x86_64", "noarch"])
+
+
+@query(
+    with_sql(
+        "packages", "files",
+        query=""" SELECT p.pkg_id, p.name, count(f.path) AS n_files, coalesce(string_agg(f.path, ' ' ORDER BY f.path), '') AS paths
+FROM packages p LEFT JOIN (SELECT DISTINCT * FROM files) f ON f.pkg_id = p.pkg_id GROUP BY p.pkg_id, p.name""",
+    )
+)
+def pkg_files(s, d):
+    return repo.with_files(A.packages(s, d), A.files(s, d)).withColumn("paths", F.array_join("paths", " "))
+
+
 @query(with_sql("packages", "files", query=f" SELECT {_BRIEF} FROM packages p WHERE EXISTS (SELECT 1 FROM files f WHERE f.pkg_id = p.pkg_id AND f.path = '{PATH}')"))
 def owns_file_semi(s, d):
     return repo.owners_of(A.packages(s, d), A.files(s, d), PATH)
@@ -160,8 +179,7 @@ def evr_key(s, d):
     )
 )
 def evr_newest(s, d):
-    order = F.struct("epoch", evr.version_key(F.col("version")).alias("v"), evr.version_key(F.col("release")).alias("r"), (-F.col("pkg_id")).alias("k"))
-    return A.packages(s, d).groupBy("name").agg(F.max_by("pkg_id", order).alias("pkg_id"))
+    return repo.newest(A.packages(s, d))
 
 
 @query(

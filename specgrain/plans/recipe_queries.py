@@ -27,9 +27,10 @@ _LINES: list[tuple[str, str]] = [
     ("z % 10 <> 0", "'%description'"), ("k % 31 <> 0", "CASE WHEN k % 7 = 0 THEN 'This package is ' || n ELSE 'It makes ' || n || ' and more of them for ' || b || ' and all its users' END"),
     ("k % 23 = 0", "'%changelog'"), ("k % 23 = 0", "'* Mon Jan 06 2020 A <a@b> - 1'"), ("k % 46 = 0", "'- first'"),
     ("z % 9 <> 0", "'%prep'"), ("z % 9 <> 0", "CASE k % 3 WHEN 0 THEN '%setup -n %{name}-%{version}' WHEN 1 THEN '%setup -q' ELSE '%autosetup' END"), ("k % 34 = 0", "'cp $RPM_SOURCE_DIR/x .'"), ("k % 38 = 0", "'tar xf %{SOURCE0}'"),
-    ("z % 8 <> 0", "'%build'"), ("k % 2 = 0", "'./configure --prefix=/opt'"), ("k % 5 = 0", "'export CFLAGS=-O3'"), ("k % 35 = 0", "'make -j 1 all'"), ("k % 39 = 0", "'gcc -Werror a.c'"), ("z % 12 = 0", "'%build'"), ("k % 37 = 0", "'    ' || chr(9) || 'x  '"),
-    ("z % 4 <> 0", "'%install'"), ("k % 3 = 0", "'rm -rf $RPM_BUILD_ROOT'"), ("k % 7 = 1", "'python3 setup.py install'"), ("k % 7 = 2", "'chown root x'"), ("k % 41 = 0", "'%makeinstall'"), ("k % 19 = 0", "'%check'"), ("k % 38 = 0", "'python3 setup.py test'"), ("k % 57 = 0", "'  # none'"),
-    ("z % 21 = 0", "'%clean'"), ("k % 8 = 3", "'%post'"), ("k % 8 = 3", "CASE k % 3 WHEN 0 THEN '/sbin/ldconfig' WHEN 1 THEN 'systemctl enable x.service' ELSE 'if [ $1 -eq 2 ]; then touch /tmp/x; fi' END"),
+    ("z % 8 <> 0", "'%build'"), ("k % 2 = 0", "'./configure --prefix=/opt'"), ("k % 5 = 0", "'export CFLAGS=-O3'"), ("k % 35 = 0", "'make -j 1 all'"), ("k % 39 = 0", "'gcc -Werror a.c'"), ("k % 44 < 2", "CASE k % 3 WHEN 0 THEN 'pip3 download z' WHEN 1 THEN 'pip3 install --no-index z' ELSE 'test -d x || git clone y' END"),
+    ("k % 47 < 2", "CASE k % 3 WHEN 0 THEN 'cmake ..' WHEN 1 THEN 'echo \"cmake\" # cmake' ELSE 'cd b && meson compile' END"), ("k % 53 = 0", "'cat > x <<E'"), ("k % 53 = 0", "'wget in a document'"), ("k % 53 = 0", "'E'"), ("z % 12 = 0", "'%build'"), ("k % 37 = 0", "'    ' || chr(9) || 'x  '"),
+    ("z % 4 <> 0", "'%install'"), ("k % 3 = 0", "'rm -rf $RPM_BUILD_ROOT'"), ("k % 7 = 1", "'python3 setup.py install'"), ("k % 7 = 2", "'chown root x'"), ("k % 48 < 2", "CASE k % 3 WHEN 0 THEN 'cp -m 0644 x \"/etc/' || b || '\"' WHEN 1 THEN 'cp x %{buildroot}/etc/y' ELSE 'ls; tee /boot/' || z END"), ("k % 41 = 0", "'%makeinstall'"), ("k % 19 = 0", "'%check'"), ("k % 38 = 0", "'python3 setup.py test'"), ("k % 57 = 0", "'  # none'"),
+    ("z % 21 = 0", "'%clean'"), ("k % 8 = 3", "'%post'"), ("k % 8 = 3", "CASE k % 3 WHEN 0 THEN '/sbin/ldconfig' WHEN 1 THEN 'systemctl enable x.service' ELSE 'if [ $1 -eq 2 ]; then touch /tmp/x; fi' END"), ("k % 16 = 3", "CASE k % 3 WHEN 0 THEN 'useradd x' WHEN 1 THEN 'getent passwd x || useradd x' ELSE 'groupmod \\' || chr(10) || ' x' END"), ("k % 32 = 3", "'adduser z'"),
     ("z % 14 <> 0", "'%files'"), ("k % 3 = 0", "'/etc/' || lower(t) || '.conf'"), ("k % 3 = 1", "'%config(noreplace) /etc/x.conf'"), ("k % 6 = 1", "'%config %{_datadir}/x'"), ("k % 9 = 2", "'%{_includedir}/a.h'"), ("k % 10 = 3", "'%{_bindir}/*'"),
     ("k % 10 = 4", "'/var/run/x'"), ("k % 10 = 5", "'%{_datadir}/locale/de/LC_MESSAGES/x.mo'"), ("k % 10 = 6", "'%lang(de) %{_datadir}/locale/de/LC_MESSAGES/x.mo'"), ("k % 10 = 7", "'%dir %{_sysconfdir}'"), ("k % 12 = 5", "'/usr/lib/debug/x'"), ("k % 12 = 7", "'/etc/systemd/system/x.timer'"), ("k % 12 = 8", "'%doc COPYING.LIB'"), ("k % 12 = 9", "'%doc README'"),
     ("z % 6 = 0", "'%files devel'"), ("z % 6 = 0", "'%{_includedir}/b.h'"),
@@ -150,6 +151,13 @@ FAMILIES: dict[str, dict[str, str]] = {
         "RPM472": _first("kind = 'prep' AND line LIKE '\\%setup -n \\%{name}-\\%{version}' ESCAPE '\\'", "shell"),
         "RPM473": _first("kind = 'prep' AND line LIKE 'tar %{SOURCE0}'", "shell"),
     },
+    "commands": {
+        "RPM050": _first("kind NOT IN ('description', 'changelog', 'post') AND NOT regexp_matches(line, '^\\s*#') AND regexp_matches(replace(line, '%{buildroot}/', ' '), '(/usr/(lib64|libexec|include|share|bin|sbin|lib)|/var/(log|lib)|/etc)([^A-Za-z0-9_.-]|$)') AND NOT EXISTS (SELECT 1 FROM tag t WHERE t.spec_id = body.spec_id AND t.line_no = body.line_no AND key IN ('source', 'url', 'summary'))", "body"),
+        "RPM348": "SELECT spec_id, min(line_no) AS line_no FROM shell WHERE kind = 'post' AND regexp_matches(line, '^(useradd|groupmod|adduser) ') GROUP BY spec_id, sec",
+        "RPM380": _first("kind = 'install' AND regexp_matches(line, '(^cp -m 0644 x \"/etc/|; tee /boot/)')", "shell"),
+        "RPM388": "SELECT spec_id, min(line_no) AS line_no FROM shell WHERE kind IN ('prep', 'build', 'install', 'check') AND regexp_matches(line, '^pip3 download |\\|\\| git clone ') GROUP BY spec_id, sec",
+        "RPM390": "SELECT spec_id, min(line_no) AS line_no FROM shell WHERE kind IN ('build', 'install') AND regexp_matches(line, '^cmake |&& meson compile|^python3 setup.py install') GROUP BY spec_id, sec, split_part(line, ' ', 1)",
+    },
     "files": {
         "RPM360": _first("NOT is_config AND line NOT LIKE '\\%dir%' ESCAPE '\\' AND (path LIKE '/etc/%' OR path LIKE '\\%{_sysconfdir}/%' ESCAPE '\\')", "entry"),
         "RPM361": _first("is_config AND (path LIKE '/usr%' OR path LIKE '\\%{_datadir}%' ESCAPE '\\')", "entry"),

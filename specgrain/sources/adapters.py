@@ -52,13 +52,15 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as profiles, suppliers as macros; the dimension of profiles is small, so it is joined by broadcast where its size allows."""
+    """Nations as profiles, suppliers as macros."""
+    from ..operators.matrix import for_every
+
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("profile_id"))
     macro = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("name"), "s_suppkey", (F.col("s_suppkey") % 5).cast("long").alias("value")
     )
     defined = F.col("s_suppkey") % (F.col("profile_id") + 2) != 0
-    return macro.join(nation, defined).select("profile_id", "name", "value")
+    return for_every(macro, nation).where(defined).select("profile_id", "name", "value")
 
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
