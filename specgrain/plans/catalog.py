@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import evr
 from ..operators import branch_rules as branch_rules  # registers its rules
 from ..operators import parser_rules as parser_rules  # registers its rules
+from ..operators import paths as paths  # registers its rules
 from ..operators import conditions, layers, matrix, recipe_rules, repo, resolve, rules, solver
 from ..sources import adapters as A
 from ..sources import recipes
