@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from specgrain.llm import decontamination, embedding_dups, lm_scores, near_dups, quality, sentencepieces, sharding, suffix_dedup, token_counts, warc
@@ -410,6 +411,40 @@ def test_lm_odd_rows(spark, docs, empty):
     assert all(r["train_tokens"] == 0 and math.isclose(r["score"], 0) for r in lm_scores.lm_scores(held).collect())  # nothing known: one outcome
 
 
+def test_lm_tokens():
+    texts = ["", "A b", "  x ", "\tq\n", "é É A a", "w" * 100_000 + " z", " ", "b a B A", "\xa0\x1c x\x00"]
+    for chunk in (1 << 21, 8):
+        lm_scores._CHUNK, before = chunk, lm_scores._CHUNK
+        h, n = lm_scores.tokens(pa.array([t.encode() for t in texts], pa.binary()))
+        lm_scores._CHUNK = before
+        want = [re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) + [b" "] for t in texts]
+        assert n.tolist() == [len(w) for w in want]
+        names = dict(zip((w for ws in want for w in ws), h.tolist()))
+        assert [names[w] for ws in want for w in ws] == h.tolist() and len(set(names.values())) == len(names) and names[b" "] == lm_scores.END
+    assert len(lm_scores.tokens(pa.array([], pa.binary()))[0]) == 0
+
+
+def test_lm_settings_do_not_matter(spark, monkeypatch):
+    """Which words are in the head, and how large slices and buckets are, changes scores by no more than another seed does."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    weight = 1 / np.arange(1, 3001)
+    texts = [" ".join(rng.choice(vocabulary, 150, p=weight / weight.sum())) for _ in range(120)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+
+    def held_out(seed=None, **given):
+        for k, v in ({"HEAD": 1 << 18, "SLICE": 10_000_000, "BUCKET": 1_000_000} | given).items():
+            monkeypatch.setattr(lm_scores, k, v)
+        sampler = lm_scores.gibbs if seed is None else lambda *a: lm_scores.gibbs(*a[:-1], np.random.default_rng(a[-1].integers(1 << 40) + seed))
+        return lm_scores.lm_scores(table, sampler=sampler).where("held_out").agg({"score": "sum"}).head()[0]
+
+    seeds = [held_out(s) for s in range(4)]
+    spread = max(seeds) - min(seeds)
+    middle = sum(seeds) / len(seeds)
+    for given in ({"HEAD": 20}, {"SLICE": 4000}, {"HEAD": 0, "SLICE": 9000, "BUCKET": 2000}):
+        assert abs(held_out(**given) - middle) < 2 * spread
+
+
 def test_lm_gibbs_samples_the_posterior(monkeypatch):
     """Tables of one dish: the weight of t tables is the number of seatings, by discounted sizes, times new tables' weights."""
     d, theta, p, n = 0.6, 1.0, 0.3, 7
@@ -424,6 +459,11 @@ def test_lm_gibbs_samples_the_posterior(monkeypatch):
     k = 20_000
     mean, last = lm_scores.gibbs(np.full(k, n), np.arange(k), np.full(k, p), np.zeros(k), np.ones(k), d, theta, np.random.default_rng(3))
     assert abs(mean.mean() - want) < 0.03 and abs(last.mean() - want) < 0.04
+    # A pair stays apart with probability new / (new + 1 - d), new being the strength and the discounts of all tables but its own, times the dish's probability.
+    twos = np.full(k, 2)
+    mean, last = lm_scores.gibbs(twos, np.arange(k), np.full(k, p), np.full(k, 3.0), np.ones(k), d, theta, np.random.default_rng(4))
+    new = (theta + d * 4) * p
+    assert abs(mean.mean() - 1 - new / (new + 1 - d)) < 0.01 and abs(last.mean() - mean.mean()) < 0.02
     big, _ = lm_scores.gibbs(np.array([5000, 2, 2]), np.zeros(3, int), np.array([0.2, 0.1, 1e-9]), np.zeros(1), np.ones(1), d, theta, np.random.default_rng(3))
     assert 1 < big[0] < 5000 and big[2] < 1.2
 
