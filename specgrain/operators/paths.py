@@ -80,7 +80,7 @@ def branch_paths(r: Recipes) -> DataFrame:
 
 def _partly(r: DataFrame, context: Column) -> DataFrame:
     """Conditions that are one conjunction of which a part, not all, holds in the context, with that part."""
-    c = r.withColumn("context", context).where("size(own) = 1 and size(own[0]) > 1 and size(context) > 0").withColumn("cube", F.col("own")[0])
+    c = r.withColumn("context", context).withColumn("cube", F.get("own", F.lit(0))).where("size(own) = 1 and size(cube) > 1 and size(context) > 0")
     c = c.withColumn("given", F.filter("cube", lambda x: holds_in(x, F.col("context"))))
     return at(c.where("size(given) > 0 and size(given) < size(cube)"), F.array_join("given", " && "))
 
