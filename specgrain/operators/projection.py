@@ -73,7 +73,7 @@ def fill(text: Column, known: Column) -> Column:
     return F.when(~text.rlike(_ODD) & ~lost, F.regexp_replace(F.array_join(done, ""), "\u0001", "%"))
 
 
-def _filled(rows: DataFrame, column: str, definitions: DataFrame, macros: DataFrame) -> DataFrame:
+def filled(rows: DataFrame, column: str, definitions: DataFrame, macros: DataFrame) -> DataFrame:
     """rows with `told`: the column filled with what its macros stand for at its line. Each text of a line is filled once."""
     texts = rows.select(*_PLACE, column).distinct()
     uses = texts.select(*_PLACE, F.explode(F.array_distinct(references(F.col(column)))).alias("name")).distinct()
@@ -126,7 +126,7 @@ def project(r: Recipes, profiles: DataFrame, macros: DataFrame, options: DataFra
         shown = visible(bodies, selected)
         there = as_of(shown.where("unset").select(*_PLACE, "name"), definitions, macros).where("known").select(*_PLACE, "name")
         shown = shown.join(there.withColumn("unset", F.lit(True)), [*_PLACE, "name", "unset"], "left_anti")
-        now = stored(_filled(shown, "body", definitions, macros).select(*_PLACE, "name", F.col("told").alias("value")), "project-definitions")
+        now = stored(filled(shown, "body", definitions, macros).select(*_PLACE, "name", F.col("told").alias("value")), "project-definitions")
         # Their number and two sums of hashes tell whether any of them has changed.
         hashes = (F.xxhash64(*now.columns), F.xxhash64(F.lit(1), *reversed(now.columns)))
         mark = tuple(now.agg(F.count(F.lit(1)), *(F.sum(h.cast("decimal(38,0)")) for h in hashes)).first())
@@ -135,5 +135,5 @@ def project(r: Recipes, profiles: DataFrame, macros: DataFrame, options: DataFra
         definitions, before = now, mark
     else:
         raise RuntimeError("the definitions did not settle")
-    each = lambda rows, column: _filled(visible(for_every(rows, profiles.select("profile_id")), selected), column, definitions, macros)
+    each = lambda rows, column: filled(visible(for_every(rows, profiles.select("profile_id")), selected), column, definitions, macros)
     return Projection(selected, definitions, each(r.tags, "value"), each(r.atoms, "atom"), each(r.files, "path"))

@@ -83,6 +83,32 @@ def closure(roots: DataFrame, edges_: DataFrame, rounds: int = 1000) -> DataFram
     raise RuntimeError("the closure did not settle")
 
 
+def shared_closures(roots: DataFrame, edges_: DataFrame, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Closures of many roots (root, pkg_id) at once: members (root, set_id), and (set_id, pkg_id, depth) of all that each set needs, itself at depth 0.
+
+    Roots with the same packages, and there are many such among recipes, share one closure; the set is the label that every row carries. A root's own packages are one value, what it
+    reaches never is. Each round's new rows are a stored table. Null and repeated packages count once or not at all; a root without packages is no member.
+    """
+    e = stored(edges_, "closures-edges")
+    first = roots.where("pkg_id is not null").select("root", "pkg_id").distinct().groupBy("root").agg(F.array_sort(F.collect_list("pkg_id")).alias("first"))
+    named = stored(first.select("root", "first", F.sha2(F.array_join(F.col("first").cast("array<string>"), ","), 256).alias("set_id")), "closures-members")
+    new = named.select("set_id", "first").dropDuplicates(["set_id"]).select("set_id", F.explode("first").alias("pkg_id"), F.lit(0).alias("depth"))
+    seen = new = stored(new, "closures")
+    for depth in range(1, rounds):
+        step = new.join(e, "pkg_id").select("set_id", F.col("needs").alias("pkg_id")).distinct()
+        new = stored(step.join(seen, ["set_id", "pkg_id"], "left_anti").select("set_id", "pkg_id", F.lit(depth).alias("depth")), "closures")
+        if new.isEmpty():
+            return named.select("root", "set_id"), seen
+        seen = seen.unionByName(new)
+    raise RuntimeError("the closures did not settle")
+
+
+def closures(roots: DataFrame, edges_: DataFrame) -> DataFrame:
+    """(root, pkg_id, depth) of all that each of many roots (root, pkg_id) needs (shared_closures)."""
+    members, closed = shared_closures(roots, edges_)
+    return members.join(closed, "set_id").select("root", "pkg_id", "depth")
+
+
 def _conflicts(caps: DataFrame, provided: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pkg_id, victim, via), via by number, and the numbers' names in order: numbers aggregate by hash where names would be sorted.
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import projection, recipe_rules
+from ..operators import build_tools, projection, recipe_rules, resolve
 from ..sources import adapters as A
 from ..sources import recipes
-from .catalog import query
+from ..sources.adapters import SQL
+from .catalog import _EDGES, query
 
 #: (when, line): lines of a recipe in order, as SQL that both engines read; a line is written where its condition on the part holds. k is the key, z the size, t the type, b the brand.
 _LINES: list[tuple[str, str]] = [
@@ -267,3 +268,57 @@ def projected_items(s, d):
     p = projection.project(recipes.parse(texts, keep=True), profiles, macros)
     atoms = p.atoms.select("spec_id", "profile_id", "line_no", F.col("key").alias("what"), "told")
     return atoms.unionByName(p.files.select("spec_id", "profile_id", "line_no", F.lit("file").alias("what"), "told"))
+
+
+# Programs that build scripts run: a recipe a supplier, a profile a region.
+
+#: As _BRANCHED; s is the supplier's key and n the name of the part of that key.
+_TOOLED: list[tuple[str, str]] = [
+    ("true", "'Name: pkg' || s"), ("s % 2 = 0", "'BuildRequires: ' || n"), ("s % 6 = 1", "'BuildRequires: (' || n || ' or other)'"), ("s % 6 = 3", "'BuildRequires: (other if ' || n || ')'"), ("true", "'BuildRequires: cap' || (s % 40) || ' >= ' || (s % 3)"),
+    ("s % 4 = 0", "'%global tooldir /usr/bin'"), ("true", "'%if 0%{?level} >= 3'"), ("true", "'BuildRequires: cap' || ((s + 1) % 40)"), ("true", "'%endif'"), ("true", "'%build'"),
+    ("true", "'t' || s || ' --quick'"), ("true", "'# t1 isn''t run'"), ("true", "'cat a | f' || (s % 500) || ' -q && make'"), ("true", "'%if 0%{?level} >= 3'"), ("true", "'/usr/bin/f' || (s * 7 % 500) || ' x'"), ("true", "'%else'"),
+    ("true", "'t2 ; %{tooldir}/f' || (s * 11 % 500)"), ("true", "'%endif'"), ("s % 5 = 0", "'i386 | t3)'"), ("true", "'%install'"), ("true", "'t' || s"), ("s % 7 = 0", "'cp /usr/bin/f1 /usr/bin/cat /usr/share/f2 b'"), ("true", "'%post'"), ("true", "'t4'"),
+]
+_TOOLED_TEXT = "concat_ws(chr(10), " + ", ".join(f"CASE WHEN {when} THEN {line} END" for when, line in _TOOLED) + ")"
+_TOOLED_ROWS = "SELECT s_suppkey AS s, replace(p_name, ' ', '-') AS n FROM supplier JOIN part ON p_partkey = s_suppkey"
+
+#: Lines with their section and arm, tools cut from them, owners by the whole file list, and a closure of every recipe and state of the condition for itself.
+_MISSING_TOOLS = (
+    "WITH RECURSIVE "
+    + SQL["packages"].replace("p_name AS name", "replace(p_name, ' ', '-') AS name")
+    + ", " + SQL["caps"].replace("\ncaps AS", "\ngiven AS")
+    + rf""", files AS (SELECT l_partkey AS pkg_id, '/usr/bin/f' || (l_orderkey % 500) AS path FROM lineitem UNION SELECT p_partkey, '/usr/bin/t' || (p_partkey % 5000) FROM part),
+recipe AS (SELECT s AS spec_id, string_split({_TOOLED_TEXT}, chr(10)) AS l FROM ({_TOOLED_ROWS})),
+line AS (SELECT spec_id, CAST(generate_subscripts(l, 1) AS INTEGER) AS line_no, unnest(l) AS line FROM recipe),
+placed AS (SELECT *, last_value(nullif(regexp_extract(line, '^%(build|install|post)$', 1), '') IGNORE NULLS) OVER w AS kind, sum(CASE WHEN line LIKE '\%if %' ESCAPE '\' THEN 1 WHEN line = '%endif' THEN -1 ELSE 0 END) OVER w AS inside,
+    last_value(CASE WHEN line LIKE '\%if %' ESCAPE '\' THEN true WHEN line = '%else' THEN false END IGNORE NULLS) OVER w AS arm FROM line WINDOW w AS (PARTITION BY spec_id ORDER BY line_no)),
+shown AS (SELECT p.*, h.hi FROM placed p, (VALUES (true), (false)) h(hi) WHERE (inside = 0 OR arm = hi) AND NOT regexp_matches(line, '^(%(if|else|endif)|#)')),
+uses AS (SELECT spec_id, hi, line_no, unnest(list_transform(string_split_regex(line, '\s*(&&|[|;])\s*'), lambda x: string_split(x, ' ')[1])) AS tool, true AS bare FROM shown WHERE kind IN ('build', 'install') AND line NOT LIKE '%)'
+  UNION ALL SELECT spec_id, hi, line_no, unnest(string_split(CASE WHEN spec_id % 4 = 0 THEN replace(line, '%{{tooldir}}', '/usr/bin') ELSE line END, ' ')), false FROM shown WHERE kind IN ('build', 'install')),
+tools AS (SELECT * FROM uses WHERE CASE WHEN bare THEN regexp_matches(tool, '^[a-z0-9]+$') AND tool NOT IN ('cat', 'make', 'cp') ELSE tool LIKE '/usr/bin/%' AND tool <> '/usr/bin/cat' END),
+owned AS (SELECT path, arg_min(p.pkg_id, (repo_id, p.pkg_id)) AS pkg_id FROM files f JOIN packages p ON p.pkg_id = f.pkg_id GROUP BY path),
+declared AS (SELECT s.spec_id, s.hi, x[1] AS name, nullif(x[2], '') AS op, x[3] AS version FROM (SELECT *, regexp_extract(line, '^BuildRequires: \(?([^ ]+)(?: (>=) ([0-9]+))?', ['name', 'op', 'v']) AS m FROM shown WHERE line LIKE 'BuildRequires: %') s, LATERAL (SELECT [m.name, m.op, m.v]) y(x)),
+asks AS (SELECT *, -(spec_id * 2 + CAST(hi AS INTEGER)) AS root FROM (SELECT d.* FROM declared d JOIN line l ON l.spec_id = d.spec_id AND l.line LIKE 'BuildRequires: ' || d.name || '%')),
+caps AS (SELECT * FROM given UNION ALL SELECT DISTINCT root, 'requires', name, CASE WHEN op IS NULL THEN 'NONE' ELSE 'GE' END, CASE WHEN op IS NOT NULL THEN 0 END, CASE WHEN op IS NOT NULL THEN version END, CASE WHEN op IS NOT NULL THEN '' END FROM asks)"""
+    + _EDGES
+    + """,
+reach AS (SELECT pkg_id AS root, needs FROM edge WHERE pkg_id < 0 UNION SELECT r.root, e.needs FROM reach r JOIN edge e ON e.pkg_id = r.needs)
+SELECT CASE WHEN bare THEN 'RPM-REPO-010' ELSE 'RPM-REPO-011' END AS lint_id, t.spec_id, CAST(r_regionkey AS BIGINT) AS profile_id, min(line_no) AS line_no, tool, p.name AS owner, bool_or(x.root IS NOT NULL) AS reached
+FROM tools t JOIN owned o ON o.path = CASE WHEN bare THEN '/usr/bin/' || tool ELSE tool END JOIN packages p ON p.pkg_id = o.pkg_id JOIN region ON (r_regionkey >= 3) = t.hi
+LEFT JOIN reach x ON x.root = -(t.spec_id * 2 + CAST(t.hi AS INTEGER)) AND x.needs = o.pkg_id
+WHERE NOT EXISTS (SELECT 1 FROM declared d WHERE d.spec_id = t.spec_id AND d.hi = t.hi AND d.name = p.name) GROUP BY ALL"""
+)
+
+
+@query(_MISSING_TOOLS)
+def missing_build_tools(s, d):
+    """Programs that the suppliers' recipes run without requiring their owners, by region, and whether the closure of what they do require brings those in."""
+    texts = A.table(s, d, "supplier").join(A.table(s, d, "part"), F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("s"), F.translate("p_name", " ", "-").alias("n"))
+    r = recipes.parse(texts.select(F.col("s").alias("spec_id"), F.expr(_TOOLED_TEXT).alias("text")), keep=True)
+    region = A.table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("profile_id"))
+    profiles = region.select("profile_id", F.lit("x86_64").alias("arch"), F.lit("linux").alias("os"))
+    macros = region.select("profile_id", F.lit("level").alias("name"), F.col("profile_id").cast("string").alias("value"))
+    p, c = A.packages(s, d).withColumn("name", F.translate("name", " ", "-")), A.caps(s, d)
+    own = p.select("pkg_id", F.concat(F.lit("/usr/bin/t"), (F.col("pkg_id") % 5000).cast("string")).alias("path"))
+    files = A.files(s, d).unionByName(own)
+    return build_tools.missing_tools(r, projection.project(r, profiles, macros), profiles, macros, p, c, resolve.providers(p, c), files)
