@@ -8,7 +8,8 @@ from ..functions import evr
 from ..operators import branch_rules as branch_rules  # registers its rules
 from ..operators import parser_rules as parser_rules  # registers its rules
 from ..operators import paths as paths  # registers its rules
-from ..operators import conditions, layers, matrix, recipe_rules, repo, resolve, rules, solver
+from ..operators import closure_reports, conditions, layers, matrix, recipe_rules, repo, resolve, rules, solver
+from ..session import stored
 from ..sources import adapters as A
 from ..sources import recipes
 from ..sources.adapters import key_sql, with_sql
@@ -360,6 +361,86 @@ def buildroot(s, d):
     return one.unionByName(left.select(F.lit("unmet").alias("kind"), none.cast("long").alias("pkg_id"), "name", "op", "version", none.cast("int").alias("depth"), "reason", "blocker", "parents"))
 
 
+# Closures of every brand, compared with those of the next brand.
+
+#: Names without their number, so that a name has several versions; some parts also require programs by path or libraries by soname.
+_BRANDS = (
+    A.SQL["packages"].replace("p_name AS name", "regexp_replace(p_name, ' [0-9]+$', '') AS name")
+    + ",\n" + A.SQL["caps"].replace("\ncaps AS", "\nplain AS")
+    + """,
+caps AS (SELECT DISTINCT pkg_id, kind, name, op, epoch, version, release FROM plain
+  UNION SELECT l_partkey, 'requires', '/usr/bin/f' || (l_orderkey % 700), 'NONE', NULL, NULL, NULL FROM lineitem WHERE l_quantity > 49
+  UNION SELECT l_partkey, 'requires', 'lib' || (l_orderkey % 90) || '.so.' || (l_partkey % 3), 'NONE', NULL, NULL, NULL FROM lineitem WHERE l_quantity < 2)"""
+    + _EDGES.replace('edge AS (', 'edge AS MATERIALIZED (')
+    + """,
+reach AS (SELECT DISTINCT source_name AS root, pkg_id, 0 AS depth, 0 AS round FROM packages
+  UNION ALL SELECT root, pkg_id, min(depth), max(round) + 1 FROM (SELECT * FROM reach
+    UNION ALL SELECT root, needs, depth + 1, round FROM reach r JOIN edge e ON e.pkg_id = r.pkg_id WHERE depth = round) WHERE EXISTS (SELECT 1 FROM reach WHERE depth = round) GROUP BY root, pkg_id),
+closed AS MATERIALIZED (SELECT root, pkg_id, min(depth) AS depth FROM reach GROUP BY root, pkg_id),
+pairs AS (SELECT x.p_brand AS a, y.p_brand AS b FROM (SELECT DISTINCT p_brand FROM part) x, (SELECT DISTINCT p_brand FROM part) y
+  WHERE CAST(split_part(x.p_brand, '#', 2) AS INTEGER) + 1 = CAST(split_part(y.p_brand, '#', 2) AS INTEGER)),
+named AS (SELECT root, name, list_sort(list(DISTINCT epoch || ':' || version || '-' || release || '.' || arch)) AS evra, min(depth) AS depth FROM closed c JOIN packages p ON p.pkg_id = c.pkg_id GROUP BY root, name),
+diff AS (SELECT coalesce(x.a, y.a) AS a, coalesce(x.b, y.b) AS b, coalesce(x.name, y.name) AS name,
+    CASE WHEN y.evra IS NULL THEN 'only_b' WHEN x.evra IS NULL THEN 'only_a' WHEN x.evra = y.evra THEN 'common' ELSE 'version_only' END AS side, y.evra AS evra_a, x.evra AS evra_b, y.depth AS depth_a, x.depth AS depth_b
+  FROM (SELECT a, b, n.* FROM pairs JOIN named n ON n.root = b) x FULL JOIN (SELECT a, b, n.* FROM pairs JOIN named n ON n.root = a) y ON x.a = y.a AND x.b = y.b AND x.name = y.name),
+lost AS (SELECT root, f.name, f.op, f.version, f.outcome AS reason, count(*) AS parents, min(depth) AS depth,
+    CASE WHEN regexp_matches(f.name, '[.]so([.]|$)') THEN 'soname' WHEN f.name LIKE '/%' THEN 'path' WHEN f.op <> 'NONE' THEN 'versioned' ELSE 'plain' END AS bucket
+  FROM closed c JOIN (SELECT DISTINCT pkg_id, name, op, version FROM caps WHERE kind = 'requires') r ON r.pkg_id = c.pkg_id
+  JOIN found f ON f.name = r.name AND f.op = r.op AND f.version IS NOT DISTINCT FROM r.version WHERE f.outcome <> 'satisfied' GROUP BY ALL)"""
+)
+
+
+def _brands(s, d):
+    """Packages, capabilities, pairs of brands, closures of all brands and outcomes."""
+    p = A.packages(s, d).withColumn("name", F.regexp_replace("name", " [0-9]+$", ""))
+    c, line = A.caps(s, d), A.table(s, d, "lineitem")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("epoch", "int"), ("version", "string"), ("release", "string"))]
+    more = lambda when, name: line.where(when).select(F.col("l_partkey").alias("pkg_id"), F.lit("requires").alias("kind"), name.alias("name"), F.lit("NONE").alias("op"), *none)
+    text = lambda c, n: (F.col(c) % n).cast("string")
+    c = c.unionByName(more("l_quantity > 49", F.concat(F.lit("/usr/bin/f"), text("l_orderkey", 700))))
+    c = stored(c.unionByName(more("l_quantity < 2", F.concat(F.lit("lib"), text("l_orderkey", 90), F.lit(".so."), text("l_partkey", 3)))).distinct(), "brand-caps")
+    found = stored(resolve.lookup(c.where("kind = 'requires'"), resolve.providers(p, c)), "brand-found")
+    closed = resolve.closures(p.select(F.col("source_name").alias("root"), "pkg_id"), resolve.edges(c, found))
+    brand = p.select("source_name").distinct()
+    number = F.substring_index("source_name", "#", -1).cast("int")
+    one = brand.select(F.col("source_name").alias("a"), (number + 1).alias("k"))
+    pairs = one.join(brand.select(F.col("source_name").alias("b"), number.alias("k")), "k").select("a", "b")
+    return p, c, pairs, closed, found
+
+
+def _brand_sql(query: str) -> str:
+    return "WITH RECURSIVE " + _BRANDS + query
+
+
+@query(_brand_sql(" SELECT a, b, name, side, array_to_string(evra_a, ',') AS evra_a, array_to_string(evra_b, ',') AS evra_b, depth_a, depth_b FROM diff"))
+def closure_diff(s, d):
+    """What each brand's closure holds that the next one's doesn't, in which versions, and how far from the brand."""
+    p, _, pairs, closed, _ = _brands(s, d)
+    diff = closure_reports.closure_diff(pairs, closed, p)
+    return diff.withColumns({c: F.array_join(c, ",") for c in ("evra_a", "evra_b")})
+
+
+@query(_brand_sql(""" SELECT a, b, least(depth_a, depth_b) AS depth, count(*) FILTER (side = 'common') AS common, count(*) FILTER (side = 'version_only') AS version_only,
+count(*) FILTER (side = 'only_a') AS only_a, count(*) FILTER (side = 'only_b') AS only_b FROM diff GROUP BY a, b, least(depth_a, depth_b)"""))
+def closure_diff_rounds(s, d):
+    p, _, pairs, closed, _ = _brands(s, d)
+    return closure_reports.rounds_diff(closure_reports.closure_diff(pairs, closed, p))
+
+
+@query(_brand_sql(" SELECT root, name, op, version, bucket, reason, parents, depth FROM lost"))
+def closure_unmet(s, d):
+    """What the packages of each brand's closure require and nothing meets, by kind."""
+    _, c, _, closed, found = _brands(s, d)
+    return closure_reports.unmet(closed, c, found).drop("epoch", "release")
+
+
+@query(_brand_sql(""", sides AS (SELECT a, b, name, op, version, bucket, reason, bool_or(root = a) AS x, bool_or(root = b) AS y FROM pairs JOIN lost ON root = a OR root = b GROUP BY ALL)
+SELECT a, b, bucket, reason, count(*) FILTER (x AND y) AS common, count(*) FILTER (NOT y) AS only_a, count(*) FILTER (NOT x) AS only_b FROM sides GROUP BY a, b, bucket, reason"""))
+def closure_unmet_diff(s, d):
+    _, c, pairs, closed, found = _brands(s, d)
+    return closure_reports.unmet_diff(pairs, closure_reports.unmet(closed, c, found))
+
+
 # Across profiles and revisions.
 
 

@@ -298,14 +298,14 @@ uses AS (SELECT spec_id, hi, line_no, unnest(list_transform(string_split_regex(l
 tools AS (SELECT * FROM uses WHERE CASE WHEN bare THEN regexp_matches(tool, '^[a-z0-9]+$') AND tool NOT IN ('cat', 'make', 'cp') ELSE tool LIKE '/usr/bin/%' AND tool <> '/usr/bin/cat' END),
 owned AS (SELECT path, arg_min(p.pkg_id, (repo_id, p.pkg_id)) AS pkg_id FROM files f JOIN packages p ON p.pkg_id = f.pkg_id GROUP BY path),
 declared AS (SELECT s.spec_id, s.hi, x[1] AS name, nullif(x[2], '') AS op, x[3] AS version FROM (SELECT *, regexp_extract(line, '^BuildRequires: \(?([^ ]+)(?: (>=) ([0-9]+))?', ['name', 'op', 'v']) AS m FROM shown WHERE line LIKE 'BuildRequires: %') s, LATERAL (SELECT [m.name, m.op, m.v]) y(x)),
-asks AS (SELECT *, -(spec_id * 2 + CAST(hi AS INTEGER)) AS root FROM (SELECT d.* FROM declared d JOIN line l ON l.spec_id = d.spec_id AND l.line LIKE 'BuildRequires: ' || d.name || '%')),
+asks AS (SELECT *, -(spec_id * 2 + CAST(hi AS INTEGER)) - 1 AS root FROM (SELECT d.* FROM declared d JOIN line l ON l.spec_id = d.spec_id AND l.line LIKE 'BuildRequires: ' || d.name || '%')),
 caps AS (SELECT * FROM given UNION ALL SELECT DISTINCT root, 'requires', name, CASE WHEN op IS NULL THEN 'NONE' ELSE 'GE' END, CASE WHEN op IS NOT NULL THEN 0 END, CASE WHEN op IS NOT NULL THEN version END, CASE WHEN op IS NOT NULL THEN '' END FROM asks)"""
     + _EDGES
     + """,
 reach AS (SELECT pkg_id AS root, needs FROM edge WHERE pkg_id < 0 UNION SELECT r.root, e.needs FROM reach r JOIN edge e ON e.pkg_id = r.needs)
 SELECT CASE WHEN bare THEN 'RPM-REPO-010' ELSE 'RPM-REPO-011' END AS lint_id, t.spec_id, CAST(r_regionkey AS BIGINT) AS profile_id, min(line_no) AS line_no, tool, p.name AS owner, bool_or(x.root IS NOT NULL) AS reached
 FROM tools t JOIN owned o ON o.path = CASE WHEN bare THEN '/usr/bin/' || tool ELSE tool END JOIN packages p ON p.pkg_id = o.pkg_id JOIN region ON (r_regionkey >= 3) = t.hi
-LEFT JOIN reach x ON x.root = -(t.spec_id * 2 + CAST(t.hi AS INTEGER)) AND x.needs = o.pkg_id
+LEFT JOIN reach x ON x.root = -(t.spec_id * 2 + CAST(t.hi AS INTEGER)) - 1 AND x.needs = o.pkg_id
 WHERE NOT EXISTS (SELECT 1 FROM declared d WHERE d.spec_id = t.spec_id AND d.hi = t.hi AND d.name = p.name) GROUP BY ALL"""
 )
 
