@@ -112,8 +112,9 @@ def reverse_requires(packages: DataFrame, caps: DataFrame) -> DataFrame:
 
 
 def caps_by_kind(packages: DataFrame, caps: DataFrame) -> DataFrame:
-    """Every package with its capabilities of each kind as one sorted, joined list."""
+    """Every package with its capabilities of each kind as one sorted, joined list, null without one."""
     text = F.concat_ws(" ", "name", "op", F.coalesce("version", F.lit("-")))
     listed = caps.select("pkg_id", "kind", text.alias("t")).distinct()
     wide = listed.groupBy("pkg_id").pivot("kind", ["provides", "requires", "conflicts"]).agg(F.array_join(F.array_sort(F.collect_list("t")), ","))
+    wide = wide.select("pkg_id", *(F.nullif(F.col(k), F.lit("")).alias(k) for k in ("provides", "requires", "conflicts")))
     return packages.select("pkg_id", "name").join(wide, "pkg_id", "left")

@@ -356,3 +356,11 @@ def test_solver_reports(spark):
     assert tuple(solver.summary(pins, u, p).head()) == (2, 14, 2, False)
     rich = wants(spark, [(1, "requires", "(p or q)"), (3, "requires", "(z or q)"), (0, "requires", "(s if t)")])
     assert {r["name"] for r in solver.skipped(pins, rich, rich.where("pkg_id = 0")).collect()} == {"(p or q)", "(s if t)"}
+
+
+def test_caps_by_kind_without_a_kind(spark):
+    """A package without a kind has none of it, whether it has others or not."""
+    p = spark.createDataFrame([(1, "bowl"), (2, "jug"), (3, "cup")], "pkg_id long, name string")
+    c = spark.createDataFrame([(1, "requires", "water", "NONE", None), (1, "requires", "clay", "GE", "2"), (2, "provides", "jar", "NONE", None), (2, "conflicts", "bowl", "NONE", None)], "pkg_id long, kind string, name string, op string, version string")
+    got = sorted((r["pkg_id"], r["provides"], r["requires"], r["conflicts"]) for r in repo.caps_by_kind(p, c).collect())
+    assert got == [(1, None, "clay GE 2,water NONE -", None), (2, "jar NONE -", None, "bowl NONE -"), (3, None, None, None)]
