@@ -13,7 +13,7 @@ from .matrix import for_every
 from .profiles import projected_requirements
 from .projection import Projection, filled, visible
 from .repo import first_owner
-from .resolve import DEP, edges, lookup, shared_closures
+from .resolve import DEP, edges, lookup, reached
 
 # Commands and paths that every build root has.
 SHELL_BUILTINS = """: [ [[ alias break builtin case cd command continue declare do done echo elif else esac eval exec exit export false fi for function getopts hash if in let local
@@ -79,8 +79,7 @@ def missing_tools(r: Recipes, p: Projection, profiles: DataFrame, macros: DataFr
     """(lint_id, spec_id, profile_id, line_no, tool, owner, reached): programs whose owner no build requirement names, by a bare command (RPM-REPO-010) or a path (RPM-REPO-011), once each
     at their first line.
 
-    reached says whether the closure of the recipe's build requirements brings the owner in all the same: then the build works today, by what other packages need. Recipes that require the
-    same packages share one closure. Profiles are a dimension of checked size; macros (profile_id, name, value) hold whole values. No recipes, or no owners, give no rows.
+    reached says whether the closure of the recipe's build requirements brings the owner in all the same: then the build works today, by what other packages need. Profiles are a dimension of checked size; macros (profile_id, name, value) hold whole values. No recipes, or no owners, give no rows.
     """
     p = replace(p, atoms=stored(p.atoms.where("key = 'buildrequires'"), "tools-atoms"))
     used = stored(tool_uses(r, p, profiles, macros), "tools-used")
@@ -89,13 +88,13 @@ def missing_tools(r: Recipes, p: Projection, profiles: DataFrame, macros: DataFr
     lost = owned.join(declared, ["spec_id", "profile_id", "owner"], "left_anti")
     id = F.when(F.col("path").isNull(), "RPM-REPO-010").otherwise("RPM-REPO-011")
     lost = lost.groupBy(id.alias("lint_id"), "spec_id", "profile_id", "tool", "owner", "pkg_id").agg(F.min("line_no").alias("line_no"))
+    lost = stored(lost, "tools-lost")
 
     wanted = projected_requirements(p)
     found = stored(lookup(wanted.select(*DEP).unionByName(caps.where("kind = 'requires'").select(*DEP)), provided), "tools-found")
     met = found.where("outcome = 'satisfied'").select(*(F.col(c).alias(f"_{c}") for c in DEP), "pkg_id")
     roots = wanted.join(met, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in DEP]).select(F.struct("spec_id", "profile_id").alias("root"), "pkg_id")
-    members, closed = shared_closures(roots, edges(caps, found))
-    of = members.select("root.spec_id", "root.profile_id", "set_id")
-    brought = closed.select("set_id", "pkg_id", F.lit(True).alias("reached"))
-    out = lost.join(of, ["spec_id", "profile_id"], "left").join(brought, ["set_id", "pkg_id"], "left")
+    brought = reached(lost.select(F.struct("spec_id", "profile_id").alias("root"), "pkg_id"), roots, edges(caps, found))
+    brought = brought.select("root.spec_id", "root.profile_id", "pkg_id", F.lit(True).alias("reached"))
+    out = lost.join(brought, ["spec_id", "profile_id", "pkg_id"], "left")
     return out.select("lint_id", "spec_id", "profile_id", "line_no", "tool", "owner", F.coalesce("reached", F.lit(False)).alias("reached"))

@@ -9,6 +9,8 @@ from ..functions.evr import compatible_compare, compatible_sign, constraint_hold
 from ..session import stored
 
 DEP = ["name", "op", "epoch", "version", "release"]
+#: Words of 64 bits in a row of what packages reach.
+_WORDS = 16
 
 
 def is_rich(name: Column) -> Column:
@@ -109,6 +111,46 @@ def closures(roots: DataFrame, edges_: DataFrame) -> DataFrame:
     return members.join(closed, "set_id").select("root", "pkg_id", "depth")
 
 
+def reached(asked: DataFrame, roots: DataFrame, edges_: DataFrame, rounds: int = 1000) -> DataFrame:
+    """Those of the asked pairs (root, pkg_id) whose package is one of the root's own (roots: root, pkg_id) or one that they need, directly or not.
+
+    What is asked for is followed backwards to whoever needs it, not the closure of every root forwards: packages carry which of the asked ones they reach as bits, a row holds those of
+    one run of asked packages, and rows combine map-side. So the work grows with the needed packages and the runs, whatever the number of roots. Each round's rows are a stored table.
+    """
+    roots = stored(roots.where("pkg_id is not null").select("root", "pkg_id").distinct(), "reached-roots")
+    asked = stored(asked.select("root", "pkg_id").distinct(), "reached-asked")
+    # Nobody comes to a package that no root starts at and nothing needs.
+    e = edges_.select("pkg_id", "needs")
+    inner = stored(e.select(F.col("needs").alias("pkg_id")).union(roots.select("pkg_id")).distinct(), "reached-inner")
+    e = stored(e.join(inner, "pkg_id", "left_semi"), "reached-edges")
+    targets = asked.select("pkg_id").distinct().join(inner, "pkg_id", "left_semi").orderBy("pkg_id")
+    no = F.monotonically_increasing_id()
+    targets = stored(targets.select("pkg_id", no.alias("no")).select("pkg_id", F.expr(f"no div {64 * _WORDS}").alias("run"), (F.col("no") % (64 * _WORDS)).cast("int").alias("bit")), "reached-targets")
+
+    words = range(_WORDS)
+    own = F.expr("shiftleft(1L, bit % 64)")
+    none = F.lit(0).cast("long")
+    first = [F.when(F.expr(f"bit div 64 = {i}"), own).otherwise(none) for i in words]
+    # b: what a package reaches; n: what of it is new in this round.
+    state = stored(targets.select("pkg_id", "run", *(c.alias(f"{x}{i}") for x in "bn" for i, c in enumerate(first)), F.lit(True).alias("grew")), "reached")
+    for _ in range(rounds):
+        new = state.where("grew").select(F.col("pkg_id").alias("needs"), "run", *(F.col(f"n{i}").alias(f"b{i}") for i in words))
+        if new.isEmpty():
+            break
+        step = new.join(e, "needs").select("pkg_id", "run", *(f"b{i}" for i in words), *(none.alias(f"a{i}") for i in words))
+        rows = state.select("pkg_id", "run", *(f"b{i}" for i in words), *(F.col(f"b{i}").alias(f"a{i}") for i in words)).unionByName(step)
+        both = rows.groupBy("pkg_id", "run").agg(*(F.bit_or(f"{x}{i}").alias(f"{x}{i}") for x in "ba" for i in words))
+        grew = F.array(*(f"b{i}" for i in words)) != F.array(*(f"a{i}" for i in words))
+        fresh = (F.col(f"b{i}").bitwiseXOR(F.col(f"a{i}")).alias(f"n{i}") for i in words)
+        state = stored(both.select("pkg_id", "run", *(f"b{i}" for i in words), *fresh, grew.alias("grew")), "reached")
+    else:
+        raise RuntimeError("what is reached did not settle")
+    pairs = roots.withColumnRenamed("pkg_id", "from").join(asked.join(targets, "pkg_id"), "root")
+    word = F.element_at(F.array(*(f"b{i}" for i in words)), F.expr("int(bit div 64) + 1"))
+    hit = pairs.join(state.withColumnRenamed("pkg_id", "from"), ["from", "run"]).where(word.bitwiseAND(own) != 0)
+    return hit.select("root", "pkg_id").distinct()
+
+
 def _conflicts(caps: DataFrame, provided: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pkg_id, victim, via), via by number, and the numbers' names in order: numbers aggregate by hash where names would be sorted.
 
