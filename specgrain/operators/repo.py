@@ -84,9 +84,13 @@ def candidates(packages: DataFrame, caps: DataFrame, archs: list[str] | None = N
 
 
 def first_owner(files: DataFrame, packages: DataFrame) -> DataFrame:
-    """Each path's first owner in order of repository, then package: a minimum, so that it combines map-side."""
-    owned = files.distinct().join(packages.select("pkg_id", "repo_id", "arch"), "pkg_id")
-    return owned.groupBy("path").agg(F.min(F.struct("repo_id", "pkg_id", "arch")).alias("o")).select("path", "o.repo_id", "o.pkg_id", "o.arch")
+    """Each path's first owner in order of repository, then package.
+
+    Packages, the smaller side, are hashed, and the least number of each repository and architecture comes first: minima of numbers combine map-side by hash, so files are never sorted.
+    """
+    owned = files.select("pkg_id", "path").join(packages.select("pkg_id", "repo_id", "arch").hint("shuffle_hash"), "pkg_id")
+    least = owned.groupBy("path", "repo_id", "arch").agg(F.min("pkg_id").alias("pkg_id"))
+    return least.groupBy("path").agg(F.min(F.struct("repo_id", "pkg_id", "arch")).alias("o")).select("path", "o.repo_id", "o.pkg_id", "o.arch")
 
 
 def owner_counts(files: DataFrame, packages: DataFrame) -> DataFrame:

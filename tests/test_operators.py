@@ -364,3 +364,13 @@ def test_caps_by_kind_without_a_kind(spark):
     c = spark.createDataFrame([(1, "requires", "water", "NONE", None), (1, "requires", "clay", "GE", "2"), (2, "provides", "jar", "NONE", None), (2, "conflicts", "bowl", "NONE", None)], "pkg_id long, kind string, name string, op string, version string")
     got = sorted((r["pkg_id"], r["provides"], r["requires"], r["conflicts"]) for r in repo.caps_by_kind(p, c).collect())
     assert got == [(1, None, "clay GE 2,water NONE -", None), (2, "jar NONE -", None, "bowl NONE -"), (3, None, None, None)]
+
+
+def test_first_owner_never_sorts_files(spark):
+    """Repeated files, a null repository and equal paths of several repositories; what is sorted is only what the minima leave."""
+    p = spark.createDataFrame([(7, "b", "i686"), (9, "a", "noarch"), (8, "a", "x86_64"), (3, None, "i686"), (1, "b", "i686")], "pkg_id long, repo_id string, arch string")
+    f = spark.createDataFrame([(7, "/x"), (9, "/x"), (8, "/x"), (9, "/x"), (1, "/x"), (3, "/y"), (1, "/y"), (5, "/z")], "pkg_id long, path string")
+    owners = repo.first_owner(f, p)
+    assert sorted(tuple(r) for r in owners.collect()) == [("/x", "a", 8, "x86_64"), ("/y", None, 3, "i686")]
+    plan = owners._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
