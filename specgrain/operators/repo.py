@@ -100,9 +100,10 @@ def owner_counts(files: DataFrame, packages: DataFrame) -> DataFrame:
 
 
 def shared_paths(files: DataFrame, packages: DataFrame) -> DataFrame:
-    """Paths that packages of different names own: what would conflict on install."""
-    owned = files.distinct().join(packages.select("pkg_id", "name"), "pkg_id")
-    return owned.groupBy("path").agg(F.min("name").alias("least"), F.max("name").alias("most"), F.count("*").alias("owners")).where("least <> most")
+    """Paths that packages of different names own: what would conflict on install. Owners are counted by name first, by hash; only names are sorted."""
+    owned = files.distinct().join(packages.select("pkg_id", "name").hint("shuffle_hash"), "pkg_id")
+    named = owned.groupBy("path", "name").agg(F.count("*").alias("n"))
+    return named.groupBy("path").agg(F.min("name").alias("least"), F.max("name").alias("most"), F.sum("n").alias("owners")).where("least <> most")
 
 
 def owners_of(packages: DataFrame, files: DataFrame, path: str) -> DataFrame:

@@ -374,3 +374,12 @@ def test_first_owner_never_sorts_files(spark):
     assert sorted(tuple(r) for r in owners.collect()) == [("/x", "a", 8, "x86_64"), ("/y", None, 3, "i686")]
     plan = owners._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_shared_paths_counts_by_name_first(spark):
+    """Owners of one name are counted before paths meet; repeated files count once, and files are hashed, not sorted, for their packages."""
+    p = spark.createDataFrame([(1, "jug"), (2, "jug"), (3, "cup"), (4, None)], "pkg_id long, name string")
+    f = spark.createDataFrame([(1, "/x"), (2, "/x"), (2, "/x"), (3, "/x"), (4, "/x"), (1, "/y"), (2, "/y"), (4, "/z")], "pkg_id long, path string")
+    shared = repo.shared_paths(f, p)
+    assert [tuple(r) for r in shared.collect()] == [("/x", "cup", "jug", 4)]
+    assert "ShuffledHashJoin" in shared._jdf.queryExecution().sparkPlan().toString()
