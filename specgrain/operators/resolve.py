@@ -11,6 +11,8 @@ from ..session import stored
 DEP = ["name", "op", "epoch", "version", "release"]
 #: Words of 64 bits in a row of what packages reach.
 _WORDS = 16
+#: Packages in one value at most, where a capability's providers or those that conflict with it are put together.
+_TOGETHER = 8192
 
 
 def is_rich(name: Column) -> Column:
@@ -27,6 +29,13 @@ def package_order(packages: DataFrame) -> DataFrame:
     return stored(packages.orderBy(*order).select("pkg_id", F.monotonically_increasing_id().alias("place")), "package-order")
 
 
+def provides(packages: DataFrame, caps: DataFrame) -> DataFrame:
+    """(name, pkg_id, epoch, version, release): packages by their own names with their EVR, and by what they provide, whose EVR is null without a version. Rows may be repeated."""
+    own = packages.select("name", "pkg_id", *DEP[2:])
+    given = caps.where("kind = 'provides'").select("name", "pkg_id", *DEP[2:])
+    return own.unionByName(given.join(packages.select("pkg_id"), "pkg_id", "left_semi").select("name", "pkg_id", *DEP[2:]))
+
+
 def providers(packages: DataFrame, caps: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(name, pkg_id, epoch, version, release, place): what each name is provided with, and the provider's place among all packages (package_order).
 
@@ -151,34 +160,70 @@ def reached(asked: DataFrame, roots: DataFrame, edges_: DataFrame, rounds: int =
     return hit.select("root", "pkg_id").distinct()
 
 
-def _conflicts(caps: DataFrame, provided: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pkg_id, victim, via), via by number, and the numbers' names in order: numbers aggregate by hash where names would be sorted.
+def _keyed() -> Column:
+    return evr_key(F.coalesce("epoch", F.lit(0)), F.col("version"), F.col("release"))
+
+
+def _conflict_rows(caps: DataFrame) -> DataFrame:
+    return caps.where("kind = 'conflicts'").select("pkg_id", *DEP).distinct()
+
+
+def _conflict_names(c: DataFrame, provided: DataFrame) -> DataFrame:
+    """(name, via, asked, given), stored: the names that conflicts have and anything provides, numbered in order, with the rows of each side at most. Numbers aggregate by hash where names would be sorted."""
+    n = c.groupBy("name").agg(F.count(F.lit(1)).alias("asked")).join(provided.groupBy("name").agg(F.count(F.lit(1)).alias("given")), "name")
+    return stored(n.orderBy("name").select("name", F.monotonically_increasing_id().alias("via"), "asked", "given"), "conflict-names")
+
+
+def _conflict_pairs(c: DataFrame, provided: DataFrame, names: DataFrame) -> DataFrame:
+    """(pkg_id, victim, via), via by number.
 
     Both sides get their keys before they meet; the pairs that hold combine map-side to one a package and victim.
     """
-    c = caps.where("kind = 'conflicts'").select("pkg_id", *DEP).distinct()
-    names = stored(c.select("name").distinct().orderBy("name").select("name", F.monotonically_increasing_id().alias("via")), "conflict-names")
-    c = c.join(names, "name").select("pkg_id", "name", "via", "op", evr_key(F.coalesce("epoch", F.lit(0)), F.col("version"), F.col("release")).alias("d"))
+    c = c.join(names, "name").select("pkg_id", "name", "via", "op", _keyed().alias("d"))
     p = provided.select("name", "pkg_id", "epoch", "version", "release").distinct()
-    p = p.select(
-        "name", F.col("pkg_id").alias("victim"), F.when(F.col("version").isNotNull(), evr_key(F.coalesce("epoch", F.lit(0)), F.col("version"), F.col("release"))).alias("p")
-    )
+    p = p.select("name", F.col("pkg_id").alias("victim"), F.when(F.col("version").isNotNull(), _keyed()).alias("p"))
     holds = constraint_holds(F.col("op"), F.when(F.col("p").isNotNull(), compatible_sign(F.col("p"), F.col("d"))))
     pairs = c.join(p, "name").where((F.col("pkg_id") != F.col("victim")) & holds)
-    return pairs.groupBy("pkg_id", "victim").agg(F.min("via").alias("via")), names
+    return pairs.groupBy("pkg_id", "victim").agg(F.min("via").alias("via"))
 
 
 def conflicts(caps: DataFrame, provided: DataFrame) -> DataFrame:
     """(pkg_id, victim, via): a package, another one whose name or Provides meets one of its Conflicts, and the first such capability's name."""
-    pairs, names = _conflicts(caps, provided)
+    c = _conflict_rows(caps)
+    names = _conflict_names(c, provided)
+    pairs = _conflict_pairs(c, provided, names)
     return pairs.withColumnRenamed("via", "no").join(names.withColumnRenamed("via", "no"), "no").select("pkg_id", "victim", F.col("name").alias("via"))
 
 
-def conflict_counts(caps: DataFrame, provided: DataFrame) -> DataFrame:
-    """(pkg_id, victims, via): how many other packages one conflicts with, and the first capability's name by which it does."""
-    pairs, names = _conflicts(caps, provided)
-    counts = pairs.groupBy("pkg_id").agg(F.count("*").alias("victims"), F.min("via").alias("via"))
-    return counts.join(names, "via").select("pkg_id", "victims", F.col("name").alias("via"))
+def conflict_counts(caps: DataFrame, provided: DataFrame, together: int = _TOGETHER) -> DataFrame:
+    """(pkg_id, victims, via): how many other packages one conflicts with, and the first capability's name by which it does.
+
+    No pair is a row: a name's providers are one value, by EVR, from which each distinct Conflicts takes the victims once for all packages that have it; a package's victims are counted where
+    its few values meet. Packages that conflict with a name of more than `together` providers go through rows of pairs instead, and those that share a Conflicts are dealt into blocks.
+    """
+    c = _conflict_rows(caps)
+    names = _conflict_names(c, provided)
+    wide = names.where(F.col("given") > together)
+    counts = None
+    if not wide.isEmpty():
+        many = c.join(wide.select("name"), "name", "left_semi").select("pkg_id").distinct()
+        pairs = _conflict_pairs(c.join(many, "pkg_id", "left_semi"), provided, names)
+        counts = pairs.groupBy("pkg_id").agg(F.count("*").alias("victims"), F.min("via").alias("via"))
+        c = c.join(many, "pkg_id", "left_anti")
+    few = names.where(F.col("given") <= together)
+
+    block = F.pmod(F.xxhash64("pkg_id"), F.expr(f"asked div {together} + 1"))
+    d = c.join(few.select("name", "via", "asked"), "name").groupBy(*DEP, "via", block.alias("block")).agg(F.collect_list("pkg_id").alias("asking"))
+    d = d.select("name", "via", "op", _keyed().alias("d"), "asking")
+    p = provided.join(few.select("name"), "name", "left_semi").groupBy(*(x for x in DEP if x != "op")).agg(F.collect_set("pkg_id").alias("victims"))
+    p = p.groupBy("name").agg(F.collect_list(F.struct(F.when(F.col("version").isNotNull(), _keyed()).alias("p"), "victims")).alias("given"))
+    holds = lambda g: constraint_holds(F.col("op"), F.when(g["p"].isNotNull(), compatible_sign(g["p"], F.col("d"))))
+    met = d.join(p, "name").select("via", "asking", F.flatten(F.transform(F.filter("given", holds), lambda g: g["victims"])).alias("victims")).where(F.size("victims") > 0)
+    each = met.select(F.explode("asking").alias("pkg_id"), "via", "victims").withColumn("victims", F.array_remove("victims", F.col("pkg_id"))).where(F.size("victims") > 0)
+    each = each.groupBy("pkg_id").agg(F.collect_list("victims").alias("victims"), F.min("via").alias("via"))
+    each = each.select("pkg_id", F.size(F.array_distinct(F.flatten("victims"))).cast("long").alias("victims"), "via")
+    counts = each if counts is None else counts.unionByName(each)
+    return counts.join(names.select("via", "name"), "via").select("pkg_id", "victims", F.col("name").alias("via"))
 
 
 def conflicts_within(closed: DataFrame, found: DataFrame) -> DataFrame:

@@ -277,7 +277,7 @@ SELECT pkg_id, count(*) AS victims, min(via) AS via FROM (SELECT pkg_id, victim,
 )
 def conflict_pairs(s, d):
     p, c = A.packages(s, d), A.caps(s, d)
-    return resolve.conflict_counts(c, resolve.providers(p, c))
+    return resolve.conflict_counts(c, resolve.provides(p, c))
 
 
 @query(

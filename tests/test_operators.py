@@ -102,6 +102,19 @@ def test_lookup(spark, desk):
     assert {x: got.get(tuple(rows[x])[2:6]) for x in asked} == asked
 
 
+@pytest.mark.parametrize("together", [1, 2, 100])
+def test_conflict_counts_in_blocks(spark, desk, together):
+    """The counts of conflicts by values equal those by pairs: with names that many provide, one that a package itself provides, blocks of packages with the same Conflicts, and none."""
+    p, c, _ = desk
+    more = [(i, "conflicts", x) for i in (11, 12, 13, 41) for x in ("tip", "nib EQ 1", "wax")] + [(32, "conflicts", "tip"), (32, "provides", "tip EQ 4"), (21, "conflicts", "inkwell EQ 5"), (99, "provides", "tip")]
+    c = c.unionByName(wants(spark, [*more, *more[:4]]))
+    want = {}
+    for r in resolve.conflicts(c, resolve.providers(p, c)).collect():
+        want.setdefault(r["pkg_id"], []).append(r)
+    got = {r["pkg_id"]: (r["victims"], r["via"]) for r in resolve.conflict_counts(c, resolve.provides(p, c), together).collect()}
+    assert got == {i: (len({r["victim"] for r in rows}), min(r["via"] for r in rows)) for i, rows in want.items()} and got[13] == (2, "nib") and got[32] == (1, "tip")
+
+
 def test_closure_and_conflicts(spark, desk):
     p, c, _ = desk
     provided = resolve.providers(p, c)
