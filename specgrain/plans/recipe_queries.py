@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import build_tools, projection, recipe_rules, resolve
+from ..session import dealt
 from ..sources import adapters as A
 from ..sources import recipes
 from ..sources.adapters import SQL
@@ -44,7 +45,7 @@ _TEXT = "concat_ws(chr(10), " + ", ".join(f"CASE WHEN {when} THEN {line} END" fo
 def written(spark, sf_dir):
     """(spec_id, text): the recipe of every part."""
     part = A.table(spark, sf_dir, "part").select(*(F.col(c).alias(x) for x, c in _COLUMNS.items()))
-    return part.select(F.col("k").alias("spec_id"), F.expr(_TEXT.replace("\\", "\\\\")).alias("text"))
+    return dealt(part, "k").select(F.col("k").alias("spec_id"), F.expr(_TEXT.replace("\\", "\\\\")).alias("text"))
 
 
 _SECTIONS = "prep|generate_buildrequires|conf|build|install|check|clean|pre|post|preun|postun|pretrans|posttrans|package|description|files|changelog|sourcelist|patchlist"
@@ -259,7 +260,7 @@ WHERE shown AND (line LIKE '/%' OR line LIKE 'Requires: %' OR line LIKE 'BuildRe
 def projected_items(s, d):
     """The dependencies and files of every supplier's recipe that each nation's profile sees, macros filled in."""
     t = A.table(s, d, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("c"))
-    texts = t.select(F.col("s").alias("spec_id"), F.expr(_BRANCHED_TEXT).alias("text"))
+    texts = dealt(t, "s").select(F.col("s").alias("spec_id"), F.expr(_BRANCHED_TEXT).alias("text"))
     k = F.col("n_nationkey")
     nation = A.table(s, d, "nation")
     profiles = nation.select(k.alias("profile_id"), F.expr(_ARCH.format(k="n_nationkey")).alias("arch"), F.lit("linux").alias("os"))

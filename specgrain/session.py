@@ -33,3 +33,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, key: str, rows: int = 16384) -> DataFrame:
+    """df by hash of key in partitions of about so many rows, at least one a core, which Spark doesn't put together again: for short rows that the next step makes long or many."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(n, key)

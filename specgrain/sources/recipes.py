@@ -50,7 +50,21 @@ class Recipes:
 
     @property
     def specs(self) -> DataFrame:
-        return self.lines.select("spec_id").distinct()
+        # Every text has a first line.
+        return self.lines.where("line_no = 1").select("spec_id").distinct()
+
+
+class Kept(Recipes):
+    """Relations of which each is stored when it is first asked for, so that nothing is written that no rule reads."""
+
+    def __init__(self, relations: dict[str, DataFrame]):
+        self._relations = relations
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._relations:
+            raise AttributeError(name)
+        setattr(self, name, stored(self._relations[name], f"recipe-{name}"))
+        return getattr(self, name)
 
 
 def read_recipes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -66,36 +80,43 @@ def _running(c: Column, w) -> Column:
 def parse(sources: DataFrame, keep: bool = False) -> Recipes:
     """Relations of sources (spec_id, text). Continuation lines of conditionals aren't joined; a null text has no lines.
 
-    With keep the placed lines and the relations taken from them are stored once, so that many rules scan them instead of cutting and windowing the texts again.
+    Sources that are partitioned by spec_id (session.dealt) stay so, and no line is shuffled. With keep the placed lines are stored, and a relation taken from them when it is first asked for,
+    so that many rules scan them instead of cutting and windowing the texts again.
     """
     raw = sources.where("text is not null").select("spec_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     w = Window.partitionBy("spec_id").orderBy("pos")
     to_here = w.rowsBetween(Window.unboundedPreceding, 0)
-    opens, closes = F.col("line").rlike(_IF), F.col("line").rlike(_END)
-    turns = F.col("line").rlike(_ELSE)
-    head = F.col("line").rlike(_SECTION)
+    percent = F.ltrim("line").startswith("%")
+    opens, closes, turns = (percent & F.col("line").rlike(x) for x in (_IF, _END, _ELSE))
+    head = F.col("line").startswith("%") & F.col("line").rlike(_SECTION)
+    kind = F.regexp_extract("line", _SECTION, 1)
+    args = F.coalesce(F.regexp_extract("line", _SECTION, 2), F.lit(""))
+    absolute = F.regexp_extract("args", r"-n\s+(\S+)", 1)
+    relative = F.regexp_extract(F.regexp_replace("args", r"-[npfq]\s+\S+|--?[a-z]+\b", " "), r"^\s*([^\s-]\S*)", 1)
+    pkg = F.when(F.col("kind") == "changelog", "").when(absolute != "", absolute).when(relative != "", F.concat(F.lit("%{name}-"), relative)).otherwise("")
     lines = raw.select(
         "spec_id", (F.col("pos") + 1).cast("int").alias("line_no"), "pos", "line", opens.alias("opens"), closes.alias("closes"), turns.alias("turns"), head.alias("head")
     )
-    lines = lines.withColumn("sec", _running(F.col("head").cast("int"), to_here)).withColumn(
-        # Depth inside the line's own block: an opening line counts, a closing one still does.
-        "depth", F.greatest(_running(F.col("opens").cast("int") - F.lag(F.col("closes").cast("int"), 1, 0).over(w), to_here), F.lit(0)),
+    lines = lines.withColumns({"kind": F.when(F.col("head"), kind), "args": F.when(F.col("head"), args)}).withColumn("pkg", F.when(F.col("head"), pkg))
+    number = lambda c: F.col(c).cast("int")
+    lines = lines.select(
+        *lines.columns, _running(number("head"), to_here).alias("sec"), (_running(number("opens"), to_here) - _running(number("closes"), to_here) + number("closes")).alias("depth"),
+        F.last(F.when(F.col("head"), F.struct("kind", "pkg")), True).over(to_here).alias("in"),
     )
+    # Depth inside the line's own block: an opening line counts, a closing one still does.
+    lines = lines.withColumn("depth", F.greatest("depth", F.lit(0)))
     at_depth = Window.partitionBy("spec_id", "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("chain", F.when(F.col("depth") > 0, F.last(F.when(F.col("opens"), F.col("line_no")), True).over(at_depth)))
+    placed = ["spec_id", "line_no", "pos", "line", "opens", "closes", "turns", "head", "sec", "depth", "chain"]
+    lines = lines.select(*placed, "args", F.coalesce("in.kind", F.lit("preamble")).alias("kind"), F.coalesce("in.pkg", F.lit("")).alias("pkg"))
     if keep:
         lines = stored(lines, "recipe-lines")
-    heads = lines.where("head").select(
-        "spec_id", "sec", "line_no", "depth", F.regexp_extract("line", _SECTION, 1).alias("kind"), F.coalesce(F.regexp_extract("line", _SECTION, 2), F.lit("")).alias("args")
-    )
-    first = lines.where("sec = 0").select("spec_id").distinct().select("spec_id", F.lit(0).cast("long").alias("sec"), F.lit(0).alias("line_no"), F.lit(0).cast("long").alias("depth"), F.lit("preamble").alias("kind"), F.lit("").alias("args"))
-    absolute = F.regexp_extract("args", r"-n\s+(\S+)", 1)
-    relative = F.regexp_extract(F.regexp_replace("args", r"-[npfq]\s+\S+|--?[a-z]+\b", " "), r"^\s*([^\s-]\S*)", 1)
-    pkg = F.when(absolute != "", absolute).when(relative != "", F.concat(F.lit("%{name}-"), relative)).otherwise("")
-    sections = first.unionByName(heads).select("spec_id", "sec", "line_no", "depth", "kind", "args", F.when(F.col("kind") == "changelog", F.lit("")).otherwise(pkg).alias("pkg"), (absolute != "").alias("absolute"))
-    body = lines.where("not head").join(sections.select("spec_id", "sec", "kind", "pkg"), ["spec_id", "sec"])
-    if keep:
-        body = stored(body, "recipe-body")
+    heads = lines.where("head").select("spec_id", "sec", "line_no", "depth", "kind", "args", "pkg", (absolute != "").alias("absolute"))
+    first = lines.where("sec = 0 and line_no = 1").select("spec_id").distinct()
+    first = first.select("spec_id", F.lit(0).cast("long").alias("sec"), F.lit(0).alias("line_no"), F.lit(0).cast("long").alias("depth"), F.lit("preamble").alias("kind"), F.lit("").alias("args"), F.lit("").alias("pkg"), F.lit(False).alias("absolute"))
+    sections = first.unionByName(heads)
+    body = lines.where("not head and spec_id is not null").select("spec_id", "sec", *(c for c in placed if c not in ("spec_id", "sec")), "kind", "pkg")
+    lines = lines.select(*placed)
     plain = body.where("not (opens or closes or turns)")
     comment = F.col("line").rlike(r"^\s*#")
     tagged = plain.where(F.col("kind").isin("preamble", "package") & ~comment & F.col("line").rlike(_TAG)).select(
@@ -144,7 +165,7 @@ def parse(sources: DataFrame, keep: bool = False) -> Recipes:
         F.regexp_replace(F.when(F.col("opens"), F.regexp_extract("line", _IF, 2)).otherwise(F.regexp_extract("line", _ELSE, 2)), r"\s+", " ").alias("condition"),
     )
     if keep:
-        sections, tagged, atoms, files, changelog, comments, macros, branches = (
-            stored(x, "recipe-relations") for x in (sections, tagged, atoms, files, changelog, comments, macros, branches)
-        )
+        kept = Kept({"sections": sections, "tags": tagged, "atoms": atoms, "files": files, "changelog": changelog, "comments": comments, "macros": macros, "branches": branches})
+        kept.lines, kept.body = lines, body
+        return kept
     return Recipes(lines, sections, tagged, atoms, body, files, changelog, comments, macros, branches)

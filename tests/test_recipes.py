@@ -54,3 +54,22 @@ def test_rules_by_their_fixed_values(spark):
     split = changed("after", "%make_build", "%if 0%{?a}\nx\n%endif\n" * 9)
     assert rules_of(spark, split.replace("URL:", "%if 0%{?a}\n%global z 1\n%endif\n" * 15 + "URL:"), "RPM092") == []
     assert rules_of(spark, changed("after", "%license", "%if 0%{?a}\nx\n%endif\n" * 8).replace("URL:", "%if 0%{?a}\n%global z 1\n%endif\n" * 8 + "URL:"), "RPM092") == [("RPM092", 1)]
+
+
+def test_lines_of_dealt_sources_are_not_shuffled(spark, tmp_path):
+    """Placing the lines of texts that are dealt by recipe needs no further exchange; with keep only the relations that are asked for are written."""
+    from specgrain.session import dealt
+    from specgrain.sources import recipes
+
+    texts = [(i, "Name: a\n%if 1\nRequires: b\n%else\n%if 0\n%endif\n%endif\n%package -n c\n%files -f x sub\n%changelog" if i % 3 else "%build\nmake\n%endif") for i in range(40)]
+    sources = dealt(spark.createDataFrame(texts, "spec_id long, text string"), "spec_id", 7)
+    lines = recipes.parse(sources).lines
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and sources.rdd.getNumPartitions() >= 6, plan
+    r = recipes.parse(sources, keep=True)
+    assert "branches" not in vars(r) and r.branches.count() == 26 * 3 and "branches" in vars(r) and "tags" not in vars(r)
+    one = {tuple(x) for x in r.body.where("spec_id = 1").select("line_no", "sec", "depth", "chain", "kind", "pkg").collect()}
+    assert one == {(1, 0, 0, None, "preamble", ""), (2, 0, 1, 2, "preamble", ""), (3, 0, 1, 2, "preamble", ""), (4, 0, 1, 2, "preamble", ""), (5, 0, 2, 5, "preamble", ""), (6, 0, 2, 5, "preamble", ""), (7, 0, 1, 2, "preamble", "")}
+    assert {tuple(x) for x in r.sections.where("spec_id in (1, 3)").select("spec_id", "sec", "line_no", "kind", "pkg", "absolute").collect()} == {
+        (1, 0, 0, "preamble", "", False), (1, 1, 8, "package", "c", True), (1, 2, 9, "files", "%{name}-sub", False), (1, 3, 10, "changelog", "", False), (3, 1, 1, "build", "", False)}
+    assert r.specs.count() == 40
