@@ -25,8 +25,10 @@ def package_order(packages: DataFrame) -> DataFrame:
 
     One sort by ranges over all packages, stored, so that every reader sees the same places; no capability is ever ranked in one task.
     """
-    order = ["repo_id", F.desc("epoch"), F.desc(version_key(F.col("version"))), F.desc(version_key(F.col("release"))), "name", "pkg_id"]
-    return stored(packages.orderBy(*order).select("pkg_id", F.monotonically_increasing_id().alias("place")), "package-order")
+    order = ["repo_id", F.desc("epoch"), F.desc("v"), F.desc("r"), "name", "pkg_id"]
+    # Keys are columns, as a sort would work an expression out anew for every comparison.
+    p = packages.select("repo_id", "epoch", version_key(F.col("version")).alias("v"), version_key(F.col("release")).alias("r"), "name", "pkg_id")
+    return stored(p.orderBy(*order).select("pkg_id", F.monotonically_increasing_id().alias("place")), "package-order")
 
 
 def provides(packages: DataFrame, caps: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def edges(caps: DataFrame, found: DataFrame) -> DataFrame:
     """(pkg_id, needs): packages and the best providers of what they require."""
     met = found.where("outcome = 'satisfied'").select(*(F.col(c).alias(f"d_{c}") for c in DEP), F.col("pkg_id").alias("needs"))
     same = [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in DEP]
-    return caps.where("kind = 'requires'").select("pkg_id", *DEP).distinct().join(met, same).select("pkg_id", "needs").distinct()
+    return caps.where("kind = 'requires'").select("pkg_id", *DEP).join(met, same).select("pkg_id", "needs").distinct()
 
 
 def closure(roots: DataFrame, edges_: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -97,19 +99,28 @@ def closure(roots: DataFrame, edges_: DataFrame, rounds: int = 1000) -> DataFram
 def shared_closures(roots: DataFrame, edges_: DataFrame, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Closures of many roots (root, pkg_id) at once: members (root, set_id), and (set_id, pkg_id, depth) of all that each set needs, itself at depth 0.
 
-    Roots with the same packages, and there are many such among recipes, share one closure; the set is the label that every row carries. A root's own packages are one value, what it
-    reaches never is. Each round's new rows are a stored table. Null and repeated packages count once or not at all; a root without packages is no member.
+    Roots with the same packages, and there are many such among recipes, share one closure. A root's own packages are one value, what it reaches never is: a row holds a package and, as bits,
+    which sets of a run of 64 come to it in a round, so that rows grow with the packages and not with the sets that share them. Each round's new bits are a stored table.
+    Null and repeated packages count once or not at all; a root without packages is no member.
     """
     e = stored(edges_, "closures-edges")
     first = roots.where("pkg_id is not null").select("root", "pkg_id").distinct().groupBy("root").agg(F.array_sort(F.collect_list("pkg_id")).alias("first"))
-    named = stored(first.select("root", "first", F.sha2(F.array_join(F.col("first").cast("array<string>"), ","), 256).alias("set_id")), "closures-members")
-    new = named.select("set_id", "first").dropDuplicates(["set_id"]).select("set_id", F.explode("first").alias("pkg_id"), F.lit(0).alias("depth"))
-    seen = new = stored(new, "closures")
+    named = stored(first.select("root", "first", F.sha2(F.array_join(F.col("first").cast("array<string>"), ","), 256).alias("sha")), "closures-members")
+    sets = named.select("sha", "first").dropDuplicates(["sha"]).orderBy("sha")
+    sets = stored(sets.select("sha", "first", F.monotonically_increasing_id().alias("set_id")), "closures-sets")
+    own = sets.select(F.explode("first").alias("pkg_id"), F.expr("set_id div 64").alias("run"), F.expr("shiftleft(1L, int(set_id % 64))").alias("bits"))
+    none = F.lit(0).cast("long")
+    seen = new = stored(own.groupBy("pkg_id", "run").agg(F.bit_or("bits").alias("bits")).withColumn("depth", F.lit(0)), "closures")
     for depth in range(1, rounds):
-        step = new.join(e, "pkg_id").select("set_id", F.col("needs").alias("pkg_id")).distinct()
-        new = stored(step.join(seen, ["set_id", "pkg_id"], "left_anti").select("set_id", "pkg_id", F.lit(depth).alias("depth")), "closures")
+        step = new.join(e, "pkg_id").select(F.col("needs").alias("pkg_id"), "run", "bits", none.alias("old"))
+        rows = step.unionByName(seen.select("pkg_id", "run", none.alias("bits"), F.col("bits").alias("old")))
+        both = rows.groupBy("pkg_id", "run").agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not("old"))
+        new = stored(both.select("pkg_id", "run", fresh.alias("bits"), F.lit(depth).alias("depth")).where("bits <> 0"), "closures")
         if new.isEmpty():
-            return named.select("root", "set_id"), seen
+            bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1))
+            closed = seen.select("pkg_id", "depth", "run", bit.alias("bit")).select((F.col("run") * 64 + F.col("bit")).alias("set_id"), "pkg_id", "depth")
+            return named.join(sets.select("sha", "set_id"), "sha").select("root", "set_id"), closed
         seen = seen.unionByName(new)
     raise RuntimeError("the closures did not settle")
 

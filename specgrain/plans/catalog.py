@@ -398,7 +398,7 @@ def _brands(s, d):
     more = lambda when, name: line.where(when).select(F.col("l_partkey").alias("pkg_id"), F.lit("requires").alias("kind"), name.alias("name"), F.lit("NONE").alias("op"), *none)
     text = lambda c, n: (F.col(c) % n).cast("string")
     c = c.unionByName(more("l_quantity > 49", F.concat(F.lit("/usr/bin/f"), text("l_orderkey", 700))))
-    c = stored(c.unionByName(more("l_quantity < 2", F.concat(F.lit("lib"), text("l_orderkey", 90), F.lit(".so."), text("l_partkey", 3)))).distinct(), "brand-caps")
+    c = stored(c.unionByName(more("l_quantity < 2", F.concat(F.lit("lib"), text("l_orderkey", 90), F.lit(".so."), text("l_partkey", 3)))), "brand-caps")
     found = stored(resolve.lookup(c.where("kind = 'requires'"), resolve.providers(p, c)), "brand-found")
     closed = resolve.closures(p.select(F.col("source_name").alias("root"), "pkg_id"), resolve.edges(c, found))
     brand = p.select("source_name").distinct()

@@ -67,6 +67,21 @@ def test_closures_of_many_roots(spark):
     assert resolve.closures(r.where("false"), e).count() == 0
 
 
+def test_closures_of_more_sets_than_a_word_has_bits(spark):
+    """A ring of 140 packages, each a root of its own: every set's bit, the highest of a word included, goes all the way round, and sets are numbers."""
+    n = 140
+    e = spark.createDataFrame([(k, (k + d) % n) for k in range(n) for d in (1, 9)], "pkg_id long, needs long")
+    r = spark.createDataFrame([(f"r{k}", k) for k in range(n)], "root string, pkg_id long")
+    far, level, depth = {0: 0}, {0}, 0
+    while level:
+        depth += 1
+        level = {(k + d) % n for k in level for d in (1, 9)} - set(far)
+        far |= dict.fromkeys(level, depth)
+    got = {(x["root"], x["pkg_id"]): x["depth"] for x in resolve.closures(r, e).collect()}
+    assert got == {(f"r{k}", (k + j) % n): depth for k in range(n) for j, depth in far.items()}
+    assert resolve.shared_closures(r, e)[1].schema["set_id"].dataType.typeName() == "long"
+
+
 def test_reached_like_closures(spark, monkeypatch):
     """Over a random graph with cycles, for more asked packages than a row has bits."""
     import random
