@@ -81,7 +81,7 @@ def missing_tools(r: Recipes, p: Projection, profiles: DataFrame, macros: DataFr
 
     reached says whether the closure of the recipe's build requirements brings the owner in all the same: then the build works today, by what other packages need. Profiles are a dimension of checked size; macros (profile_id, name, value) hold whole values. No recipes, or no owners, give no rows.
     """
-    p = replace(p, atoms=stored(p.atoms.where("key = 'buildrequires'"), "tools-atoms"))
+    p = replace(p, atoms=stored(p.atoms.where("key = 'buildrequires'"), "tools-atoms"), branches=stored(p.branches, "tools-branches"))
     used = stored(tool_uses(r, p, profiles, macros), "tools-used")
     owned = used.join(tool_owners(used, packages, files), "tool")
     declared = declared_names(p).withColumnRenamed("name", "owner")

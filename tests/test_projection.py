@@ -89,6 +89,26 @@ def test_requirements_of_what_is_seen(spark, seen):
     assert {(r["lint_id"], r["profile_id"], r["detail"]) for r in found} == {("RPM-REPO-001", 1, "wood GE 3"), ("RPM-REPO-003", 3, "coal GE 3"), *(("RPM-REPO-001", k, "clay NONE") for k in (1, 2, 3))}
 
 
+def test_profiles_share_what_is_the_same_for_them(spark, monkeypatch):
+    """150 profiles, of which every third has a macro and one no architecture: each sees what its like among the first three sees, and no round's rows grow with the profiles."""
+    rows, stored = {}, projection.stored
+    monkeypatch.setattr(projection, "stored", lambda df, label: rows.setdefault(label, []).append(out := stored(df, label)) or out)
+    r = parse(spark.createDataFrame([("k", RECIPE)], "spec_id string, text string"))
+    who = spark.createDataFrame([(i, None if i == 149 else "arm" if i % 3 else "x86", "linux") for i in range(150)], "profile_id long, arch string, os string")
+    macros = spark.createDataFrame([(i, "mode", "fast") for i in range(0, 150) if i % 3 < 2], "profile_id long, name string, value string")
+    p = projection.project(r, who, macros, conditions.build_options(r.lines))
+    seen = {}
+    for x in p.atoms.collect():
+        seen.setdefault(x["profile_id"], []).append((x["line_no"], x["told"]))
+    like = {i: sorted(v, key=str) for i, v in seen.items()}
+    assert len(like) == 150 and all(like[i] == like[i % 3] for i in range(150))
+    assert (18, "gas >= 3") in like[0] and (18, "wood >= 3") in like[1] and (18, "coal >= 3") in like[2]
+    truth = {(x["profile_id"], x["line_no"]): (x["truth"], x["reason"], x["selected"]) for x in p.branches.collect()}
+    assert len(truth) == 7 * 150 and truth[149, 10] == (None, "unknown-target", False) and truth[148, 10] == (True, None, True) and truth[147, 10] == (False, None, False)
+    # Three runs of 64 profiles, and at most three values in each.
+    assert max(t.count() for t in rows["project-definitions"]) <= 3 * (3 * 11)
+
+
 def test_nothing_to_project(spark, seen):
     r = parse(spark.createDataFrame([], "spec_id string, text string"))
     who = spark.createDataFrame([(1, "arm", "linux")], "profile_id long, arch string, os string")
