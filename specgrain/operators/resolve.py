@@ -49,10 +49,12 @@ def providers(packages: DataFrame, caps: DataFrame, files: DataFrame | None = No
     rows = rows.unionByName(caps.where("kind = 'provides'").select("name", "pkg_id", *evr).distinct())
     if files is not None:
         p = packages.select("pkg_id", "repo_id")
-        first = files.distinct().join(p, "pkg_id").groupBy("path").agg(F.min(F.struct("repo_id", "pkg_id")).alias("o"))
+        # The least number of each repository comes first: numbers combine by hash where structs would be sorted, and repeated rows don't matter.
+        least = files.join(p.hint("shuffle_hash"), "pkg_id").groupBy("path", "repo_id").agg(F.min("pkg_id").alias("pkg_id"))
+        first = least.groupBy("path").agg(F.min(F.struct("repo_id", "pkg_id")).alias("o"))
         none = [F.lit(None).cast(t).alias(c) for c, t in (("epoch", "int"), ("version", "string"), ("release", "string"))]
         rows = rows.unionByName(first.select(F.col("path").alias("name"), F.col("o.pkg_id").alias("pkg_id"), *none))
-    return rows.join(order, "pkg_id").select("name", "pkg_id", *evr, "place")
+    return rows.join(order.hint("shuffle_hash"), "pkg_id").select("name", "pkg_id", *evr, "place")
 
 
 def lookup(deps: DataFrame, provided: DataFrame) -> DataFrame:
@@ -77,10 +79,10 @@ def lookup(deps: DataFrame, provided: DataFrame) -> DataFrame:
 
 
 def edges(caps: DataFrame, found: DataFrame) -> DataFrame:
-    """(pkg_id, needs): packages and the best providers of what they require."""
+    """(pkg_id, needs): packages and the best providers of what they require. The distinct dependencies are hashed, so that no row of a package's is sorted by five columns."""
     met = found.where("outcome = 'satisfied'").select(*(F.col(c).alias(f"d_{c}") for c in DEP), F.col("pkg_id").alias("needs"))
     same = [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in DEP]
-    return caps.where("kind = 'requires'").select("pkg_id", *DEP).join(met, same).select("pkg_id", "needs").distinct()
+    return caps.where("kind = 'requires'").select("pkg_id", *DEP).join(met.hint("shuffle_hash"), same).select("pkg_id", "needs").distinct()
 
 
 def closure(roots: DataFrame, edges_: DataFrame, rounds: int = 1000) -> DataFrame:

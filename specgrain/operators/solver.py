@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.evr import compatible_sign, constraint_holds, evr_key
@@ -21,11 +21,34 @@ def keyed(provided: DataFrame) -> DataFrame:
     return provided.select("name", "pkg_id", "place", key.alias("p")).distinct()
 
 
+def _holds() -> Column:
+    return constraint_holds(F.col("op"), F.when(F.col("p").isNotNull(), compatible_sign(F.col("p"), F.col("d")))) | F.col("name").startswith("/")
+
+
+def _candidates(deps: DataFrame, n: DataFrame) -> DataFrame:
+    """The distinct dependencies with each row of n (name, p, ...) that meets them; a path is met by whoever has it in n."""
+    d = deps.select(*DEP).distinct().withColumn("d", evr_key(F.coalesce("epoch", F.lit(0)), F.col("version"), F.col("release")))
+    return d.join(n, "name").where(_holds())
+
+
 def satisfying(deps: DataFrame, n: DataFrame) -> DataFrame:
     """(DEP, pkg_id, place) of all packages that meet each of the distinct dependencies; a path is met by whoever has it in n, the keyed provides."""
-    d = deps.select(*DEP).distinct().withColumn("d", evr_key(F.coalesce("epoch", F.lit(0)), F.col("version"), F.col("release")))
-    holds = constraint_holds(F.col("op"), F.when(F.col("p").isNotNull(), compatible_sign(F.col("p"), F.col("d")))) | F.col("name").startswith("/")
-    return d.join(n, "name").where(holds).select(*DEP, "pkg_id", "place").distinct()
+    return _candidates(deps, n).select(*DEP, "pkg_id", "place").distinct()
+
+
+def best_providers(deps: DataFrame, offers: DataFrame, order: DataFrame) -> DataFrame:
+    """(DEP, pkg_id): the first by place of those that meet each dependency. offers (name, p, place) has the first place of each EVR, so no package beside is compared; minima combine by hash."""
+    least = _candidates(deps, offers).groupBy(*DEP).agg(F.min("place").alias("place"))
+    return least.join(order.select("place", "pkg_id"), "place").select(*DEP, "pkg_id")
+
+
+def _least_parent() -> tuple:
+    """Aggregates of the first parent, nobody before anybody; a struct with its path would be sorted."""
+    return F.max(F.col("parent").isNull()).alias("_none"), F.min("parent").alias("_least")
+
+
+def _parent() -> Column:
+    return F.when(~F.col("_none"), F.col("_least")).alias("parent")
 
 
 def _match(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
@@ -34,14 +57,23 @@ def _match(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return a.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in DEP], how).drop(*(f"_{c}" for c in DEP))
 
 
-def _clashes(conflicts: DataFrame, owners: DataFrame, victims: DataFrame, provided: DataFrame) -> DataFrame:
-    """(pkg_id, victim): owners (pkg_id) one of whose Conflicts a victim (pkg_id) meets."""
-    c = conflicts.join(owners.select("pkg_id").distinct(), "pkg_id", "left_semi").select(F.col("pkg_id").alias("owner"), *DEP).distinct()
-    met = satisfying(c, provided.join(victims.select("pkg_id").distinct(), "pkg_id", "left_semi")).select(*DEP, F.col("pkg_id").alias("victim"))
-    return _match(c, met).where("owner <> victim").select(F.col("owner").alias("pkg_id"), "victim").distinct()
+def _numbered(caps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conflicts as (pkg_id, dep), and (dep, DEP) of the distinct ones, both stored: rows meet by a number instead of five columns that may be null."""
+    rows = stored(caps.where("kind = 'conflicts'").select("pkg_id", *DEP).distinct(), "solve-conflicts")
+    deps = stored(rows.select(*DEP).distinct().select(F.monotonically_increasing_id().alias("dep"), *DEP), "solve-conflict-deps")
+    return stored(_match(rows, deps.hint("shuffle_hash")).select("pkg_id", "dep"), "solve-conflict-rows"), deps
 
 
-def _both_ways(conflicts: DataFrame, one: DataFrame, other: DataFrame, provided: DataFrame) -> DataFrame:
+def _clashes(conflicts: tuple[DataFrame, DataFrame], owners: DataFrame, victims: DataFrame, provided: DataFrame) -> DataFrame:
+    """(pkg_id, victim): owners (pkg_id) one of whose Conflicts (_numbered) a victim (pkg_id) meets."""
+    rows, deps = conflicts
+    c = rows.join(owners.select("pkg_id").distinct(), "pkg_id", "left_semi")
+    asked = deps.join(c.select("dep").distinct(), "dep", "left_semi").withColumn("d", evr_key(F.coalesce("epoch", F.lit(0)), F.col("version"), F.col("release")))
+    met = asked.join(provided.join(victims.select("pkg_id").distinct(), "pkg_id", "left_semi"), "name").where(_holds()).select("dep", F.col("pkg_id").alias("victim"))
+    return c.join(met, "dep").where("pkg_id <> victim").select("pkg_id", "victim").distinct()
+
+
+def _both_ways(conflicts: tuple[DataFrame, DataFrame], one: DataFrame, other: DataFrame, provided: DataFrame) -> DataFrame:
     """(pkg_id, blocker): packages of `one` that conflict with one of `other`, whichever of the two says so."""
     there = _clashes(conflicts, one, other, provided).select("pkg_id", F.col("victim").alias("blocker"))
     back = _clashes(conflicts, other, one, provided).select(F.col("victim").alias("pkg_id"), F.col("pkg_id").alias("blocker"))
@@ -85,46 +117,55 @@ def solve(
     named = packages.select("pkg_id", "name").distinct()
     none = F.lit(None)
     provided = stored(keyed(provided), "solve-provided")
-    conflicts = stored(caps.where("kind = 'conflicts'").select("pkg_id", *DEP).distinct(), "solve-conflicts")
+    conflicts = _numbered(caps)
     order = provided.groupBy("pkg_id").agg(F.min("place").alias("place"))
-    meets = provided
-    if files is not None:
-        meets = provided.unionByName(files.distinct().join(order, "pkg_id").select(F.col("path").alias("name"), "pkg_id", "place", none.cast(provided.schema["p"].dataType).alias("p")))
+    order = stored(order, "solve-order")
+    offers = stored(provided.groupBy("name", "p").agg(F.min("place").alias("place")), "solve-offers")
+
+    def given(by: DataFrame) -> DataFrame:
+        """(name, p): what packages (pkg_id) provide, files among them, once each."""
+        rows = provided.join(by.select("pkg_id"), "pkg_id", "left_semi").select("name", "p")
+        if files is not None:
+            owned = files.join(by.join(order, "pkg_id", "left_semi").select("pkg_id"), "pkg_id", "left_semi")
+            rows = rows.unionByName(owned.select(F.col("path").alias("name"), none.cast(provided.schema["p"].dataType).alias("p")))
+        return stored(rows.distinct(), "solve-given")
+
     new = roots.select("pkg_id").distinct().join(named, "pkg_id").select("pkg_id", "name", none.cast("bigint").alias("parent"), F.lit(0).alias("depth"), F.array("name").alias("path"))
     new = pins = stored(new, "solve-pins")
     needs_all = stored(caps.where((F.col("kind") == "requires") & ~is_rich(F.col("name"))).select(F.col("pkg_id").alias("parent"), *DEP).distinct(), "solve-requires")
+    have = given(new)
     asked = None
     if requirements is not None:
         asked = requirements.where(~is_rich(F.col("name"))).select(none.cast("bigint").alias("parent"), *DEP, F.array().cast("array<string>").alias("path")).distinct()
     for depth in range(1, rounds):
-        needs = needs_all.join(new.select(F.col("pkg_id").alias("parent"), "path"), "parent")
+        needs = needs_all.join(new.select(F.col("pkg_id").alias("parent")), "parent")
         if asked is not None and depth == 1:
-            needs = needs.unionByName(asked)
-        needs = needs.groupBy(*DEP).agg(F.min(F.struct("parent", "path")).alias("by")).select(*DEP, "by.parent", "by.path")
-        met = satisfying(needs, meets.join(pins.select("pkg_id"), "pkg_id", "left_semi")).select(*DEP).distinct()
-        open_ = stored(_match(needs, met, "left_anti"), "solve-open")
-        best = satisfying(open_, provided).groupBy(*DEP).agg(F.min(F.struct("place", "pkg_id")).alias("b")).select(*DEP, "b.pkg_id")
-        wanted = _match(open_, best).groupBy("pkg_id").agg(F.min(F.struct("parent", "path")).alias("by"))
+            needs = needs.unionByName(asked.drop("path"))
+        needs = needs.groupBy(*DEP).agg(*_least_parent()).select(*DEP, _parent())
+        needs = stored(needs, "solve-asked")
+        open_ = stored(_match(needs, _candidates(needs, have).select(*DEP).distinct(), "left_anti"), "solve-open")
+        wanted = _match(open_, best_providers(open_, offers, order)).groupBy("pkg_id").agg(*_least_parent()).select("pkg_id", _parent())
         wanted = wanted.join(named, "pkg_id").join(order, "pkg_id").join(pins.select("name"), "name", "left_anti")
-        wanted = stored(wanted.select("pkg_id", "name", "place", "by.parent", "by.path"), "solve-wanted")
+        wanted = wanted.join(new.select(F.col("pkg_id").alias("parent"), "path"), "parent", "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
+        wanted = stored(wanted.select("pkg_id", "name", "place", "parent", "path"), "solve-wanted")
         if wanted.isEmpty():
             break
         free = stored(wanted.join(_both_ways(conflicts, wanted, pins, provided).select("pkg_id"), "pkg_id", "left_anti"), "solve-free")
         if free.isEmpty():
             break
-        pairs = stored(_both_ways(conflicts, free, free, provided), "solve-pairs")
+        there = stored(_clashes(conflicts, free, free, provided).select("pkg_id", F.col("victim").alias("blocker")), "solve-pairs")
+        pairs = there.unionByName(there.select(F.col("blocker").alias("pkg_id"), F.col("pkg_id").alias("blocker")))
         new = free.join(independent(free, pairs).select("pkg_id"), "pkg_id", "left_semi")
         new = stored(new.select("pkg_id", "name", "parent", F.lit(depth).alias("depth"), F.concat("path", F.array("name")).alias("path")), "solve-pins")
-        pins = pins.unionByName(new)
+        pins, have = pins.unionByName(new), have.unionByName(given(new))
     else:
         raise RuntimeError("the solution did not settle")
 
     needs = needs_all.join(pins.select(F.col("pkg_id").alias("parent"), "path"), "parent")
     needs = needs.unionByName(asked) if asked is not None else needs
     distinct = stored(needs.select(*DEP).distinct(), "solve-needs")
-    met = satisfying(distinct, meets.join(pins.select("pkg_id"), "pkg_id", "left_semi")).select(*DEP).distinct()
-    left = stored(_match(distinct, met, "left_anti"), "solve-left")
-    best = satisfying(left, provided).groupBy(*DEP).agg(F.min(F.struct("place", "pkg_id")).alias("b")).select(*DEP, "b.pkg_id")
+    left = stored(_match(distinct, _candidates(distinct, have.distinct()).select(*DEP).distinct(), "left_anti"), "solve-left")
+    best = stored(best_providers(left, offers, order), "solve-best")
     out = stored(best.select("pkg_id").distinct().join(named, "pkg_id"), "solve-out")
     by_name = out.join(pins.select("name", F.col("pkg_id").alias("blocker")), "name").select("pkg_id", "blocker", F.lit("other_version").alias("reason"))
     why = by_name.unionByName(_both_ways(conflicts, out, pins, provided).withColumn("reason", F.lit("conflict")))

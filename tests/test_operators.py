@@ -396,3 +396,17 @@ def test_shared_paths_counts_by_name_first(spark):
     shared = repo.shared_paths(f, p)
     assert [tuple(r) for r in shared.collect()] == [("/x", "cup", "jug", 4)]
     assert "ShuffledHashJoin" in shared._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_solver_compares_each_version_once(spark, monkeypatch):
+    """40 packages provide one capability in two versions: two offers are compared, not 40, the first package by place is pinned, and conflicts meet by number."""
+    seen, stored = {}, solver.stored
+    monkeypatch.setattr(solver, "stored", lambda df, label: seen.setdefault(label, []).append(out := stored(df, label)) or out)
+    p = spark.createDataFrame([(i, "r", f"p{i}", 0, "1", "1") for i in range(40)] + [(99, "r", "top", 0, "1", "1")], "pkg_id long, repo_id string, name string, epoch int, version string, release string")
+    rows = [(i, "provides", "x", "EQ", 0, str(i % 2), "") for i in range(40)] + [(99, "requires", "x", "GE", 0, "1", ""), (99, "requires", "/f", "NONE", None, None, None), (1, "conflicts", "p7", "NONE", None, None, None)]
+    c = spark.createDataFrame(rows * 2, "pkg_id long, kind string, name string, op string, epoch int, version string, release string")
+    f = spark.createDataFrame([(1, "/f"), (5, "/f"), (5, "/f")], "pkg_id long, path string")
+    asked = c.where("pkg_id = 99 and kind = 'requires'").select(*resolve.DEP)
+    pins, unmet = solver.solve(spark.createDataFrame([(99,)], "pkg_id long"), p, c, resolve.providers(p, c, f), f, asked)
+    assert {(r["pkg_id"], r["parent"], r["depth"], *r["path"]) for r in pins.collect()} == {(99, None, 0, "top"), (1, None, 1, "p1")} and unmet.count() == 0
+    assert seen["solve-offers"][0].where("name = 'x'").count() == 2 and [tuple(r) for r in seen["solve-conflict-rows"][0].select("pkg_id").collect()] == [(1,)]
