@@ -410,3 +410,14 @@ def test_solver_compares_each_version_once(spark, monkeypatch):
     pins, unmet = solver.solve(spark.createDataFrame([(99,)], "pkg_id long"), p, c, resolve.providers(p, c, f), f, asked)
     assert {(r["pkg_id"], r["parent"], r["depth"], *r["path"]) for r in pins.collect()} == {(99, None, 0, "top"), (1, None, 1, "p1")} and unmet.count() == 0
     assert seen["solve-offers"][0].where("name = 'x'").count() == 2 and [tuple(r) for r in seen["solve-conflict-rows"][0].select("pkg_id").collect()] == [(1,)]
+
+
+def test_edges_hash_dependencies(spark):
+    """What packages require isn't sorted by its five columns; dependencies without a version and repeated rows meet their providers once."""
+    none = (None, None, None)
+    c = spark.createDataFrame([(1, "requires", "a", "NONE", *none), (2, "requires", "a", "NONE", *none), (2, "requires", "b", "GE", 0, "1", "")] * 2 + [(3, "provides", "a", "NONE", *none)],
+                              "pkg_id long, kind string, name string, op string, epoch int, version string, release string")
+    found = spark.createDataFrame([("a", "NONE", *none, "satisfied", 7), ("b", "GE", 0, "1", "", "version_unsatisfied", 8)], "name string, op string, epoch int, version string, release string, outcome string, pkg_id long")
+    e = resolve.edges(c, found)
+    assert {tuple(r) for r in e.collect()} == {(1, 7), (2, 7)} and e.count() == 2
+    assert "ShuffledHashJoin" in e._jdf.queryExecution().executedPlan().toString()
