@@ -10,11 +10,12 @@ OPERATORS = ("NONE", "EQ", "LT", "LE", "GT", "GE")
 
 
 def _token_key(t: Column) -> Column:
-    digits = F.regexp_replace(t, "^0+", "")
+    # Digits are below ":", what else a token may begin with is above; no pattern is matched for each token.
+    digits = F.ltrim(t, F.lit("0"))
     return (
         F.when(t == "~", F.lit("0"))
         .when(t == "^", F.lit("2"))
-        .when(t.rlike("^[0-9]"), F.concat(F.lit("4"), F.lpad(F.length(digits).cast("string"), 5, "0"), digits))
+        .when(t < ":", F.concat(F.lit("4"), F.lpad(F.length(digits).cast("string"), 5, "0"), digits))
         .otherwise(F.concat(F.lit("3"), t, F.lit("!")))
     )
 
@@ -57,10 +58,9 @@ def compatible_compare(a: tuple[Column, Column, Column], b: tuple[Column, Column
 
 def constraint_holds(op: Column, sign: Column) -> Column:
     """Whether a provider that compares to the constraint's EVR with `sign` meets `op`; a null sign (an unversioned provide) meets only NONE."""
-    test = (
-        F.when(op == "EQ", sign == 0).when(op == "LT", sign < 0).when(op == "LE", sign <= 0).when(op == "GT", sign > 0).when(op == "GE", sign >= 0)
-    )
-    return F.when(op == "NONE", F.lit(True)).otherwise(F.coalesce(test, F.lit(False)))
+    # Bits of the signs -1, 0 and 1 that meet op: sign, a long expression, stands in the test once.
+    met = F.when(op == "EQ", F.lit(0b010)).when(op == "LT", F.lit(0b001)).when(op == "LE", F.lit(0b011)).when(op == "GT", F.lit(0b100)).when(op == "GE", F.lit(0b110))
+    return F.when(op == "NONE", F.lit(True)).otherwise(F.coalesce(F.getbit(met, sign + 1) == 1, F.lit(False)))
 
 
 def evr_parse(s: Column) -> Column:

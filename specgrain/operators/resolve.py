@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.evr import compatible_compare, compatible_sign, constraint_holds, evr_key, version_key
-from ..session import stored
+from ..session import dealt, stored
 
 DEP = ["name", "op", "epoch", "version", "release"]
 #: Words of 64 bits in a row of what packages reach.
@@ -26,8 +26,9 @@ def package_order(packages: DataFrame) -> DataFrame:
     One sort by ranges over all packages, stored, so that every reader sees the same places; no capability is ever ranked in one task.
     """
     order = ["repo_id", F.desc("epoch"), F.desc("v"), F.desc("r"), "name", "pkg_id"]
-    # Keys are columns, as a sort would work an expression out anew for every comparison.
-    p = packages.select("repo_id", "epoch", version_key(F.col("version")).alias("v"), version_key(F.col("release")).alias("r"), "name", "pkg_id")
+    # Many packages are a small file, read by few tasks: they are dealt before their keys are made, and the keys stored, as a sort by ranges goes over its rows twice.
+    p = dealt(packages.select("repo_id", "epoch", "version", "release", "name", "pkg_id"), "pkg_id")
+    p = stored(p.select("repo_id", "epoch", version_key(F.col("version")).alias("v"), version_key(F.col("release")).alias("r"), "name", "pkg_id"), "package-keys")
     return stored(p.orderBy(*order).select("pkg_id", F.monotonically_increasing_id().alias("place")), "package-order")
 
 
@@ -41,12 +42,12 @@ def provides(packages: DataFrame, caps: DataFrame) -> DataFrame:
 def providers(packages: DataFrame, caps: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(name, pkg_id, epoch, version, release, place): what each name is provided with, and the provider's place among all packages (package_order).
 
-    Own names carry the package's EVR; a Provides without a version has a null EVR; a file path has none either, and its owner is the first only.
+    Own names carry the package's EVR; a Provides without a version has a null EVR; a file path has none either, and its owner is the first only. Rows may be repeated.
     """
     evr = ["epoch", "version", "release"]
     order = package_order(packages)
     rows = packages.select("name", "pkg_id", *evr)
-    rows = rows.unionByName(caps.where("kind = 'provides'").select("name", "pkg_id", *evr).distinct())
+    rows = rows.unionByName(caps.where("kind = 'provides'").select("name", "pkg_id", *evr))
     if files is not None:
         p = packages.select("pkg_id", "repo_id")
         # The least number of each repository comes first: numbers combine by hash where structs would be sorted, and repeated rows don't matter.
@@ -61,32 +62,34 @@ def lookup(deps: DataFrame, provided: DataFrame) -> DataFrame:
     """DEP, outcome (no_provider, satisfied, version_unsatisfied) and pkg_id of the best provider, for the distinct dependencies.
 
     Dependencies, and the EVRs that each name is provided with, are made distinct and get their keys before the candidate join. Its result
-    goes straight into two minima of places, which combine map-side; no window over candidates. A path dependency is satisfied by its owner.
+    goes straight into two minima of places, which combine map-side and carry the package along, so that provides are gone through once; no window over candidates.
+    A path dependency is satisfied by its owner.
     """
     d = deps.select(*DEP).distinct().where(~is_rich(F.col("name"))).withColumn("d", evr_key(F.coalesce("epoch", F.lit(0)), F.col("version"), F.col("release")))
-    n = provided.groupBy("name", *(F.col(c).alias(f"p_{c}") for c in DEP[2:])).agg(F.min("place").alias("place"))
-    n = n.select("name", "place", F.when(F.col("p_version").isNotNull(), evr_key(F.coalesce("p_epoch", F.lit(0)), F.col("p_version"), F.col("p_release"))).alias("p"))
+    n = provided.groupBy("name", *(F.col(c).alias(f"p_{c}") for c in DEP[2:])).agg(F.min("place").alias("place"), F.min_by("pkg_id", "place").alias("pkg_id"))
+    n = n.select("name", "place", "pkg_id", F.when(F.col("p_version").isNotNull(), evr_key(F.coalesce("p_epoch", F.lit(0)), F.col("p_version"), F.col("p_release"))).alias("p"))
     holds = constraint_holds(F.col("op"), F.when(F.col("p").isNotNull(), compatible_sign(F.col("p"), F.col("d")))) | F.col("name").startswith("/")
-    best = (
-        d.join(n, "name", "left")
-        .groupBy(*DEP)
-        .agg(F.min("place").alias("any"), F.min(F.when(holds, F.col("place"))).alias("sat"))
-        .withColumn("place", F.coalesce("sat", "any"))
-    )
+    met = F.when(holds, F.col("place"))
+    least = (F.min("place").alias("any"), F.min_by("pkg_id", "place").alias("any_id"), F.min(met).alias("sat"), F.min_by("pkg_id", met).alias("sat_id"))
+    best = d.join(n, "name", "left").groupBy(*DEP).agg(*least)
     outcome = F.when(F.col("any").isNull(), "no_provider").when(F.col("sat").isNull(), "version_unsatisfied").otherwise("satisfied")
-    where = provided.select("place", "pkg_id").distinct()
-    return best.join(where, "place", "left").select(*DEP, outcome.alias("outcome"), "pkg_id")
+    return best.select(*DEP, outcome.alias("outcome"), F.coalesce("sat_id", "any_id").alias("pkg_id"))
 
 
-def edges(caps: DataFrame, found: DataFrame) -> DataFrame:
-    """(pkg_id, needs): packages and the best providers of what they require. The distinct dependencies are hashed, so that no row of a package's is sorted by five columns."""
+def needs(caps: DataFrame, found: DataFrame) -> DataFrame:
+    """(pkg_id, needs): packages and the best providers of what they require. The distinct dependencies are hashed, so that no row of a package's is sorted by five columns. Rows may be repeated."""
     met = found.where("outcome = 'satisfied'").select(*(F.col(c).alias(f"d_{c}") for c in DEP), F.col("pkg_id").alias("needs"))
     same = [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in DEP]
-    return caps.where("kind = 'requires'").select("pkg_id", *DEP).join(met.hint("shuffle_hash"), same).select("pkg_id", "needs").distinct()
+    return caps.where("kind = 'requires'").select("pkg_id", *DEP).join(met.hint("shuffle_hash"), same).select("pkg_id", "needs")
+
+
+def edges(caps: DataFrame, found: DataFrame) -> DataFrame:
+    """needs, each row once."""
+    return needs(caps, found).distinct()
 
 
 def closure(roots: DataFrame, edges_: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(pkg_id, depth) of all packages that roots (pkg_id) need, themselves at depth 0. Each round's new packages are a stored table."""
+    """(pkg_id, depth) of all packages that roots (pkg_id) need, themselves at depth 0. Each round's new packages are a stored table. Repeated rows count once."""
     e = stored(edges_, "closure-edges")
     seen = new = stored(roots.select("pkg_id", F.lit(0).alias("depth")).distinct(), "closure")
     for depth in range(1, rounds):

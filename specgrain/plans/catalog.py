@@ -262,7 +262,7 @@ def direct_needs(s, d):
 def closure_of_noarch(s, d):
     """All that the architecture-independent packages need, directly or not."""
     p, c = A.packages(s, d), A.caps(s, d)
-    return resolve.closure(p.where("arch = 'noarch'"), resolve.edges(c, _found(s, d))).select("pkg_id")
+    return resolve.closure(p.where("arch = 'noarch'"), resolve.needs(c, _found(s, d))).select("pkg_id")
 
 
 @query(

@@ -421,3 +421,52 @@ def test_edges_hash_dependencies(spark):
     e = resolve.edges(c, found)
     assert {tuple(r) for r in e.collect()} == {(1, 7), (2, 7)} and e.count() == 2
     assert "ShuffledHashJoin" in e._jdf.queryExecution().executedPlan().toString()
+
+
+def test_package_order_is_dealt(spark, monkeypatch):
+    """Packages that one task reads get their keys in several, which the sort by ranges reads back; places keep the order, and repeated provides stay one offer."""
+    seen, stored = {}, resolve.stored
+    monkeypatch.setattr(resolve, "stored", lambda df, label: seen.setdefault(label, []).append(out := stored(df, label)) or out)
+    rows = [(i, f"r{i % 2}", f"p{i % 5}", i % 3, f"{i % 4}.{i % 7}" + "~rc1" * (i % 6 == 0), str(i % 11)) for i in range(200)]
+    p = spark.createDataFrame(rows, "pkg_id long, repo_id string, name string, epoch int, version string, release string").coalesce(1)
+    order = [r["pkg_id"] for r in resolve.package_order(p).orderBy("place").collect()]
+    key = lambda v: [(4, int(t)) if t.isdigit() else (0 if t == "~" else 3, t) for t in re.findall(r"~|[0-9]+|[a-z]+", v)] + [(1,)]
+    want = sorted(rows, key=lambda r: (r[2], r[0]))
+    for k in (lambda r: key(r[5]), lambda r: key(r[4]), lambda r: r[3]):
+        want.sort(key=k, reverse=True)  # stable: equal ones are turned round neither
+    want.sort(key=lambda r: r[1])
+    assert order == [r[0] for r in want]
+    assert len(seen["package-keys"][0].inputFiles()) > 1
+
+
+def test_lookup_goes_through_provides_once(spark, desk, tmp_path):
+    """Provides are read once for a lookup, repeated ones included, and the best provider of each dependency comes out of the minima with its place."""
+    p, c, f = desk
+    resolve.providers(p, c.unionByName(c), f).write.parquet(str(tmp_path / "provided"))
+    provided = spark.read.parquet(str(tmp_path / "provided"))
+    found = resolve.lookup(wants(spark, [(0, "requires", x) for x in ("quill", "quill LT 3", "quill LT 1", "tip GE 0", "/opt/desk/pen", "wax")] * 2), provided)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    got = {(r["name"], r["op"], r["version"]): (r["outcome"], r["pkg_id"]) for r in found.collect()}
+    assert found.count() == 6 and got == {
+        ("quill", "NONE", None): ("satisfied", 11), ("quill", "LT", "3"): ("satisfied", 12), ("quill", "LT", "1"): ("version_unsatisfied", 11),
+        ("tip", "GE", "0"): ("version_unsatisfied", 32), ("/opt/desk/pen", "NONE", None): ("satisfied", 32), ("wax", "NONE", None): ("no_provider", None),
+    }
+
+
+def test_constraints_by_sign(spark):
+    """Each operator against each sign; a null sign meets only NONE, and an operator that isn't known or is null meets nothing."""
+    meets = {"NONE": (-1, 0, 1, None), "EQ": (0,), "LT": (-1,), "LE": (-1, 0), "GT": (1,), "GE": (0, 1), "NE": (), None: ()}
+    t = spark.createDataFrame([(op, sign) for op in meets for sign in (-1, 0, 1, None)], "op string, sign int")
+    holds = evr.constraint_holds(F.col("op"), F.col("sign"))
+    assert all(r["holds"] == (r["sign"] in meets[r["op"]]) for r in t.select("op", "sign", holds.alias("holds")).collect())
+    assert holds._jc.toString().count("sign") == 1
+
+
+def test_closure_of_repeated_edges(spark):
+    """What a closure goes over may have rows twice, as needs has; each package comes out once, at its least distance."""
+    e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 1), (5, 6), (3, 4)] * 3, "pkg_id long, needs long")
+    assert sorted(tuple(r) for r in resolve.closure(spark.createDataFrame([(1,), (1,)], "pkg_id long"), e).collect()) == [(1, 0), (2, 1), (3, 1), (4, 2)]
+    none = (None, None, None)
+    c = spark.createDataFrame([(1, "requires", "a", "NONE", *none)] * 2, CAPS)
+    found = spark.createDataFrame([("a", "NONE", *none, "satisfied", 7)], "name string, op string, epoch int, version string, release string, outcome string, pkg_id long")
+    assert [tuple(r) for r in resolve.needs(c, found).collect()] == [(1, 7)] * 2
