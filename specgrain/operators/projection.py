@@ -38,13 +38,13 @@ def with_ends(r: Recipes) -> DataFrame:
     """Branches with `next`, the line of the chain's next branch or of its end; chains that don't end are left out."""
     w = Window.partitionBy("spec_id", "depth", "chain").orderBy("line_no")
     ends = r.body.where("closes and chain is not null").groupBy("spec_id", "depth", "chain").agg(F.min("line_no").alias("end"))
-    b = r.branches.join(_hashed(ends), ["spec_id", "depth", "chain"])
+    b = r.branches.join(_merged(ends), ["spec_id", "depth", "chain"])
     return b.withColumn("next", F.coalesce(F.lead("line_no").over(w), F.col("end"))).drop("end", "sec")
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """rows that a join hashes in each partition. Without it Spark goes by a stored table's compressed files, and sends what is 30 to 170 times their size through the driver."""
-    return rows.hint("shuffle_hash")
+def _merged(rows: DataFrame) -> DataFrame:
+    """rows that a join sorts and merges in each partition, on disk if need be. Without it Spark goes by a stored table's compressed files, and sends what is 30 to 170 times their size through the driver."""
+    return rows.hint("merge")
 
 
 def visible(rows: DataFrame, selected: DataFrame) -> DataFrame:
@@ -154,18 +154,18 @@ def _runs(profiles: DataFrame, macros: DataFrame) -> tuple[DataFrame, DataFrame]
     held = lambda value, known: F.collect_list(F.struct(value.alias("value"), F.lit(known).alias("known"), F.col("who")))
     by = lambda column: p.groupBy("run", column).agg(F.bit_or("who").alias("who")).groupBy("run").agg(held(F.col(column), False).alias(f"{column}s"))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("bit", "profile_id"))), lambda x: x["profile_id"])
-    runs = p.groupBy("run").agg(F.bit_or("who").alias("everyone"), ids.alias("ids")).join(by("arch"), "run").join(by("os"), "run")
+    runs = stored(p.groupBy("run").agg(F.bit_or("who").alias("everyone"), ids.alias("ids")).join(by("arch"), "run").join(by("os"), "run"), "project-runs")
     own = macros.select("profile_id", "name", "value").join(p.select("profile_id", "run", "who"), "profile_id").groupBy("name", "run", "value").agg(F.bit_or("who").alias("who"))
     return runs, own.groupBy("name", "run").agg(held(F.col("value"), True).alias("held"))
 
 
-def _decided(branches: DataFrame, recipes: DataFrame) -> DataFrame:
+def _decided(branches: DataFrame, recipes: DataFrame, runs: DataFrame) -> DataFrame:
     """The branches' cases: run, who, truth and reason of each group of profiles with the same values for what a condition names."""
     nobody = F.array(F.struct(F.lit(None).cast("string").alias("value"), F.lit(False).alias("known"), F.col("everyone").alias("who")))
     names = F.array_distinct(F.regexp_extract_all("condition", F.lit(_CALLED), 1))
     target = F.when(F.col("how").endswith("arch"), F.col("archs")).when(F.col("how").endswith("os"), F.col("oss")).otherwise(nobody)
     axes = F.concat(F.transform("_names", lambda n: _holding(n, F.col("line_no"))), F.array(target))
-    j = branches.withColumn("_names", names).join(_hashed(recipes), _RUN).withColumn("_case", F.explode(_cases(axes, F.col("everyone"))))
+    j = branches.withColumn("_names", names).join(_merged(recipes), _RUN).join(F.broadcast(runs.drop("everyone")), "run").withColumn("_case", F.explode(_cases(axes, F.col("everyone"))))
     vals = F.col("_case.vals")
     entries = F.transform("_names", lambda n, i: F.struct(n.alias("name"), vals[i]["value"].alias("value")))
     entries = F.array_sort(F.filter(entries, lambda e: e["value"].isNotNull()))
@@ -198,12 +198,12 @@ def project(r: Recipes, profiles: DataFrame, macros: DataFrame, options: DataFra
 
     Profiles are bits of a row, in runs of 64, so a condition or text is worked out once for all profiles that have the same values for what it names; only what is returned has a row a
     profile. A recipe's definitions and branches that are off are arrays of its row, as its text is one value, and its lines meet them by one join. Tables that grow
-    with the recipes are joined by hash in partitions; only profiles and their macros are broadcast.
+    with the recipes are sorted and merged in partitions; only profiles and their macros are broadcast.
     """
     runs, facts = _runs(profiles, macros)
     branches = stored(with_ends(r).crossJoin(F.broadcast(runs.select("run"))), "project-branches")
     unset = r.lines.where(F.col("line").rlike(r"^\s*%\{!\?")).select("spec_id", "line_no", F.lit(True).alias("unset"))
-    made = r.macros.where(F.col("options") == "").join(_hashed(unset), ["spec_id", "line_no"], "left")
+    made = r.macros.where(F.col("options") == "").join(_merged(unset), ["spec_id", "line_no"], "left")
     made = made.select("spec_id", "line_no", "name", F.col("value").alias("body"), F.coalesce("unset", F.lit(False)).alias("unset"))
     own = r.tags.where(F.col("key").isin(*OWN_TAGS) & (F.col("pkg") == "")).select("spec_id", "line_no", F.col("key").alias("name"), F.col("value").alias("body"), F.lit(False).alias("unset"))
     bodies = stored(made.unionByName(own), "project-bodies")
@@ -211,12 +211,12 @@ def project(r: Recipes, profiles: DataFrame, macros: DataFrame, options: DataFra
     named = r.lines.select("spec_id", F.explode(F.regexp_extract_all("line", F.lit(_CALLED), 1)).alias("name")).unionByName(bodies.select("spec_id", "name"))
     named = named.join(F.broadcast(facts.select("name").distinct()), "name", "left_semi").distinct()
     mine = named.join(F.broadcast(facts), "name").groupBy(*_RUN).agg(F.collect_list(F.struct("name", "held")).alias("own"))
-    recipes = r.specs.where("spec_id is not null").crossJoin(F.broadcast(runs)).join(_hashed(mine), _RUN, "left")
+    recipes = r.specs.where("spec_id is not null").crossJoin(F.broadcast(runs.select("run", "everyone"))).join(_merged(mine), _RUN, "left")
     if options is None:
         recipes = recipes.withColumn("chosen", F.lit(None).cast("array<struct<name:string,state:boolean>>"))
     else:
         chosen = options.groupBy("spec_id").agg(F.array_sort(F.collect_list(F.struct("name", "state"))).alias("chosen"))
-        recipes = recipes.join(_hashed(chosen), "spec_id", "left")
+        recipes = recipes.join(_merged(chosen), "spec_id", "left")
     recipes = recipes.withColumns({c: F.coalesce(c, F.array().cast(recipes.schema[c].dataType)) for c in ("own", "chosen")})
     recipes = stored(recipes, "project-recipes")
 
@@ -224,15 +224,15 @@ def project(r: Recipes, profiles: DataFrame, macros: DataFrame, options: DataFra
     definitions, before = bodies.select("spec_id", F.lit(0).cast("long").alias("run"), "line_no", "name", F.lit(None).cast("string").alias("value"), who).where("false"), None
     for _ in range(rounds):
         defs = definitions.groupBy(*_RUN).agg(F.array_sort(F.collect_list(F.struct("line_no", "name", "value", "who"))).alias("defs"))
-        state = recipes.join(_hashed(defs), _RUN, "left").withColumn("defs", F.coalesce("defs", F.array().cast(defs.schema["defs"].dataType)))
-        decided = _decided(branches, state)
+        state = recipes.join(_merged(defs), _RUN, "left").withColumn("defs", F.coalesce("defs", F.array().cast(defs.schema["defs"].dataType)))
+        decided = _decided(branches, state, runs)
         off = F.col("everyone").bitwiseAND(F.bitwise_not(F.col("chosen")))
         offs = _selected(decided).select(*_RUN, F.struct("line_no", "next", off.alias("who")).alias("off")).where("off.who <> 0").groupBy(*_RUN).agg(F.collect_list("off").alias("offs"))
-        state = state.join(_hashed(offs), _RUN, "left").withColumn("offs", F.coalesce("offs", F.array().cast(offs.schema["offs"].dataType)))
-        state = stored(state.select(*_RUN, "everyone", "ids", "own", "defs", "offs"), "project-state")
+        state = state.join(_merged(offs), _RUN, "left").withColumn("offs", F.coalesce("offs", F.array().cast(offs.schema["offs"].dataType)))
+        state = stored(state.select(*_RUN, "everyone", "own", "defs", "offs"), "project-state")
         has = _merge(F.filter(_holding(F.col("name"), F.col("line_no")), lambda h: h["known"]))
         here = F.when(F.col("unset"), _shown().bitwiseAND(F.bitwise_not(has))).otherwise(_shown())
-        now = _fill_cases(bodies.join(_hashed(state), "spec_id").withColumn("here", here), "body", F.col("here"))
+        now = _fill_cases(bodies.join(_merged(state), "spec_id").withColumn("here", here), "body", F.col("here"))
         now = stored(now.groupBy(*_RUN, "line_no", "name", F.col("told").alias("value")).agg(F.bit_or("who").alias("who")), "project-definitions")
         # Their number and two sums of hashes tell whether any of them has changed.
         hashes = (F.xxhash64(*now.columns), F.xxhash64(F.lit(1), *reversed(now.columns)))
@@ -243,12 +243,14 @@ def project(r: Recipes, profiles: DataFrame, macros: DataFrame, options: DataFra
     else:
         raise RuntimeError("the definitions did not settle")
 
+    ids = F.broadcast(runs.select("run", "ids"))
+
     def each(rows: DataFrame, column: str) -> DataFrame:
-        seen = _fill_cases(rows.join(_hashed(state), "spec_id"), column, _shown())
-        return seen.select(*rows.columns, _each_profile().alias("profile_id"), "told")
+        seen = _fill_cases(rows.join(_merged(state), "spec_id"), column, _shown())
+        return seen.join(ids, "run").select(*rows.columns, _each_profile().alias("profile_id"), "told")
 
     chosen = _selected(decided).select(*_RUN, "line_no", "chosen")
-    told = decided.join(_hashed(chosen), [*_RUN, "line_no"]).select(*(c for c in branches.columns if c != "run"), "truth", "reason", "chosen", _each_place().alias("p", "profile_id"))
+    told = decided.join(_merged(chosen), [*_RUN, "line_no"]).select(*(c for c in branches.columns if c != "run"), "truth", "reason", "chosen", _each_place().alias("p", "profile_id"))
     told = told.withColumn("selected", F.call_function("getbit", F.col("chosen"), F.col("p")) == 1).drop("chosen", "p")
-    shown = definitions.join(F.broadcast(runs.select("run", "ids")), "run").select("spec_id", _each_profile().alias("profile_id"), "line_no", "name", "value")
+    shown = definitions.join(ids, "run").select("spec_id", _each_profile().alias("profile_id"), "line_no", "name", "value")
     return Projection(told, shown, each(r.tags, "value"), each(r.atoms, "atom"), each(r.files, "path"))
